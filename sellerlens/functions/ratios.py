@@ -49,17 +49,19 @@ def pct_change(cur: str | Column, prev: str | Column) -> Column:
     return F.try_divide(dbl(c - p), dbl(p)) * F.lit(100.0)
 
 
-def rounded_money_ratio(num: str, den: str, digits: int = 2) -> Column:
-    """round(num / den, digits) for money `num` (scale <= digits), integer `den`.
+def rounded_money_ratio(num: str, den: str, digits: int = 2, money_scale: int = 2) -> Column:
+    """round(num / den, digits) for money `num` (scale <= money_scale), integer `den`.
 
-    Computed on integers: q = (2|n| + |d|) div (2|d|) with n = num * 10^digits,
-    then signed and scaled back; NULL when den is 0 (SAFE_DIVIDE semantics).
+    Exact on integers: with n = num in cents and d = den * 10^(money_scale - digits),
+    q = (2|n| + |d|) div (2|d|), signed, over 10^digits; NULL when den is 0
+    (SAFE_DIVIDE semantics). Requires digits <= money_scale.
     """
-    scale = 10 ** digits
-    n = f"CAST(`{num}` * {scale} AS BIGINT)"
-    d = f"CAST(`{den}` AS BIGINT)"
+    if digits > money_scale:
+        raise ValueError("digits must not exceed the money scale")
+    n = f"CAST(`{num}` * {10 ** money_scale} AS BIGINT)"
+    d = f"(CAST(`{den}` AS BIGINT) * {10 ** (money_scale - digits)})"
     return F.expr(
-        f"CASE WHEN {d} = 0 THEN NULL ELSE "
+        f"CASE WHEN CAST(`{den}` AS BIGINT) = 0 THEN NULL ELSE "
         f"CAST(CAST(signum({n}) * signum({d}) AS BIGINT) * ((2 * abs({n}) + abs({d})) div (2 * abs({d}))) AS DOUBLE)"
-        f" / {scale} END"
+        f" / {10 ** digits} END"
     )

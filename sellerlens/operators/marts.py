@@ -29,8 +29,6 @@ from sellerlens.operators.scopes import in_portfolio
 from sellerlens.sources.bindings import DEAL_PRE_AGREED, HOME_SITE
 from sellerlens.sources.schemas import require
 
-ZERO = F.lit(0)
-
 
 def _sum2(col: Column | str, name: str) -> Column:
     """ROUND(SUM(x), 2) on exact decimals."""
@@ -40,7 +38,7 @@ def _sum2(col: Column | str, name: str) -> Column:
 
 def _sum_if(cond: Column, value: Column | str) -> Column:
     v = F.col(value) if isinstance(value, str) else value
-    return F.sum(F.when(cond, v).otherwise(ZERO))
+    return F.sum(F.when(cond, v).otherwise(F.lit(0)))
 
 
 def _countable_sales(sales: DataFrame, window: DayWindow, portfolio: DataFrame | None) -> DataFrame:
@@ -134,16 +132,16 @@ INVESTMENT_FAMILIES = {
 
 
 def _investment_aggs(pre_agreed_code: str) -> list[Column]:
-    deal = F.coalesce(F.col("deal_invest"), ZERO)
+    deal = F.coalesce(F.col("deal_invest"), F.lit(0))
     return [
         F.round(_sum_if(F.col("deal_subtype") == F.lit(pre_agreed_code), deal), 2).alias("g1_pre_agreed"),
-        _sum2(F.coalesce(F.col("dod_invest"), ZERO), "g1_dod"),
-        _sum2(F.coalesce(F.col("lightning_invest"), ZERO), "g1_lightning"),
+        _sum2(F.coalesce(F.col("dod_invest"), F.lit(0)), "g1_dod"),
+        _sum2(F.coalesce(F.col("lightning_invest"), F.lit(0)), "g1_lightning"),
         F.round(_sum_if(F.col("price_match_flag"), deal), 2).alias("g2_price_matching"),
         F.round(_sum_if(F.col("smart_flag"), deal), 2).alias("g2_smart"),
-        _sum2(F.coalesce(F.col("auto_invest"), ZERO), "g2_auto"),
+        _sum2(F.coalesce(F.col("auto_invest"), F.lit(0)), "g2_auto"),
         # FALSE only: a NULL seller-coupon flag takes the ELSE branch
-        F.round(_sum_if(~F.col("coupon_by_seller_flag"), F.coalesce(F.col("coupon_amount"), ZERO)), 2)
+        F.round(_sum_if(~F.col("coupon_by_seller_flag"), F.coalesce(F.col("coupon_amount"), F.lit(0))), 2)
         .alias("g3_coupons"),
     ]
 
@@ -177,7 +175,7 @@ def buybox_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None
     df = _countable_sales(sales, two_year_window(as_of), portfolio)
     bb = F.col("buybox_flag")
     per_order = df.groupBy(_month("closed_date"), "seller_id", "order_id").agg(
-        F.max(F.when(bb, F.lit(1)).otherwise(ZERO)).alias("_has_bb"),
+        F.max(F.when(bb, F.lit(1)).otherwise(F.lit(0))).alias("_has_bb"),
         F.sum("gmv").alias("_gmv"),
         _sum_if(bb, "gmv").alias("_gmv_bb"),
     )

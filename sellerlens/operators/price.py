@@ -28,11 +28,9 @@ from sellerlens.operators.scopes import in_portfolio
 from sellerlens.sources.bindings import HOME_SITE, MATCH_TYPE
 from sellerlens.sources.schemas import require
 
-TOLERANCE = F.lit(Decimal(PRICE_TOLERANCE))
-
 
 def _expensive(ours: Column, rival: Column) -> Column:
-    return (ours > 0) & (rival > 0) & (ours > TOLERANCE * rival)
+    return (ours > 0) & (rival > 0) & (ours > F.lit(Decimal(PRICE_TOLERANCE)) * rival)
 
 
 def _observations(obs: DataFrame, as_of: dt.date, days: int, site: str, match_type: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens.functions.labels import ALL_SCOPE
-from sellerlens.plans.broadcast import broadcast_if_small
+from sellerlens.plans.broadcast import is_small
 from sellerlens.sources.schemas import require
 
 
@@ -39,18 +39,18 @@ def seller_scopes(portfolio: DataFrame) -> DataFrame:
     return everyone.unionByName(groups).unionByName(single)
 
 
-def scope_ids(portfolio: DataFrame, scope: str) -> DataFrame:
-    """Seller ids of one scope; an unknown value is taken as one seller id."""
-    bridge = seller_scopes(portfolio)
-    hit = bridge.where(F.col("scope") == F.lit(str(scope))).select("seller_id")
-    return hit
+def scope_ids(bridge: DataFrame, scope: str) -> DataFrame:
+    """Seller ids of one scope (all, a multi-member group, or one seller id)."""
+    return bridge.where(F.col("scope") == F.lit(str(scope))).select("seller_id")
 
 
 def in_portfolio(df: DataFrame, portfolio: DataFrame | None, key: str = "seller_id") -> DataFrame:
     """Keep rows whose seller belongs to the portfolio (left semi join)."""
     if portfolio is None:
         return df
-    ids = broadcast_if_small(portfolio.select(F.col("seller_id").alias(key)).distinct())
+    ids = portfolio.select(F.col("seller_id").alias(key)).distinct()
+    if is_small(portfolio):
+        ids = F.broadcast(ids)
     return df.join(ids, key, "left_semi")
 
 

@@ -1,12 +1,16 @@
 """Broadcast only behind a size check.
 
-`broadcast_if_small` runs one bounded action (`limit(n + 1).count()`, which
-reads at most n + 1 rows per partition and stops early) and hints a broadcast
-only when the frame is proven to hold at most `max_rows` rows. Beyond that the
-frame is returned as is and the join shuffles (AQE may still demote it to a
-broadcast at runtime from measured shuffle sizes).
-
-Frames that are small by construction (one-row aggregates, period tables,
+`is_small` runs one bounded action on a *dimension* frame (`limit(n + 1).count()`,
+which stops after n + 1 rows) and remembers the answer on that frame object,
+so a plan that joins the same dimension many times checks it once.
+`broadcast_if_small` hints a broadcast only when the frame is proven to hold
+at most `max_rows` rows; beyond that the frame is returned as is and the join
+shuffles (AQE may still demote it to a broadcast from measured sizes).
+
+Derived frames whose row count is bounded by a checked dimension (one row per
+scope is bounded by the scope bridge) reuse that dimension's answer through
+`broadcast_if_bounded`, so no aggregate is ever executed just to be counted.
+Frames that are small by construction (one-row aggregates, calendar tables,
 fixed label maps) are broadcast with `F.broadcast` directly at their use.
 """
 
@@ -16,11 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 1_000_000
+_MEMO = "_sellerlens_small"
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+    memo = getattr(df, _MEMO, None)
+    if memo is None:
+        memo = {}
+        try:
+            setattr(df, _MEMO, memo)
+        except AttributeError:
+            pass
+    if max_rows not in memo:
+        memo[max_rows] = row_count_at_most(df, max_rows)
+    return memo[max_rows]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def broadcast_if_bounded(df: DataFrame, bound: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Broadcast `df` when `bound` (a frame with at least as many rows) is small."""
+    return F.broadcast(df) if is_small(bound, max_rows) else df

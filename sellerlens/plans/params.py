@@ -12,3 +12,7 @@ AS_OF = dt.date(2001, 7, 19)
 AUDIT_AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 AUDIT_DAYS = 30
 CAMPAIGN_DAYS = 90
+
+# custom period used by the custom-mode KPI query (spans a year boundary)
+CUSTOM_START = dt.date(2000, 11, 10)
+CUSTOM_END = dt.date(2001, 2, 3)

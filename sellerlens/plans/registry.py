@@ -8,12 +8,13 @@ collected; the caller triggers execution.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sellerlens.operators import marts, price
-from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS
+from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS, CUSTOM_END, CUSTOM_START
 from sellerlens.sources.bindings import LogicalInputs
 from sellerlens.sources.sinks import normalize
 from sellerlens.sources.tables import load_tables
@@ -152,3 +153,351 @@ def campaign_mart(i: LogicalInputs, limit: int | None = 1500) -> DataFrame:
 @register("campaign_items")
 def _q16(i: LogicalInputs) -> DataFrame:
     return campaign_mart(i)
+
+
+# ----------------------------------------------------------------------------- post-mart operators
+from sellerlens.functions.calendar import quick_period, resolve_period  # noqa: E402
+from sellerlens.operators import measures as M  # noqa: E402
+from sellerlens.operators import reports as R  # noqa: E402
+from sellerlens.operators.scopes import seller_label, seller_scopes  # noqa: E402
+
+MONTH = resolve_period(AS_OF, "month")
+
+
+class Marts:
+    """The marts a report needs, built lazily from one set of logical inputs."""
+
+    def __init__(self, i: LogicalInputs):
+        self.i = i
+        self.portfolio = i.portfolio
+        self.bridge = seller_scopes(self.portfolio)
+
+    @property
+    def q01(self):
+        return marts.sales_monthly(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q02(self):
+        return marts.sales_daily(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q03(self):
+        return marts.logistics_daily(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q04(self):
+        return marts.ads_daily_mart(self.i.ads_daily, AS_OF, self.portfolio)
+
+    @property
+    def q05(self):
+        return marts.investments_daily(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q06(self):
+        return marts.logistics_monthly(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q07(self):
+        return marts.ads_monthly_mart(self.i.ads_daily, AS_OF, self.portfolio)
+
+    @property
+    def q08(self):
+        return marts.investments_monthly(self.i.sales, AS_OF, self.portfolio)
+
+    @property
+    def q10(self):
+        return marts.top_items(self.i.sales, AS_OF, self.portfolio, k=20, titles=self.i.item_titles)
+
+    @property
+    def q11(self):
+        return marts.seller_reputation(self.i.reputation, self.portfolio)
+
+    @property
+    def q12(self):
+        return marts.visits_monthly(self.i.visits, AS_OF, self.portfolio)
+
+    @property
+    def q13(self):
+        return marts.visits_daily(self.i.visits, AS_OF, self.portfolio)
+
+    @property
+    def q14(self):
+        return marts.top_items_by_visits(self.i.visits, AS_OF, self.portfolio, k=50)
+
+    @property
+    def q15(self):
+        return price_mart(self.i)
+
+    @property
+    def q16(self):
+        return campaign_mart(self.i)
+
+
+def report(name: str):
+    def deco(fn: Callable[[Marts], DataFrame]):
+        register(name)(lambda i: fn(Marts(i)))
+        REGISTRY[name].__doc__ = fn.__doc__
+        return fn
+
+    return deco
+
+
+@report("seller_scopes")
+def _p01(m: Marts) -> DataFrame:
+    return m.bridge
+
+
+@report("seller_labels")
+def _p02(m: Marts) -> DataFrame:
+    return seller_label(m.q01.select("seller_id").distinct(), m.portfolio)
+
+
+@report("months_rollup")
+def _p05(m: Marts) -> DataFrame:
+    return M.rollup_months(m.q01, ["gmv", "si"], m.bridge)
+
+
+@report("months_rollup_current_year")
+def _p06(m: Marts) -> DataFrame:
+    return M.rollup_months_current_year(m.q01, ["gmv", "si"], m.bridge, AS_OF)
+
+
+@report("sum_months_quarter")
+def _p07(m: Marts) -> DataFrame:
+    return M.sum_months(m.q01, ["gmv", "si"], resolve_period(AS_OF, "quarter").curr_months, m.bridge)
+
+
+@report("sum_daily_range_week")
+def _p08(m: Marts) -> DataFrame:
+    return M.sum_daily_range(m.q02, ["gmv", "si"], *resolve_period(AS_OF, "week").curr_range, m.bridge)
+
+
+@report("rollup_sellers_month")
+def _p09(m: Marts) -> DataFrame:
+    return M.rollup_sellers(m.q01, ["gmv", "si"], m.bridge, MONTH)
+
+
+@report("daily_series_month")
+def _p10(m: Marts) -> DataFrame:
+    return M.daily_series(m.q02, "gmv", *MONTH.chart_range, m.bridge)
+
+
+@report("daily_series_multi_day")
+def _p11(m: Marts) -> DataFrame:
+    return M.daily_series_multi(m.q02, ["gmv", "si"], *resolve_period(AS_OF, "day").chart_range, m.bridge)
+
+
+@report("monthly_series_year")
+def _p12(m: Marts) -> DataFrame:
+    return M.monthly_series(m.q01, ["gmv", "si"], resolve_period(AS_OF, "year").curr_months, m.bridge)
+
+
+@report("chart_window_series_month")
+def _p13m(m: Marts) -> DataFrame:
+    return M.chart_window_series(m.q01, m.q02, "gmv", MONTH, m.bridge, AS_OF)
+
+
+@report("chart_window_series_year")
+def _p13y(m: Marts) -> DataFrame:
+    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "year"), m.bridge, AS_OF)
+
+
+@report("chart_window_series_week")
+def _p13w(m: Marts) -> DataFrame:
+    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "week"), m.bridge, AS_OF)
+
+
+
+
+def _kpi_period(mode: str):
+    if mode == "custom":
+        return resolve_period(AS_OF, "custom", CUSTOM_START, CUSTOM_END)
+    if mode == "last_month":
+        return quick_period(AS_OF, "last-month")
+    return resolve_period(AS_OF, mode)
+
+
+for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month"):
+    def _make(mode=_mode):
+        def kpi(m: Marts) -> DataFrame:
+            return M.kpi_delta(m.q01, m.q02, ["gmv", "si"], _kpi_period(mode), m.bridge)
+
+        kpi.__doc__ = f"P14 (with P03/P04): gmv and units with deltas, {mode} period."
+        report(f"sales_kpi_{mode}")(kpi)
+
+    _make()
+
+
+@report("asp_kpi_month")
+def _p15m(m: Marts) -> DataFrame:
+    return M.asp_kpi(m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("asp_kpi_week")
+def _p15w(m: Marts) -> DataFrame:
+    return M.asp_kpi(m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
+
+
+@report("asp_series_month")
+def _p16m(m: Marts) -> DataFrame:
+    return M.asp_series(m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("asp_series_quarter")
+def _p16q(m: Marts) -> DataFrame:
+    return M.asp_series(m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
+
+
+@report("growth_series")
+def _p17(m: Marts) -> DataFrame:
+    return M.growth_series(m.q01, m.bridge)
+
+
+@report("seller_sales_table")
+def _p18(m: Marts) -> DataFrame:
+    return R.seller_sales_table(m.q01, m.q02, MONTH, m.bridge, m.portfolio)
+
+
+@report("seller_sales_table_week")
+def _p18w(m: Marts) -> DataFrame:
+    return R.seller_sales_table(m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge, m.portfolio)
+
+
+@report("logistics_mix")
+def _p19(m: Marts) -> DataFrame:
+    return R.logistics_mix(m.q06, m.q03, MONTH, m.bridge)
+
+
+@report("logistics_series")
+def _p20(m: Marts) -> DataFrame:
+    return R.logistics_series(m.q06, m.q03, MONTH, m.bridge)
+
+
+@report("logistics_series_quarter")
+def _p20q(m: Marts) -> DataFrame:
+    return R.logistics_series(m.q06, m.q03, resolve_period(AS_OF, "quarter"), m.bridge)
+
+
+@report("logistics_seller_table")
+def _p21(m: Marts) -> DataFrame:
+    return R.logistics_seller_table(m.q06, m.q03, MONTH, m.bridge)
+
+
+@report("ads_ratios")
+def _p22(m: Marts) -> DataFrame:
+    return R.ads_ratios(m.q07, m.q01, MONTH.curr_months, m.bridge)
+
+
+@report("ads_kpi")
+def _p23(m: Marts) -> DataFrame:
+    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("ads_kpi_quarter")
+def _p23q(m: Marts) -> DataFrame:
+    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
+
+
+@report("ads_series")
+def _p24(m: Marts) -> DataFrame:
+    return R.ads_series(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("take_rate_series")
+def _p25(m: Marts) -> DataFrame:
+    return R.take_rate_series(m.q07, m.q01, m.bridge)
+
+
+@report("ads_seller_table")
+def _p26(m: Marts) -> DataFrame:
+    return R.ads_seller_table(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("investment_totals")
+def _p27(m: Marts) -> DataFrame:
+    return R.investment_totals(m.q08, m.q05, MONTH, m.bridge)
+
+
+@report("investment_mix")
+def _p28(m: Marts) -> DataFrame:
+    return R.investment_mix(m.q08, m.q05, MONTH, m.bridge)
+
+
+@report("investment_series")
+def _p29(m: Marts) -> DataFrame:
+    return R.investment_series(m.q08, m.q05, MONTH, m.bridge)
+
+
+@report("investment_seller_table")
+def _p30(m: Marts) -> DataFrame:
+    return R.investment_seller_table(m.q08, m.q05, m.q02, MONTH, m.bridge)
+
+
+@report("catalog_table")
+def _p31(m: Marts) -> DataFrame:
+    return R.catalog_table(m.q10, m.bridge)
+
+
+@report("scorecard")
+def _p32(m: Marts) -> DataFrame:
+    return R.scorecard(m.q01, m.q02, m.q11, m.portfolio, AS_OF)
+
+
+@report("reputation_table")
+def _p33(m: Marts) -> DataFrame:
+    return R.reputation_table(m.q11)
+
+
+@report("visit_kpi")
+def _p34(m: Marts) -> DataFrame:
+    return R.visit_kpi(m.q12, m.q13, m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("conversion_series")
+def _p35(m: Marts) -> DataFrame:
+    return R.conversion_series(m.q12, m.q13, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
+
+
+@report("visits_seller_table")
+def _p36(m: Marts) -> DataFrame:
+    return R.visits_seller_table(m.q12, m.q13, m.q01, m.q02, MONTH, m.bridge)
+
+
+@report("visited_items_table")
+def _p37(m: Marts) -> DataFrame:
+    return R.visited_items_table(m.q14, m.q10, m.bridge, k=50)
+
+
+@report("campaign_seller_summary")
+def _p38(m: Marts) -> DataFrame:
+    return R.campaign_seller_summary(m.q16, m.bridge)
+
+
+@report("campaign_item_table")
+def _p39(m: Marts) -> DataFrame:
+    return R.campaign_item_table(m.q16, m.bridge, k=500)
+
+
+@report("price_kpi")
+def _p40(m: Marts) -> DataFrame:
+    return R.price_kpi(m.q15, m.bridge)
+
+
+@report("price_seller_table")
+def _p41(m: Marts) -> DataFrame:
+    return R.price_seller_table(m.q15, m.bridge)
+
+
+@report("price_item_table")
+def _p42(m: Marts) -> DataFrame:
+    return R.price_item_table(m.q15, m.bridge, k=200)
+
+
+@report("qualification_table")
+def _p43(m: Marts) -> DataFrame:
+    return R.qualification_table(m.q15, m.bridge)
+
+
+@report("qualification_item_table")
+def _p44(m: Marts) -> DataFrame:
+    return R.price_item_table(m.q15, m.bridge, k=300)

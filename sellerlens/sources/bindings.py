@@ -244,8 +244,11 @@ class LogicalInputs:
 
     def __init__(self, tables: SourceTables):
         self.tables = tables
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BINDINGS:
-            return BINDINGS[name](self.tables)
+            if name not in self._frames:
+                self._frames[name] = BINDINGS[name](self.tables)
+            return self._frames[name]
         raise AttributeError(name)
