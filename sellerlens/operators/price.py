@@ -94,7 +94,8 @@ def audit_latest(audit: DataFrame, audit_as_of: dt.datetime | dt.date, portfolio
     require(audit, ["arrival_ts", "value"], "price_audit")
     as_of_day = audit_as_of.date() if isinstance(audit_as_of, dt.datetime) else audit_as_of
     start = dt.datetime.combine(as_of_day - dt.timedelta(days=days), dt.time())
-    flat = audit.where(F.col("arrival_ts") >= F.lit(start).cast("timestamp_ntz")).select(
+    since = F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")  # zone-independent literal
+    flat = audit.where(F.col("arrival_ts") >= since).select(
         "arrival_ts", "event_id",
         F.col("value.seller_id").alias("seller_id"), F.col("value.item_id").alias("audit_item_id"),
         F.col("value.item_price").alias("a_our_price"), F.col("value.target_price").alias("a_target_price"),

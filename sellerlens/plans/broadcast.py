@@ -20,14 +20,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 1_000_000
+MAX_ROWS_CONF = "spark.sellerlens.broadcast.maxRows"
 _MEMO = "_sellerlens_small"
 
 
+def max_rows_for(df: DataFrame) -> int:
+    """The row bound: session setting `spark.sellerlens.broadcast.maxRows`, else 1,000,000."""
+    try:
+        return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
+    except Exception:  # noqa: BLE001 - a missing/odd setting falls back to the default
+        return DEFAULT_MAX_ROWS
+
+
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    max_rows = max_rows or max_rows_for(df)
     memo = getattr(df, _MEMO, None)
     if memo is None:
         memo = {}
@@ -40,10 +50,10 @@ def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
     return memo[max_rows]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def broadcast_if_bounded(df: DataFrame, bound: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, bound: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast `df` when `bound` (a frame with at least as many rows) is small."""
     return F.broadcast(df) if is_small(bound, max_rows) else df
