@@ -213,7 +213,7 @@ def top_items(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = No
         F.round("_gmv", 2).alias("gmv"), "si",
         rounded_money_ratio("_gmv", "si").alias("asp"),
         F.round("_gmv_bb", 2).alias("gmv_bb"),
-        F.col("_rn").alias("rank"),
+        F.col("_rn").cast("bigint").alias("rank"),
     )
 
 
@@ -260,7 +260,7 @@ def top_items_by_visits(visits: DataFrame, as_of: dt.date, portfolio: DataFrame
     w = Window.partitionBy("seller_id").orderBy(F.col("_rank_metric").desc(), F.col("item_id").asc())
     return (
         agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        .select("seller_id", "item_id", "visits", "visits_vip", "rank")
+        .select("seller_id", "item_id", "visits", "visits_vip", F.col("rank").cast("bigint").alias("rank"))
     )
 
 

@@ -129,26 +129,56 @@ def _take_rate(spend: str, prev_gmv: str) -> Column:
     return F.when(F.col(prev_gmv) != 0, F.col(spend).cast("double") / F.col(prev_gmv).cast("double") * 100.0)
 
 
+def ads_role_metrics(ads_monthly: DataFrame, sales_monthly: DataFrame, roles: dict[str, list | tuple],
+                     bridge: DataFrame) -> DataFrame:
+    """Ads sums and ratios for several month sets (roles) in one pass over each mart.
+
+    Both marts are rolled up once per (scope, month); the previous *present*
+    ads month (and its sales gmv) comes from a `lag` over each scope's ads
+    months (at most a few dozen rows per scope); every role is then a set of
+    conditional sums in one aggregation. Output per role r: ads_invest_r,
+    gmv_ads_r, gmv_r, roas_r, acos_r, ads_share_r, take_rate_r.
+    """
+    ads = M.rollup_months(ads_monthly, ["ads_invest", "gmv_ads"], bridge)
+    gmv = M.rollup_months(sales_monthly, ["gmv"], bridge)
+    ads = ads.withColumn("prev_month", F.lag("month").over(Window.partitionBy("scope").orderBy("month")))
+    ads = ads.join(gmv.select("scope", F.col("month").alias("prev_month"), F.col("gmv").alias("prev_gmv")),
+                   ["scope", "prev_month"], "left")
+    a_aggs, g_aggs = [], []
+    for role, months in roles.items():
+        months = list(months or ())
+        in_m = F.col("month").isin(months) if months else F.lit(False)
+        a_aggs += [F.sum(F.when(in_m, F.col("ads_invest")).otherwise(F.lit(0))).alias(f"_inv_{role}"),
+                   F.sum(F.when(in_m, F.col("gmv_ads")).otherwise(F.lit(0))).alias(f"_gads_{role}")]
+        last = F.col("month") == F.lit(months[-1]) if months else F.lit(False)
+        a_aggs.append(F.max(F.when(last, F.col("prev_gmv"))).alias(f"_pg_{role}"))
+        g_aggs.append(F.sum(F.when(in_m, F.col("gmv")).otherwise(F.lit(0))).alias(f"_gmv_{role}"))
+    t = M.scope_list(bridge).join(ads.groupBy("scope").agg(*a_aggs), "scope", "left").join(
+        gmv.groupBy("scope").agg(*g_aggs), "scope", "left")
+    out = [F.col("scope")]
+    for role in roles:
+        inv, gads, gm = (F.coalesce(F.col(f"_{c}_{role}"), F.lit(0)) for c in ("inv", "gads", "gmv"))
+        out += [
+            inv.alias(f"ads_invest_{role}"), gads.alias(f"gmv_ads_{role}"), gm.alias(f"gmv_{role}"),
+            ratio_or_zero(gads, inv).alias(f"roas_{role}"),
+            pct_or_zero(inv, gads).alias(f"acos_{role}"),
+            pct_or_zero(gads, gm).alias(f"ads_share_{role}"),
+            F.when(F.col(f"_pg_{role}") != 0,
+                   inv.cast("double") / F.col(f"_pg_{role}").cast("double") * 100.0).alias(f"take_rate_{role}"),
+        ]
+    return t.select(*out)
+
+
+ADS_RATIO_COLUMNS = ("ads_invest", "gmv_ads", "gmv", "roas", "acos", "ads_share", "take_rate")
+
+
 def ads_ratios(ads_monthly: DataFrame, sales_monthly: DataFrame, months: list[dt.date] | tuple,
                bridge: DataFrame) -> DataFrame:
     """ROAS, ACOS %, ads share of gmv % (0 when undefined) and take rate %
     (spend over the gmv of the previous present ads month; NULL without one).
     """
-    months = list(months or ())
-    ads = M.sum_months(ads_monthly, ["ads_invest", "gmv_ads"], months, bridge)
-    gmv = M.sum_months(sales_monthly, ["gmv"], months, bridge)
-    prev = previous_present_month(ads_monthly, bridge, months[-1] if months else None)
-    prev_gmv = M.scoped(sales_monthly.select("seller_id", "month", "gmv"), bridge).groupBy("scope", "month").agg(
-        F.sum("gmv").alias("_pg")
-    ).withColumnRenamed("month", "prev_month")
-    t = ads.join(gmv, "scope").join(prev, "scope").join(prev_gmv, ["scope", "prev_month"], "left")
-    return t.select(
-        "scope", "ads_invest", "gmv_ads", "gmv",
-        ratio_or_zero("gmv_ads", "ads_invest").alias("roas"),
-        pct_or_zero("ads_invest", "gmv_ads").alias("acos"),
-        pct_or_zero("gmv_ads", "gmv").alias("ads_share"),
-        _take_rate("ads_invest", "_pg").alias("take_rate"),
-    )
+    t = ads_role_metrics(ads_monthly, sales_monthly, {"c": months}, bridge)
+    return t.select("scope", *[F.col(f"{c}_c").alias(c) for c in ADS_RATIO_COLUMNS])
 
 
 def _daily_ads_ratios(ads_daily: DataFrame, sales_daily: DataFrame, rng: tuple, bridge: DataFrame) -> DataFrame:
@@ -167,6 +197,14 @@ RATIO_METRICS = ("roas", "acos", "ads_share", "take_rate")
 LOWER_IS_BETTER = {"acos"}
 
 
+def _ratio_delta(m: str, role: str, has_role: bool) -> Column:
+    """Absolute difference to the comparison ratio; a NULL current value counts as 0."""
+    if not has_role:
+        return F.lit(None).cast("double").alias(f"{m}_{role}")
+    prior = F.col(f"{m}_{role}")
+    return F.when(prior.isNotNull(), F.coalesce(F.col(f"{m}_curr"), F.lit(0.0)) - prior).alias(f"{m}_{role}")
+
+
 def ads_kpi(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly: DataFrame, sales_daily: DataFrame,
             period: Period, bridge: DataFrame) -> DataFrame:
     """Spend and ads gmv with % deltas; ratios with absolute-difference deltas.
@@ -174,28 +212,26 @@ def ads_kpi(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly: DataFra
     A ratio delta exists only when the comparison ratio exists; a NULL current
     ratio counts as 0 in the difference. ACOS improves downwards (acos_better_down).
     """
-    k = M.kpi_delta(ads_monthly, ads_daily, ["ads_invest", "gmv_ads"], period, bridge)
     if period.daily:
+        k = M.kpi_delta(ads_monthly, ads_daily, ["ads_invest", "gmv_ads"], period, bridge)
         cur = _daily_ads_ratios(ads_daily, sales_daily, period.curr_range, bridge)
-        comps = {}
-    else:
-        cur = ads_ratios(ads_monthly, sales_monthly, period.curr_months, bridge)
-        comps = {}
-        if period.d1_months:
-            comps["d1"] = ads_ratios(ads_monthly, sales_monthly, period.d1_months, bridge)
-        if period.d2_months:
-            comps["d2"] = ads_ratios(ads_monthly, sales_monthly, period.d2_months, bridge)
-    t = k.join(cur.select("scope", *RATIO_METRICS), "scope")
-    for role, c in comps.items():
-        t = t.join(c.select("scope", *[F.col(m).alias(f"_{m}_{role}") for m in RATIO_METRICS]), "scope")
-    out = [F.col(c) for c in k.columns] + [F.col(m) for m in RATIO_METRICS]
-    for m in RATIO_METRICS:
-        for role in ("d1", "d2"):
-            if role in comps:
-                prior = F.col(f"_{m}_{role}")
-                out.append(F.when(prior.isNotNull(), F.coalesce(F.col(m), F.lit(0.0)) - prior).alias(f"{m}_{role}"))
-            else:
-                out.append(F.lit(None).cast("double").alias(f"{m}_{role}"))
+        t = k.join(cur.select("scope", *RATIO_METRICS), "scope")
+        nulls = [F.lit(None).cast("double").alias(f"{m}_{r}") for m in RATIO_METRICS for r in ("d1", "d2")]
+        return t.select(*k.columns, *RATIO_METRICS, *nulls, F.lit(True).alias("acos_better_down"))
+    roles = {"curr": period.curr_months}
+    if period.d1_months:
+        roles["d1"] = period.d1_months
+    if period.d2_months:
+        roles["d2"] = period.d2_months
+    t = ads_role_metrics(ads_monthly, sales_monthly, roles, bridge)
+    out = [F.col("scope")]
+    for f in ("ads_invest", "gmv_ads"):
+        out.append(F.col(f"{f}_curr").alias(f))
+        for r in ("d1", "d2"):
+            delta = pct_change(f"{f}_curr", f"{f}_{r}") if r in roles else F.lit(None).cast("double")
+            out.append(delta.alias(f"{f}_{r}"))
+    out += [F.col(f"{m}_curr").alias(m) for m in RATIO_METRICS]
+    out += [_ratio_delta(m, r, r in roles) for m in RATIO_METRICS for r in ("d1", "d2")]
     return t.select(*out, F.lit(True).alias("acos_better_down"))
 
 
@@ -466,7 +502,7 @@ def visited_items_table(top_visited: DataFrame, top_sold: DataFrame, bridge: Dat
     units = F.coalesce(F.col("si"), F.lit(0))
     return t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
                     "visits", units.alias("units"), pct_or_zero(units, "visits").alias("units_per_visit_pct"),
-                    "rank")
+                    F.col("rank").cast("bigint").alias("rank"))
 
 
 # ----------------------------------------------------------------------------- P38 / P39 campaigns
@@ -507,7 +543,7 @@ def campaign_item_table(campaigns: DataFrame, bridge: DataFrame, k: int = 500) -
         "scope", "seller_id", "type",
         F.coalesce(L.map_lookup("type", L.CAMPAIGN_TYPE_LABELS), F.col("type")).alias("type_label"),
         "item_id", "day", "eligible", "opt_in", "price_initial", "price_final",
-        disc.alias("discount_pct"), "gmv_l30d", "rank",
+        disc.alias("discount_pct"), "gmv_l30d", F.col("rank").cast("bigint").alias("rank"),
     )
 
 
@@ -548,7 +584,7 @@ def price_item_table(price: DataFrame, bridge: DataFrame, k: int = 200) -> DataF
     gap = F.when((ours != 0) & (rival != 0), (ours.cast("double") / rival.cast("double") - 1.0) * 100.0)
     return t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
                     "our_price", "rival_price_min", gap.alias("gap_pct"), "rival_name", "visits_match",
-                    "visits_exp3", "permalink", "rival_url", "rank")
+                    "visits_exp3", "permalink", "rival_url", F.col("rank").cast("bigint").alias("rank"))
 
 
 def qualification_table(price: DataFrame, bridge: DataFrame) -> DataFrame:

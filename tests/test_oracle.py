@@ -11,6 +11,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 
@@ -38,6 +41,9 @@ def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     cols = sorted(df.columns)
     srows = [tuple(r[c] for c in cols) for r in df.collect()]
+    rel = duck.sql(ORACLE[name])
+    stypes = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in df.schema.fields}
+    assert stypes == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = duck.execute(ORACLE[name])
     ocols = [d[0] for d in res.description]
     assert sorted(ocols) == cols
