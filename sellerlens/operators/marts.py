@@ -25,7 +25,7 @@ from sellerlens.functions.dates import (
 )
 from sellerlens.functions.labels import FF_TYPES, SS_TYPES, XD_TYPES
 from sellerlens.functions.ratios import rounded_money_ratio
-from sellerlens.operators.scopes import in_portfolio
+from sellerlens.operators.scopes import in_portfolio, keep_portfolio_sellers, split_portfolio
 from sellerlens.sources.bindings import DEAL_PRE_AGREED, HOME_SITE
 from sellerlens.sources.schemas import require
 
@@ -41,14 +41,19 @@ def _sum_if(cond: Column, value: Column | str) -> Column:
     return F.sum(F.when(cond, v).otherwise(F.lit(0)))
 
 
-def _countable_sales(sales: DataFrame, window: DayWindow, portfolio: DataFrame | None) -> DataFrame:
+def _countable_sales(sales: DataFrame, window: DayWindow,
+                     portfolio: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Countable lines in the window; returns (rows, portfolio still to apply after aggregation)."""
+    early, late = split_portfolio(portfolio)
     df = sales.where(F.col("gmv_flag") & window.predicate("closed_date"))
-    return in_portfolio(df, portfolio)
+    return in_portfolio(df, early), late
 
 
-def _site_rows(df: DataFrame, window: DayWindow, day_col: str, site: str, portfolio: DataFrame | None) -> DataFrame:
+def _site_rows(df: DataFrame, window: DayWindow, day_col: str, site: str,
+               portfolio: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    early, late = split_portfolio(portfolio)
     df = df.where((F.col("site") == F.lit(site)) & window.predicate(day_col))
-    return in_portfolio(df, portfolio)
+    return in_portfolio(df, early), late
 
 
 def _month(col: str) -> Column:
@@ -59,19 +64,19 @@ def _month(col: str) -> Column:
 def sales_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None) -> DataFrame:
     """Q01: month, seller_id, gmv, si, asp over [Jan 1 last year, as_of)."""
     require(sales, ["seller_id", "closed_date", "gmv", "units", "gmv_flag"], "sales")
-    df = _countable_sales(sales, two_year_window(as_of), portfolio)
+    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
     agg = df.groupBy(_month("closed_date"), "seller_id").agg(
         _sum2("gmv", "gmv"), F.sum("units").alias("si")
     )
-    return agg.withColumn("asp", rounded_money_ratio("gmv", "si"))
+    return keep_portfolio_sellers(agg, late).withColumn("asp", rounded_money_ratio("gmv", "si"))
 
 
 def sales_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 90) -> DataFrame:
     """Q02: day, seller_id, gmv, si over [as_of - 90, as_of)."""
-    df = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    return df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(
+    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
+    return keep_portfolio_sellers(df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(
         _sum2("gmv", "gmv"), F.sum("units").alias("si")
-    )
+    ), late)
 
 
 # --------------------------------------------------------------------------- Q03 / Q06
@@ -90,14 +95,16 @@ def _logistic_aggs(with_units: bool) -> list[Column]:
 def logistics_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 90) -> DataFrame:
     """Q03: gmv per logistic class per seller and day (plus units per class)."""
     require(sales, ["logistic_type"], "sales")
-    df = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    return df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_logistic_aggs(True))
+    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
+    agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_logistic_aggs(True))
+    return keep_portfolio_sellers(agg, late)
 
 
 def logistics_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None) -> DataFrame:
     """Q06: gmv and units per logistic class per seller and month."""
-    df = _countable_sales(sales, two_year_window(as_of), portfolio)
-    return df.groupBy(_month("closed_date"), "seller_id").agg(*_logistic_aggs(True))
+    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
+    agg = df.groupBy(_month("closed_date"), "seller_id").agg(*_logistic_aggs(True))
+    return keep_portfolio_sellers(agg, late)
 
 
 # --------------------------------------------------------------------------- Q04 / Q07
@@ -109,15 +116,15 @@ def ads_daily_mart(ads: DataFrame, as_of: dt.date, portfolio: DataFrame | None =
                    site: str = HOME_SITE, days: int = 90) -> DataFrame:
     """Q04: ads spend, attributed gmv, clicks per seller and day (home site)."""
     require(ads, ["seller_id", "day", "site", "cost", "attributed_gmv", "clicks"], "ads_daily")
-    df = _site_rows(ads, last_days_window(as_of, days), "day", site, portfolio)
-    return df.groupBy("day", "seller_id").agg(*_ads_aggs())
+    df, late = _site_rows(ads, last_days_window(as_of, days), "day", site, portfolio)
+    return keep_portfolio_sellers(df.groupBy("day", "seller_id").agg(*_ads_aggs()), late)
 
 
 def ads_monthly_mart(ads: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                      site: str = HOME_SITE) -> DataFrame:
     """Q07: as Q04 per month over the two-year window."""
-    df = _site_rows(ads, two_year_window(as_of), "day", site, portfolio)
-    return df.groupBy(_month("day"), "seller_id").agg(*_ads_aggs())
+    df, late = _site_rows(ads, two_year_window(as_of), "day", site, portfolio)
+    return keep_portfolio_sellers(df.groupBy(_month("day"), "seller_id").agg(*_ads_aggs()), late)
 
 
 # --------------------------------------------------------------------------- Q05 / Q08
@@ -149,17 +156,18 @@ def _investment_aggs(pre_agreed_code: str) -> list[Column]:
 def investments_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                       days: int = 90, pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
     """Q05: the seven promotional-investment sums per seller and day."""
-    df = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    return df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_investment_aggs(pre_agreed_code))
+    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
+    agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_investment_aggs(pre_agreed_code))
+    return keep_portfolio_sellers(agg, late)
 
 
 def investments_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                         pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
     """Q08: gmv and the seven investment sums per seller and month."""
-    df = _countable_sales(sales, two_year_window(as_of), portfolio)
-    return df.groupBy(_month("closed_date"), "seller_id").agg(
+    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
+    return keep_portfolio_sellers(df.groupBy(_month("closed_date"), "seller_id").agg(
         _sum2("gmv", "gmv"), *_investment_aggs(pre_agreed_code)
-    )
+    ), late)
 
 
 # --------------------------------------------------------------------------- Q09
@@ -172,19 +180,19 @@ def buybox_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None
     over many tasks - then per (month, seller) counting the order rows.
     """
     require(sales, ["order_id", "buybox_flag"], "sales")
-    df = _countable_sales(sales, two_year_window(as_of), portfolio)
+    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
     bb = F.col("buybox_flag")
     per_order = df.groupBy(_month("closed_date"), "seller_id", "order_id").agg(
         F.max(F.when(bb, F.lit(1)).otherwise(F.lit(0))).alias("_has_bb"),
         F.sum("gmv").alias("_gmv"),
         _sum_if(bb, "gmv").alias("_gmv_bb"),
     )
-    return per_order.groupBy("month", "seller_id").agg(
+    return keep_portfolio_sellers(per_order.groupBy("month", "seller_id").agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("_has_bb").cast("bigint").alias("orders_bb"),
         _sum2("_gmv", "gmv_total"),
         _sum2("_gmv_bb", "gmv_bb"),
-    )
+    ), late)
 
 
 # --------------------------------------------------------------------------- Q10
@@ -198,12 +206,12 @@ def top_items(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = No
     Titles come from `titles` after ranking (join on <= k rows per seller) or,
     without it, as MAX(item_title) of the lines.
     """
-    df = _countable_sales(sales, last_months_window(as_of, months), portfolio)
+    df, late = _countable_sales(sales, last_months_window(as_of, months), portfolio)
     bb = F.col("buybox_flag")
     aggs = [F.sum("gmv").alias("_gmv"), F.sum("units").alias("si"), _sum_if(bb, "gmv").alias("_gmv_bb")]
     if titles is None:
         aggs.insert(0, F.max("item_title").alias("title"))
-    agg = df.groupBy("seller_id", "item_id").agg(*aggs)
+    agg = keep_portfolio_sellers(df.groupBy("seller_id", "item_id").agg(*aggs), late)
     w = Window.partitionBy("seller_id").orderBy(F.col("_gmv").desc(), F.col("item_id").asc())
     top = agg.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     if titles is not None:
@@ -236,27 +244,28 @@ def visits_monthly(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | Non
                    site: str = HOME_SITE) -> DataFrame:
     """Q12: page views and VIP page views per seller and month."""
     require(visits, ["seller_id", "item_id", "day", "site", "pageviews", "pageviews_vip", "visits"], "visits")
-    df = _site_rows(visits, two_year_window(as_of), "day", site, portfolio)
-    return df.groupBy(_month("day"), "seller_id").agg(
+    df, late = _site_rows(visits, two_year_window(as_of), "day", site, portfolio)
+    return keep_portfolio_sellers(df.groupBy(_month("day"), "seller_id").agg(
         F.sum("pageviews").alias("visits"), F.sum("pageviews_vip").alias("visits_vip")
-    )
+    ), late)
 
 
 def visits_daily(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                  site: str = HOME_SITE, days: int = 90) -> DataFrame:
     """Q13: page views per seller and day."""
-    df = _site_rows(visits, last_days_window(as_of, days), "day", site, portfolio)
-    return df.groupBy("day", "seller_id").agg(F.sum("pageviews").alias("visits"))
+    df, late = _site_rows(visits, last_days_window(as_of, days), "day", site, portfolio)
+    agg = df.groupBy("day", "seller_id").agg(F.sum("pageviews").alias("visits"))
+    return keep_portfolio_sellers(agg, late)
 
 
 def top_items_by_visits(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, k: int = 50,
                         site: str = HOME_SITE, days: int = 90) -> DataFrame:
     """Q14: top-k items per seller, ranked by SUM(visits) but showing SUM(pageviews)."""
-    df = _site_rows(visits, last_days_window(as_of, days), "day", site, portfolio)
-    agg = df.groupBy("seller_id", "item_id").agg(
+    df, late = _site_rows(visits, last_days_window(as_of, days), "day", site, portfolio)
+    agg = keep_portfolio_sellers(df.groupBy("seller_id", "item_id").agg(
         F.sum("pageviews").alias("visits"), F.sum("pageviews_vip").alias("visits_vip"),
         F.sum("visits").alias("_rank_metric"),
-    )
+    ), late)
     w = Window.partitionBy("seller_id").orderBy(F.col("_rank_metric").desc(), F.col("item_id").asc())
     return (
         agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -277,7 +286,8 @@ def campaign_items(optin: DataFrame, eligible: DataFrame, as_of: dt.date, portfo
     """
     require(optin, ["promotion_id", "item_id", "seller_id", "type", "day", "site", "candidate_flag",
                     "offer_flag", "gmv_l30d"], "campaign_optin")
-    o = _site_rows(optin, since_window(as_of, days), "day", site, portfolio)
+    o, late = _site_rows(optin, since_window(as_of, days), "day", site, portfolio)
+    o = in_portfolio(o, late)  # row level: no aggregate to filter after
     if candidates_only:
         o = o.where(F.col("candidate_flag"))
     e = eligible.select(

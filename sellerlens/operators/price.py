@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sellerlens.functions.dates import since_window
 from sellerlens.functions.labels import COMPETITIVE, NON_COMPETITIVE, PRICE_TOLERANCE
-from sellerlens.operators.scopes import in_portfolio
+from sellerlens.operators.scopes import in_portfolio, keep_portfolio_sellers, split_portfolio
 from sellerlens.sources.bindings import HOME_SITE, MATCH_TYPE
 from sellerlens.sources.schemas import require
 
@@ -51,13 +51,14 @@ def last_day(obs: DataFrame, as_of: dt.date, days: int = 15, site: str = HOME_SI
 def exposure(obs: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 15,
              site: str = HOME_SITE, match_type: str = MATCH_TYPE) -> DataFrame:
     """(seller_id, catalog_id, visits_match, visits_exp3), positive exposure only."""
-    df = in_portfolio(_observations(obs, as_of, days, site, match_type), portfolio)
+    early, late = split_portfolio(portfolio)
+    df = in_portfolio(_observations(obs, as_of, days, site, match_type), early)
     agg = df.groupBy("seller_id", "catalog_id").agg(
         F.sum("visits_match").alias("_vm"),
         F.sum(F.when(_expensive(F.col("our_price"), F.col("rival_price")), F.col("visits_match"))
               .otherwise(F.lit(0))).alias("_ve"),
     )
-    return agg.where(F.col("_vm") > 0).select(
+    return keep_portfolio_sellers(agg, late).where(F.col("_vm") > 0).select(
         "seller_id", "catalog_id", F.round("_vm", 2).alias("visits_match"), F.round("_ve", 2).alias("visits_exp3")
     )
 
@@ -73,14 +74,14 @@ def items_last_day(obs: DataFrame, as_of: dt.date, portfolio: DataFrame | None =
     """
     base = _observations(obs, as_of, days, site, match_type)
     day = F.broadcast(last_day(obs, as_of, days, site, match_type))
-    df = in_portfolio(base, portfolio).join(day, F.col("day") == F.col("max_day")).drop("max_day")
+    early, late = split_portfolio(portfolio)
+    df = in_portfolio(base, early).join(day, F.col("day") == F.col("max_day")).drop("max_day")
     order = [F.col("rival_price").asc_nulls_first()] + [
         F.col(c).asc_nulls_first() for c in ITEM_COLUMNS if c != "rival_price"
     ] + [F.col("visits_match").asc_nulls_first()]
     w = Window.partitionBy("seller_id", "catalog_id", "item_id").orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).select(
-        "seller_id", "catalog_id", "item_id", *ITEM_COLUMNS
-    )
+    cheapest = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
+    return keep_portfolio_sellers(cheapest, late).select("seller_id", "catalog_id", "item_id", *ITEM_COLUMNS)
 
 
 def audit_latest(audit: DataFrame, audit_as_of: dt.datetime | dt.date, portfolio: DataFrame | None = None,
@@ -103,11 +104,13 @@ def audit_latest(audit: DataFrame, audit_as_of: dt.datetime | dt.date, portfolio
         F.col("value.permalink").alias("a_permalink"), F.col("value.is_offender").alias("is_offender"),
         F.col("value.qualification").alias("qualification"),
     )
-    flat = in_portfolio(flat, portfolio)
+    early, late = split_portfolio(portfolio)
+    flat = in_portfolio(flat, early)
     w = Window.partitionBy("audit_item_id", "seller_id").orderBy(
         F.col("arrival_ts").desc(), F.col("event_id").desc()
     )
-    return flat.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    newest = flat.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    return keep_portfolio_sellers(newest, late)
 
 
 def price_competitiveness(obs: DataFrame, audit: DataFrame, as_of: dt.date, audit_as_of: dt.datetime | dt.date,

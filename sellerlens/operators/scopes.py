@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sellerlens.functions.labels import ALL_SCOPE
-from sellerlens.plans.broadcast import is_small
+from sellerlens.plans.broadcast import is_small, mark_bounded_by
 from sellerlens.sources.schemas import require
 
 
@@ -36,7 +36,9 @@ def seller_scopes(portfolio: DataFrame) -> DataFrame:
     single = p.select(
         F.col("seller_id").cast("string").alias("scope"), F.lit("seller").alias("scope_kind"), "seller_id"
     )
-    return everyone.unionByName(groups).unionByName(single)
+    bridge = everyone.unionByName(groups).unionByName(single)
+    # at most three rows per portfolio seller: small when the portfolio is a third of the bound
+    return mark_bounded_by(bridge, portfolio, factor=3)
 
 
 def scope_ids(bridge: DataFrame, scope: str) -> DataFrame:
@@ -54,6 +56,33 @@ def in_portfolio(df: DataFrame, portfolio: DataFrame | None, key: str = "seller_
     return df.join(ids, key, "left_semi")
 
 
+def split_portfolio(portfolio: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Where to apply the portfolio: (before aggregation, after aggregation).
+
+    A portfolio proven small is semi-joined to the raw rows through a broadcast
+    (no shuffle, rows dropped as early as possible). A large one is applied to
+    the per-seller aggregates instead: a shuffled semi-join of raw rows would
+    send every line of a hot seller to one task, while after map-side partial
+    aggregation each seller contributes a handful of rows.
+    """
+    if portfolio is None:
+        return None, None
+    return (portfolio, None) if is_small(portfolio) else (None, portfolio)
+
+
+def keep_portfolio_sellers(agg: DataFrame, portfolio: DataFrame | None, key: str = "seller_id") -> DataFrame:
+    """Restrict per-seller aggregates to the portfolio (the 'after aggregation' side).
+
+    An inner join with the distinct portfolio ids: equivalent to a semi-join,
+    but Catalyst does not push it back below the aggregate (it would push a
+    LEFT SEMI join through the aggregate onto the raw rows).
+    """
+    if portfolio is None:
+        return agg
+    ids = portfolio.select(F.col("seller_id").alias(key)).distinct()
+    return agg.join(ids, key, "inner").select(*agg.columns)
+
+
 def with_scopes(per_seller: DataFrame, bridge: DataFrame) -> DataFrame:
     """Fan per-seller rows out to every scope containing the seller."""
     return per_seller.join(bridge.select("scope", "seller_id"), "seller_id")

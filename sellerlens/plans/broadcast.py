@@ -57,3 +57,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
 def broadcast_if_bounded(df: DataFrame, bound: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast `df` when `bound` (a frame with at least as many rows) is small."""
     return F.broadcast(df) if is_small(bound, max_rows) else df
+
+
+def mark_bounded_by(derived: DataFrame, source: DataFrame, factor: int) -> DataFrame:
+    """Record that `derived` has at most `factor` x the rows of `source`.
+
+    Its size check is then answered by checking `source` against max_rows / factor,
+    so no extra job runs for the derived frame.
+    """
+    max_rows = max_rows_for(source)
+    memo = {max_rows: is_small(source, max(1, max_rows // factor))}
+    try:
+        setattr(derived, _MEMO, memo)
+    except AttributeError:
+        pass
+    return derived

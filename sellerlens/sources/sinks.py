@@ -15,15 +15,15 @@ from pyspark.sql import types as T
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    cols = []
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
+            c = f"CAST({c} AS DOUBLE)"
         elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM") if f.name == "month" else c.cast("string")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"date_format({c}, 'yyyy-MM')" if f.name == "month" else f"CAST({c} AS STRING)"
+        exprs.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*exprs)
 
 
 def write_mart(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
