@@ -1,8 +1,10 @@
 """Broadcast only behind a size check.
 
 `is_small` runs one bounded action on a *dimension* frame (`limit(n + 1).count()`,
-which stops after n + 1 rows) and remembers the answer on that frame object,
-so a plan that joins the same dimension many times checks it once.
+which stops after n + 1 rows). The capped count is remembered for the session
+under the frame's semantic plan hash (confirmed with `sameSemantics`), so every
+query that joins the same dimension - however often it is re-read - checks it
+once, and one count answers every bound up to the cap.
 `broadcast_if_small` hints a broadcast only when the frame is proven to hold
 at most `max_rows` rows; beyond that the frame is returned as is and the join
 shuffles (AQE may still demote it to a broadcast from measured sizes).
@@ -36,6 +38,30 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+# session key -> semantic hash -> [(frame, cap, count capped at cap + 1)]
+_COUNTS: dict[str, dict[int, list[tuple[DataFrame, int, int]]]] = {}
+
+
+def _capped_count(df: DataFrame, cap: int) -> tuple[int, int]:
+    """(count capped at cap + 1, cap) for df, from the session memo when possible."""
+    from sellerlens.sources.tables import session_key
+
+    try:
+        h = df.semanticHash()
+    except Exception:  # noqa: BLE001 - frames without a comparable plan are counted each time
+        return df.limit(cap + 1).count(), cap
+    entries = _COUNTS.setdefault(session_key(df.sparkSession), {}).setdefault(h, [])
+    for i, (frame, c, n) in enumerate(entries):
+        if frame is df or frame.sameSemantics(df):
+            if n <= c or cap <= c:  # exact count known, or already known to exceed this cap
+                return n, c
+            del entries[i]
+            break
+    n = df.limit(cap + 1).count()
+    entries.append((df, cap, n))
+    return n, cap
+
+
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     max_rows = max_rows or max_rows_for(df)
     memo = getattr(df, _MEMO, None)
@@ -46,7 +72,8 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
         except AttributeError:
             pass
     if max_rows not in memo:
-        memo[max_rows] = row_count_at_most(df, max_rows)
+        n, cap = _capped_count(df, max(max_rows, max_rows_for(df)))
+        memo[max_rows] = n <= max_rows if n <= cap else False
     return memo[max_rows]
 
 

@@ -50,3 +50,31 @@ def test_no_slow_paths_in_any_query(spark, queries):
 def test_global_cut_is_take_ordered(spark, queries):
     text = formatted(queries["campaign_items"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in text
+
+
+def test_size_check_runs_once_per_dimension_per_session(spark):
+    from pyspark.sql import functions as F
+
+    from sellerlens.plans.broadcast import MAX_ROWS_CONF, is_small
+    from sellerlens.sources.tables import read_parquet
+
+    path = f"{SF_SMALL}/supplier.parquet"
+
+    def dim():
+        return read_parquet(spark, path).select(F.col("s_suppkey").alias("seller_id"), F.lit("x").alias("tag"))
+
+    st = spark.sparkContext.statusTracker()
+    assert is_small(dim())
+    before = set(st.getJobIdsForGroup(None))
+    # a fresh read of the same dimension: answered from the session memo, no job
+    assert is_small(dim())
+    assert is_small(dim(), 5) is False  # 10 sellers at sf0.001: one capped count answers smaller bounds too
+    assert set(st.getJobIdsForGroup(None)) == before
+    # a different frame is counted on its own
+    assert is_small(dim().where(F.col("seller_id") < 3), 5)
+    # a lowered session bound is honoured
+    spark.conf.set(MAX_ROWS_CONF, "3")
+    try:
+        assert is_small(dim()) is False
+    finally:
+        spark.conf.unset(MAX_ROWS_CONF)
