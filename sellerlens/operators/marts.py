@@ -60,51 +60,132 @@ def _month(col: str) -> Column:
     return F.trunc(F.col(col), "month").alias("month")
 
 
+# --------------------------------------------------------------------------- sales measures
+LOGISTIC_CLASSES = (("ff", FF_TYPES), ("xd", XD_TYPES), ("ss", SS_TYPES))
+INVESTMENT_COLUMNS = (
+    "g1_pre_agreed", "g1_dod", "g1_lightning", "g2_price_matching", "g2_smart", "g2_auto", "g3_coupons",
+)
+INVESTMENT_FAMILIES = {
+    "g1": ("g1_pre_agreed", "g1_dod", "g1_lightning"),
+    "g2": ("g2_price_matching", "g2_smart", "g2_auto"),
+    "g3": ("g3_coupons",),
+}
+SALES_MEASURES = (
+    "gmv", "si", *(f"{m}_{tag}" for tag, _ in LOGISTIC_CLASSES for m in ("gmv", "si")), *INVESTMENT_COLUMNS,
+)
+
+
+def sales_line_measures(pre_agreed_code: str = DEAL_PRE_AGREED) -> dict[str, Column]:
+    """Every additive measure of the sales marts, as an expression on one order line.
+
+    Q01-Q03 and Q05-Q08 are sums of these (money rounded once per mart row),
+    so they can be summed from the lines directly or from `seller_day`.
+    The investment rules are not exclusive: one line may count in up to
+    three deal columns. Coupons count where the seller flag is FALSE only
+    (a NULL flag takes the ELSE branch).
+    """
+    lt, gmv, units, zero = F.col("logistic_type"), F.col("gmv"), F.col("units"), F.lit(0)
+    deal = F.coalesce(F.col("deal_invest"), zero)
+    m = {"gmv": gmv, "si": units}
+    for tag, types in LOGISTIC_CLASSES:
+        m[f"gmv_{tag}"] = F.when(lt.isin(*types), gmv).otherwise(zero)
+        m[f"si_{tag}"] = F.when(lt.isin(*types), units).otherwise(zero)
+    m.update({
+        "g1_pre_agreed": F.when(F.col("deal_subtype") == F.lit(pre_agreed_code), deal).otherwise(zero),
+        "g1_dod": F.coalesce(F.col("dod_invest"), zero),
+        "g1_lightning": F.coalesce(F.col("lightning_invest"), zero),
+        "g2_price_matching": F.when(F.col("price_match_flag"), deal).otherwise(zero),
+        "g2_smart": F.when(F.col("smart_flag"), deal).otherwise(zero),
+        "g2_auto": F.coalesce(F.col("auto_invest"), zero),
+        "g3_coupons": F.when(~F.col("coupon_by_seller_flag"), F.coalesce(F.col("coupon_amount"), zero))
+        .otherwise(zero),
+    })
+    return m
+
+
+def _sales_cols(s: dict[str, Column]) -> list[Column]:
+    return [F.round(s["gmv"], 2).alias("gmv"), s["si"].alias("si")]
+
+
+def _logistic_cols(s: dict[str, Column]) -> list[Column]:
+    cols = [F.round(s["gmv"], 2).alias("gmv_total"), s["si"].alias("si_total")]
+    for tag, _ in LOGISTIC_CLASSES:
+        cols += [F.round(s[f"gmv_{tag}"], 2).alias(f"gmv_{tag}"), s[f"si_{tag}"].alias(f"si_{tag}")]
+    return cols
+
+
+def _investment_cols(s: dict[str, Column]) -> list[Column]:
+    return [F.round(s[c], 2).alias(c) for c in INVESTMENT_COLUMNS]
+
+
+def _gmv_investment_cols(s: dict[str, Column]) -> list[Column]:
+    return [F.round(s["gmv"], 2).alias("gmv"), *_investment_cols(s)]
+
+
+def _sales_mart(sales: DataFrame, window: DayWindow, portfolio: DataFrame | None, grain: str,
+                cols, pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
+    """Countable lines in the window summed per (day or month, seller)."""
+    df, late = _countable_sales(sales, window, portfolio)
+    sums = {n: F.sum(e) for n, e in sales_line_measures(pre_agreed_code).items()}
+    period = _month("closed_date") if grain == "month" else F.col("closed_date").alias("day")
+    return keep_portfolio_sellers(df.groupBy(period, "seller_id").agg(*cols(sums)), late)
+
+
+def seller_day(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
+               pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
+    """Shared daily mart: every sales measure per (day, seller) over the two-year window, unrounded.
+
+    The 90-day windows lie inside the two-year window, so one pass over the
+    lines serves all six additive sales marts (`sales_marts_from_days`).
+    """
+    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
+    m = sales_line_measures(pre_agreed_code)
+    agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*[F.sum(e).alias(n) for n, e in m.items()])
+    return keep_portfolio_sellers(agg, late)
+
+
+def sales_marts_from_days(days: DataFrame, as_of: dt.date, daily_days: int = 90) -> dict[str, DataFrame]:
+    """Q01, Q02, Q03, Q05, Q06, Q08 rolled up from `seller_day` rows (decimal sums stay exact)."""
+    sums = {n: F.sum(n) for n in SALES_MEASURES}
+
+    def roll(window: DayWindow, grain: str, cols) -> DataFrame:
+        period = _month("day") if grain == "month" else F.col("day")
+        return days.where(window.predicate("day")).groupBy(period, "seller_id").agg(*cols(sums))
+
+    two_years, recent = two_year_window(as_of), last_days_window(as_of, daily_days)
+    return {
+        "sales_monthly": roll(two_years, "month", _sales_cols).withColumn("asp", rounded_money_ratio("gmv", "si")),
+        "sales_daily": roll(recent, "day", _sales_cols),
+        "logistics_monthly": roll(two_years, "month", _logistic_cols),
+        "logistics_daily": roll(recent, "day", _logistic_cols),
+        "investments_monthly": roll(two_years, "month", _gmv_investment_cols),
+        "investments_daily": roll(recent, "day", _investment_cols),
+    }
+
+
 # --------------------------------------------------------------------------- Q01 / Q02
 def sales_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None) -> DataFrame:
     """Q01: month, seller_id, gmv, si, asp over [Jan 1 last year, as_of)."""
     require(sales, ["seller_id", "closed_date", "gmv", "units", "gmv_flag"], "sales")
-    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
-    agg = df.groupBy(_month("closed_date"), "seller_id").agg(
-        _sum2("gmv", "gmv"), F.sum("units").alias("si")
-    )
-    return keep_portfolio_sellers(agg, late).withColumn("asp", rounded_money_ratio("gmv", "si"))
+    agg = _sales_mart(sales, two_year_window(as_of), portfolio, "month", _sales_cols)
+    return agg.withColumn("asp", rounded_money_ratio("gmv", "si"))
 
 
 def sales_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 90) -> DataFrame:
     """Q02: day, seller_id, gmv, si over [as_of - 90, as_of)."""
-    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    return keep_portfolio_sellers(df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(
-        _sum2("gmv", "gmv"), F.sum("units").alias("si")
-    ), late)
+    return _sales_mart(sales, last_days_window(as_of, days), portfolio, "day", _sales_cols)
 
 
 # --------------------------------------------------------------------------- Q03 / Q06
-def _logistic_aggs(with_units: bool) -> list[Column]:
-    lt = F.col("logistic_type")
-    aggs = [_sum2("gmv", "gmv_total")]
-    if with_units:
-        aggs.append(F.sum("units").alias("si_total"))
-    for tag, types in (("ff", FF_TYPES), ("xd", XD_TYPES), ("ss", SS_TYPES)):
-        aggs.append(F.round(_sum_if(lt.isin(*types), "gmv"), 2).alias(f"gmv_{tag}"))
-        if with_units:
-            aggs.append(_sum_if(lt.isin(*types), "units").alias(f"si_{tag}"))
-    return aggs
-
-
 def logistics_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 90) -> DataFrame:
     """Q03: gmv per logistic class per seller and day (plus units per class)."""
     require(sales, ["logistic_type"], "sales")
-    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_logistic_aggs(True))
-    return keep_portfolio_sellers(agg, late)
+    return _sales_mart(sales, last_days_window(as_of, days), portfolio, "day", _logistic_cols)
 
 
 def logistics_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None) -> DataFrame:
     """Q06: gmv and units per logistic class per seller and month."""
-    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
-    agg = df.groupBy(_month("closed_date"), "seller_id").agg(*_logistic_aggs(True))
-    return keep_portfolio_sellers(agg, late)
+    return _sales_mart(sales, two_year_window(as_of), portfolio, "month", _logistic_cols)
 
 
 # --------------------------------------------------------------------------- Q04 / Q07
@@ -128,46 +209,16 @@ def ads_monthly_mart(ads: DataFrame, as_of: dt.date, portfolio: DataFrame | None
 
 
 # --------------------------------------------------------------------------- Q05 / Q08
-INVESTMENT_COLUMNS = (
-    "g1_pre_agreed", "g1_dod", "g1_lightning", "g2_price_matching", "g2_smart", "g2_auto", "g3_coupons",
-)
-INVESTMENT_FAMILIES = {
-    "g1": ("g1_pre_agreed", "g1_dod", "g1_lightning"),
-    "g2": ("g2_price_matching", "g2_smart", "g2_auto"),
-    "g3": ("g3_coupons",),
-}
-
-
-def _investment_aggs(pre_agreed_code: str) -> list[Column]:
-    deal = F.coalesce(F.col("deal_invest"), F.lit(0))
-    return [
-        F.round(_sum_if(F.col("deal_subtype") == F.lit(pre_agreed_code), deal), 2).alias("g1_pre_agreed"),
-        _sum2(F.coalesce(F.col("dod_invest"), F.lit(0)), "g1_dod"),
-        _sum2(F.coalesce(F.col("lightning_invest"), F.lit(0)), "g1_lightning"),
-        F.round(_sum_if(F.col("price_match_flag"), deal), 2).alias("g2_price_matching"),
-        F.round(_sum_if(F.col("smart_flag"), deal), 2).alias("g2_smart"),
-        _sum2(F.coalesce(F.col("auto_invest"), F.lit(0)), "g2_auto"),
-        # FALSE only: a NULL seller-coupon flag takes the ELSE branch
-        F.round(_sum_if(~F.col("coupon_by_seller_flag"), F.coalesce(F.col("coupon_amount"), F.lit(0))), 2)
-        .alias("g3_coupons"),
-    ]
-
-
 def investments_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                       days: int = 90, pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
     """Q05: the seven promotional-investment sums per seller and day."""
-    df, late = _countable_sales(sales, last_days_window(as_of, days), portfolio)
-    agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*_investment_aggs(pre_agreed_code))
-    return keep_portfolio_sellers(agg, late)
+    return _sales_mart(sales, last_days_window(as_of, days), portfolio, "day", _investment_cols, pre_agreed_code)
 
 
 def investments_monthly(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                         pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
     """Q08: gmv and the seven investment sums per seller and month."""
-    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
-    return keep_portfolio_sellers(df.groupBy(_month("closed_date"), "seller_id").agg(
-        _sum2("gmv", "gmv"), *_investment_aggs(pre_agreed_code)
-    ), late)
+    return _sales_mart(sales, two_year_window(as_of), portfolio, "month", _gmv_investment_cols, pre_agreed_code)
 
 
 # --------------------------------------------------------------------------- Q09

@@ -10,9 +10,11 @@ from sellerlens.plans.bundle import write_bundle
 from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS
 from tests.conftest import SF_SMALL
 
-PAIRS = {"sales_monthly": "sales_monthly", "buybox_monthly": "buybox_monthly", "top_items": "top_items",
-         "investments_daily": "investments_daily", "logistics_monthly": "logistics_monthly",
-         "campaign_items": "campaign_items", "price_competitiveness": "price_competitiveness"}
+# the six marts rolled up from seller_day, the two read from the line slice, and two others
+PAIRS = {name: name for name in (
+    "sales_monthly", "sales_daily", "logistics_monthly", "logistics_daily", "investments_monthly",
+    "investments_daily", "buybox_monthly", "top_items", "campaign_items", "price_competitiveness",
+)}
 
 
 @pytest.fixture(scope="module")
