@@ -1,4 +1,4 @@
-"""The daily refresh of the sales day mart as an incremental stream.
+"""The daily refresh of the additive sales marts as an incremental stream.
 
 The reference recomputes its marts from scratch once a day. Here new
 order-line files (logical `sales` schema) landing in a folder are folded in
@@ -6,14 +6,16 @@ with Structured Streaming, run as an available-now trigger (process what has
 arrived, then stop - a scheduled batch with exactly-once bookkeeping):
 
   readStream(parquet, schema) -> countable lines -> foreachBatch:
-      per-(day, seller) partial sums of the micro-batch, written to
-      <sink>/batch_id=<id> with overwrite (a retried batch replaces its own
-      output, so reprocessing after a lost executor or driver is idempotent)
+      per-(day, seller) partial sums of every sales measure in the
+      micro-batch, written to <sink>/batch_id=<id> with overwrite (a retried
+      batch replaces its own output, so reprocessing after a lost executor
+      or driver is idempotent)
 
 The streaming checkpoint (offsets, committed batches) lives under the shared
-`spark.checkpoint.dir`. `sales_daily_from_partials` is the read side: it sums
-the partials per (day, seller) and applies the as-of window, which gives the
-same rows as `marts.sales_daily` over the same order lines.
+`spark.checkpoint.dir`. The read side sums the partials per (day, seller),
+which gives `seller_day` rows - exact decimal sums, so the same values as one
+pass over all lines - and the six additive sales marts (Q01-Q03, Q05, Q06,
+Q08) roll up from them with `marts.sales_marts_from_days`.
 """
 
 from __future__ import annotations
@@ -24,19 +26,23 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sellerlens.functions.dates import last_days_window
+from sellerlens.functions.dates import two_year_window
+from sellerlens.operators.marts import SALES_MEASURES, sales_line_measures, sales_marts_from_days
+from sellerlens.operators.scopes import keep_portfolio_sellers
 from sellerlens.session import checkpoint_dir
+from sellerlens.sources.bindings import DEAL_PRE_AGREED
 from sellerlens.sources.schemas import SALES
 
 
-def _partials(batch: DataFrame) -> DataFrame:
+def _partials(batch: DataFrame, pre_agreed_code: str) -> DataFrame:
+    m = sales_line_measures(pre_agreed_code)
     return batch.where(F.col("gmv_flag")).groupBy(F.col("closed_date").alias("day"), "seller_id").agg(
-        F.sum("gmv").alias("gmv"), F.sum("units").alias("si")
+        *[F.sum(e).alias(n) for n, e in m.items()]
     )
 
 
-def refresh_sales_daily(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "sales_daily",
-                        max_files_per_trigger: int | None = None) -> None:
+def refresh_seller_day(spark: SparkSession, source_dir: str, sink_dir: str, name: str = "seller_day",
+                       max_files_per_trigger: int | None = None, pre_agreed_code: str = DEAL_PRE_AGREED) -> None:
     """Fold every order-line file that arrived since the last run into the partials."""
     reader = spark.readStream.schema(SALES)
     if max_files_per_trigger:
@@ -44,7 +50,8 @@ def refresh_sales_daily(spark: SparkSession, source_dir: str, sink_dir: str, nam
     stream = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        _partials(batch).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch_id={batch_id}"))
+        _partials(batch, pre_agreed_code).write.mode("overwrite").parquet(
+            os.path.join(sink_dir, f"batch_id={batch_id}"))
 
     query = (
         stream.writeStream.foreachBatch(write_batch)
@@ -55,9 +62,15 @@ def refresh_sales_daily(spark: SparkSession, source_dir: str, sink_dir: str, nam
     query.awaitTermination()
 
 
-def sales_daily_from_partials(spark: SparkSession, sink_dir: str, as_of: dt.date, days: int = 90) -> DataFrame:
-    """Q02 rows (day, seller_id, gmv, si) from the accumulated partial sums."""
-    parts = spark.read.parquet(sink_dir)
-    return parts.where(last_days_window(as_of, days).predicate("day")).groupBy("day", "seller_id").agg(
-        F.round(F.sum("gmv"), 2).alias("gmv"), F.sum("si").alias("si")
-    )
+def seller_day_from_partials(spark: SparkSession, sink_dir: str, as_of: dt.date,
+                             portfolio: DataFrame | None = None) -> DataFrame:
+    """`seller_day` rows over the two-year window from the accumulated partial sums."""
+    parts = spark.read.parquet(sink_dir).where(two_year_window(as_of).predicate("day"))
+    days = parts.groupBy("day", "seller_id").agg(*[F.sum(n).alias(n) for n in SALES_MEASURES])
+    return keep_portfolio_sellers(days, portfolio)
+
+
+def sales_marts_from_partials(spark: SparkSession, sink_dir: str, as_of: dt.date,
+                              portfolio: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Q01, Q02, Q03, Q05, Q06, Q08 from the accumulated partial sums."""
+    return sales_marts_from_days(seller_day_from_partials(spark, sink_dir, as_of, portfolio), as_of)

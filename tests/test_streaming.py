@@ -1,32 +1,48 @@
-"""Incremental refresh: two arrivals folded in equal the batch mart over all lines."""
+"""Incremental refresh: arrivals folded in give the same marts as one batch pass over all lines."""
 
 import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sellerlens.operators import marts
 from sellerlens.plans.params import AS_OF
 from sellerlens.sources.bindings import LogicalInputs
 from sellerlens.sources.tables import load_tables
-from sellerlens.streaming import refresh_sales_daily, sales_daily_from_partials
+from sellerlens.streaming import refresh_seller_day, sales_marts_from_partials
 from tests.conftest import SF_SMALL
 
+BATCH_MARTS = {
+    "sales_monthly": marts.sales_monthly, "sales_daily": marts.sales_daily,
+    "logistics_monthly": marts.logistics_monthly, "logistics_daily": marts.logistics_daily,
+    "investments_monthly": marts.investments_monthly, "investments_daily": marts.investments_daily,
+}
 
-def test_two_arrivals_match_batch_mart(spark):
+
+@pytest.fixture(scope="module")
+def streamed(spark):
     root = tempfile.mkdtemp(prefix="sellerlens-stream-")
     src, sink = os.path.join(root, "lines"), os.path.join(root, "partials")
-    sales = LogicalInputs(load_tables(spark, SF_SMALL)).sales
+    inputs = LogicalInputs(load_tables(spark, SF_SMALL))
+    sales = inputs.sales
     cut = dt.date(2001, 6, 1)
+    name = os.path.basename(root)
     sales.where(F.col("closed_date") < F.lit(cut)).write.parquet(os.path.join(src, "part1"))
-    refresh_sales_daily(spark, src + "/*", sink, name=os.path.basename(root))
+    refresh_seller_day(spark, src + "/*", sink, name=name)
     sales.where(F.col("closed_date") >= F.lit(cut)).write.parquet(os.path.join(src, "part2"))
-    refresh_sales_daily(spark, src + "/*", sink, name=os.path.basename(root))
+    refresh_seller_day(spark, src + "/*", sink, name=name)
     # a third run with nothing new adds nothing
-    refresh_sales_daily(spark, src + "/*", sink, name=os.path.basename(root))
+    refresh_seller_day(spark, src + "/*", sink, name=name)
+    return sales, inputs.portfolio, sales_marts_from_partials(spark, sink, AS_OF, inputs.portfolio)
+
 
-    got = sales_daily_from_partials(spark, sink, AS_OF)
-    want = marts.sales_daily(sales, AS_OF)
-    assert got.count() == want.count() > 0
-    assert got.exceptAll(want.select("day", "seller_id", "gmv", "si")).count() == 0
+@pytest.mark.parametrize("mart", sorted(BATCH_MARTS))
+def test_streamed_marts_match_batch_marts(streamed, mart):
+    sales, portfolio, got = streamed
+    want = BATCH_MARTS[mart](sales, AS_OF, portfolio)
+    g = got[mart]
+    assert sorted(g.columns) == sorted(want.columns)
+    assert g.count() == want.count() > 0
+    assert g.exceptAll(want.select(*g.columns)).count() == 0
