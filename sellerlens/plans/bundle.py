@@ -93,13 +93,50 @@ def build_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: d
     }
 
 
-def write_bundle(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
-                 fmt: str = "parquet", refreshed_at: dt.datetime | None = None, **kw) -> dict[str, str]:
-    """Write every mart under out_dir/<name> (`fmt` parquet, or json for S05)."""
+def write_typed_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
+                      typed_dir: str | None = None, **kw) -> dict[str, DataFrame]:
+    """Write every mart with its exact types (decimals, dates) under the shared checkpoint
+    folder and return the written tables: the input of the published bundle and of the reports."""
+    typed_dir = typed_dir or os.path.join(checkpoint_dir(spark), f"marts-{uuid.uuid4().hex}")
+    return {
+        name: write_checkpoint_table(spark, df, name, os.path.join(typed_dir, name))
+        for name, df in build_marts(spark, sf_dir, as_of, audit_as_of, **kw).items()
+    }
+
+
+def publish(typed: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
+            refreshed_at: dt.datetime | None = None) -> dict[str, str]:
+    """Write frames under out_dir/<name> at the output edge (S03 types, refresh stamp; `fmt` json for S05)."""
     refreshed_at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     paths = {}
-    for name, df in build_marts(spark, sf_dir, as_of, audit_as_of, **kw).items():
+    for name, df in typed.items():
         path = os.path.join(out_dir, name)
         with_refresh_stamp(normalize(df), refreshed_at).write.mode("overwrite").format(fmt).save(path)
         paths[name] = path
     return paths
+
+
+def write_bundle(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
+                 fmt: str = "parquet", refreshed_at: dt.datetime | None = None, **kw) -> dict[str, str]:
+    """Write every mart under out_dir/<name> (`fmt` parquet, or json for S05)."""
+    return publish(write_typed_marts(spark, sf_dir, as_of, audit_as_of, **kw), out_dir, fmt, refreshed_at)
+
+
+def build_reports(spark: SparkSession, sf_dir: str, typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every post-mart report (P01-P45) over the typed marts of one refresh.
+
+    The reports read only the written marts and the portfolio dimension, never
+    the facts, so their cost does not grow with the fact tables. The report
+    parameters (as-of, period modes) are those of the registered queries.
+    """
+    from sellerlens.plans.registry import BUNDLE_MARTS, REPORTS, Marts
+
+    i = LogicalInputs(load_tables(spark, sf_dir))
+    prebuilt = {q: typed[name] for q, name in BUNDLE_MARTS.items()}
+    return {name: fn(Marts(i, prebuilt)) for name, fn in REPORTS.items()}
+
+
+def write_reports(spark: SparkSession, sf_dir: str, typed: dict[str, DataFrame], out_dir: str,
+                  fmt: str = "parquet", refreshed_at: dt.datetime | None = None) -> dict[str, str]:
+    """Write every report under out_dir/<name>."""
+    return publish(build_reports(spark, sf_dir, typed), out_dir, fmt, refreshed_at)

@@ -164,77 +164,64 @@ from sellerlens.operators.scopes import seller_label, seller_scopes  # noqa: E40
 MONTH = resolve_period(AS_OF, "month")
 
 
-class Marts:
-    """The marts a report needs, built lazily from one set of logical inputs."""
-
-    def __init__(self, i: LogicalInputs):
-        self.i = i
-        self.portfolio = i.portfolio
-        self.bridge = seller_scopes(self.portfolio)
-
-    @property
-    def q01(self):
-        return marts.sales_monthly(self.i.sales, AS_OF, self.portfolio)
-
-    @property
-    def q02(self):
-        return marts.sales_daily(self.i.sales, AS_OF, self.portfolio)
+# mart attribute -> bundle mart name (plans/bundle.py)
+BUNDLE_MARTS = {
+    "q01": "sales_monthly", "q02": "sales_daily", "q03": "logistics_daily", "q04": "ads_daily",
+    "q05": "investments_daily", "q06": "logistics_monthly", "q07": "ads_monthly", "q08": "investments_monthly",
+    "q10": "top_items", "q11": "seller_reputation", "q12": "visits_monthly", "q13": "visits_daily",
+    "q14": "top_items_by_visits", "q15": "price_competitiveness", "q16": "campaign_items",
+}
 
-    @property
-    def q03(self):
-        return marts.logistics_daily(self.i.sales, AS_OF, self.portfolio)
 
-    @property
-    def q04(self):
-        return marts.ads_daily_mart(self.i.ads_daily, AS_OF, self.portfolio)
+class _Mart:
+    """A mart attribute: a prebuilt (written) frame when given, else built from the inputs."""
 
-    @property
-    def q05(self):
-        return marts.investments_daily(self.i.sales, AS_OF, self.portfolio)
+    def __init__(self, build: Callable[["Marts"], DataFrame]):
+        self.build = build
 
-    @property
-    def q06(self):
-        return marts.logistics_monthly(self.i.sales, AS_OF, self.portfolio)
+    def __set_name__(self, owner, name: str) -> None:
+        self.name = name
 
-    @property
-    def q07(self):
-        return marts.ads_monthly_mart(self.i.ads_daily, AS_OF, self.portfolio)
+    def __get__(self, m: "Marts", owner=None) -> DataFrame:
+        if m is None:
+            return self
+        return m.prebuilt[self.name] if self.name in m.prebuilt else self.build(m)
 
-    @property
-    def q08(self):
-        return marts.investments_monthly(self.i.sales, AS_OF, self.portfolio)
 
-    @property
-    def q10(self):
-        return marts.top_items(self.i.sales, AS_OF, self.portfolio, k=20, titles=self.i.item_titles)
-
-    @property
-    def q11(self):
-        return marts.seller_reputation(self.i.reputation, self.portfolio)
-
-    @property
-    def q12(self):
-        return marts.visits_monthly(self.i.visits, AS_OF, self.portfolio)
+class Marts:
+    """The marts a report needs: built lazily from one set of logical inputs, or
+    taken from `prebuilt` (typed marts written once by the daily refresh, keyed
+    q01..q16), so reports need not touch the facts at all."""
 
-    @property
-    def q13(self):
-        return marts.visits_daily(self.i.visits, AS_OF, self.portfolio)
+    def __init__(self, i: LogicalInputs, prebuilt: dict[str, DataFrame] | None = None):
+        self.i = i
+        self.prebuilt = prebuilt or {}
+        self.portfolio = i.portfolio
+        self.bridge = seller_scopes(self.portfolio)
 
-    @property
-    def q14(self):
-        return marts.top_items_by_visits(self.i.visits, AS_OF, self.portfolio, k=50)
+    q01 = _Mart(lambda m: marts.sales_monthly(m.i.sales, AS_OF, m.portfolio))
+    q02 = _Mart(lambda m: marts.sales_daily(m.i.sales, AS_OF, m.portfolio))
+    q03 = _Mart(lambda m: marts.logistics_daily(m.i.sales, AS_OF, m.portfolio))
+    q04 = _Mart(lambda m: marts.ads_daily_mart(m.i.ads_daily, AS_OF, m.portfolio))
+    q05 = _Mart(lambda m: marts.investments_daily(m.i.sales, AS_OF, m.portfolio))
+    q06 = _Mart(lambda m: marts.logistics_monthly(m.i.sales, AS_OF, m.portfolio))
+    q07 = _Mart(lambda m: marts.ads_monthly_mart(m.i.ads_daily, AS_OF, m.portfolio))
+    q08 = _Mart(lambda m: marts.investments_monthly(m.i.sales, AS_OF, m.portfolio))
+    q10 = _Mart(lambda m: marts.top_items(m.i.sales, AS_OF, m.portfolio, k=20, titles=m.i.item_titles))
+    q11 = _Mart(lambda m: marts.seller_reputation(m.i.reputation, m.portfolio))
+    q12 = _Mart(lambda m: marts.visits_monthly(m.i.visits, AS_OF, m.portfolio))
+    q13 = _Mart(lambda m: marts.visits_daily(m.i.visits, AS_OF, m.portfolio))
+    q14 = _Mart(lambda m: marts.top_items_by_visits(m.i.visits, AS_OF, m.portfolio, k=50))
+    q15 = _Mart(lambda m: price_mart(m.i))
+    q16 = _Mart(lambda m: campaign_mart(m.i))
 
-    @property
-    def q15(self):
-        return price_mart(self.i)
 
-    @property
-    def q16(self):
-        return campaign_mart(self.i)
+REPORTS: dict[str, Callable[[Marts], DataFrame]] = {}
 
 
 def report(name: str):
     def deco(fn: Callable[[Marts], DataFrame]):
+        REPORTS[name] = fn
         register(name)(lambda i: fn(Marts(i)))
         REGISTRY[name].__doc__ = fn.__doc__
         return fn

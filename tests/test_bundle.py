@@ -36,3 +36,34 @@ def test_bundle_mart_equals_query(spark, bundle, mart):
 def test_json_bundle(spark, tmp_path):
     paths = write_bundle(spark, SF_SMALL, str(tmp_path / "j"), AS_OF, AUDIT_AS_OF, fmt="json")
     assert spark.read.json(paths["sellers"]).count() > 0
+
+
+@pytest.fixture(scope="module")
+def reports_from_bundle(spark):
+    from sellerlens.plans.bundle import build_reports, write_typed_marts
+
+    typed = write_typed_marts(spark, SF_SMALL, AS_OF, AUDIT_AS_OF, audit_days=AUDIT_DAYS,
+                              campaign_days=CAMPAIGN_DAYS)
+    return build_reports(spark, SF_SMALL, typed)
+
+
+def test_reports_from_written_marts_equal_queries(spark, reports_from_bundle):
+    from sellerlens.sources.sinks import normalize
+
+    assert len(reports_from_bundle) >= 45
+    for name, df in reports_from_bundle.items():
+        got = normalize(df)
+        want = entry.queries()[name](spark, SF_SMALL)
+        assert sorted(got.columns) == sorted(want.columns), name
+        want = want.select(*got.columns)
+        assert got.count() == want.count(), name
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, name
+
+
+def test_reports_from_written_marts_do_not_scan_facts(reports_from_bundle):
+    from tests.test_plans import formatted
+
+    for name, df in reports_from_bundle.items():
+        text = formatted(df)
+        for fact in ("lineitem.parquet", "orders.parquet", "events.parquet"):
+            assert fact not in text, f"{name} scans {fact}"
