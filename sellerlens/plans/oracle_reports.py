@@ -244,6 +244,8 @@ SELECT s.scope, m.day, SUM({z('m.gmv')}) AS gmv FROM {scoped('q02')}
 WHERE {in_role('week', 'curr')} GROUP BY s.scope, m.day""", ("q02", "scopes", "pd_week"))
 SQL["chart_window_series_week"] = with_ctes(["ds_wk"], """
 SELECT scope, CAST(day AS VARCHAR) AS label, CAST(gmv AS DOUBLE) AS value FROM ds_wk""")
+SQL["chart_window_series_quarter"] = with_ctes([monthly_series_cte("cws_q", "q01", ["gmv"], "pm_quarter_c")], """
+SELECT scope, strftime(month, '%Y-%m') AS label, CAST(gmv AS DOUBLE) AS value FROM cws_q""")
 
 # ----------------------------------------------------------------------------- P14 / P15 / P16 / P17
 for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month"):
@@ -300,15 +302,24 @@ SQL["seller_sales_table"] = seller_sales_sql("month")
 SQL["seller_sales_table_week"] = seller_sales_sql("week")
 
 # ----------------------------------------------------------------------------- P19-P21 logistics
-_lm = sums_cte("sums_logi_month", "q06", [f for f, _ in LOGI_F], "month")
 _tot = "(CASE WHEN z_total <> 0 THEN z_total ELSE 1 END)"
-SQL["logistics_mix"] = with_ctes([_lm, "scope_list"], f"""
+
+
+def logistics_mix_sql(mode: str) -> str:
+    """P19 for a period mode; daily modes sum the daily logistics mart (q03)."""
+    lm = sums_cte(f"sums_logi_{mode}", "q03" if mode in DAILY_ROLES else "q06", [f for f, _ in LOGI_F], mode)
+    prior = {r: z(f"a.gmv_ff_{r}") if r in roles_of(mode) else "NULL" for r in ("d1", "d2")}
+    return with_ctes([lm, "scope_list"], f"""
 SELECT scope, {pct('z_ff', _tot)} AS ff_pct, {pct('z_xd', _tot)} AS xd_pct, {pct('z_ss', _tot)} AS ss_pct,
        CAST(z_ff AS DOUBLE) AS gmv_ff, {chg('z_ff', 'z_ff1')} AS gmv_ff_d1, {chg('z_ff', 'z_ff2')} AS gmv_ff_d2
 FROM (SELECT sl.scope, {z('a.gmv_total_curr')} AS z_total, {z('a.gmv_ff_curr')} AS z_ff,
              {z('a.gmv_xd_curr')} AS z_xd, {z('a.gmv_ss_curr')} AS z_ss,
-             {z('a.gmv_ff_d1')} AS z_ff1, {z('a.gmv_ff_d2')} AS z_ff2
-      FROM scope_list sl LEFT JOIN {_lm} a ON sl.scope = a.scope)""")
+             {prior['d1']} AS z_ff1, {prior['d2']} AS z_ff2
+      FROM scope_list sl LEFT JOIN {lm} a ON sl.scope = a.scope)""")
+
+
+SQL["logistics_mix"] = logistics_mix_sql("month")
+SQL["logistics_mix_week"] = logistics_mix_sql("week")
 
 _LOGI_SER = ["gmv_total", "gmv_ff", "gmv_xd", "gmv_ss", "si_ff", "si_xd", "si_ss"]
 
@@ -424,6 +435,10 @@ _it = period_sum_cte("inv_tot", "q08", INV_COLS, "month")
 cte("inv_fam", f"SELECT scope, {G1} AS g1, {G2} AS g2, {G3} AS g3 FROM inv_tot", (_it,))
 SQL["investment_totals"] = with_ctes(["inv_fam"], f"""
 SELECT scope, {money('g1')}, {money('g2')}, {money('g3')}, CAST(g1 + g2 + g3 AS DOUBLE) AS total FROM inv_fam""")
+_itw = period_sum_cte("inv_tot_week", "q05", INV_COLS, "week")
+SQL["investment_totals_week"] = with_ctes([_itw], f"""
+SELECT scope, {money('g1')}, {money('g2')}, {money('g3')}, CAST(g1 + g2 + g3 AS DOUBLE) AS total
+FROM (SELECT scope, {G1} AS g1, {G2} AS g2, {G3} AS g3 FROM {_itw})""")
 SQL["investment_mix"] = with_ctes(["inv_fam"], """
 SELECT scope, 'g3' AS family, CAST(g3 AS DOUBLE) AS amount FROM inv_fam
 UNION ALL SELECT scope, 'g1', CAST(g1 AS DOUBLE) FROM inv_fam
@@ -483,12 +498,19 @@ LEFT JOIN (SELECT seller_id,
 LEFT JOIN q11 r ON p.seller_id = r.seller_id""")
 
 # ----------------------------------------------------------------------------- P34-P37 visits
-_vs = sums_cte("sums_vis_month", "q12", ["visits"], "month")
-_vu = period_sum_cte("vu_m", "q01", ["si"], "month")
-SQL["visit_kpi"] = with_ctes([_vs, "scope_list", _vu], f"""
+def visit_kpi_sql(mode: str) -> str:
+    """P34 for a period mode; daily modes sum the daily visit (q13) and sales (q02) marts."""
+    daily = mode in DAILY_ROLES
+    vs = sums_cte(f"sums_vis_{mode}", "q13" if daily else "q12", ["visits"], mode)
+    vu = period_sum_cte(f"vu_{mode}", "q02" if daily else "q01", ["si"], mode)
+    return with_ctes([vs, "scope_list", vu], f"""
 SELECT k.scope, k.visits, k.visits_d1, k.visits_d2, CAST(u.si AS BIGINT) AS units,
        {pct0('u.si', 'k.visits')} AS units_per_visit_pct
-FROM ({kpi_select(_vs, [('visits', 'int')], 'month')}) k JOIN vu_m u ON k.scope = u.scope""")
+FROM ({kpi_select(vs, [('visits', 'int')], mode)}) k JOIN {vu} u ON k.scope = u.scope""")
+
+
+SQL["visit_kpi"] = visit_kpi_sql("month")
+SQL["visit_kpi_week"] = visit_kpi_sql("week")
 _cv = monthly_series_cte("cs_v", "q12", ["visits"], "pm_quarter_c")
 _cu = monthly_series_cte("cs_u", "q01", ["si"], "pm_quarter_c")
 SQL["conversion_series"] = with_ctes([_cv, _cu], f"""

@@ -294,6 +294,12 @@ def _p13w(m: Marts) -> DataFrame:
     return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "week"), m.bridge, AS_OF)
 
 
+@report("chart_window_series_quarter")
+def _p13_quarter(m: Marts) -> DataFrame:
+    """P13 in quarter mode: the quarter's months so far, absent months as 0."""
+    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "quarter"), m.bridge, AS_OF)
+
+
 
 
 def _kpi_period(mode: str):
@@ -355,6 +361,12 @@ def _p19(m: Marts) -> DataFrame:
     return R.logistics_mix(m.q06, m.q03, MONTH, m.bridge)
 
 
+@report("logistics_mix_week")
+def _p19_week(m: Marts) -> DataFrame:
+    """P19 in week mode: daily logistics mart (fix D2)."""
+    return R.logistics_mix(m.q06, m.q03, resolve_period(AS_OF, "week"), m.bridge)
+
+
 @report("logistics_series")
 def _p20(m: Marts) -> DataFrame:
     return R.logistics_series(m.q06, m.q03, MONTH, m.bridge)
@@ -405,6 +417,12 @@ def _p27(m: Marts) -> DataFrame:
     return R.investment_totals(m.q08, m.q05, MONTH, m.bridge)
 
 
+@report("investment_totals_week")
+def _p27_week(m: Marts) -> DataFrame:
+    """P27 in week mode: daily investments mart (fix D2)."""
+    return R.investment_totals(m.q08, m.q05, resolve_period(AS_OF, "week"), m.bridge)
+
+
 @report("investment_mix")
 def _p28(m: Marts) -> DataFrame:
     return R.investment_mix(m.q08, m.q05, MONTH, m.bridge)
@@ -440,6 +458,12 @@ def _p34(m: Marts) -> DataFrame:
     return R.visit_kpi(m.q12, m.q13, m.q01, m.q02, MONTH, m.bridge)
 
 
+@report("visit_kpi_week")
+def _p34_week(m: Marts) -> DataFrame:
+    """P34 in week mode: daily visit and sales marts (fix D2)."""
+    return R.visit_kpi(m.q12, m.q13, m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
+
+
 @report("conversion_series")
 def _p35(m: Marts) -> DataFrame:
     return R.conversion_series(m.q12, m.q13, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
