@@ -14,7 +14,13 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from sellerlens.session import get_spark
 
-    s = get_spark("local[4]", app_name="sellerlens-tests", shuffle_partitions=4)
+    import tempfile
+
+    # the event log (in a scratch folder) gives per-task metrics to the skew tests
+    log_dir = tempfile.mkdtemp(prefix="sellerlens-events-")
+    s = get_spark("local[4]", app_name="sellerlens-tests", shuffle_partitions=4,
+                  extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                         "spark.eventLog.compress": "false"})
     yield s
 
 
