@@ -15,7 +15,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sellerlens.operators import marts
+from sellerlens.operators import marts, price
 from sellerlens.plans.broadcast import MAX_ROWS_CONF
 from sellerlens.plans.params import AS_OF
 from sellerlens.sources.bindings import LogicalInputs
@@ -23,18 +23,34 @@ from sellerlens.sources.tables import load_tables
 from tests.conftest import SF_MID
 
 
+def _make_hot(df, hot, key: str):
+    return df.withColumn("seller_id", F.when(F.col(key) % 3 == 0, F.lit(hot)).otherwise(F.col("seller_id")))
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     i = LogicalInputs(load_tables(spark, SF_MID))
     hot = i.portfolio.agg(F.min("seller_id")).first()[0]
-    sales = i.sales.withColumn(
-        "seller_id", F.when(F.col("order_id") % 3 == 0, F.lit(hot)).otherwise(F.col("seller_id"))
-    )
+    sales = _make_hot(i.sales, hot, "order_id")
     hot_lines = sales.where(F.col("seller_id") == hot).count()
     assert hot_lines * 3 > sales.count()
     return sales, i.portfolio, hot_lines, i.item_titles
 
 
+@pytest.fixture(scope="module")
+def skewed_inputs(spark):
+    """visits and price observations with a hot seller (every row of every third item)."""
+    i = LogicalInputs(load_tables(spark, SF_MID))
+    hot = i.portfolio.agg(F.min("seller_id")).first()[0]
+    out = {}
+    for name, df in (("visits", i.visits), ("price_obs", i.price_obs)):
+        df = _make_hot(df, hot, "item_id")
+        rows = df.where(F.col("seller_id") == hot).count()
+        assert rows * 3 > df.count()
+        out[name] = (df, rows)
+    return out, i.portfolio
+
+
 def _event_log(spark) -> list[dict]:
     log_dir = spark.conf.get("spark.eventLog.dir").replace("file:", "")
     app = spark.sparkContext.applicationId
@@ -109,3 +125,32 @@ def test_measurement_detects_a_raw_shuffle_by_seller(spark, skewed):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert worst >= hot_lines
+
+
+OTHER_MARTS = {
+    "visits_monthly": ("visits", lambda d, p: marts.visits_monthly(d, AS_OF, p)),
+    "top_items_by_visits": ("visits", lambda d, p: marts.top_items_by_visits(d, AS_OF, p, k=50)),
+    "price_exposure": ("price_obs", lambda d, p: price.exposure(d, AS_OF, p)),
+    "price_items_last_day": ("price_obs", lambda d, p: price.items_last_day(d, AS_OF, p)),
+}
+
+
+@pytest.mark.parametrize("large_portfolio", [False, True], ids=["broadcast", "after-aggregation"])
+@pytest.mark.parametrize("name", sorted(OTHER_MARTS))
+def test_hot_seller_rows_never_reach_one_task_in_other_marts(spark, skewed_inputs, name, large_portfolio):
+    inputs, portfolio = skewed_inputs
+    source, build = OTHER_MARTS[name]
+    df_in, hot_rows = inputs[source]
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    if large_portfolio:
+        settings.update({MAX_ROWS_CONF: "2", "spark.sql.autoBroadcastJoinThreshold": "-1"})
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = build(df_in, portfolio)
+        worst = _max_shuffle_records_per_task(
+            spark, f"skew-{name}-{large_portfolio}", lambda: df.write.format("noop").mode("overwrite").save())
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert worst < hot_rows / 4, (name, worst, hot_rows)
