@@ -400,6 +400,25 @@ JOIN ar_{mode}_d1 d1 ON k.scope = d1.scope JOIN ar_{mode}_d2 d2 ON k.scope = d2.
 SQL["ads_kpi"] = ads_kpi_sql("month")
 SQL["ads_kpi_quarter"] = ads_kpi_sql("quarter")
 
+
+def ads_kpi_daily_sql(mode: str) -> str:
+    """P23 in a daily mode: sums of the daily ads mart (q04) with % deltas; ratios of the current
+    range against the daily sales mart (q02); no take rate and no ratio deltas."""
+    sums = sums_cte(f"sums_ads_{mode}", "q04", ["ads_invest", "gmv_ads"], mode)
+    base = kpi_select(sums, [("ads_invest", "money"), ("gmv_ads", "money")], mode)
+    ads = period_sum_cte(f"ads_cur_{mode}", "q04", ["ads_invest", "gmv_ads"], mode)
+    gmv = period_sum_cte(f"gmv_cur_{mode}", "q02", ["gmv"], mode)
+    nulls = ", ".join(f"CAST(NULL AS DOUBLE) AS {m}_{r}" for m in ("roas", "acos", "ads_share", "take_rate")
+                      for r in ("d1", "d2"))
+    return with_ctes([sums, "scope_list", ads, gmv], f"""
+SELECT k.*, {ratio0('a.gmv_ads', 'a.ads_invest')} AS roas, {pct0('a.ads_invest', 'a.gmv_ads')} AS acos,
+       {pct0('a.gmv_ads', 'g.gmv')} AS ads_share, CAST(NULL AS DOUBLE) AS take_rate, {nulls},
+       TRUE AS acos_better_down
+FROM ({base}) k JOIN {ads} a ON k.scope = a.scope JOIN {gmv} g ON k.scope = g.scope""")
+
+
+SQL["ads_kpi_week"] = ads_kpi_daily_sql("week")
+
 _ads_d = daily_series_cte("as_d", "q04", ["ads_invest", "gmv_ads"], MONTH_CHART)
 _gmv_d = daily_series_cte("gs_d", "q02", ["gmv"], MONTH_CHART)
 SQL["ads_series"] = with_ctes([_ads_d, _gmv_d], f"""

@@ -392,6 +392,12 @@ def _p23(m: Marts) -> DataFrame:
     return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
 
 
+@report("ads_kpi_week")
+def _p23_week(m: Marts) -> DataFrame:
+    """P23 in week mode: daily ads and sales marts (fix D2)."""
+    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
+
+
 @report("ads_kpi_quarter")
 def _p23q(m: Marts) -> DataFrame:
     return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
