@@ -52,7 +52,7 @@ def sales_slice(spark: SparkSession, sales: DataFrame, as_of: dt.date, portfolio
     applied here; a large one is left to the marts, which apply it to their
     per-seller aggregates. Rows are sorted by day within each task before the
     write (no shuffle), so parquet row-group statistics on closed_date let the
-    90-day and 3-month marts skip most of the slice.
+    3-month item ranking (Q10) skip most of the slice.
     """
     window = two_year_window(as_of)
     early, late = split_portfolio(portfolio)
