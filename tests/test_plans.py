@@ -28,7 +28,8 @@ def test_window_and_flag_pushed_to_orders_scan(spark, queries):
     assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double,l_extendedprice:double>" in text
 
 
-@pytest.mark.parametrize("name", ["top_items", "top_items_by_visits", "visited_items_table", "campaign_item_table"])
+@pytest.mark.parametrize("name", ["top_items", "top_items_by_visits", "visited_items_table", "campaign_item_table",
+                                  "price_item_table", "qualification_item_table"])
 def test_top_k_uses_partial_window_group_limit(spark, queries, name):
     text = formatted(queries[name](spark, SF_SMALL))
     assert text.count("WindowGroupLimit") >= 2, name
