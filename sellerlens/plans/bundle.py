@@ -25,6 +25,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,27 +94,37 @@ def build_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: d
     }
 
 
+def _write_all(write, items: dict, parallel_jobs: int) -> dict:
+    """Apply `write` to every (name, frame); independent Spark jobs are submitted from a
+    few driver threads, so small marts run beside large ones instead of after them."""
+    if parallel_jobs <= 1:
+        return {name: write(name, df) for name, df in items.items()}
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        futures = {name: pool.submit(write, name, df) for name, df in items.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
 def write_typed_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
-                      typed_dir: str | None = None, **kw) -> dict[str, DataFrame]:
+                      typed_dir: str | None = None, parallel_jobs: int = 4, **kw) -> dict[str, DataFrame]:
     """Write every mart with its exact types (decimals, dates) under the shared checkpoint
     folder and return the written tables: the input of the published bundle and of the reports."""
     typed_dir = typed_dir or os.path.join(checkpoint_dir(spark), f"marts-{uuid.uuid4().hex}")
-    return {
-        name: write_checkpoint_table(spark, df, name, os.path.join(typed_dir, name))
-        for name, df in build_marts(spark, sf_dir, as_of, audit_as_of, **kw).items()
-    }
+    built = build_marts(spark, sf_dir, as_of, audit_as_of, **kw)
+    return _write_all(lambda name, df: write_checkpoint_table(spark, df, name, os.path.join(typed_dir, name)),
+                      built, parallel_jobs)
 
 
 def publish(typed: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-            refreshed_at: dt.datetime | None = None) -> dict[str, str]:
+            refreshed_at: dt.datetime | None = None, parallel_jobs: int = 4) -> dict[str, str]:
     """Write frames under out_dir/<name> at the output edge (S03 types, refresh stamp; `fmt` json for S05)."""
     refreshed_at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    paths = {}
-    for name, df in typed.items():
+
+    def write(name: str, df: DataFrame) -> str:
         path = os.path.join(out_dir, name)
         with_refresh_stamp(normalize(df), refreshed_at).write.mode("overwrite").format(fmt).save(path)
-        paths[name] = path
-    return paths
+        return path
+
+    return _write_all(write, typed, parallel_jobs)
 
 
 def write_bundle(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
