@@ -208,6 +208,27 @@ def ads_monthly_mart(ads: DataFrame, as_of: dt.date, portfolio: DataFrame | None
     return keep_portfolio_sellers(df.groupBy(_month("day"), "seller_id").agg(*_ads_aggs()), late)
 
 
+def ads_day(ads: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, site: str = HOME_SITE) -> DataFrame:
+    """Shared daily ads table: unrounded home-site sums per (day, seller) over the two-year window.
+
+    Its columns keep the source names, so Q04 and Q07 roll up from it with the
+    same aggregates (`ads_marts_from_days`): one read of the ads source for both.
+    """
+    df, late = _site_rows(ads, two_year_window(as_of), "day", site, portfolio)
+    agg = df.groupBy("day", "seller_id").agg(*[F.sum(c).alias(c) for c in ("cost", "attributed_gmv", "clicks")])
+    return keep_portfolio_sellers(agg, late)
+
+
+def ads_marts_from_days(days: DataFrame, as_of: dt.date, daily_days: int = 90) -> dict[str, DataFrame]:
+    """Q07 and Q04 rolled up from `ads_day` rows."""
+    return {
+        "ads_monthly": days.where(two_year_window(as_of).predicate("day"))
+        .groupBy(_month("day"), "seller_id").agg(*_ads_aggs()),
+        "ads_daily": days.where(last_days_window(as_of, daily_days).predicate("day"))
+        .groupBy("day", "seller_id").agg(*_ads_aggs()),
+    }
+
+
 # --------------------------------------------------------------------------- Q05 / Q08
 def investments_daily(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
                       days: int = 90, pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
@@ -309,6 +330,24 @@ def visits_daily(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | None
     return keep_portfolio_sellers(agg, late)
 
 
+def visits_day(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
+               site: str = HOME_SITE) -> DataFrame:
+    """Shared daily visits table: home-site page views per (day, seller) over the two-year window."""
+    df, late = _site_rows(visits, two_year_window(as_of), "day", site, portfolio)
+    agg = df.groupBy("day", "seller_id").agg(*[F.sum(c).alias(c) for c in ("pageviews", "pageviews_vip")])
+    return keep_portfolio_sellers(agg, late)
+
+
+def visits_marts_from_days(days: DataFrame, as_of: dt.date, daily_days: int = 90) -> dict[str, DataFrame]:
+    """Q12 and Q13 rolled up from `visits_day` rows."""
+    return {
+        "visits_monthly": days.where(two_year_window(as_of).predicate("day")).groupBy(_month("day"), "seller_id")
+        .agg(F.sum("pageviews").alias("visits"), F.sum("pageviews_vip").alias("visits_vip")),
+        "visits_daily": days.where(last_days_window(as_of, daily_days).predicate("day"))
+        .groupBy("day", "seller_id").agg(F.sum("pageviews").alias("visits")),
+    }
+
+
 def top_items_by_visits(visits: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, k: int = 50,
                         site: str = HOME_SITE, days: int = 90) -> DataFrame:
     """Q14: top-k items per seller, ranked by SUM(visits) but showing SUM(pageviews)."""

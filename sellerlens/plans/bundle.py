@@ -11,7 +11,10 @@ folder (`spark.checkpoint.dir`). From that slice:
     (Q01-Q03, Q05, Q06, Q08) roll up from it, so they read a per-seller-day
     table instead of the lines;
   * the two non-additive marts read the slice: distinct orders (Q09) and the
-    item ranking (Q10, whose 3-month window skips row groups by day).
+    item ranking (Q10, whose 3-month window skips row groups by day);
+  * in the same first phase, `ads_day` and `visits_day` (per day and seller)
+    are written from one read of their sources; the monthly and daily ads
+    and visits marts (Q04, Q07, Q12, Q13) roll up from them.
 
 Writing tables (rather than caching) cuts the lineage, so a lost executor
 re-reads a written table instead of recomputing the join.
@@ -55,11 +58,13 @@ def sales_slice(spark: SparkSession, sales: DataFrame, as_of: dt.date, portfolio
     write (no shuffle), so parquet row-group statistics on closed_date let the
     3-month item ranking (Q10) skip most of the slice.
     """
-    window = two_year_window(as_of)
     early, late = split_portfolio(portfolio)
-    df = in_portfolio(sales.where(F.col("gmv_flag") & window.predicate("closed_date")), early)
-    rows = df.select(*SALES_SLICE_COLUMNS).sortWithinPartitions("closed_date", "seller_id")
-    return write_checkpoint_table(spark, rows, "sales-slice", path), late
+    return write_checkpoint_table(spark, _slice_rows(sales, as_of, early), "sales-slice", path), late
+
+
+def _slice_rows(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None) -> DataFrame:
+    df = in_portfolio(sales.where(F.col("gmv_flag") & two_year_window(as_of).predicate("closed_date")), portfolio)
+    return df.select(*SALES_SLICE_COLUMNS).sortWithinPartitions("closed_date", "seller_id")
 
 
 def write_checkpoint_table(spark: SparkSession, df: DataFrame, prefix: str, path: str | None = None) -> DataFrame:
@@ -70,21 +75,27 @@ def write_checkpoint_table(spark: SparkSession, df: DataFrame, prefix: str, path
 
 
 def build_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
-                audit_days: int = 3, campaign_days: int = 2) -> dict[str, DataFrame]:
-    """The bundle's marts as lazy frames (the sales slice is written eagerly)."""
+                audit_days: int = 3, campaign_days: int = 2, parallel_jobs: int = 4) -> dict[str, DataFrame]:
+    """The bundle's marts as lazy frames (the slice and the day tables are written eagerly)."""
     i = LogicalInputs(load_tables(spark, sf_dir))
     pf = i.portfolio
-    sales, late = sales_slice(spark, i.sales, as_of, pf)
+    # phase 1, concurrently: the order-line slice and the ads / visits day tables (one read per source)
+    early, late = split_portfolio(pf)
+    first = _write_all(lambda name, df: write_checkpoint_table(spark, df, name), {
+        "sales-slice": _slice_rows(i.sales, as_of, early),
+        "ads-day": marts.ads_day(i.ads_daily, as_of, pf),
+        "visits-day": marts.visits_day(i.visits, as_of, pf),
+    }, parallel_jobs)
+    sales = first["sales-slice"]
+    # phase 2: the sales day table from the slice
     days = write_checkpoint_table(spark, marts.seller_day(sales, as_of, late), "seller-day")
     return {
         **marts.sales_marts_from_days(days, as_of),
-        "ads_monthly": marts.ads_monthly_mart(i.ads_daily, as_of, pf),
-        "ads_daily": marts.ads_daily_mart(i.ads_daily, as_of, pf),
+        **marts.ads_marts_from_days(first["ads-day"], as_of),
+        **marts.visits_marts_from_days(first["visits-day"], as_of),
         "buybox_monthly": marts.buybox_monthly(sales, as_of, late),
         "top_items": marts.top_items(sales, as_of, late, k=20, titles=i.item_titles),
         "seller_reputation": marts.seller_reputation(i.reputation, pf),
-        "visits_monthly": marts.visits_monthly(i.visits, as_of, pf),
-        "visits_daily": marts.visits_daily(i.visits, as_of, pf),
         "top_items_by_visits": marts.top_items_by_visits(i.visits, as_of, pf, k=50),
         "price_competitiveness": price.price_competitiveness(
             i.price_obs, i.price_audit, as_of, audit_as_of, pf, audit_days=audit_days),
@@ -109,7 +120,7 @@ def write_typed_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as
     """Write every mart with its exact types (decimals, dates) under the shared checkpoint
     folder and return the written tables: the input of the published bundle and of the reports."""
     typed_dir = typed_dir or os.path.join(checkpoint_dir(spark), f"marts-{uuid.uuid4().hex}")
-    built = build_marts(spark, sf_dir, as_of, audit_as_of, **kw)
+    built = build_marts(spark, sf_dir, as_of, audit_as_of, parallel_jobs=parallel_jobs, **kw)
     return _write_all(lambda name, df: write_checkpoint_table(spark, df, name, os.path.join(typed_dir, name)),
                       built, parallel_jobs)
 

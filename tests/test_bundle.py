@@ -14,7 +14,8 @@ from tests.conftest import SF_SMALL
 PAIRS = {name: name for name in (
     "sales_monthly", "sales_daily", "logistics_monthly", "logistics_daily", "investments_monthly",
     "investments_daily", "buybox_monthly", "top_items", "campaign_items", "price_competitiveness",
-)}
+    "visits_monthly", "visits_daily",
+)} | {"ads_daily": "ads_daily_mart", "ads_monthly": "ads_monthly_mart"}
 
 
 @pytest.fixture(scope="module")
