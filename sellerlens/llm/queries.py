@@ -5,12 +5,14 @@ from __future__ import annotations
 from sellerlens.llm import op02_quality_rules as op2
 from sellerlens.llm import op04_token_output as op4
 from sellerlens.llm import op05_token_counts as op5
+from sellerlens.llm import op06_ngram_join as op6
 from sellerlens.llm import op09_mixing as op9
 
 QUERIES = {
     "op2_quality_rules": op2.op2_quality_rules,
     "op4_token_output": op4.op4_token_output,
     "op5_token_counts": op5.op5_token_counts,
+    "op6_ngram_join": op6.op6_ngram_join,
     "op9_mixing": op9.op9_mixing,
 }
 
