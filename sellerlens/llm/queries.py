@@ -7,6 +7,7 @@ from sellerlens.llm import op04_token_output as op4
 from sellerlens.llm import op05_token_counts as op5
 from sellerlens.llm import op06_ngram_join as op6
 from sellerlens.llm import op09_mixing as op9
+from sellerlens.llm import op10_decontamination as op10
 
 QUERIES = {
     "op2_quality_rules": op2.op2_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_token_counts": op5.op5_token_counts,
     "op6_ngram_join": op6.op6_ngram_join,
     "op9_mixing": op9.op9_mixing,
+    "op10_decontamination": op10.op10_decontamination,
 }
 
 SQL = {
