@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sellerlens.llm import op01_substring_dedup as op1
 from sellerlens.llm import op02_quality_rules as op2
 from sellerlens.llm import op04_token_output as op4
 from sellerlens.llm import op05_token_counts as op5
@@ -10,6 +11,7 @@ from sellerlens.llm import op09_mixing as op9
 from sellerlens.llm import op10_decontamination as op10
 
 QUERIES = {
+    "op1_substring_dedup": op1.op1_substring_dedup,
     "op2_quality_rules": op2.op2_quality_rules,
     "op4_token_output": op4.op4_token_output,
     "op5_token_counts": op5.op5_token_counts,
