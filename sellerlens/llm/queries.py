@@ -7,6 +7,7 @@ from sellerlens.llm import op02_quality_rules as op2
 from sellerlens.llm import op04_token_output as op4
 from sellerlens.llm import op05_token_counts as op5
 from sellerlens.llm import op06_ngram_join as op6
+from sellerlens.llm import op07_quality_classifier as op7
 from sellerlens.llm import op08_html_extraction as op8
 from sellerlens.llm import op09_mixing as op9
 from sellerlens.llm import op10_decontamination as op10
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_token_output": op4.op4_token_output,
     "op5_token_counts": op5.op5_token_counts,
     "op6_ngram_join": op6.op6_ngram_join,
+    "op7_quality_classifier": op7.op7_quality_classifier,
     "op8_html_extraction": op8.op8_html_extraction,
     "op9_mixing": op9.op9_mixing,
     "op10_decontamination": op10.op10_decontamination,
