@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sellerlens.llm import op01_substring_dedup as op1
 from sellerlens.llm import op02_quality_rules as op2
+from sellerlens.llm import op03_lm_scoring as op3
 from sellerlens.llm import op04_token_output as op4
 from sellerlens.llm import op05_token_counts as op5
 from sellerlens.llm import op06_ngram_join as op6
@@ -15,6 +17,7 @@ from sellerlens.llm import op10_decontamination as op10
 QUERIES = {
     "op1_substring_dedup": op1.op1_substring_dedup,
     "op2_quality_rules": op2.op2_quality_rules,
+    "op3_lm_scoring": op3.op3_lm_scoring,
     "op4_token_output": op4.op4_token_output,
     "op5_token_counts": op5.op5_token_counts,
     "op6_ngram_join": op6.op6_ngram_join,
@@ -22,6 +25,7 @@ QUERIES = {
     "op8_html_extraction": op8.op8_html_extraction,
     "op9_mixing": op9.op9_mixing,
     "op10_decontamination": op10.op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
