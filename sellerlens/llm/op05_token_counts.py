@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sellerlens.llm.common import table
-from sellerlens.llm.pretokens import Pieces, encoder, find, split_aside
+from sellerlens.llm.pretokens import HashTable, Pieces, encoder, split_aside
 from sellerlens.llm.textops import chunks, text_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,37 +83,22 @@ def _chunk_pieces(texts: pa.Array, path: str) -> tuple[Pieces, np.ndarray, np.nd
 
 
 def _common_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    keys, seen, texts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+    seen: dict[bytes, int] = {}
     for batch in batches:
         column = batch.column(0)
         for lo, hi in chunks(column):
             p, *_ = _chunk_pieces(column.slice(lo, hi - lo), path)
-            new, at, n = np.unique(p.hash, return_index=True, return_counts=True)
-            top = np.argsort(-n, kind="stable")[:TASK_ENTRIES]
-            place, known = find(keys, new[top])
-            seen[place[known]] += n[top][known]
-            top = top[~known]
-            keys, seen = np.concatenate([keys, new[top]]), np.concatenate([seen, n[top]])
-            texts = np.concatenate([texts, np.array([p.bytes_at(i) for i in at[top]] + [None], object)[:-1]])
-            keep = np.argsort(-seen, kind="stable")[:TASK_ENTRIES]
-            keep = keep[np.argsort(keys[keep])]
-            keys, seen, texts = keys[keep], seen[keep], texts[keep]
-    top = np.argsort(-seen, kind="stable")[:TOP_PER_TASK]
-    yield pa.RecordBatch.from_arrays([pa.array(list(texts[top]), pa.binary()), pa.array(seen[top], pa.int64())], ["piece", "n"])
-
-
-class Table:
-    """The frequent pre-tokens: sorted hashes and their token counts, 10 bytes an entry."""
-
-    def __init__(self, pieces: list[bytes], path: str):
-        size = np.array([len(p) for p in pieces], np.int64)
-        p = Pieces(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum(size)]))
-        _, counts = encoder(path).places(p, np.arange(len(p.hash)))
-        order = np.argsort(p.hash)
-        self.keys, self.counts = p.hash[order], counts[order].astype(np.uint16)
-
-
-def frequent_pieces(docs: DataFrame, path: str, text: str = "text") -> Table:
+            _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
+            for i in np.argsort(-n, kind="stable")[:TOP_PER_TASK]:
+                piece = p.bytes_at(at[i])
+                seen[piece] = seen.get(piece, 0) + int(n[i])
+        if len(seen) > TASK_ENTRIES:
+            seen = dict(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: TASK_ENTRIES // 2])
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TOP_PER_TASK]
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top], pa.binary()), pa.array([x[1] for x in top], pa.int64())], ["piece", "n"])
+
+
+def frequent_pieces(docs: DataFrame, path: str, text: str = "text") -> HashTable:
     """The TABLE_ENTRIES commonest pre-tokens, from every task's own commonest."""
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,16 +107,18 @@ def frequent_pieces(docs: DataFrame, path: str, text: str = "text") -> Table:
     schema = T.StructType([T.StructField("piece", T.BinaryType()), T.StructField("n", T.LongType())])
     found = docs.select(F.col(text).alias("text")).mapInArrow(common, schema).groupBy("piece").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.col("n").desc(), "piece").limit(TABLE_ENTRIES).select("piece").collect()
-    return Table([bytes(r[0]) for r in rows if len(r[0])], path)
+    pieces = [bytes(r[0]) for r in rows if len(r[0])]
+    ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
+    p = Pieces(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends]).astype(np.int64))
+    return HashTable(p.hash, encoder(path).places(p, np.arange(len(p.hash)))[1])
 
 
-def count_chunk(texts: pa.Array, path: str, frequent: Table) -> np.ndarray:
+def count_chunk(texts: pa.Array, path: str, frequent: HashTable) -> np.ndarray:
     """Tokens of each text."""
     p, aside, data, offs = _chunk_pieces(texts, path)
-    counts = np.zeros(len(p.hash), np.int64)
-    place, known = find(frequent.keys, p.hash)
-    counts[known] = frequent.counts[place[known]]
-    counts[~known] = encoder(path).places(p, np.flatnonzero(~known))[1]
+    counts = frequent.find(p.hash).astype(np.int64)
+    missing = np.flatnonzero(counts < 0)
+    counts[missing] = encoder(path).places(p, missing)[1]
     out = np.bincount(p.doc, weights=counts, minlength=len(texts)).astype(np.int64)
     for d in aside:
         out[d] = len(encoder(path).encode(data[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace")))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,11 @@ def char_classes() -> np.ndarray:
     return out
 
 
-def byte_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, text, is white space only) of every pre-token of a chunk of texts, in order."""
+def byte_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, text) of every pre-token of a chunk of texts, in order."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
     at = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
     texts = np.searchsorted(at, offs)
@@ -88,8 +89,7 @@ def byte_starts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         ok[ok] = (kind[behind[ok]] == LETTER) & ~fresh[behind[ok]]
         begins[behind[ok]] = True
     first = np.flatnonzero(begins)
-    last = np.append(first[1:], m) - 1
-    return at[first], np.searchsorted(texts, first, side="right") - 1, kind[last] == SPACE
+    return at[first], np.searchsorted(texts, first, side="right") - 1
 
 
 class Pieces:
@@ -97,7 +97,7 @@ class Pieces:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         self.data = data
-        self.start, self.doc, self.blank = byte_starts(data, offs)
+        self.start, self.doc = byte_starts(data, offs)
         self.end = np.append(self.start[1:], len(data)).astype(np.int64)
         up, down = _powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
@@ -108,13 +108,57 @@ class Pieces:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, found) of each key in a sorted array."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.searchsorted(sorted_keys, keys)
-    place[place == len(sorted_keys)] = 0
-    return place, sorted_keys[place] == keys
+class HashTable:
+    """Numbers by 64-bit hash: open addressing in two arrays, looked up and filled many keys at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.n = 0
+        self._make(max(10, int(4 * len(keys)).bit_length()))
+        self.add(keys, values)
+
+    def _make(self, log2: int) -> None:
+        self.shift, self.mask = np.uint64(64 - log2), (1 << log2) - 1
+        self.keys, self.values = np.zeros(1 << log2, np.uint64), np.zeros(1 << log2, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        at, todo = (keys >> self.shift).astype(np.int64), None
+        while len(keys):
+            there = self.keys[at]
+            hit = there == keys
+            if todo is None:
+                out[hit] = self.values[at[hit]]
+            else:
+                out[todo[hit]] = self.values[at[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            todo = on if todo is None else todo[on]
+            keys, at = keys[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct new keys; 0 stands for no key and is never added."""
+        values = values[keys != 0].astype(np.int32)
+        keys = keys[keys != 0]
+        self.n += len(keys)
+        if 2 * self.n > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self._make(int(4 * self.n).bit_length())
+        at = (keys >> self.shift).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at] == keys
+            self.values[at[won]] = values[won]
+            keys, values, at = keys[~won], values[~won], (at[~won] + 1) & self.mask
+
+
+#: Fixed values of byte-level BPE: the bytes that stand for themselves; the others are 256, 257, ... in order.
+_AS_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGN = np.zeros(256, "<u4")
+_SIGN[_AS_IS] = _AS_IS
+_SIGN[np.setdiff1d(np.arange(256), _AS_IS)] = 256 + np.arange(256 - len(_AS_IS))
 
 
 class Encoder:
@@ -124,80 +168,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model = self.library.model
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.ids = np.zeros(0, np.uint32)
-        #: Two sorted tiers of (hash, place of the first id, how many ids): all but the newest, and the newest.
-        self.tiers = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.table = HashTable(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        #: By number: where a pre-token's ids begin in `ids`, and how many there are.
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_pieces(self, pieces: Pieces, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of these pieces, how many each has).
-
-        Pieces that aren't white space hold no line feed, and a line feed put between them is a piece, and an
-        id, of its own; so one call of the library encodes them all.
-        """
-        alone = pieces.blank[which] if len(self.line_feed) == 1 else np.ones(len(which), bool)
-        plain = which[~alone]
-        size = pieces.end[plain] - pieces.start[plain] + 1
-        text = gather(np.append(pieces.data, np.uint8(10)), pieces.start[plain], size)
-        text[np.cumsum(size) - 1] = 10
-        got = self.encode(text.tobytes().decode("utf-8"))
-        cut = np.flatnonzero(got == self.line_feed[0]) if len(plain) else np.zeros(0, np.int64)
-        if len(cut) != len(plain):
-            raise AssertionError("the library split these pieces otherwise")
-        counts = np.zeros(len(which), np.int64)
-        counts[~alone] = np.diff(cut, prepend=-1) - 1
-        blanks = [self.encode(pieces.bytes_at(i).decode("utf-8")) for i in which[alone]]
-        counts[alone] = [len(x) for x in blanks]
-        first = np.cumsum(counts) - counts
-        ids = np.zeros(int(counts.sum()), np.uint32)
-        filled = np.ones(len(ids), bool)
-        for at, x in zip(first[alone], blanks, strict=True):
-            ids[at : at + len(x)] = x
-            filled[at : at + len(x)] = False
-        ids[filled] = np.delete(got, cut)
-        return ids, counts
-
-    def _add(self, keys: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-        old, new = self.tiers
-        new = [np.concatenate(x) for x in zip(new, (keys, first, size), strict=True)]
-        if 4 * len(new[0]) > len(old[0]):
-            old, new = [np.concatenate(x) for x in zip(old, new, strict=True)], [x[:0] for x in new]
-        self.tiers = [tuple(x[order] for x in t) for t in (old, new) for order in [np.argsort(t[0], kind="stable")]]
-
-    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place of the first id, how many, known) of each hash."""
-        first, size, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        todo = np.arange(len(keys))
-        for tier in self.tiers:
-            place, found = find(tier[0], keys[todo])
-            hit, place = todo[found], place[found]
-            first[hit], size[hit], known[hit] = tier[1][place], tier[2][place], True
-            todo = todo[~found]
-        return first, size, known
+        """(ids of these pieces, how many each has), by the library's model."""
+        if not len(which):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        size = pieces.end[which] - pieces.start[which] + 1
+        signs = _SIGN[gather(np.append(pieces.data, np.uint8(0)), pieces.start[which], size)]
+        signs[np.cumsum(size) - 1] = 10  # no sign of a byte
+        tokenize = self.model.tokenize
+        found = [[t.id for t in tokenize(p)] for p in signs[:-1].tobytes().decode("utf-32-le").split("\n")]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
     def places(self, pieces: Pieces, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each wanted piece begin in `ids`, and how many it has; new ones are encoded first."""
-        first, size, known = self._look_up(pieces.hash[wanted])
-        if known.all():
-            return first, size
-        if sum(len(t[0]) for t in self.tiers) + int((~known).sum()) > CACHE_ENTRIES:
-            self._clear()
-            known[:] = False
-        missing = np.flatnonzero(~known)
-        keys, sample, back = np.unique(pieces.hash[wanted[missing]], return_index=True, return_inverse=True)
-        ids, counts = self.encode_pieces(pieces, wanted[missing[sample]])
-        at = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, ids])
-        self._add(keys, at, counts)
-        first[missing], size[missing] = at[back], counts[back]
-        return first, size
+        number = self.table.find(pieces.hash[wanted])
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            if self.table.n + len(missing) > CACHE_ENTRIES:
+                self._clear()
+                missing = np.arange(len(wanted))
+            keys, sample, back = np.unique(pieces.hash[wanted[missing]], return_index=True, return_inverse=True)
+            ids, counts = self.encode_pieces(pieces, wanted[missing[sample]])
+            new = len(self.first) + np.arange(len(keys))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+            self.size, self.ids = np.concatenate([self.size, counts]), np.concatenate([self.ids, ids])
+            self.table.add(keys, new)
+            number[missing] = new[back]
+        return self.first[number], self.size[number]
 
     def aside(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Texts that the library must see whole: those that hold a special token or broken UTF-8."""
