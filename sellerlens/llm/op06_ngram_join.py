@@ -260,7 +260,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     return signed.select("doc_id", "node").join(written(named, "classes"), "node", "left").select(
         "doc_id", "node", F.coalesce("class_id", F.when(F.col("copies").isNull(), F.col("doc_id"))).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"),
-        F.coalesce(F.col("stays") & F.col("doc_id").eqNullSafe(F.col("rep")), F.lit(True)).alias("stays"))
+        (F.col("copies").isNull() | (F.col("stays") & F.col("doc_id").eqNullSafe(F.col("rep")))).alias("stays"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
