@@ -108,13 +108,16 @@ def fold(text):
 def leaks(rows, items, window=13, changed=2, least=5):
     """{(doc_id, item_id)} of (doc_id, text) and (item_id, text) rows."""
     out = set()
+    docs = [(i, fold(t)) for i, t in rows]
     for item_id, item in items:
         it = fold(item)
         if len(it) < least:
             continue
         size, may = (window, changed) if len(it) >= window else (len(it), 0)
-        for doc_id, text in rows:
-            d = fold(text)
+        for doc_id, d in docs:
+            there = set(d)
+            if sum(w in there for w in it) < size - may:
+                continue  # too few of its words for any window
             if any(sum(x != y for x, y in zip(d[a : a + size], it[b : b + size])) <= may
                    for a in range(len(d) - size + 1) for b in range(len(it) - size + 1)):
                 out.add((doc_id, item_id))

@@ -351,7 +351,7 @@ def test_changed_passages(spark, items, corpus):
     for k in range(12):
         w = list(item)
         for j in range(k):
-            w[(j * 5) % len(w)] = "changed"
+            w[(j * 7) % len(w)] = "changed"
         rows.append((k, "before it " + " ".join(w) + " after it"))
     rows.append((99, " ".join(x.upper() for x in item)))
     got = {(r["doc_id"], r["item_id"]) for r in op10.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
