@@ -9,8 +9,7 @@ A `Period` says which data a report reads:
 It also carries the chart range/months the series operators draw.
 
 This is calendar arithmetic on one date; the result is turned into literal
-predicates (`isin`, `between`) that Catalyst folds and pushes down, and into
-a small period DataFrame (`period_frame`) when a join form is wanted.
+predicates (`isin`, `between`) that Catalyst folds and pushes down.
 """
 
 from __future__ import annotations
@@ -18,9 +17,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 from sellerlens.functions.dates import add_months, month_end, month_start
 
 MODES = ("day", "week", "month", "quarter", "year", "custom")
@@ -33,16 +29,11 @@ DayRange = tuple[dt.date, dt.date]
 class Period:
     mode: str
     gran: str  # "daily" | "monthly"
-    label: str
     curr_range: DayRange | None = None
     prev_range: DayRange | None = None
     curr_months: tuple[dt.date, ...] = ()
     d1_months: tuple[dt.date, ...] | None = None  # previous month(s) / previous quarter
     d2_months: tuple[dt.date, ...] | None = None  # same months last year
-    d1_label: str = ""
-    d2_label: str = ""
-    show_d1: bool = True
-    show_d2: bool = True
     chart_gran: str = "monthly"
     chart_range: DayRange | None = None
     chart_months: tuple[dt.date, ...] = field(default=())
@@ -56,10 +47,6 @@ class Period:
         return self.curr_months[-1] if self.curr_months else None
 
 
-def _fmt_month(m: dt.date) -> str:
-    return f"{m.year:04d}-{m.month:02d}"
-
-
 def _weekday_sun0(d: dt.date) -> int:
     """0 = Sunday .. 6 = Saturday."""
     return (d.weekday() + 1) % 7
@@ -89,43 +76,36 @@ def resolve_period(as_of: dt.date, mode: str = "month", custom_start: dt.date |
             raise ValueError("custom mode needs custom_start")
         end = custom_end or custom_start
         curr = months_between(custom_start, end) or (month_start(custom_start),)
-        label = _fmt_month(curr[0]) if len(curr) == 1 else f"{_fmt_month(curr[0])} a {_fmt_month(curr[-1])}"
         return Period(
-            mode, "monthly", label, curr_months=curr,
+            mode, "monthly", curr_months=curr,
             d1_months=tuple(add_months(m, -1) for m in curr),
             d2_months=tuple(add_months(m, -12) for m in curr),
-            d1_label="MoM", d2_label="YoY", chart_gran="monthly", chart_months=curr,
+            chart_gran="monthly", chart_months=curr,
         )
     if mode == "day":
         d1, d2 = as_of - one, as_of - 2 * one
-        return Period(mode, "daily", f"D-1 ({d1.isoformat()})", curr_range=(d1, d1), prev_range=(d2, d2),
-                      d1_label="vs D-2", show_d2=False, chart_gran="daily",
+        return Period(mode, "daily", curr_range=(d1, d1), prev_range=(d2, d2), chart_gran="daily",
                       chart_range=(as_of - dt.timedelta(days=30), d1))
     if mode == "week":
         start, end = last_full_week(as_of)
         pend = start - one
-        label = f"Sem. {start.day:02d}/{start.month:02d}-{end.day:02d}/{end.month:02d}"
-        return Period(mode, "daily", label, curr_range=(start, end), prev_range=(pend - 6 * one, pend),
-                      d1_label="vs Sem. ant.", show_d2=False, chart_gran="daily",
+        return Period(mode, "daily", curr_range=(start, end), prev_range=(pend - 6 * one, pend), chart_gran="daily",
                       chart_range=(as_of - dt.timedelta(days=28), as_of - one))
     cm = month_start(as_of)
     if mode == "month":
-        return Period(mode, "monthly", _fmt_month(cm), curr_months=(cm,), d1_months=(add_months(cm, -1),),
-                      d2_months=(add_months(cm, -12),), d1_label="MoM", d2_label="YoY",
-                      chart_gran="daily", chart_range=(cm, as_of - one))
+        return Period(mode, "monthly", curr_months=(cm,), d1_months=(add_months(cm, -1),),
+                      d2_months=(add_months(cm, -12),), chart_gran="daily", chart_range=(cm, as_of - one))
     if mode == "quarter":
         q = (as_of.month - 1) // 3
         curr = tuple(dt.date(as_of.year, m, 1) for m in range(q * 3 + 1, as_of.month + 1))
         pq_year, pq = (as_of.year - 1, 3) if q == 0 else (as_of.year, q - 1)
         prev = tuple(dt.date(pq_year, pq * 3 + 1 + i, 1) for i in range(len(curr)))
-        return Period(mode, "monthly", f"Q{q + 1} {as_of.year}", curr_months=curr, d1_months=prev,
-                      d2_months=tuple(add_months(m, -12) for m in curr), d1_label="QoQ", d2_label="YoY",
-                      chart_gran="monthly", chart_months=curr)
+        return Period(mode, "monthly", curr_months=curr, d1_months=prev,
+                      d2_months=tuple(add_months(m, -12) for m in curr), chart_gran="monthly", chart_months=curr)
     if mode == "year":
         curr = tuple(dt.date(as_of.year, m, 1) for m in range(1, as_of.month + 1))
-        return Period(mode, "monthly", f"{as_of.year} YTD", curr_months=curr, d1_months=None,
-                      d2_months=tuple(add_months(m, -12) for m in curr), d2_label="YoY", show_d1=False,
-                      chart_gran="monthly", chart_months=curr)
+        return Period(mode, "monthly", curr_months=curr, d1_months=None,
+                      d2_months=tuple(add_months(m, -12) for m in curr), chart_gran="monthly", chart_months=curr)
     raise ValueError(f"unknown period mode {mode!r}; expected one of {MODES}")
 
 
@@ -152,29 +132,3 @@ def quick_range(as_of: dt.date, key: str) -> DayRange:
 def quick_period(as_of: dt.date, key: str) -> Period:
     start, end = quick_range(as_of, key)
     return resolve_period(as_of, "custom", start, end)
-
-
-PERIOD_SCHEMA = T.StructType([
-    T.StructField("role", T.StringType(), False),
-    T.StructField("start_date", T.DateType(), False),
-    T.StructField("end_date", T.DateType(), False),
-])
-
-
-def period_rows(p: Period) -> list[tuple[str, dt.date, dt.date]]:
-    """(role, start, end) rows: roles curr / d1 / d2; a month is [first, last day]."""
-    rows: list[tuple[str, dt.date, dt.date]] = []
-    if p.daily:
-        rows.append(("curr", *p.curr_range))
-        if p.prev_range:
-            rows.append(("d1", *p.prev_range))
-        return rows
-    for role, months in (("curr", p.curr_months), ("d1", p.d1_months), ("d2", p.d2_months)):
-        for m in months or ():
-            rows.append((role, m, month_end(m)))
-    return rows
-
-
-def period_frame(spark: SparkSession, p: Period) -> DataFrame:
-    """The period as a small DataFrame (bounded by the calendar, not by data)."""
-    return spark.createDataFrame(period_rows(p), PERIOD_SCHEMA)

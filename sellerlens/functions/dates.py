@@ -31,14 +31,6 @@ def month_end(d: dt.date) -> dt.date:
     return d.replace(day=calendar.monthrange(d.year, d.month)[1])
 
 
-def to_date(value) -> dt.date:
-    if isinstance(value, dt.datetime):
-        return value.date()
-    if isinstance(value, dt.date):
-        return value
-    return dt.date.fromisoformat(str(value)[:10])
-
-
 @dataclass(frozen=True)
 class DayWindow:
     start: dt.date
@@ -68,8 +60,3 @@ def last_months_window(as_of: dt.date, months: int) -> DayWindow:
 def since_window(as_of: dt.date, days: int) -> DayWindow:
     """Open-ended: every day from as_of - days on (no upper bound)."""
     return DayWindow(as_of - dt.timedelta(days=days), None)
-
-
-def month_label(col: str | Column) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.date_format(c, "yyyy-MM")

@@ -66,6 +66,11 @@ EXPENSIVE_BANDS = (30.0, 10.0)  # > 30 high, > 10 medium, else low
 # Scope holding every portfolio seller.
 ALL_SCOPE = "all"
 
+# Codes that the operators look for by default; a deployment passes its own.
+HOME_SITE = "HOME"
+MATCH_TYPE = "MATCH"
+DEAL_PRE_AGREED = "pre_agreed"
+
 
 def map_lookup(col: str | Column, mapping: dict, default: Column | None = None) -> Column:
     """CASE chain over a small fixed mapping; `default` when no key matches."""

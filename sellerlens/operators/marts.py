@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from sellerlens.functions.dates import (
     DayWindow, last_days_window, last_months_window, since_window, two_year_window,
 )
-from sellerlens.functions.labels import FF_TYPES, SS_TYPES, XD_TYPES
+from sellerlens.functions.labels import DEAL_PRE_AGREED, FF_TYPES, HOME_SITE, SS_TYPES, XD_TYPES
 from sellerlens.functions.ratios import rounded_money_ratio
-from sellerlens.operators.scopes import in_portfolio, keep_portfolio_sellers, split_portfolio
-from sellerlens.sources.bindings import DEAL_PRE_AGREED, HOME_SITE
+from sellerlens.operators.scopes import (
+    in_portfolio, in_portfolio_salted, keep_portfolio_sellers, portfolio_bound, split_portfolio,
+)
 from sellerlens.sources.schemas import require
 
 
@@ -275,8 +276,11 @@ def top_items(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = No
     Ranking is `row_number() <= k` over the (seller, item) aggregate, which
     Catalyst plans with a partial WindowGroupLimit before the shuffle by
     seller: at most k rows per seller leave each task. Ties break on item_id.
-    Titles come from `titles` after ranking (join on <= k rows per seller) or,
-    without it, as MAX(item_title) of the lines.
+    Titles come from `titles` after ranking or, without it, as MAX(item_title)
+    of the lines. The title table is first cut to the ranked items (at most k
+    per seller, broadcast where the portfolio bounds them), so a large item
+    dimension is neither shuffled whole nor able to fan rows out: one title,
+    the greatest, per item.
     """
     df, late = _countable_sales(sales, last_months_window(as_of, months), portfolio)
     bb = F.col("buybox_flag")
@@ -287,7 +291,7 @@ def top_items(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = No
     w = Window.partitionBy("seller_id").orderBy(F.col("_gmv").desc(), F.col("item_id").asc())
     top = agg.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     if titles is not None:
-        top = top.join(titles.select("item_id", F.col("item_title").alias("title")), "item_id", "left")
+        top = top.join(ranked_titles(titles, top, portfolio_bound(portfolio, k)), "item_id", "left")
     return top.select(
         "seller_id", "item_id", "title",
         F.round("_gmv", 2).alias("gmv"), "si",
@@ -297,6 +301,15 @@ def top_items(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = No
     )
 
 
+def ranked_titles(titles: DataFrame, top: DataFrame, few: bool) -> DataFrame:
+    """(item_id, title) of the items in `top`, one row per item."""
+    ids = top.select("item_id").distinct()
+    wanted = titles.select("item_id", F.col("item_title").alias("title")).join(
+        F.broadcast(ids) if few else ids, "item_id", "left_semi")
+    one = wanted.groupBy("item_id").agg(F.max("title").alias("title"))
+    return F.broadcast(one) if few else one
+
+
 # --------------------------------------------------------------------------- Q11
 def seller_reputation(reputation: DataFrame, portfolio: DataFrame | None = None, site: str = HOME_SITE) -> DataFrame:
     """Q11: reputation levels and rates (as percent, 2 dp) per seller."""
@@ -365,19 +378,21 @@ def top_items_by_visits(visits: DataFrame, as_of: dt.date, portfolio: DataFrame
 
 # --------------------------------------------------------------------------- Q16
 def campaign_items(optin: DataFrame, eligible: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
-                   site: str = HOME_SITE, days: int = 2, limit: int | None = 1500,
+                   site: str = HOME_SITE, days: int = 2, limit: int | None = None,
                    candidates_only: bool = True) -> DataFrame:
     """Q16: campaign opt-in rows with eligibility prices, newest first per seller.
 
     Left join on (campaign, item); eligible-side duplicates fan out. The sort is
     the reference's five keys completed to a total order by the other output
-    columns, then cut to `limit` (a global top-k: TakeOrderedAndProject keeps
-    `limit` rows per task before one final merge).
+    columns. All rows by default; `limit` cuts them to the reference's own number (a
+    global top-k: TakeOrderedAndProject keeps `limit` rows per task before one
+    final merge), which keeps the first sellers only, so reports never use it.
     """
     require(optin, ["promotion_id", "item_id", "seller_id", "type", "day", "site", "candidate_flag",
                     "offer_flag", "gmv_l30d"], "campaign_optin")
     o, late = _site_rows(optin, since_window(as_of, days), "day", site, portfolio)
-    o = in_portfolio(o, late)  # row level: no aggregate to filter after
+    # Row level: there is no aggregate to filter after. A large portfolio meets the rows by (seller, salt).
+    o = in_portfolio_salted(o, late, "item_id")
     if candidates_only:
         o = o.where(F.col("candidate_flag"))
     e = eligible.select(

@@ -242,18 +242,19 @@ def asp_series(monthly: DataFrame, daily: DataFrame, period: Period, bridge: Dat
 def growth_series(monthly: DataFrame, bridge: DataFrame, field: str = "gmv", last: int = 12) -> DataFrame:
     """For each scope's last `last` present months, % change vs the
     previous *present* month and vs the same month a year earlier (if present).
+
+    The year-ago month is a range frame over the month's number, so the mart is read once.
     """
-    roll = rollup_months(monthly, [field], bridge)
-    by_month = Window.partitionBy("scope").orderBy("month")
-    newest = Window.partitionBy("scope").orderBy(F.col("month").desc())
+    roll = rollup_months(monthly, [field], bridge).withColumn("_n", F.year("month") * 12 + F.month("month"))
+    by_month = Window.partitionBy("scope").orderBy("_n")
+    newest = Window.partitionBy("scope").orderBy(F.col("_n").desc())
     ranked = roll.select(
         "scope", "month", F.col(field).alias("value"),
         F.lag(field).over(by_month).alias("_prev"),
+        F.max(field).over(by_month.rangeBetween(-12, -12)).alias("_yago"),
         F.row_number().over(newest).alias("_k"),
     )
-    year_ago = roll.select("scope", F.add_months("month", 12).alias("month"), F.col(field).alias("_yago"))
-    out = ranked.where(F.col("_k") <= last).join(year_ago, ["scope", "month"], "left")
-    return out.select(
+    return ranked.where(F.col("_k") <= last).select(
         "scope", "month", "value",
         pct_change("value", "_prev").alias("mom_pct"),
         pct_change("value", "_yago").alias("yoy_pct"),

@@ -7,11 +7,14 @@
   d audit_latest    newest audit record per (item, seller)              -> top-1
   e assemble        b join c on (seller, catalog); left join d; classify; sort; cut
 
-Aggregations run before joins (b is aggregated before meeting c), the one-row
-last day is broadcast (its size is 1 by construction), and both "newest /
-cheapest per key" steps are `row_number() = 1`, planned with a partial
-WindowGroupLimit so each task forwards one row per key. Ties are broken by
-every remaining column so results are deterministic.
+Stages a to c are sums and minima of the same observations, so `price_days`
+reduces them once to one row per (seller, catalog, item, day): the exposure sums
+and the cheapest rival as a `min` of one struct, all combined map-side. Stages a
+to c then roll up from that table (`*_of_days`), which a caller writes once when it
+needs more than one of them. The one-row last day is broadcast (its size is 1
+by construction); "newest per key" in d is `row_number() = 1`, planned with a
+partial WindowGroupLimit. Ties are broken by every remaining column so results
+are deterministic.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sellerlens.functions.dates import since_window
-from sellerlens.functions.labels import COMPETITIVE, NON_COMPETITIVE, PRICE_TOLERANCE
+from sellerlens.functions.labels import COMPETITIVE, HOME_SITE, MATCH_TYPE, NON_COMPETITIVE, PRICE_TOLERANCE
 from sellerlens.operators.scopes import in_portfolio, keep_portfolio_sellers, split_portfolio
-from sellerlens.sources.bindings import HOME_SITE, MATCH_TYPE
 from sellerlens.sources.schemas import require
 
 
@@ -42,6 +44,43 @@ def _observations(obs: DataFrame, as_of: dt.date, days: int, site: str, match_ty
     )
 
 
+ITEM_COLUMNS = ("our_price", "rival_price", "rival_name", "rival_url", "permalink", "title")
+#: Order of "cheapest": a missing rival price first, then every other column (a struct compares field by field, nulls first).
+_CHEAPEST = ("rival_price", *(c for c in ITEM_COLUMNS if c != "rival_price"), "visits_match")
+
+
+def price_days(obs: DataFrame, as_of: dt.date, days: int = 15, site: str = HOME_SITE,
+               match_type: str = MATCH_TYPE) -> DataFrame:
+    """The observations of the window, one row per (seller, catalog, item, day), of every seller.
+
+    _vm and _ve are the visits and those at an expensive price; _cheapest is the cheapest rival's row.
+    """
+    expensive = F.when(_expensive(F.col("our_price"), F.col("rival_price")), F.col("visits_match")).otherwise(F.lit(0))
+    return _observations(obs, as_of, days, site, match_type).groupBy("seller_id", "catalog_id", "item_id", "day").agg(
+        F.sum("visits_match").alias("_vm"), F.sum(expensive).alias("_ve"), F.min(F.struct(*_CHEAPEST)).alias("_cheapest"))
+
+
+def _portfolio_rows(agg: DataFrame, portfolio: DataFrame | None) -> DataFrame:
+    early, late = split_portfolio(portfolio)
+    return keep_portfolio_sellers(in_portfolio(agg, early), late)
+
+
+def last_day_of_days(days_table: DataFrame) -> DataFrame:
+    return days_table.agg(F.max("day").alias("max_day"))
+
+
+def exposure_of_days(days_table: DataFrame, portfolio: DataFrame | None = None) -> DataFrame:
+    agg = days_table.groupBy("seller_id", "catalog_id").agg(F.sum("_vm").alias("_vm"), F.sum("_ve").alias("_ve"))
+    return _portfolio_rows(agg.where(F.col("_vm") > 0), portfolio).select(
+        "seller_id", "catalog_id", F.round("_vm", 2).alias("visits_match"), F.round("_ve", 2).alias("visits_exp3"))
+
+
+def items_last_day_of_days(days_table: DataFrame, portfolio: DataFrame | None = None) -> DataFrame:
+    newest = days_table.join(F.broadcast(last_day_of_days(days_table)), F.col("day") == F.col("max_day"))
+    return _portfolio_rows(newest, portfolio).select(
+        "seller_id", "catalog_id", "item_id", *[F.col(f"_cheapest.{c}").alias(c) for c in ITEM_COLUMNS])
+
+
 def last_day(obs: DataFrame, as_of: dt.date, days: int = 15, site: str = HOME_SITE,
              match_type: str = MATCH_TYPE) -> DataFrame:
     """One row (max_day) over every seller's recent observations."""
@@ -51,37 +90,16 @@ def last_day(obs: DataFrame, as_of: dt.date, days: int = 15, site: str = HOME_SI
 def exposure(obs: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 15,
              site: str = HOME_SITE, match_type: str = MATCH_TYPE) -> DataFrame:
     """(seller_id, catalog_id, visits_match, visits_exp3), positive exposure only."""
-    early, late = split_portfolio(portfolio)
-    df = in_portfolio(_observations(obs, as_of, days, site, match_type), early)
-    agg = df.groupBy("seller_id", "catalog_id").agg(
-        F.sum("visits_match").alias("_vm"),
-        F.sum(F.when(_expensive(F.col("our_price"), F.col("rival_price")), F.col("visits_match"))
-              .otherwise(F.lit(0))).alias("_ve"),
-    )
-    return keep_portfolio_sellers(agg, late).where(F.col("_vm") > 0).select(
-        "seller_id", "catalog_id", F.round("_vm", 2).alias("visits_match"), F.round("_ve", 2).alias("visits_exp3")
-    )
-
-
-ITEM_COLUMNS = ("our_price", "rival_price", "rival_name", "rival_url", "permalink", "title")
+    return exposure_of_days(price_days(obs, as_of, days, site, match_type), portfolio)
 
 
 def items_last_day(obs: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None, days: int = 15,
                    site: str = HOME_SITE, match_type: str = MATCH_TYPE) -> DataFrame:
     """Per (seller, catalog, item) on the last day, the cheapest rival row.
 
-    Ascending rival price puts a missing (NULL) rival price first.
+    A missing (NULL) rival price comes first.
     """
-    base = _observations(obs, as_of, days, site, match_type)
-    day = F.broadcast(last_day(obs, as_of, days, site, match_type))
-    early, late = split_portfolio(portfolio)
-    df = in_portfolio(base, early).join(day, F.col("day") == F.col("max_day")).drop("max_day")
-    order = [F.col("rival_price").asc_nulls_first()] + [
-        F.col(c).asc_nulls_first() for c in ITEM_COLUMNS if c != "rival_price"
-    ] + [F.col("visits_match").asc_nulls_first()]
-    w = Window.partitionBy("seller_id", "catalog_id", "item_id").orderBy(*order)
-    cheapest = df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1)
-    return keep_portfolio_sellers(cheapest, late).select("seller_id", "catalog_id", "item_id", *ITEM_COLUMNS)
+    return items_last_day_of_days(price_days(obs, as_of, days, site, match_type), portfolio)
 
 
 def audit_latest(audit: DataFrame, audit_as_of: dt.datetime | dt.date, portfolio: DataFrame | None = None,
@@ -116,10 +134,17 @@ def audit_latest(audit: DataFrame, audit_as_of: dt.datetime | dt.date, portfolio
 def price_competitiveness(obs: DataFrame, audit: DataFrame, as_of: dt.date, audit_as_of: dt.datetime | dt.date,
                           portfolio: DataFrame | None = None, days: int = 15, audit_days: int = 3,
                           site: str = HOME_SITE, match_type: str = MATCH_TYPE,
-                          limit: int | None = 500) -> DataFrame:
-    """Q15e: assemble, classify and cut (seller asc, expensive exposure desc)."""
-    b = exposure(obs, as_of, portfolio, days, site, match_type)
-    i = items_last_day(obs, as_of, portfolio, days, site, match_type)
+                          limit: int | None = None, days_table: DataFrame | None = None) -> DataFrame:
+    """Q15e: assemble and classify.
+
+    All rows by default; `limit` cuts them in the reference's order (seller id as text,
+    expensive exposure descending), which keeps the first sellers only, so reports
+    never use it. `days_table` is a written `price_days` result, so that the
+    observations are read once.
+    """
+    base = price_days(obs, as_of, days, site, match_type) if days_table is None else days_table
+    b = exposure_of_days(base, portfolio)
+    i = items_last_day_of_days(base, portfolio)
     a = audit_latest(audit, audit_as_of, portfolio, audit_days)
     bi = b.join(i, ["seller_id", "catalog_id"])
     bi = bi.withColumn("audit_item_id", F.concat(F.lit(site), F.col("item_id").cast("string")))
@@ -142,9 +167,9 @@ def price_competitiveness(obs: DataFrame, audit: DataFrame, as_of: dt.date, audi
 
 
 def price_order() -> list[Column]:
-    """(seller asc, visits_exp3 desc) completed to a total order."""
+    """(seller id as text asc, visits_exp3 desc) completed to a total order."""
     return [
-        F.col("seller_id").asc(), F.col("visits_exp3").desc_nulls_last(), F.col("item_id").asc(),
+        F.col("seller_id").cast("string").asc(), F.col("visits_exp3").desc_nulls_last(), F.col("item_id").asc(),
         F.col("visits_match").asc_nulls_first(), F.col("our_price").asc_nulls_first(),
         F.col("rival_price_min").asc_nulls_first(), F.col("rival_name").asc_nulls_first(),
         F.col("rival_url").asc_nulls_first(), F.col("permalink").asc_nulls_first(),

@@ -32,6 +32,8 @@ from sellerlens.operators.scopes import seller_label
 from sellerlens.plans.broadcast import broadcast_if_bounded
 
 DEFAULT_ITEM_URL = "https://items.example/HOME-"
+#: Parts that a scope's rows are ranked in before they meet.
+TOP_SALTS = 64
 
 
 def attach_per_scope(df: DataFrame, per_scope: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -62,7 +64,7 @@ def seller_sales_table(monthly: DataFrame, daily: DataFrame, period: Period, bri
         ratio_or_zero("gmv", "si").alias("asp"),
         pct_or_zero("gmv", "_tg").alias("share_pct"),
     )
-    return seller_label(out, portfolio).orderBy("scope", F.col("gmv").desc(), "seller_id")
+    return seller_label(out, portfolio)
 
 
 # ----------------------------------------------------------------------------- P19-P21 logistics
@@ -96,7 +98,8 @@ def logistics_series(monthly: DataFrame, daily: DataFrame, period: Period, bridg
     )
 
 
-def logistics_seller_table(monthly: DataFrame, daily: DataFrame, period: Period, bridge: DataFrame) -> DataFrame:
+def logistics_seller_table(monthly: DataFrame, daily: DataFrame, period: Period, bridge: DataFrame,
+                           portfolio: DataFrame) -> DataFrame:
     """Per seller gmv and share per class (0 on a zero total); flag FF >= 50%."""
     per = M.rollup_sellers(_mart_for(period, monthly, daily), list(LOGISTIC_GMV), bridge, period)
     out = per.select(
@@ -105,9 +108,7 @@ def logistics_seller_table(monthly: DataFrame, daily: DataFrame, period: Period,
         "gmv_xd", pct_or_zero("gmv_xd", "gmv_total").alias("xd_pct"),
         "gmv_ss", pct_or_zero("gmv_ss", "gmv_total").alias("ss_pct"),
     )
-    return out.withColumn("ff_flag", F.col("ff_pct") >= F.lit(L.FF_SHARE_FLAG)).orderBy(
-        "scope", F.col("gmv_total").desc(), "seller_id"
-    )
+    return seller_label(out.withColumn("ff_flag", F.col("ff_pct") >= F.lit(L.FF_SHARE_FLAG)), portfolio)
 
 
 # ----------------------------------------------------------------------------- P22-P26 ads
@@ -194,7 +195,6 @@ def _daily_ads_ratios(ads_daily: DataFrame, sales_daily: DataFrame, rng: tuple,
 
 
 RATIO_METRICS = ("roas", "acos", "ads_share", "take_rate")
-LOWER_IS_BETTER = {"acos"}
 
 
 def _ratio_delta(m: str, role: str, has_role: bool) -> Column:
@@ -271,7 +271,7 @@ def take_rate_series(ads_monthly: DataFrame, sales_monthly: DataFrame, bridge: D
 
 
 def ads_seller_table(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly: DataFrame,
-                     sales_daily: DataFrame, period: Period, bridge: DataFrame) -> DataFrame:
+                     sales_daily: DataFrame, period: Period, bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
     """Per seller: spend, ads gmv, clicks, ROAS, ACOS %, take rate %, ads share %."""
     per = M.rollup_sellers(_mart_for(period, ads_monthly, ads_daily), list(ADS_FIELDS), bridge, period)
     gmv = M.rollup_sellers(_mart_for(period, sales_monthly, sales_daily), ["gmv"], bridge, period)
@@ -291,7 +291,7 @@ def ads_seller_table(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly
         _take_rate("ads_invest", "_pg").alias("take_rate"),
         pct_or_zero("gmv_ads", F.coalesce(F.col("gmv"), F.lit(0))).alias("ads_share"),
     )
-    return out.orderBy("scope", F.col("ads_invest").desc(), "seller_id")
+    return seller_label(out, portfolio)
 
 
 # ----------------------------------------------------------------------------- P27-P30 investments
@@ -331,8 +331,8 @@ def investment_series(monthly: DataFrame, daily: DataFrame, period: Period, brid
 
 
 def investment_seller_table(monthly: DataFrame, daily: DataFrame, sales_daily: DataFrame, period: Period,
-                            bridge: DataFrame) -> DataFrame:
-    """Per seller gmv, families, total and total / gmv % (0 without gmv); total desc."""
+                            bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """Per seller gmv, families, total and total / gmv % (0 without gmv)."""
     from sellerlens.operators.marts import INVESTMENT_COLUMNS
 
     cols = list(INVESTMENT_COLUMNS)
@@ -344,9 +344,7 @@ def investment_seller_table(monthly: DataFrame, daily: DataFrame, sales_daily: D
     t = per.select("scope", "seller_id", F.coalesce(F.col("gmv"), F.lit(0)).alias("gmv"),
                    _fam("g1").alias("g1"), _fam("g2").alias("g2"), _fam("g3").alias("g3"))
     t = t.withColumn("total", F.col("g1") + F.col("g2") + F.col("g3"))
-    return t.withColumn("invest_pct", pct_or_zero("total", "gmv")).orderBy(
-        "scope", F.col("total").desc(), "seller_id"
-    )
+    return seller_label(t.withColumn("invest_pct", pct_or_zero("total", "gmv")), portfolio)
 
 
 # ----------------------------------------------------------------------------- P31 catalog
@@ -356,19 +354,20 @@ def item_url(item_id: str | Column = "item_id", prefix: str = DEFAULT_ITEM_URL)
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
-def catalog_table(top: DataFrame, bridge: DataFrame, url_prefix: str = DEFAULT_ITEM_URL) -> DataFrame:
+def catalog_table(top: DataFrame, bridge: DataFrame, portfolio: DataFrame, url_prefix: str = DEFAULT_ITEM_URL) -> DataFrame:
     """Listed top items of the scope's sellers with share of the listed gmv,
     buy-box % of gmv (0 without gmv), flag >= 50% and item link."""
     rows = M.scoped(top, bridge)
     tot = rows.groupBy("scope").agg(F.sum("gmv").alias("_tg"))
     t = attach_per_scope(rows, tot, bridge)
     bb = pct_or_zero("gmv_bb", "gmv")
-    return t.select(
+    out = t.select(
         "scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
         "gmv", "si", "asp", pct_or_zero("gmv", "_tg").alias("share_pct"), "gmv_bb",
         bb.alias("bb_pct"), (bb >= F.lit(L.BUYBOX_SHARE_FLAG)).alias("bb_flag"),
         item_url("item_id", url_prefix).alias("item_url"),
     )
+    return seller_label(out, portfolio)
 
 
 # ----------------------------------------------------------------------------- P32 / P33 scorecard
@@ -422,7 +421,7 @@ def scorecard(sales_monthly: DataFrame, sales_daily: DataFrame, rep: DataFrame,
         F.sum(F.when(day.between(F.lit(w1[0]), F.lit(w1[1])), F.col("gmv")).otherwise(F.lit(0))).alias("_w1"),
         F.sum(F.when(day.between(F.lit(w2[0]), F.lit(w2[1])), F.col("gmv")).otherwise(F.lit(0))).alias("_w2"),
     )
-    base = portfolio.select("seller_id", "name")
+    base = portfolio.groupBy("seller_id").agg(F.min("name").alias("name"))
     t = base.join(m, "seller_id", "left").join(d, "seller_id", "left").join(rep, "seller_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return t.select(
@@ -436,7 +435,7 @@ def scorecard(sales_monthly: DataFrame, sales_daily: DataFrame, rep: DataFrame,
         reputation_class("current_level").alias("rep_class"),
         reputation_label("current_level").alias("rep_label"),
         "claims_pct", "delay_pct", "cancel_pct",
-    ).orderBy("name", "seller_id")
+    )
 
 
 # ----------------------------------------------------------------------------- P34-P37 visits
@@ -474,8 +473,8 @@ def conversion_series(visits_monthly: DataFrame, visits_daily: DataFrame, sales_
 
 
 def visits_seller_table(visits_monthly: DataFrame, visits_daily: DataFrame, sales_monthly: DataFrame,
-                        sales_daily: DataFrame, period: Period, bridge: DataFrame) -> DataFrame:
-    """Per seller visits, VIP visits, units and units per visit %; visits desc."""
+                        sales_daily: DataFrame, period: Period, bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """Per seller visits, VIP visits, units and units per visit %."""
     if period.daily:
         v = M.rollup_sellers(visits_daily.withColumn("visits_vip", F.lit(0).cast("bigint")),
                              ["visits", "visits_vip"], bridge, period)
@@ -485,28 +484,41 @@ def visits_seller_table(visits_monthly: DataFrame, visits_daily: DataFrame, sale
         u = M.rollup_sellers(sales_monthly, ["si"], bridge, period)
     t = v.join(u, ["scope", "seller_id"], "left")
     units = F.coalesce(F.col("si"), F.lit(0))
-    return t.select("scope", "seller_id", "visits", "visits_vip", units.alias("units"),
-                    pct_or_zero(units, "visits").alias("units_per_visit_pct")).orderBy(
-        "scope", F.col("visits").desc(), "seller_id"
-    )
+    out = t.select("scope", "seller_id", "visits", "visits_vip", units.alias("units"),
+                   pct_or_zero(units, "visits").alias("units_per_visit_pct"))
+    return seller_label(out, portfolio)
+
+
+def top_per_scope(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each scope with their rank, in two levels.
+
+    The scope "all" takes part of every seller's rows, so the rows of a scope are first cut to k in each
+    of the salts its sellers fall into (all their partial limits stay map-side), and the few winners meet then.
+    """
+    salt = F.pmod(F.xxhash64("seller_id"), F.lit(TOP_SALTS))
+    first = Window.partitionBy("scope", "_salt").orderBy(*order)
+    few = rows.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    last = Window.partitionBy("scope").orderBy(*order)
+    return few.drop("_salt", "_r").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
-def visited_items_table(top_visited: DataFrame, top_sold: DataFrame, bridge: DataFrame, k: int = 50) -> DataFrame:
+def visited_items_table(top_visited: DataFrame, top_sold: DataFrame, bridge: DataFrame, portfolio: DataFrame,
+                        k: int = 50) -> DataFrame:
     """The scope's k most visited items (shown visits desc), with title and
     units of the top-selling items (missing: '' and 0) and units per visit %."""
     v = M.scoped(top_visited.select("seller_id", "item_id", "visits"), bridge)
-    w = Window.partitionBy("scope").orderBy(F.col("visits").desc(), F.col("seller_id"), F.col("item_id"))
-    v = v.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    v = top_per_scope(v, [F.col("visits").desc(), F.col("seller_id"), F.col("item_id")], k)
     sold = top_sold.select("seller_id", "item_id", "title", "si")
     t = v.join(sold, ["seller_id", "item_id"], "left")
     units = F.coalesce(F.col("si"), F.lit(0))
-    return t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
-                    "visits", units.alias("units"), pct_or_zero(units, "visits").alias("units_per_visit_pct"),
-                    F.col("rank").cast("bigint").alias("rank"))
+    out = t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
+                   "visits", units.alias("units"), pct_or_zero(units, "visits").alias("units_per_visit_pct"),
+                   F.col("rank").cast("bigint").alias("rank"))
+    return seller_label(out, portfolio)
 
 
 # ----------------------------------------------------------------------------- P38 / P39 campaigns
-def campaign_seller_summary(campaigns: DataFrame, bridge: DataFrame) -> DataFrame:
+def campaign_seller_summary(campaigns: DataFrame, bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
     """Per seller rows, eligible, opted in, opted-in / eligible % (0 without eligible)."""
     per = campaigns.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("total"),
@@ -514,10 +526,9 @@ def campaign_seller_summary(campaigns: DataFrame, bridge: DataFrame) -> DataFram
         F.count_if(F.coalesce(F.col("opt_in"), F.lit(False))).alias("opt_in"),
     )
     t = M.scoped(per, bridge)
-    return t.select("scope", "seller_id", "total", "eligible", "opt_in",
-                    pct_or_zero("opt_in", "eligible").alias("optin_pct")).orderBy(
-        "scope", F.col("eligible").desc(), "seller_id"
-    )
+    out = t.select("scope", "seller_id", "total", "eligible", "opt_in",
+                   pct_or_zero("opt_in", "eligible").alias("optin_pct"))
+    return seller_label(out, portfolio)
 
 
 def campaign_mart_order() -> list[Column]:
@@ -530,21 +541,20 @@ def campaign_mart_order() -> list[Column]:
     ]
 
 
-def campaign_item_table(campaigns: DataFrame, bridge: DataFrame, k: int = 500) -> DataFrame:
+def campaign_item_table(campaigns: DataFrame, bridge: DataFrame, portfolio: DataFrame, k: int = 500) -> DataFrame:
     """The scope's top-k rows by 30-day gmv with type label and discount %
     ((1 - final / initial) * 100, NULL unless both prices are positive)."""
-    t = M.scoped(campaigns, bridge)
-    w = Window.partitionBy("scope").orderBy(F.col("gmv_l30d").desc_nulls_last(), *campaign_mart_order())
-    t = t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    t = top_per_scope(M.scoped(campaigns, bridge), [F.col("gmv_l30d").desc_nulls_last(), *campaign_mart_order()], k)
     ini, fin = F.col("price_initial"), F.col("price_final")
     disc = F.when((ini > 0) & fin.isNotNull() & (fin != 0),
                   (F.lit(1.0) - fin.cast("double") / ini.cast("double")) * 100.0)
-    return t.select(
+    out = t.select(
         "scope", "seller_id", "type",
         F.coalesce(L.map_lookup("type", L.CAMPAIGN_TYPE_LABELS), F.col("type")).alias("type_label"),
         "item_id", "day", "eligible", "opt_in", "price_initial", "price_final",
         disc.alias("discount_pct"), "gmv_l30d", F.col("rank").cast("bigint").alias("rank"),
     )
+    return seller_label(out, portfolio)
 
 
 # ----------------------------------------------------------------------------- P40-P44 price
@@ -557,8 +567,11 @@ def price_kpi(price: DataFrame, bridge: DataFrame) -> DataFrame:
     return s.select("scope", "visits", "visits_exp", pct_or_zero("visits_exp", "visits").alias("expensive_pct"))
 
 
-def price_seller_table(price: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Per seller items, non-competitive items, visits, expensive visits, % and band."""
+def price_seller_table(price: DataFrame, bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """Per seller items, non-competitive items, visits, expensive visits, % and band.
+
+    The band is of the percentage as shown, rounded to one decimal: 30.04 % is shown as 30.0 and is not above 30.
+    """
     per = price.groupBy("seller_id").agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(F.col("classification") == F.lit(L.NON_COMPETITIVE)).alias("non_competitive"),
@@ -568,30 +581,29 @@ def price_seller_table(price: DataFrame, bridge: DataFrame) -> DataFrame:
     hi, mid = L.EXPENSIVE_BANDS
     t = M.scoped(per, bridge).select("scope", "seller_id", "items", "non_competitive", "visits", "visits_exp",
                                      p.alias("expensive_pct"))
-    band = F.when(F.col("expensive_pct") > hi, F.lit("high")).when(F.col("expensive_pct") > mid, F.lit("medium"))
-    return t.withColumn("band", band.otherwise(F.lit("low"))).orderBy(
-        "scope", F.col("visits_exp").desc(), "seller_id"
-    )
+    shown = F.round("expensive_pct", 1)
+    band = F.when(shown > hi, F.lit("high")).when(shown > mid, F.lit("medium"))
+    return seller_label(t.withColumn("band", band.otherwise(F.lit("low"))), portfolio)
 
 
-def price_item_table(price: DataFrame, bridge: DataFrame, k: int = 200) -> DataFrame:
+def price_item_table(price: DataFrame, bridge: DataFrame, portfolio: DataFrame, k: int = 200) -> DataFrame:
     """Non-competitive items of the scope, top-k by expensive exposure,
     with price gap % ((our / rival - 1) * 100, NULL if either is missing or 0)."""
     t = M.scoped(price.where(F.col("classification") == F.lit(L.NON_COMPETITIVE)), bridge)
-    w = Window.partitionBy("scope").orderBy(F.col("visits_exp3").desc_nulls_last(), *price_order())
-    t = t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    t = top_per_scope(t, [F.col("visits_exp3").desc_nulls_last(), *price_order()], k)
     ours, rival = F.col("our_price"), F.col("rival_price_min")
     gap = F.when((ours != 0) & (rival != 0), (ours.cast("double") / rival.cast("double") - 1.0) * 100.0)
-    return t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
-                    "our_price", "rival_price_min", gap.alias("gap_pct"), "rival_name", "visits_match",
-                    "visits_exp3", "permalink", "rival_url", F.col("rank").cast("bigint").alias("rank"))
+    out = t.select("scope", "seller_id", "item_id", F.coalesce(F.col("title"), F.lit("")).alias("title"),
+                   "our_price", "rival_price_min", gap.alias("gap_pct"), "rival_name", "visits_match",
+                   "visits_exp3", "permalink", "rival_url", F.col("rank").cast("bigint").alias("rank"))
+    return seller_label(out, portfolio)
 
 
-def qualification_table(price: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Per seller the first non-NULL qualification in mart order, with rank,
+def qualification_table(price: DataFrame, bridge: DataFrame, portfolio: DataFrame) -> DataFrame:
+    """Per seller the first qualification (not NULL, not empty) in mart order, with rank,
     label, benefit eligibility (C3 is not eligible; unknown codes are) and the
     seller's count of non-competitive items. Sellers without one are absent."""
-    q = price.where(F.col("qualification").isNotNull())
+    q = price.where(F.col("qualification") != "")
     w = Window.partitionBy("seller_id").orderBy(*price_order())
     first = q.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select("seller_id", "qualification")
     nc = price.groupBy("seller_id").agg(
@@ -606,4 +618,4 @@ def qualification_table(price: DataFrame, bridge: DataFrame) -> DataFrame:
         F.coalesce(L.map_lookup(qual, L.QUALIFICATION_ELIGIBLE), F.lit(True)).alias("benefit_eligible"),
         F.coalesce(F.col("non_competitive"), F.lit(0)).alias("non_competitive"),
     )
-    return M.scoped(t, bridge).orderBy("scope", "qual_rank", "seller_id")
+    return seller_label(M.scoped(t, bridge), portfolio)

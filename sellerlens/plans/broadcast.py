@@ -1,13 +1,16 @@
 """Broadcast only behind a size check.
 
-`is_small` runs one bounded action on a *dimension* frame (`limit(n + 1).count()`,
-which stops after n + 1 rows). The capped count is remembered for the session
-under the frame's semantic plan hash (confirmed with `sameSemantics`), so every
-query that joins the same dimension - however often it is re-read - checks it
-once, and one count answers every bound up to the cap.
+`is_small` runs one bounded action on a *dimension* frame (`limit(n + 1)`, which
+stops after n + 1 rows) and compares its rows and bytes with the session's
+bounds. The measured size is remembered for the session under the frame's
+semantic plan hash (confirmed with `sameSemantics`), so every query that joins
+the same dimension - however often it is re-read - checks it once, and one
+measurement answers every bound up to its cap. A refresh starts with
+`forget_sizes`, so a dimension that grows under a long-lived session is measured
+anew; at most MEMO_FRAMES frames are remembered.
 `broadcast_if_small` hints a broadcast only when the frame is proven to hold
-at most `max_rows` rows; beyond that the frame is returned as is and the join
-shuffles (AQE may still demote it to a broadcast from measured sizes).
+at most `max_rows` rows and MAX_BYTES bytes; beyond that the frame is returned as
+is and the join shuffles (AQE may still demote it to a broadcast from measured sizes).
 
 Derived frames whose row count is bounded by a checked dimension (one row per
 scope is bounded by the scope bridge) reuse that dimension's answer through
@@ -20,61 +23,81 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_MAX_ROWS = 1_000_000
+DEFAULT_MAX_BYTES = 256 << 20
 MAX_ROWS_CONF = "spark.sellerlens.broadcast.maxRows"
+MAX_BYTES_CONF = "spark.sellerlens.broadcast.maxBytes"
+MEMO_FRAMES = 64
 _MEMO = "_sellerlens_small"
 
 
+def _setting(df: DataFrame, key: str, default: int) -> int:
+    value = df.sparkSession.conf.get(key, str(default))
+    return int(value) if str(value).isdigit() else default
+
+
 def max_rows_for(df: DataFrame) -> int:
     """The row bound: session setting `spark.sellerlens.broadcast.maxRows`, else 1,000,000."""
-    try:
-        return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(DEFAULT_MAX_ROWS)))
-    except Exception:  # noqa: BLE001 - a missing/odd setting falls back to the default
-        return DEFAULT_MAX_ROWS
+    return _setting(df, MAX_ROWS_CONF, DEFAULT_MAX_ROWS)
+
+
+def max_bytes_for(df: DataFrame) -> int:
+    """The byte bound: session setting `spark.sellerlens.broadcast.maxBytes`, else 256 MiB."""
+    return _setting(df, MAX_BYTES_CONF, DEFAULT_MAX_BYTES)
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+# session key -> [(semantic hash, frame, cap, rows capped at cap + 1, bytes of those rows)]
+_SIZES: dict[str, list[tuple[int, DataFrame, int, int, int]]] = {}
+
+
+def forget_sizes(df_or_spark) -> None:
+    """Measure every dimension of this session anew from now on."""
+    from sellerlens.sources.tables import session_key
+
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    _SIZES.pop(session_key(spark), None)
 
 
-# session key -> semantic hash -> [(frame, cap, count capped at cap + 1)]
-_COUNTS: dict[str, dict[int, list[tuple[DataFrame, int, int]]]] = {}
+def _measure(df: DataFrame, cap: int) -> tuple[int, int]:
+    """(rows, bytes) of the first cap + 1 rows: 8 bytes a value, and the length of texts."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = F.lit(8 * len(df.columns)).cast("long")
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    rows, total = df.limit(cap + 1).select(size.alias("s")).agg(F.count("*"), F.sum("s")).first()
+    return rows, total or 0
 
 
-def _capped_count(df: DataFrame, cap: int) -> tuple[int, int]:
-    """(count capped at cap + 1, cap) for df, from the session memo when possible."""
+def _capped_size(df: DataFrame, cap: int) -> tuple[int, int, int]:
+    """(rows capped at cap + 1, bytes, cap) of df, from the session memo when possible."""
     from sellerlens.sources.tables import session_key
 
-    try:
-        h = df.semanticHash()
-    except Exception:  # noqa: BLE001 - frames without a comparable plan are counted each time
-        return df.limit(cap + 1).count(), cap
-    entries = _COUNTS.setdefault(session_key(df.sparkSession), {}).setdefault(h, [])
-    for i, (frame, c, n) in enumerate(entries):
-        if frame is df or frame.sameSemantics(df):
+    h = df.semanticHash()
+    entries = _SIZES.setdefault(session_key(df.sparkSession), [])
+    for entry in list(entries):
+        eh, frame, c, n, b = entry
+        if eh == h and (frame is df or frame.sameSemantics(df)):
             if n <= c or cap <= c:  # exact count known, or already known to exceed this cap
-                return n, c
-            del entries[i]
+                return n, b, c
+            entries.remove(entry)
             break
-    n = df.limit(cap + 1).count()
-    entries.append((df, cap, n))
-    return n, cap
+    n, b = _measure(df, cap)
+    entries.append((h, df, cap, n, b))
+    del entries[:-MEMO_FRAMES]
+    return n, b, cap
 
 
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether df is proven to have at most `max_rows` rows (else the session's bound) and the session's bytes."""
     max_rows = max_rows or max_rows_for(df)
-    memo = getattr(df, _MEMO, None)
-    if memo is None:
-        memo = {}
-        try:
-            setattr(df, _MEMO, memo)
-        except AttributeError:
-            pass
-    if max_rows not in memo:
-        n, cap = _capped_count(df, max(max_rows, max_rows_for(df)))
-        memo[max_rows] = n <= max_rows if n <= cap else False
-    return memo[max_rows]
+    bounded = getattr(df, _MEMO, None)
+    if bounded is not None:
+        source, factor = bounded
+        return is_small(source, max(1, max_rows // factor))
+    n, size, cap = _capped_size(df, max(max_rows, max_rows_for(df)))
+    return n <= max_rows and n <= cap and size <= max_bytes_for(df)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -92,10 +115,5 @@ def mark_bounded_by(derived: DataFrame, source: DataFrame, factor: int) -> DataF
     Its size check is then answered by checking `source` against max_rows / factor,
     so no extra job runs for the derived frame.
     """
-    max_rows = max_rows_for(source)
-    memo = {max_rows: is_small(source, max(1, max_rows // factor))}
-    try:
-        setattr(derived, _MEMO, memo)
-    except AttributeError:
-        pass
+    setattr(derived, _MEMO, (source, factor))
     return derived

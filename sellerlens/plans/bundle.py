@@ -1,10 +1,12 @@
-"""Daily refresh: all marts of one as-of date, written as one bundle.
+"""Daily refresh: all marts and reports of one as-of date, published as one bundle.
 
-The reference ran its marts as separate warehouse queries, eight of them over
-the same order-line fact. Here the expensive part - binding order lines
-(lineitem joined to orders) restricted to the two-year window, countable
-lines and the portfolio - runs once and is written to the shared checkpoint
-folder (`spark.checkpoint.dir`). From that slice:
+The caller passes its logical inputs (any object with the frames of `LogicalInputs`
+as attributes), the as-of date and the report modes; nothing here knows the
+test bindings.
+
+The expensive part - order lines restricted to the two-year window,
+countable lines and the portfolio - runs once and is written to the shared
+checkpoint folder (`spark.checkpoint.dir`). From that slice:
 
   * `seller_day` (every additive sales measure per day and seller, exact) is
     computed in one pass and written next to it; the six additive sales marts
@@ -12,12 +14,18 @@ folder (`spark.checkpoint.dir`). From that slice:
     table instead of the lines;
   * the two non-additive marts read the slice: distinct orders (Q09) and the
     item ranking (Q10, whose 3-month window skips row groups by day);
-  * in the same first phase, `ads_day` and `visits_day` (per day and seller)
-    are written from one read of their sources; the monthly and daily ads
-    and visits marts (Q04, Q07, Q12, Q13) roll up from them.
+  * in the same first phase, `ads_day`, `visits_day` (per day and seller) and
+    `price_days` (observations per item and day) are written from one read of
+    their sources; Q04, Q07, Q12, Q13 and Q15 roll up from them.
 
 Writing tables (rather than caching) cuts the lineage, so a lost executor
-re-reads a written table instead of recomputing the join.
+re-reads a written table instead of recomputing the join. The tables of a
+refresh live in one work folder, which is deleted when the bundle is out.
+
+A bundle is a folder of versions and a file that names the current one. A
+version is written whole, then the name is replaced by a rename: readers see the
+old bundle or the new one, with one refresh stamp, and a refresh that fails
+leaves the old one in place.
 
 The 90-day and 3-month windows lie inside the two-year window (which starts
 on January 1st of the previous year), so one slice serves every sales mart.
@@ -26,8 +34,8 @@ on January 1st of the previous year), so one slice serves every sales mart.
 from __future__ import annotations
 
 import datetime as dt
-import os
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,129 +44,148 @@ from pyspark.sql import functions as F
 from sellerlens.functions.dates import two_year_window
 from sellerlens.operators import marts, price
 from sellerlens.operators.scopes import in_portfolio, split_portfolio
+from sellerlens.plans.broadcast import forget_sizes
 from sellerlens.session import checkpoint_dir
-from sellerlens.sources.bindings import LogicalInputs
+from sellerlens.sources import store
 from sellerlens.sources.sinks import normalize, with_refresh_stamp
-from sellerlens.sources.tables import load_tables
 
 SALES_SLICE_COLUMNS = (
     "seller_id", "order_id", "item_id", "closed_date", "gmv", "units", "gmv_flag", "logistic_type",
     "buybox_flag", "deal_subtype", "deal_invest", "dod_invest", "lightning_invest", "price_match_flag",
     "smart_flag", "auto_invest", "coupon_amount", "coupon_by_seller_flag",
 )
+CURRENT = "_current"
 
 
-def sales_slice(spark: SparkSession, sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None,
-                path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Materialise the countable, in-window order lines once.
-
-    Returns (slice, portfolio still to apply). A broadcastable portfolio is
-    applied here; a large one is left to the marts, which apply it to their
-    per-seller aggregates. Rows are sorted by day within each task before the
-    write (no shuffle), so parquet row-group statistics on closed_date let the
-    3-month item ranking (Q10) skip most of the slice.
-    """
-    early, late = split_portfolio(portfolio)
-    return write_checkpoint_table(spark, _slice_rows(sales, as_of, early), "sales-slice", path), late
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for the tables of one refresh, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/refresh-{uuid.uuid4().hex}"
 
 
 def _slice_rows(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None) -> DataFrame:
+    """Countable, in-window order lines, sorted by day within each task (no shuffle), so that parquet
+    row-group statistics on closed_date let the 3-month item ranking (Q10) skip most of the slice."""
     df = in_portfolio(sales.where(F.col("gmv_flag") & two_year_window(as_of).predicate("closed_date")), portfolio)
     return df.select(*SALES_SLICE_COLUMNS).sortWithinPartitions("closed_date", "seller_id")
 
 
-def write_checkpoint_table(spark: SparkSession, df: DataFrame, prefix: str, path: str | None = None) -> DataFrame:
-    """Write df as parquet under the shared checkpoint folder and read it back (lineage cut)."""
-    path = path or os.path.join(checkpoint_dir(spark), f"{prefix}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def build_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
+def _write_all(write, items: dict, parallel_jobs: int) -> dict:
+    """Apply `write` to every (name, frame); independent Spark jobs are submitted from a
+    few driver threads, so small marts run beside large ones instead of after them."""
+    if parallel_jobs <= 1:
+        return {name: write(name, df) for name, df in items.items()}
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        futures = {name: pool.submit(write, name, df) for name, df in items.items()}
+        return {name: f.result() for name, f in futures.items()}
+
+
+def build_marts(inputs, work: str, as_of: dt.date, audit_as_of: dt.datetime,
                 audit_days: int = 3, campaign_days: int = 2, parallel_jobs: int = 4) -> dict[str, DataFrame]:
-    """The bundle's marts as lazy frames (the slice and the day tables are written eagerly)."""
-    i = LogicalInputs(load_tables(spark, sf_dir))
-    pf = i.portfolio
-    # phase 1, concurrently: the order-line slice and the ads / visits day tables (one read per source)
+    """The bundle's marts as lazy frames (the slice and the day tables are written under `work`)."""
+    pf = inputs.portfolio
+    forget_sizes(pf)
     early, late = split_portfolio(pf)
-    first = _write_all(lambda name, df: write_checkpoint_table(spark, df, name), {
-        "sales-slice": _slice_rows(i.sales, as_of, early),
-        "ads-day": marts.ads_day(i.ads_daily, as_of, pf),
-        "visits-day": marts.visits_day(i.visits, as_of, pf),
+    first = _write_all(lambda name, df: _written(df, f"{work}/{name}"), {
+        "sales-slice": _slice_rows(inputs.sales, as_of, early),
+        "ads-day": marts.ads_day(inputs.ads_daily, as_of, pf),
+        "visits-day": marts.visits_day(inputs.visits, as_of, pf),
+        "price-days": price.price_days(inputs.price_obs, as_of),
     }, parallel_jobs)
     sales = first["sales-slice"]
-    # phase 2: the sales day table from the slice
-    days = write_checkpoint_table(spark, marts.seller_day(sales, as_of, late), "seller-day")
+    days = _written(marts.seller_day(sales, as_of, late), f"{work}/seller-day")
     return {
         **marts.sales_marts_from_days(days, as_of),
         **marts.ads_marts_from_days(first["ads-day"], as_of),
         **marts.visits_marts_from_days(first["visits-day"], as_of),
         "buybox_monthly": marts.buybox_monthly(sales, as_of, late),
-        "top_items": marts.top_items(sales, as_of, late, k=20, titles=i.item_titles),
-        "seller_reputation": marts.seller_reputation(i.reputation, pf),
-        "top_items_by_visits": marts.top_items_by_visits(i.visits, as_of, pf, k=50),
+        "top_items": marts.top_items(sales, as_of, late, k=20, titles=inputs.item_titles),
+        "seller_reputation": marts.seller_reputation(inputs.reputation, pf),
+        "top_items_by_visits": marts.top_items_by_visits(inputs.visits, as_of, pf, k=50),
         "price_competitiveness": price.price_competitiveness(
-            i.price_obs, i.price_audit, as_of, audit_as_of, pf, audit_days=audit_days),
-        "campaign_items": marts.campaign_items(i.campaign_optin, i.campaign_eligible, as_of, pf,
+            inputs.price_obs, inputs.price_audit, as_of, audit_as_of, pf, audit_days=audit_days,
+            days_table=first["price-days"]),
+        "campaign_items": marts.campaign_items(inputs.campaign_optin, inputs.campaign_eligible, as_of, pf,
                                                days=campaign_days),
         "sellers": pf,
     }
 
 
-def _write_all(write, items: dict, parallel_jobs: int) -> dict:
-    """Apply `write` to every (name, frame); independent Spark jobs are submitted from a
-    few driver threads, so small marts run beside large ones instead of after them."""
-    if parallel_jobs <= 1:
-        return {name: write(name, df) for name, df in items.items()}
-    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-        futures = {name: pool.submit(write, name, df) for name, df in items.items()}
-        return {name: f.result() for name, f in futures.items()}
-
+def write_typed_marts(inputs, work: str, as_of: dt.date, audit_as_of: dt.datetime,
+                      parallel_jobs: int = 4, **kw) -> dict[str, DataFrame]:
+    """Write every mart with its exact types (decimals, dates) under `work` and return the
+    written tables: the input of the published bundle and of the reports."""
+    built = build_marts(inputs, work, as_of, audit_as_of, parallel_jobs=parallel_jobs, **kw)
+    return _write_all(lambda name, df: _written(df, f"{work}/marts/{name}"), built, parallel_jobs)
 
-def write_typed_marts(spark: SparkSession, sf_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
-                      typed_dir: str | None = None, parallel_jobs: int = 4, **kw) -> dict[str, DataFrame]:
-    """Write every mart with its exact types (decimals, dates) under the shared checkpoint
-    folder and return the written tables: the input of the published bundle and of the reports."""
-    typed_dir = typed_dir or os.path.join(checkpoint_dir(spark), f"marts-{uuid.uuid4().hex}")
-    built = build_marts(spark, sf_dir, as_of, audit_as_of, parallel_jobs=parallel_jobs, **kw)
-    return _write_all(lambda name, df: write_checkpoint_table(spark, df, name, os.path.join(typed_dir, name)),
-                      built, parallel_jobs)
 
+class _Portfolio:
+    """The only input that reports take besides the written marts."""
 
-def publish(typed: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-            refreshed_at: dt.datetime | None = None, parallel_jobs: int = 4) -> dict[str, str]:
-    """Write frames under out_dir/<name> at the output edge (S03 types, refresh stamp; `fmt` json for S05)."""
-    refreshed_at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    def __init__(self, portfolio: DataFrame):
+        self.portfolio = portfolio
 
-    def write(name: str, df: DataFrame) -> str:
-        path = os.path.join(out_dir, name)
-        with_refresh_stamp(normalize(df), refreshed_at).write.mode("overwrite").format(fmt).save(path)
-        return path
 
-    return _write_all(write, typed, parallel_jobs)
+def build_reports(typed: dict[str, DataFrame], as_of: dt.date, modes: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """The post-mart reports (P01-P45) over the typed marts of one refresh, for its own as-of date.
 
+    By default every registered combination of report and period; with `modes`
+    (day, week, month, quarter, year, or a quick range) every periodic report in
+    each of them, named <report>_<mode>, and the reports without a period.
+    They read only the written marts and the portfolio, never the facts, so
+    their cost does not grow with the fact tables.
+    """
+    from sellerlens.plans.registry import BUNDLE_MARTS, PERIODIC, PLAIN, REPORTS, Marts, period_of
 
-def write_bundle(spark: SparkSession, sf_dir: str, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime,
-                 fmt: str = "parquet", refreshed_at: dt.datetime | None = None, **kw) -> dict[str, str]:
-    """Write every mart under out_dir/<name> (`fmt` parquet, or json for S05)."""
-    return publish(write_typed_marts(spark, sf_dir, as_of, audit_as_of, **kw), out_dir, fmt, refreshed_at)
+    m = Marts(_Portfolio(typed["sellers"]), {q: typed[name] for q, name in BUNDLE_MARTS.items()}, as_of=as_of)
+    if modes is None:
+        return {name: fn(m) for name, fn in REPORTS.items()}
+    out = {name: fn(m) for name, fn in PLAIN.items()}
+    for mode in modes:
+        out |= {f"{base}_{mode}": fn(m, period_of(m, mode)) for base, fn in PERIODIC.items()}
+    return out
 
 
-def build_reports(spark: SparkSession, sf_dir: str, typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every post-mart report (P01-P45) over the typed marts of one refresh.
+def publish(spark: SparkSession, frames: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
+            refreshed_at: dt.datetime | None = None, parallel_jobs: int = 4, keep: int = 2) -> dict[str, str]:
+    """Write frames as a new version of the bundle in out_dir and make it the current one.
 
-    The reports read only the written marts and the portfolio dimension, never
-    the facts, so their cost does not grow with the fact tables. The report
-    parameters (as-of, period modes) are those of the registered queries.
+    Each frame goes to <version>/<name> at the output edge (S03 types, refresh stamp; `fmt` json for S05).
+    The newest `keep` versions stay, so readers of the one before are not cut off.
     """
-    from sellerlens.plans.registry import BUNDLE_MARTS, REPORTS, Marts
-
-    i = LogicalInputs(load_tables(spark, sf_dir))
-    prebuilt = {q: typed[name] for q, name in BUNDLE_MARTS.items()}
-    return {name: fn(Marts(i, prebuilt)) for name, fn in REPORTS.items()}
-
+    refreshed_at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    version = f"{refreshed_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    folder = f"{out_dir}/versions/{version}"
 
-def write_reports(spark: SparkSession, sf_dir: str, typed: dict[str, DataFrame], out_dir: str,
-                  fmt: str = "parquet", refreshed_at: dt.datetime | None = None) -> dict[str, str]:
-    """Write every report under out_dir/<name>."""
-    return publish(build_reports(spark, sf_dir, typed), out_dir, fmt, refreshed_at)
+    def write(name: str, df: DataFrame) -> str:
+        with_refresh_stamp(normalize(df), refreshed_at).write.format(fmt).save(f"{folder}/{name}")
+        return f"{folder}/{name}"
+
+    paths = _write_all(write, frames, parallel_jobs)
+    store.replace_text(spark, f"{out_dir}/{CURRENT}", version)
+    for old in [v for v in store.names(spark, f"{out_dir}/versions") if v < version][: -(keep - 1) or None]:
+        store.delete(spark, f"{out_dir}/versions/{old}")
+    return paths
+
+
+def current_bundle(spark: SparkSession, out_dir: str) -> dict[str, str]:
+    """name -> path of the frames of the current bundle."""
+    folder = f"{out_dir}/versions/{store.read_text(spark, f'{out_dir}/{CURRENT}')}"
+    return {name: f"{folder}/{name}" for name in store.names(spark, folder)}
+
+
+def refresh(spark: SparkSession, inputs, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime, fmt: str = "parquet",
+            refreshed_at: dt.datetime | None = None, modes: Iterable[str] | None = None, with_reports: bool = True,
+            **kw) -> dict[str, str]:
+    """One daily refresh: the marts and, in the same bundle, all reports of `as_of`; name -> path."""
+    work = work_folder(spark)
+    try:
+        typed = write_typed_marts(inputs, work, as_of, audit_as_of, **kw)
+        reports = {f"report_{name}": df for name, df in build_reports(typed, as_of, modes).items()} if with_reports else {}
+        return publish(spark, typed | reports, out_dir, fmt, refreshed_at)
+    finally:
+        store.delete(spark, work)

@@ -9,7 +9,7 @@ then scaled by 100.
 
 from __future__ import annotations
 
-from sellerlens.plans.oracle import A, asp_sql, cte, money, q10_cte, q14_cte, q15_cte, q16_cte, with_ctes
+from sellerlens.plans.oracle import A, asp_sql, cte, money, q10_cte, q14_cte, with_ctes
 from sellerlens.plans.params import CUSTOM_END, CUSTOM_START
 
 CS, CE = f"DATE '{CUSTOM_START.isoformat()}'", f"DATE '{CUSTOM_END.isoformat()}'"
@@ -43,6 +43,15 @@ cte("pm_custom_c", _series(f"date_trunc('month', {CS})", f"date_trunc('month', {
 cte("pm_custom", _roles("pm_custom_c", "1 MONTH", "12 MONTH"), ("pm_custom_c",))
 cte("pm_last_month_c", f"SELECT CAST({CM} - INTERVAL 1 MONTH AS DATE) AS month")
 cte("pm_last_month", _roles("pm_last_month_c", "1 MONTH", "12 MONTH"), ("pm_last_month_c",))
+# quick ranges are custom periods: the months their first and last days fall in
+_WEEK_END = f"({A} - CAST(CASE WHEN isodow({A}) = 6 THEN 7 ELSE isodow({A}) % 7 + 1 END AS INTEGER))"
+_QUICK = {
+    "yesterday": (f"{A} - 1", f"{A} - 1"), "last_week": (f"{_WEEK_END} - 6", _WEEK_END), "this_month": (A, A),
+    "this_quarter": (f"date_trunc('quarter', {A})", A), "this_year": (f"date_trunc('year', {A})", A),
+}
+for _q, (_s, _e) in _QUICK.items():
+    cte(f"pm_{_q}_c", _series(f"date_trunc('month', {_s})", f"date_trunc('month', {_e})"))
+    cte(f"pm_{_q}", _roles(f"pm_{_q}_c", "1 MONTH", "12 MONTH"), (f"pm_{_q}_c",))
 cte("pd_day", f"SELECT 'curr' AS role, {A} - 1 AS s, {A} - 1 AS e UNION ALL SELECT 'd1', {A} - 2, {A} - 2")
 cte("pd_week_end", f"SELECT {A} - CAST(CASE WHEN dayofweek({A}) = 6 THEN 7 ELSE dayofweek({A}) + 1 END AS INTEGER) AS wend")
 cte("pd_week", """
@@ -54,7 +63,7 @@ DAY_CHART = (f"{A} - 30", f"{A} - 1")
 WEEK_CHART = (f"{A} - 28", f"{A} - 1")
 
 MONTHLY_ROLES = {"month": ("curr", "d1", "d2"), "quarter": ("curr", "d1", "d2"), "year": ("curr", "d2"),
-                 "custom": ("curr", "d1", "d2"), "last_month": ("curr", "d1", "d2")}
+                 **{x: ("curr", "d1", "d2") for x in ("custom", "last_month", *_QUICK)}}
 DAILY_ROLES = {"day": ("curr", "d1"), "week": ("curr", "d1")}
 
 
@@ -203,6 +212,15 @@ def lbl_month(col: str = "month") -> str:
 
 SQL: dict[str, str] = {}
 
+
+def with_seller(sql: str) -> str:
+    """The same rows with the seller's name, or its id as text."""
+    return f"""
+SELECT named.*, COALESCE(who.name, CAST(named.seller_id AS VARCHAR)) AS seller
+FROM ({sql}) named
+LEFT JOIN (SELECT s_suppkey AS seller_id, MIN(s_name) AS name FROM supplier GROUP BY 1) who USING (seller_id)"""
+
+
 # ----------------------------------------------------------------------------- P01 / P02
 SQL["seller_scopes"] = with_ctes(["scopes"], "SELECT scope, scope_kind, seller_id FROM scopes")
 SQL["seller_labels"] = with_ctes(["q01", "portfolio"], """
@@ -248,7 +266,7 @@ SQL["chart_window_series_quarter"] = with_ctes([monthly_series_cte("cws_q", "q01
 SELECT scope, strftime(month, '%Y-%m') AS label, CAST(gmv AS DOUBLE) AS value FROM cws_q""")
 
 # ----------------------------------------------------------------------------- P14 / P15 / P16 / P17
-for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month"):
+for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month", *_QUICK):
     SQL[f"sales_kpi_{_mode}"] = kpi_sql("q01", "q02", SALES_F, _mode, "sales")
 
 
@@ -335,13 +353,18 @@ SQL["logistics_series"] = with_ctes([daily_series_cte("ls_m", "q03", _LOGI_SER,
                                     _logi_series_select("ls_m", lbl_day()))
 SQL["logistics_series_quarter"] = with_ctes([monthly_series_cte("ls_q", "q06", _LOGI_SER, "pm_quarter_c")],
                                             _logi_series_select("ls_q", lbl_month()))
-_lst = seller_rollup_cte("lst_m", "q06", [f for f, _ in LOGI_F], "month")
-SQL["logistics_seller_table"] = with_ctes([_lst], f"""
+def logistics_seller_sql(mode: str) -> str:
+    per = seller_rollup_cte(f"lst_{mode}", "q03" if mode in DAILY_ROLES else "q06", [f for f, _ in LOGI_F], mode)
+    return with_seller(with_ctes([per], f"""
 SELECT scope, seller_id, {money('gmv_total')}, {money('gmv_ff')}, {pct0('gmv_ff', 'gmv_total')} AS ff_pct,
        {money('gmv_xd')}, {pct0('gmv_xd', 'gmv_total')} AS xd_pct,
        {money('gmv_ss')}, {pct0('gmv_ss', 'gmv_total')} AS ss_pct,
        {pct0('gmv_ff', 'gmv_total')} >= 50.0 AS ff_flag
-FROM {_lst}""")
+FROM {per}"""))
+
+
+SQL["logistics_seller_table"] = logistics_seller_sql("month")
+SQL["logistics_seller_table_week"] = logistics_seller_sql("week")
 
 # ----------------------------------------------------------------------------- P22-P26 ads
 cte("ads_present", f"SELECT DISTINCT s.scope, m.month FROM {scoped('q07')}", ("q07", "scopes"))
@@ -427,6 +450,13 @@ SELECT a.scope, {lbl_day('a.day')}, CAST(a.ads_invest AS DOUBLE) AS ads_invest,
        {pct('a.gmv_ads', z('g.gmv'))} AS ads_share
 FROM as_d a LEFT JOIN gs_d g ON a.scope = g.scope AND a.day = g.day""")
 
+_ads_q = monthly_series_cte("as_q", "q07", ["ads_invest", "gmv_ads"], "pm_quarter_c")
+_gmv_q = monthly_series_cte("gs_q", "q01", ["gmv"], "pm_quarter_c")
+SQL["ads_series_quarter"] = with_ctes([_ads_q, _gmv_q], f"""
+SELECT scope, {lbl_month()}, CAST(ads_invest AS DOUBLE) AS ads_invest, CAST(gmv_ads AS DOUBLE) AS gmv_ads,
+       {ratio('gmv_ads', 'ads_invest')} AS roas, {pct('ads_invest', 'gmv_ads')} AS acos, {pct('gmv_ads', 'gmv')} AS ads_share
+FROM as_q JOIN gs_q USING (scope, month)""")
+
 cte("ads_roll", f"SELECT s.scope, m.month, SUM({z('m.ads_invest')}) AS inv FROM {scoped('q07')} GROUP BY s.scope, m.month",
     ("q07", "scopes"))
 SQL["take_rate_series"] = with_ctes(["ads_roll", "sales_roll"], """
@@ -437,7 +467,7 @@ LEFT JOIN sales_roll g ON g.scope = a.scope AND g.month = a.prev_month""")
 
 _ast = seller_rollup_cte("ast_m", "q07", ["ads_invest", "gmv_ads", "clicks"], "month")
 _sgm = seller_rollup_cte("sgm_m", "q01", ["gmv"], "month")
-SQL["ads_seller_table"] = with_ctes([_ast, _sgm, "ads_present", "pm_month_c"], f"""
+SQL["ads_seller_table"] = with_seller(with_ctes([_ast, _sgm, "ads_present", "pm_month_c"], f"""
 SELECT a.scope, a.seller_id, CAST(a.ads_invest AS DOUBLE) AS ads_invest, CAST(a.gmv_ads AS DOUBLE) AS gmv_ads,
        CAST(a.clicks AS BIGINT) AS clicks,
        {ratio0('a.gmv_ads', 'a.ads_invest')} AS roas, {pct0('a.ads_invest', 'a.gmv_ads')} AS acos,
@@ -447,7 +477,15 @@ FROM ast_m a LEFT JOIN sgm_m g ON a.scope = g.scope AND a.seller_id = g.seller_i
 LEFT JOIN (SELECT h.scope, (SELECT MAX(b.month) FROM ads_present b WHERE b.scope = h.scope AND b.month < h.month)
                   AS prev_month
            FROM ads_present h WHERE h.month = (SELECT MAX(month) FROM pm_month_c)) pm ON a.scope = pm.scope
-LEFT JOIN q01 pg ON pg.seller_id = a.seller_id AND pg.month = pm.prev_month""")
+LEFT JOIN q01 pg ON pg.seller_id = a.seller_id AND pg.month = pm.prev_month"""))
+_astw = seller_rollup_cte("ast_w", "q04", ["ads_invest", "gmv_ads", "clicks"], "week")
+_sgmw = seller_rollup_cte("sgm_w", "q02", ["gmv"], "week")
+SQL["ads_seller_table_week"] = with_seller(with_ctes([_astw, _sgmw], f"""
+SELECT a.scope, a.seller_id, CAST(a.ads_invest AS DOUBLE) AS ads_invest, CAST(a.gmv_ads AS DOUBLE) AS gmv_ads,
+       CAST(a.clicks AS BIGINT) AS clicks,
+       {ratio0('a.gmv_ads', 'a.ads_invest')} AS roas, {pct0('a.ads_invest', 'a.gmv_ads')} AS acos,
+       CAST(NULL AS DOUBLE) AS take_rate, {pct0('a.gmv_ads', z('g.gmv'))} AS ads_share
+FROM ast_w a LEFT JOIN sgm_w g USING (scope, seller_id)"""))
 
 # ----------------------------------------------------------------------------- P27-P30 investments
 _it = period_sum_cte("inv_tot", "q08", INV_COLS, "month")
@@ -465,23 +503,36 @@ UNION ALL SELECT scope, 'g2', CAST(g2 AS DOUBLE) FROM inv_fam""")
 SQL["investment_series"] = with_ctes([daily_series_cte("is_m", "q05", INV_COLS, MONTH_CHART)], f"""
 SELECT scope, {lbl_day()}, CAST({G1} AS DOUBLE) AS g1, CAST({G2} AS DOUBLE) AS g2, CAST({G3} AS DOUBLE) AS g3
 FROM is_m""")
+SQL["investment_series_quarter"] = with_ctes([monthly_series_cte("is_q", "q08", INV_COLS, "pm_quarter_c")], f"""
+SELECT scope, {lbl_month()}, CAST({G1} AS DOUBLE) AS g1, CAST({G2} AS DOUBLE) AS g2, CAST({G3} AS DOUBLE) AS g3
+FROM is_q""")
 _ist = seller_rollup_cte("ist_m", "q08", ["gmv"] + INV_COLS, "month")
-SQL["investment_seller_table"] = with_ctes([_ist], f"""
+
+
+def investment_seller_sql(per: str, gmv: str) -> str:
+    return f"""
 SELECT scope, seller_id, CAST(gmv AS DOUBLE) AS gmv, CAST(g1 AS DOUBLE) AS g1, CAST(g2 AS DOUBLE) AS g2,
        CAST(g3 AS DOUBLE) AS g3, CAST(g1 + g2 + g3 AS DOUBLE) AS total, {pct0('g1 + g2 + g3', 'gmv')} AS invest_pct
-FROM (SELECT scope, seller_id, {z('gmv')} AS gmv, {G1} AS g1, {G2} AS g2, {G3} AS g3 FROM ist_m)""")
+FROM (SELECT scope, seller_id, {z(gmv)} AS gmv, {G1} AS g1, {G2} AS g2, {G3} AS g3 FROM {per})"""
+
+
+SQL["investment_seller_table"] = with_seller(with_ctes([_ist], investment_seller_sql("ist_m", "gmv")))
+_istw = seller_rollup_cte("ist_w", "q05", INV_COLS, "week")
+_isgw = seller_rollup_cte("isg_w", "q02", ["gmv"], "week")
+SQL["investment_seller_table_week"] = with_seller(with_ctes(
+    [_istw, _isgw], investment_seller_sql("ist_w LEFT JOIN isg_w USING (scope, seller_id)", "gmv")))
 
 # ----------------------------------------------------------------------------- P31 catalog
 _q10 = q10_cte(20)
 cte("cat_rows", f"SELECT s.scope, m.* FROM {scoped(_q10)}", (_q10, "scopes"))
-SQL["catalog_table"] = with_ctes(["cat_rows"], f"""
+SQL["catalog_table"] = with_seller(with_ctes(["cat_rows"], f"""
 SELECT c.scope, c.seller_id, c.item_id, COALESCE(c.title, '') AS title, CAST(c.gmv AS DOUBLE) AS gmv, c.si,
        CASE WHEN c.si = 0 THEN NULL ELSE CAST(CAST(sign(CAST(c.gmv * 100 AS BIGINT)) * sign(c.si) AS BIGINT) *
             ((2 * abs(CAST(c.gmv * 100 AS BIGINT)) + abs(c.si)) // (2 * abs(c.si))) AS DOUBLE) / 100 END AS asp,
        {pct0('c.gmv', 't.tg')} AS share_pct, CAST(c.gmv_bb AS DOUBLE) AS gmv_bb,
        {pct0('c.gmv_bb', 'c.gmv')} AS bb_pct, {pct0('c.gmv_bb', 'c.gmv')} >= 50.0 AS bb_flag,
        'https://items.example/HOME-' || CAST(c.item_id AS VARCHAR) AS item_url
-FROM cat_rows c JOIN (SELECT scope, SUM(gmv) AS tg FROM cat_rows GROUP BY scope) t ON c.scope = t.scope""")
+FROM cat_rows c JOIN (SELECT scope, SUM(gmv) AS tg FROM cat_rows GROUP BY scope) t ON c.scope = t.scope"""))
 
 # ----------------------------------------------------------------------------- P32 / P33
 _CLASS = """CASE WHEN {lv} IS NULL OR {lv} = '' THEN 'green' WHEN contains({lv}, 'platinum') THEN 'platinum'
@@ -536,33 +587,57 @@ SQL["conversion_series"] = with_ctes([_cv, _cu], f"""
 SELECT v.scope, {lbl_month('v.month')}, CAST(v.visits AS BIGINT) AS visits,
        {pct(z('u.si'), 'v.visits')} AS units_per_visit_pct
 FROM cs_v v LEFT JOIN cs_u u ON v.scope = u.scope AND v.month = u.month""")
-_vst = seller_rollup_cte("vst_m", "q12", ["visits", "visits_vip"], "month")
-_vsu = seller_rollup_cte("vsu_m", "q01", ["si"], "month")
-SQL["visits_seller_table"] = with_ctes([_vst, _vsu], f"""
-SELECT v.scope, v.seller_id, CAST(v.visits AS BIGINT) AS visits, CAST(v.visits_vip AS BIGINT) AS visits_vip,
+
+
+def conversion_daily_sql(tag: str, rng: tuple[str, str]) -> str:
+    v = daily_series_cte(f"cd_v_{tag}", "q13", ["visits"], rng)
+    u = daily_series_cte(f"cd_u_{tag}", "q02", ["si"], rng)
+    return with_ctes([v, u], f"""
+SELECT scope, {lbl_day()}, CAST(visits AS BIGINT) AS visits, {pct(z('si'), 'visits')} AS units_per_visit_pct
+FROM {v} LEFT JOIN {u} USING (scope, day)""")
+
+
+SQL["conversion_series_week"] = conversion_daily_sql("week", WEEK_CHART)
+_cmv = monthly_series_cte("cm_v", "q12", ["visits"], "pm_month_c")
+_cmu = monthly_series_cte("cm_u", "q01", ["si"], "pm_month_c")
+SQL["conversion_series_month"] = with_ctes([_cmv, _cmu], f"""
+SELECT scope, {lbl_month()}, CAST(visits AS BIGINT) AS visits, {pct(z('si'), 'visits')} AS units_per_visit_pct
+FROM cm_v JOIN cm_u USING (scope, month)""")
+
+
+def visits_seller_sql(mode: str) -> str:
+    daily = mode in DAILY_ROLES
+    v = seller_rollup_cte(f"vst_{mode}", "q13" if daily else "q12", ["visits"] if daily else ["visits", "visits_vip"], mode)
+    u = seller_rollup_cte(f"vsu_{mode}", "q02" if daily else "q01", ["si"], mode)
+    return with_seller(with_ctes([v, u], f"""
+SELECT v.scope, v.seller_id, CAST(v.visits AS BIGINT) AS visits, CAST({'0' if daily else 'v.visits_vip'} AS BIGINT) AS visits_vip,
        CAST({z('u.si')} AS BIGINT) AS units, {pct0(z('u.si'), 'v.visits')} AS units_per_visit_pct
-FROM vst_m v LEFT JOIN vsu_m u ON v.scope = u.scope AND v.seller_id = u.seller_id""")
+FROM {v} v LEFT JOIN {u} u ON v.scope = u.scope AND v.seller_id = u.seller_id"""))
+
+
+SQL["visits_seller_table"] = visits_seller_sql("month")
+SQL["visits_seller_table_week"] = visits_seller_sql("week")
 _q14 = q14_cte(50)
-SQL["visited_items_table"] = with_ctes([_q14, _q10, "scopes"], f"""
+SQL["visited_items_table"] = with_seller(with_ctes([_q14, _q10, "scopes"], f"""
 SELECT v.scope, v.seller_id, v.item_id, COALESCE(t.title, '') AS title, v.visits,
        CAST({z('t.si')} AS BIGINT) AS units, {pct0(z('t.si'), 'v.visits')} AS units_per_visit_pct, v.rank
 FROM (SELECT s.scope, m.seller_id, m.item_id, m.visits,
              ROW_NUMBER() OVER (PARTITION BY s.scope ORDER BY m.visits DESC, m.seller_id, m.item_id) AS rank
       FROM {scoped(_q14)}) v
 LEFT JOIN {_q10} t ON v.seller_id = t.seller_id AND v.item_id = t.item_id
-WHERE v.rank <= 50""")
+WHERE v.rank <= 50"""))
 
 # ----------------------------------------------------------------------------- P38 / P39 campaigns
-_q16 = q16_cte(1500)
-SQL["campaign_seller_summary"] = with_ctes([_q16, "scopes"], f"""
+_q16 = "q16_all"
+SQL["campaign_seller_summary"] = with_seller(with_ctes([_q16, "scopes"], f"""
 SELECT s.scope, c.seller_id, c.total, c.eligible, c.opt_in, {pct0('c.opt_in', 'c.eligible')} AS optin_pct
 FROM (SELECT seller_id, COUNT(*) AS total, COUNT(*) FILTER (WHERE COALESCE(eligible, FALSE)) AS eligible,
              COUNT(*) FILTER (WHERE COALESCE(opt_in, FALSE)) AS opt_in
-      FROM {_q16} GROUP BY seller_id) c JOIN scopes s ON c.seller_id = s.seller_id""")
+      FROM {_q16} GROUP BY seller_id) c JOIN scopes s ON c.seller_id = s.seller_id"""))
 _TYPE_LABEL = """COALESCE(CASE type WHEN 'TIER_1' THEN 'Tier 1' WHEN 'TIER_3' THEN 'Tier 3' WHEN 'SMART' THEN 'Smart'
      WHEN 'CUSTOM' THEN 'On Demand' WHEN 'PRENEGOTIATED' THEN 'Pré Neg.' WHEN 'LIGHTNING' THEN 'Relâmpago'
      WHEN 'BANK' THEN 'Banco' WHEN 'UNHEALTHY_STOCK' THEN 'Unhealthy' END, type)"""
-SQL["campaign_item_table"] = with_ctes([_q16, "scopes"], f"""
+SQL["campaign_item_table"] = with_seller(with_ctes([_q16, "scopes"], f"""
 SELECT scope, seller_id, type, {_TYPE_LABEL} AS type_label, item_id, CAST(day AS VARCHAR) AS day, eligible, opt_in,
        CAST(price_initial AS DOUBLE) AS price_initial, CAST(price_final AS DOUBLE) AS price_final,
        CASE WHEN price_initial > 0 AND price_final IS NOT NULL AND price_final <> 0
@@ -573,32 +648,32 @@ FROM (SELECT s.scope, m.*, ROW_NUMBER() OVER (PARTITION BY s.scope ORDER BY m.gm
           m.eligible ASC NULLS FIRST, m.price_initial ASC NULLS FIRST, m.price_final ASC NULLS FIRST,
           m.status ASC NULLS FIRST) AS rank
       FROM {scoped(_q16)})
-WHERE rank <= 500""")
+WHERE rank <= 500"""))
 
 # ----------------------------------------------------------------------------- P40-P44 price
-_q15 = q15_cte(500)
+_q15 = "q15_all"
 SQL["price_kpi"] = with_ctes([_q15, "scopes", "scope_list"], f"""
 SELECT sl.scope, CAST({z('x.vis')} AS DOUBLE) AS visits, CAST({z('x.exp')} AS DOUBLE) AS visits_exp,
        {pct0(z('x.exp'), z('x.vis'))} AS expensive_pct
 FROM scope_list sl LEFT JOIN (SELECT s.scope, SUM(m.visits_match) AS vis, SUM(m.visits_exp3) AS exp
                               FROM {scoped(_q15)} GROUP BY s.scope) x ON sl.scope = x.scope""")
-SQL["price_seller_table"] = with_ctes([_q15, "scopes"], f"""
+SQL["price_seller_table"] = with_seller(with_ctes([_q15, "scopes"], f"""
 SELECT s.scope, p.seller_id, p.items, p.non_competitive, CAST(p.vis AS DOUBLE) AS visits,
        CAST(p.exp AS DOUBLE) AS visits_exp, {pct0('p.exp', 'p.vis')} AS expensive_pct,
-       CASE WHEN {pct0('p.exp', 'p.vis')} > 30.0 THEN 'high' WHEN {pct0('p.exp', 'p.vis')} > 10.0 THEN 'medium'
-            ELSE 'low' END AS band
+       CASE WHEN ROUND({pct0('p.exp', 'p.vis')}, 1) > 30.0 THEN 'high'
+            WHEN ROUND({pct0('p.exp', 'p.vis')}, 1) > 10.0 THEN 'medium' ELSE 'low' END AS band
 FROM (SELECT seller_id, COUNT(*) AS items, COUNT(*) FILTER (WHERE classification = 'Nao Competitivo') AS non_competitive,
              SUM(visits_match) AS vis, SUM(visits_exp3) AS exp FROM {_q15} GROUP BY seller_id) p
-JOIN scopes s ON p.seller_id = s.seller_id""")
+JOIN scopes s ON p.seller_id = s.seller_id"""))
 
-_PORDER = ("m.seller_id ASC, m.visits_exp3 DESC NULLS LAST, m.item_id ASC, m.visits_match ASC NULLS FIRST, "
+_PORDER = ("CAST(m.seller_id AS VARCHAR) ASC, m.visits_exp3 DESC NULLS LAST, m.item_id ASC, m.visits_match ASC NULLS FIRST, "
            "m.our_price ASC NULLS FIRST, m.rival_price_min ASC NULLS FIRST, m.rival_name ASC NULLS FIRST, "
            "m.rival_url ASC NULLS FIRST, m.permalink ASC NULLS FIRST, m.title ASC NULLS FIRST, "
            "m.qualification ASC NULLS FIRST")
 
 
 def price_items_sql(k: int) -> str:
-    return with_ctes([_q15, "scopes"], f"""
+    return with_seller(with_ctes([_q15, "scopes"], f"""
 SELECT scope, seller_id, item_id, COALESCE(title, '') AS title, CAST(our_price AS DOUBLE) AS our_price,
        CAST(rival_price_min AS DOUBLE) AS rival_price_min,
        CASE WHEN our_price <> 0 AND rival_price_min <> 0
@@ -608,12 +683,13 @@ SELECT scope, seller_id, item_id, COALESCE(title, '') AS title, CAST(our_price A
 FROM (SELECT s.scope, m.*, ROW_NUMBER() OVER (PARTITION BY s.scope ORDER BY m.visits_exp3 DESC NULLS LAST,
                  {_PORDER}) AS rank
       FROM {scoped(_q15)} WHERE m.classification = 'Nao Competitivo')
-WHERE rank <= {k}""")
+WHERE rank <= {k}"""))
 
 
 SQL["price_item_table"] = price_items_sql(200)
+SQL["price_item_table_k5"] = price_items_sql(5)
 SQL["qualification_item_table"] = price_items_sql(300)
-SQL["qualification_table"] = with_ctes([_q15, "scopes"], f"""
+SQL["qualification_table"] = with_seller(with_ctes([_q15, "scopes"], f"""
 SELECT f.seller_id, f.qualification,
        COALESCE(CASE f.qualification WHEN 'C1' THEN 1 WHEN 'C2' THEN 2 WHEN 'C3' THEN 3 WHEN 'C4' THEN 4
                 WHEN 'RC' THEN 5 END, 9) AS qual_rank,
@@ -625,9 +701,9 @@ SELECT f.seller_id, f.qualification,
        COALESCE(n.nc, 0) AS non_competitive, s.scope
 FROM (SELECT seller_id, qualification FROM (
         SELECT m.seller_id, m.qualification, ROW_NUMBER() OVER (PARTITION BY m.seller_id ORDER BY {_PORDER}) AS rn
-        FROM {_q15} m WHERE m.qualification IS NOT NULL) WHERE rn = 1) f
+        FROM {_q15} m WHERE length(m.qualification) > 0) WHERE rn = 1) f
 LEFT JOIN (SELECT seller_id, COUNT(*) FILTER (WHERE classification = 'Nao Competitivo') AS nc
            FROM {_q15} GROUP BY seller_id) n ON f.seller_id = n.seller_id
-JOIN scopes s ON f.seller_id = s.seller_id""")
+JOIN scopes s ON f.seller_id = s.seller_id"""))
 
 REPORT_SQL = SQL

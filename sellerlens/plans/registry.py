@@ -4,17 +4,33 @@ Each query binds the logical inputs to the source tables under `sf_dir`,
 runs one operator (or a short operator chain) over the whole tables with the
 fixed parameters of `params`, and normalises the output edge. Nothing is
 collected; the caller triggers execution.
+
+A report takes `Marts`: the marts of one as-of date over one set of inputs. The
+tables that several marts share (sales per day and seller, ads and visits per day
+and seller, the price observations per item and day, the two item rankings) are
+written to the shared folder the first time a report asks for them, so every
+report reads each fact once, however often its plan mentions the mart.
+
+Periodic reports take a period as well (`PERIODIC`), so a refresh can build any of
+them for any mode; `REPORTS` are the combinations that are registered as queries.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sellerlens.functions.calendar import Period, quick_period, resolve_period
 from sellerlens.operators import marts, price
+from sellerlens.operators import measures as M
+from sellerlens.operators import reports as R
+from sellerlens.operators.scopes import seller_label, seller_scopes
 from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS, CUSTOM_END, CUSTOM_START
+from sellerlens.session import checkpoint_dir
 from sellerlens.sources.bindings import LogicalInputs
 from sellerlens.sources.sinks import normalize
 from sellerlens.sources.tables import load_tables
@@ -135,35 +151,47 @@ def _q15d(i: LogicalInputs) -> DataFrame:
                     "a_rival_url", "a_permalink", "is_offender", "qualification")
 
 
-def price_mart(i: LogicalInputs, limit: int | None = 500) -> DataFrame:
+def price_mart(i: LogicalInputs, limit: int | None = None) -> DataFrame:
     return price.price_competitiveness(i.price_obs, i.price_audit, AS_OF, AUDIT_AS_OF, i.portfolio,
                                        audit_days=AUDIT_DAYS, limit=limit)
 
 
 @register("price_competitiveness")
 def _q15(i: LogicalInputs) -> DataFrame:
+    """Q15 with the reference's own cut."""
+    return price_mart(i, limit=500)
+
+
+@register("price_competitiveness_k5")
+def _q15_k5(i: LogicalInputs) -> DataFrame:
+    """Q15 cut to 5 rows, so that its order decides."""
+    return price_mart(i, limit=5)
+
+
+@register("price_competitiveness_all")
+def _q15_all(i: LogicalInputs) -> DataFrame:
+    """Q15 uncut, as the reports take it."""
     return price_mart(i)
 
 
-def campaign_mart(i: LogicalInputs, limit: int | None = 1500) -> DataFrame:
+def campaign_mart(i: LogicalInputs, limit: int | None = None) -> DataFrame:
     return marts.campaign_items(i.campaign_optin, i.campaign_eligible, AS_OF, i.portfolio,
                                 days=CAMPAIGN_DAYS, limit=limit)
 
 
 @register("campaign_items")
 def _q16(i: LogicalInputs) -> DataFrame:
-    return campaign_mart(i)
-
+    """Q16 with the reference's own cut."""
+    return campaign_mart(i, limit=1500)
 
-# ----------------------------------------------------------------------------- post-mart operators
-from sellerlens.functions.calendar import quick_period, resolve_period  # noqa: E402
-from sellerlens.operators import measures as M  # noqa: E402
-from sellerlens.operators import reports as R  # noqa: E402
-from sellerlens.operators.scopes import seller_label, seller_scopes  # noqa: E402
 
-MONTH = resolve_period(AS_OF, "month")
+@register("campaign_items_all")
+def _q16_all(i: LogicalInputs) -> DataFrame:
+    """Q16 uncut, as the reports take it."""
+    return campaign_mart(i)
 
 
+# ----------------------------------------------------------------------------- marts of one as-of date
 # mart attribute -> bundle mart name (plans/bundle.py)
 BUNDLE_MARTS = {
     "q01": "sales_monthly", "q02": "sales_daily", "q03": "logistics_daily", "q04": "ads_daily",
@@ -171,50 +199,118 @@ BUNDLE_MARTS = {
     "q10": "top_items", "q11": "seller_reputation", "q12": "visits_monthly", "q13": "visits_daily",
     "q14": "top_items_by_visits", "q15": "price_competitiveness", "q16": "campaign_items",
 }
-
-
-class _Mart:
-    """A mart attribute: a prebuilt (written) frame when given, else built from the inputs."""
-
-    def __init__(self, build: Callable[["Marts"], DataFrame]):
-        self.build = build
-
-    def __set_name__(self, owner, name: str) -> None:
-        self.name = name
-
-    def __get__(self, m: "Marts", owner=None) -> DataFrame:
-        if m is None:
-            return self
-        return m.prebuilt[self.name] if self.name in m.prebuilt else self.build(m)
+_FROM_DAYS = {
+    "sales_days": ("q01", "q02", "q03", "q05", "q06", "q08"), "ads_days": ("q04", "q07"), "visits_days": ("q12", "q13"),
+}
 
 
 class Marts:
-    """The marts a report needs: built lazily from one set of logical inputs, or
-    taken from `prebuilt` (typed marts written once by the daily refresh, keyed
-    q01..q16), so reports need not touch the facts at all."""
+    """The marts that reports need, of one as-of date.
 
-    def __init__(self, i: LogicalInputs, prebuilt: dict[str, DataFrame] | None = None):
-        self.i = i
-        self.prebuilt = prebuilt or {}
+    They are built on first use from logical inputs (any object with the frames
+    of `LogicalInputs` as attributes), or taken from `prebuilt`: typed marts
+    written once by the daily refresh, keyed q01..q16.
+    """
+
+    def __init__(self, i, prebuilt: dict[str, DataFrame] | None = None, as_of: dt.date = AS_OF,
+                 audit_as_of: dt.datetime = AUDIT_AS_OF, audit_days: int = AUDIT_DAYS, campaign_days: int = CAMPAIGN_DAYS):
+        self.i, self.as_of, self.audit_as_of = i, as_of, audit_as_of
+        self.audit_days, self.campaign_days = audit_days, campaign_days
         self.portfolio = i.portfolio
         self.bridge = seller_scopes(self.portfolio)
+        self._frames = dict(prebuilt or {})
+        self._lock = threading.RLock()
+
+    def period(self, mode: str, start: dt.date | None = None, end: dt.date | None = None) -> Period:
+        return resolve_period(self.as_of, mode, start, end)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or not (name in BUNDLE_MARTS or name in _FROM_DAYS or name == "price_days"):
+            raise AttributeError(name)
+        with self._lock:
+            if name not in self._frames:
+                self._frames[name] = self._build(name)
+            return self._frames[name]
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def _build(self, name: str) -> DataFrame:
+        i, as_of, pf = self.i, self.as_of, self.portfolio
+        for days, members in _FROM_DAYS.items():
+            if name in members:
+                table = getattr(self, days)
+                roll = {"sales_days": marts.sales_marts_from_days, "ads_days": marts.ads_marts_from_days,
+                        "visits_days": marts.visits_marts_from_days}[days]
+                return roll(table, as_of)[BUNDLE_MARTS[name]]
+        build = {
+            "sales_days": lambda: self._written(marts.seller_day(i.sales, as_of, pf), "seller-day"),
+            "ads_days": lambda: self._written(marts.ads_day(i.ads_daily, as_of, pf), "ads-day"),
+            "visits_days": lambda: self._written(marts.visits_day(i.visits, as_of, pf), "visits-day"),
+            "price_days": lambda: self._written(price.price_days(i.price_obs, as_of), "price-days"),
+            "q10": lambda: self._written(marts.top_items(i.sales, as_of, pf, k=20, titles=i.item_titles), "top-items"),
+            "q11": lambda: marts.seller_reputation(i.reputation, pf),
+            "q14": lambda: self._written(marts.top_items_by_visits(i.visits, as_of, pf, k=50), "top-visited"),
+            "q15": lambda: self._written(price.price_competitiveness(
+                i.price_obs, i.price_audit, as_of, self.audit_as_of, pf, audit_days=self.audit_days,
+                days_table=self.price_days), "price"),
+            "q16": lambda: marts.campaign_items(i.campaign_optin, i.campaign_eligible, as_of, pf, days=self.campaign_days),
+        }
+        return build[name]()
+
+
+# ----------------------------------------------------------------------------- reports
+PERIODIC: dict[str, Callable[[Marts, Period], DataFrame]] = {
+    "chart_window_series": lambda m, p: M.chart_window_series(m.q01, m.q02, "gmv", p, m.bridge, m.as_of),
+    "sales_kpi": lambda m, p: M.kpi_delta(m.q01, m.q02, ["gmv", "si"], p, m.bridge),
+    "asp_kpi": lambda m, p: M.asp_kpi(m.q01, m.q02, p, m.bridge),
+    "asp_series": lambda m, p: M.asp_series(m.q01, m.q02, p, m.bridge),
+    "seller_sales_table": lambda m, p: R.seller_sales_table(m.q01, m.q02, p, m.bridge, m.portfolio),
+    "logistics_mix": lambda m, p: R.logistics_mix(m.q06, m.q03, p, m.bridge),
+    "logistics_series": lambda m, p: R.logistics_series(m.q06, m.q03, p, m.bridge),
+    "logistics_seller_table": lambda m, p: R.logistics_seller_table(m.q06, m.q03, p, m.bridge, m.portfolio),
+    "ads_kpi": lambda m, p: R.ads_kpi(m.q07, m.q04, m.q01, m.q02, p, m.bridge),
+    "ads_series": lambda m, p: R.ads_series(m.q07, m.q04, m.q01, m.q02, p, m.bridge),
+    "ads_seller_table": lambda m, p: R.ads_seller_table(m.q07, m.q04, m.q01, m.q02, p, m.bridge, m.portfolio),
+    "investment_totals": lambda m, p: R.investment_totals(m.q08, m.q05, p, m.bridge),
+    "investment_mix": lambda m, p: R.investment_mix(m.q08, m.q05, p, m.bridge),
+    "investment_series": lambda m, p: R.investment_series(m.q08, m.q05, p, m.bridge),
+    "investment_seller_table": lambda m, p: R.investment_seller_table(m.q08, m.q05, m.q02, p, m.bridge, m.portfolio),
+    "visit_kpi": lambda m, p: R.visit_kpi(m.q12, m.q13, m.q01, m.q02, p, m.bridge),
+    "conversion_series": lambda m, p: R.conversion_series(m.q12, m.q13, m.q01, m.q02, p, m.bridge),
+    "visits_seller_table": lambda m, p: R.visits_seller_table(m.q12, m.q13, m.q01, m.q02, p, m.bridge, m.portfolio),
+}
+QUICK = ("yesterday", "last-week", "this-month", "last-month", "this-quarter", "this-year")
 
-    q01 = _Mart(lambda m: marts.sales_monthly(m.i.sales, AS_OF, m.portfolio))
-    q02 = _Mart(lambda m: marts.sales_daily(m.i.sales, AS_OF, m.portfolio))
-    q03 = _Mart(lambda m: marts.logistics_daily(m.i.sales, AS_OF, m.portfolio))
-    q04 = _Mart(lambda m: marts.ads_daily_mart(m.i.ads_daily, AS_OF, m.portfolio))
-    q05 = _Mart(lambda m: marts.investments_daily(m.i.sales, AS_OF, m.portfolio))
-    q06 = _Mart(lambda m: marts.logistics_monthly(m.i.sales, AS_OF, m.portfolio))
-    q07 = _Mart(lambda m: marts.ads_monthly_mart(m.i.ads_daily, AS_OF, m.portfolio))
-    q08 = _Mart(lambda m: marts.investments_monthly(m.i.sales, AS_OF, m.portfolio))
-    q10 = _Mart(lambda m: marts.top_items(m.i.sales, AS_OF, m.portfolio, k=20, titles=m.i.item_titles))
-    q11 = _Mart(lambda m: marts.seller_reputation(m.i.reputation, m.portfolio))
-    q12 = _Mart(lambda m: marts.visits_monthly(m.i.visits, AS_OF, m.portfolio))
-    q13 = _Mart(lambda m: marts.visits_daily(m.i.visits, AS_OF, m.portfolio))
-    q14 = _Mart(lambda m: marts.top_items_by_visits(m.i.visits, AS_OF, m.portfolio, k=50))
-    q15 = _Mart(lambda m: price_mart(m.i))
-    q16 = _Mart(lambda m: campaign_mart(m.i))
 
+def period_of(m: Marts, mode: str) -> Period:
+    """A mode, or a quick range ("last_month"), or "custom" with the fixed test range."""
+    if mode == "custom":
+        return m.period("custom", CUSTOM_START, CUSTOM_END)
+    quick = mode.replace("_", "-")
+    return quick_period(m.as_of, quick) if quick in QUICK else m.period(mode)
+
+
+#: query name -> (periodic report, mode)
+PERIOD_QUERIES: dict[str, tuple[str, str]] = {
+    **{f"chart_window_series_{x}": ("chart_window_series", x) for x in ("month", "year", "week", "quarter")},
+    **{f"sales_kpi_{x}": ("sales_kpi", x) for x in (
+        "day", "week", "month", "quarter", "year", "custom", *(q.replace("-", "_") for q in QUICK))},
+    **{f"asp_kpi_{x}": ("asp_kpi", x) for x in ("month", "week")},
+    **{f"asp_series_{x}": ("asp_series", x) for x in ("month", "quarter")},
+    **{base if x == "month" else f"{base}_{x}": (base, x) for base, modes in {
+        "seller_sales_table": ("month", "week"), "logistics_mix": ("month", "week"),
+        "logistics_series": ("month", "quarter"), "logistics_seller_table": ("month", "week"),
+        "ads_kpi": ("month", "week", "quarter"), "ads_series": ("month", "quarter"), "ads_seller_table": ("month", "week"),
+        "investment_totals": ("month", "week"), "investment_mix": ("month",), "investment_series": ("month", "quarter"),
+        "investment_seller_table": ("month", "week"), "visit_kpi": ("month", "week"), "visits_seller_table": ("month", "week"),
+    }.items() for x in modes},
+    "conversion_series": ("conversion_series", "quarter"), "conversion_series_month": ("conversion_series", "month"),
+    "conversion_series_week": ("conversion_series", "week"),
+}
 
 REPORTS: dict[str, Callable[[Marts], DataFrame]] = {}
 
@@ -229,6 +325,18 @@ def report(name: str):
     return deco
 
 
+def _periodic(base: str, mode: str) -> Callable[[Marts], DataFrame]:
+    def run(m: Marts) -> DataFrame:
+        return PERIODIC[base](m, period_of(m, mode))
+
+    run.__doc__ = f"{base}, {mode} period."
+    return run
+
+
+for _name, (_base, _mode) in PERIOD_QUERIES.items():
+    report(_name)(_periodic(_base, _mode))
+
+
 @report("seller_scopes")
 def _p01(m: Marts) -> DataFrame:
     return m.bridge
@@ -246,99 +354,37 @@ def _p05(m: Marts) -> DataFrame:
 
 @report("months_rollup_current_year")
 def _p06(m: Marts) -> DataFrame:
-    return M.rollup_months_current_year(m.q01, ["gmv", "si"], m.bridge, AS_OF)
+    return M.rollup_months_current_year(m.q01, ["gmv", "si"], m.bridge, m.as_of)
 
 
 @report("sum_months_quarter")
 def _p07(m: Marts) -> DataFrame:
-    return M.sum_months(m.q01, ["gmv", "si"], resolve_period(AS_OF, "quarter").curr_months, m.bridge)
+    return M.sum_months(m.q01, ["gmv", "si"], m.period("quarter").curr_months, m.bridge)
 
 
 @report("sum_daily_range_week")
 def _p08(m: Marts) -> DataFrame:
-    return M.sum_daily_range(m.q02, ["gmv", "si"], *resolve_period(AS_OF, "week").curr_range, m.bridge)
+    return M.sum_daily_range(m.q02, ["gmv", "si"], *m.period("week").curr_range, m.bridge)
 
 
 @report("rollup_sellers_month")
 def _p09(m: Marts) -> DataFrame:
-    return M.rollup_sellers(m.q01, ["gmv", "si"], m.bridge, MONTH)
+    return M.rollup_sellers(m.q01, ["gmv", "si"], m.bridge, m.period("month"))
 
 
 @report("daily_series_month")
 def _p10(m: Marts) -> DataFrame:
-    return M.daily_series(m.q02, "gmv", *MONTH.chart_range, m.bridge)
+    return M.daily_series(m.q02, "gmv", *m.period("month").chart_range, m.bridge)
 
 
 @report("daily_series_multi_day")
 def _p11(m: Marts) -> DataFrame:
-    return M.daily_series_multi(m.q02, ["gmv", "si"], *resolve_period(AS_OF, "day").chart_range, m.bridge)
+    return M.daily_series_multi(m.q02, ["gmv", "si"], *m.period("day").chart_range, m.bridge)
 
 
 @report("monthly_series_year")
 def _p12(m: Marts) -> DataFrame:
-    return M.monthly_series(m.q01, ["gmv", "si"], resolve_period(AS_OF, "year").curr_months, m.bridge)
-
-
-@report("chart_window_series_month")
-def _p13m(m: Marts) -> DataFrame:
-    return M.chart_window_series(m.q01, m.q02, "gmv", MONTH, m.bridge, AS_OF)
-
-
-@report("chart_window_series_year")
-def _p13y(m: Marts) -> DataFrame:
-    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "year"), m.bridge, AS_OF)
-
-
-@report("chart_window_series_week")
-def _p13w(m: Marts) -> DataFrame:
-    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "week"), m.bridge, AS_OF)
-
-
-@report("chart_window_series_quarter")
-def _p13_quarter(m: Marts) -> DataFrame:
-    """P13 in quarter mode: the quarter's months so far, absent months as 0."""
-    return M.chart_window_series(m.q01, m.q02, "gmv", resolve_period(AS_OF, "quarter"), m.bridge, AS_OF)
-
-
-
-
-def _kpi_period(mode: str):
-    if mode == "custom":
-        return resolve_period(AS_OF, "custom", CUSTOM_START, CUSTOM_END)
-    if mode == "last_month":
-        return quick_period(AS_OF, "last-month")
-    return resolve_period(AS_OF, mode)
-
-
-for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month"):
-    def _make(mode=_mode):
-        def kpi(m: Marts) -> DataFrame:
-            return M.kpi_delta(m.q01, m.q02, ["gmv", "si"], _kpi_period(mode), m.bridge)
-
-        kpi.__doc__ = f"P14 (with P03/P04): gmv and units with deltas, {mode} period."
-        report(f"sales_kpi_{mode}")(kpi)
-
-    _make()
-
-
-@report("asp_kpi_month")
-def _p15m(m: Marts) -> DataFrame:
-    return M.asp_kpi(m.q01, m.q02, MONTH, m.bridge)
-
-
-@report("asp_kpi_week")
-def _p15w(m: Marts) -> DataFrame:
-    return M.asp_kpi(m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
-
-
-@report("asp_series_month")
-def _p16m(m: Marts) -> DataFrame:
-    return M.asp_series(m.q01, m.q02, MONTH, m.bridge)
-
-
-@report("asp_series_quarter")
-def _p16q(m: Marts) -> DataFrame:
-    return M.asp_series(m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
+    return M.monthly_series(m.q01, ["gmv", "si"], m.period("year").curr_months, m.bridge)
 
 
 @report("growth_series")
@@ -346,66 +392,9 @@ def _p17(m: Marts) -> DataFrame:
     return M.growth_series(m.q01, m.bridge)
 
 
-@report("seller_sales_table")
-def _p18(m: Marts) -> DataFrame:
-    return R.seller_sales_table(m.q01, m.q02, MONTH, m.bridge, m.portfolio)
-
-
-@report("seller_sales_table_week")
-def _p18w(m: Marts) -> DataFrame:
-    return R.seller_sales_table(m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge, m.portfolio)
-
-
-@report("logistics_mix")
-def _p19(m: Marts) -> DataFrame:
-    return R.logistics_mix(m.q06, m.q03, MONTH, m.bridge)
-
-
-@report("logistics_mix_week")
-def _p19_week(m: Marts) -> DataFrame:
-    """P19 in week mode: daily logistics mart (fix D2)."""
-    return R.logistics_mix(m.q06, m.q03, resolve_period(AS_OF, "week"), m.bridge)
-
-
-@report("logistics_series")
-def _p20(m: Marts) -> DataFrame:
-    return R.logistics_series(m.q06, m.q03, MONTH, m.bridge)
-
-
-@report("logistics_series_quarter")
-def _p20q(m: Marts) -> DataFrame:
-    return R.logistics_series(m.q06, m.q03, resolve_period(AS_OF, "quarter"), m.bridge)
-
-
-@report("logistics_seller_table")
-def _p21(m: Marts) -> DataFrame:
-    return R.logistics_seller_table(m.q06, m.q03, MONTH, m.bridge)
-
-
 @report("ads_ratios")
 def _p22(m: Marts) -> DataFrame:
-    return R.ads_ratios(m.q07, m.q01, MONTH.curr_months, m.bridge)
-
-
-@report("ads_kpi")
-def _p23(m: Marts) -> DataFrame:
-    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
-
-
-@report("ads_kpi_week")
-def _p23_week(m: Marts) -> DataFrame:
-    """P23 in week mode: daily ads and sales marts (fix D2)."""
-    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
-
-
-@report("ads_kpi_quarter")
-def _p23q(m: Marts) -> DataFrame:
-    return R.ads_kpi(m.q07, m.q04, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
-
-
-@report("ads_series")
-def _p24(m: Marts) -> DataFrame:
-    return R.ads_series(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
+    return R.ads_ratios(m.q07, m.q01, m.period("month").curr_months, m.bridge)
 
 
 @report("take_rate_series")
@@ -413,45 +402,14 @@ def _p25(m: Marts) -> DataFrame:
     return R.take_rate_series(m.q07, m.q01, m.bridge)
 
 
-@report("ads_seller_table")
-def _p26(m: Marts) -> DataFrame:
-    return R.ads_seller_table(m.q07, m.q04, m.q01, m.q02, MONTH, m.bridge)
-
-
-@report("investment_totals")
-def _p27(m: Marts) -> DataFrame:
-    return R.investment_totals(m.q08, m.q05, MONTH, m.bridge)
-
-
-@report("investment_totals_week")
-def _p27_week(m: Marts) -> DataFrame:
-    """P27 in week mode: daily investments mart (fix D2)."""
-    return R.investment_totals(m.q08, m.q05, resolve_period(AS_OF, "week"), m.bridge)
-
-
-@report("investment_mix")
-def _p28(m: Marts) -> DataFrame:
-    return R.investment_mix(m.q08, m.q05, MONTH, m.bridge)
-
-
-@report("investment_series")
-def _p29(m: Marts) -> DataFrame:
-    return R.investment_series(m.q08, m.q05, MONTH, m.bridge)
-
-
-@report("investment_seller_table")
-def _p30(m: Marts) -> DataFrame:
-    return R.investment_seller_table(m.q08, m.q05, m.q02, MONTH, m.bridge)
-
-
 @report("catalog_table")
 def _p31(m: Marts) -> DataFrame:
-    return R.catalog_table(m.q10, m.bridge)
+    return R.catalog_table(m.q10, m.bridge, m.portfolio)
 
 
 @report("scorecard")
 def _p32(m: Marts) -> DataFrame:
-    return R.scorecard(m.q01, m.q02, m.q11, m.portfolio, AS_OF)
+    return R.scorecard(m.q01, m.q02, m.q11, m.portfolio, m.as_of)
 
 
 @report("reputation_table")
@@ -459,40 +417,19 @@ def _p33(m: Marts) -> DataFrame:
     return R.reputation_table(m.q11)
 
 
-@report("visit_kpi")
-def _p34(m: Marts) -> DataFrame:
-    return R.visit_kpi(m.q12, m.q13, m.q01, m.q02, MONTH, m.bridge)
-
-
-@report("visit_kpi_week")
-def _p34_week(m: Marts) -> DataFrame:
-    """P34 in week mode: daily visit and sales marts (fix D2)."""
-    return R.visit_kpi(m.q12, m.q13, m.q01, m.q02, resolve_period(AS_OF, "week"), m.bridge)
-
-
-@report("conversion_series")
-def _p35(m: Marts) -> DataFrame:
-    return R.conversion_series(m.q12, m.q13, m.q01, m.q02, resolve_period(AS_OF, "quarter"), m.bridge)
-
-
-@report("visits_seller_table")
-def _p36(m: Marts) -> DataFrame:
-    return R.visits_seller_table(m.q12, m.q13, m.q01, m.q02, MONTH, m.bridge)
-
-
 @report("visited_items_table")
 def _p37(m: Marts) -> DataFrame:
-    return R.visited_items_table(m.q14, m.q10, m.bridge, k=50)
+    return R.visited_items_table(m.q14, m.q10, m.bridge, m.portfolio, k=50)
 
 
 @report("campaign_seller_summary")
 def _p38(m: Marts) -> DataFrame:
-    return R.campaign_seller_summary(m.q16, m.bridge)
+    return R.campaign_seller_summary(m.q16, m.bridge, m.portfolio)
 
 
 @report("campaign_item_table")
 def _p39(m: Marts) -> DataFrame:
-    return R.campaign_item_table(m.q16, m.bridge, k=500)
+    return R.campaign_item_table(m.q16, m.bridge, m.portfolio, k=500)
 
 
 @report("price_kpi")
@@ -502,19 +439,29 @@ def _p40(m: Marts) -> DataFrame:
 
 @report("price_seller_table")
 def _p41(m: Marts) -> DataFrame:
-    return R.price_seller_table(m.q15, m.bridge)
+    return R.price_seller_table(m.q15, m.bridge, m.portfolio)
 
 
 @report("price_item_table")
 def _p42(m: Marts) -> DataFrame:
-    return R.price_item_table(m.q15, m.bridge, k=200)
+    return R.price_item_table(m.q15, m.bridge, m.portfolio, k=200)
+
+
+@report("price_item_table_k5")
+def _p42_k5(m: Marts) -> DataFrame:
+    """P42 with k = 5, so that the cut is exercised at small scale."""
+    return R.price_item_table(m.q15, m.bridge, m.portfolio, k=5)
 
 
 @report("qualification_table")
 def _p43(m: Marts) -> DataFrame:
-    return R.qualification_table(m.q15, m.bridge)
+    return R.qualification_table(m.q15, m.bridge, m.portfolio)
 
 
 @report("qualification_item_table")
 def _p44(m: Marts) -> DataFrame:
-    return R.price_item_table(m.q15, m.bridge, k=300)
+    return R.price_item_table(m.q15, m.bridge, m.portfolio, k=300)
+
+
+#: Reports that take no period.
+PLAIN = {name: fn for name, fn in REPORTS.items() if name not in PERIOD_QUERIES}

@@ -45,7 +45,7 @@ def get_spark(
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in spark.checkpoint.dir.
 
-    Only in local mode (local runs, tests) with the setting absent is a scratch
+    Only in local mode (one JVM: local runs, tests) with the setting absent is a scratch
     folder created and registered. On a cluster the configured shared path is
     used, and a missing setting is an error: a machine-local folder would not
     survive the loss of the executor that wrote it.
@@ -56,7 +56,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder: written tables and stream "
                                "checkpoints of a refresh are kept there")
         configured = tempfile.mkdtemp(prefix="sellerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

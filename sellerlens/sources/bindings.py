@@ -17,13 +17,13 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sellerlens.functions.labels import DEAL_PRE_AGREED, HOME_SITE, MATCH_TYPE
 from sellerlens.sources.schemas import MONEY
 from sellerlens.sources.tables import SourceTables
 
 # ---------------------------------------------------------------------------
 # Fixed values of the test-data bindings (FIXTURES.md), in natural order.
 # ---------------------------------------------------------------------------
-HOME_SITE = "HOME"
 OTHER_SITE = "OTHER"
 # order priority -> logistic type
 PRIORITY_LOGISTIC = {
@@ -33,7 +33,6 @@ PRIORITY_LOGISTIC = {
     "4-NOT SPECIFIED": "other",
     "5-LOW": "drop_off",
 }
-DEAL_PRE_AGREED = "pre_agreed"
 DEAL_OTHER = "other"
 # nation key % 7 -> reputation level (index 6 is NULL)
 REPUTATION_LEVELS = ["red", "orange", "yellow", "green", "green_gold", "green_platinum", None]
@@ -41,7 +40,6 @@ REPUTATION_LEVELS = ["red", "orange", "yellow", "green", "green_gold", "green_pl
 CAMPAIGN_TYPES = ["TIER_1", "TIER_3", "SMART", "CUSTOM", "PRENEGOTIATED", "LIGHTNING", "UNMAPPED"]
 # k % 6 -> seller qualification (index 5 is NULL)
 QUALIFICATIONS = ["C1", "C2", "C3", "C4", "RC", None]
-MATCH_TYPE = "MATCH"
 
 
 def _money(c: Column) -> Column:

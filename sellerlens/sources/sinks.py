@@ -26,15 +26,6 @@ def normalize(df: DataFrame) -> DataFrame:
     return df.selectExpr(*exprs)
 
 
-def write_mart(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet",
-               partition_by: list[str] | None = None) -> None:
-    """Write one mart (parquet by default, `json` for the JSON bundle, S05)."""
-    writer = normalize(df).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.format(fmt).save(path)
-
-
 def with_refresh_stamp(df: DataFrame, refreshed_at: dt.datetime) -> DataFrame:
     """Attach the bundle's refresh time ('dd/MM/yyyy HH:mm' label, S04)."""
     return df.withColumn("updated_at", F.lit(refreshed_at.strftime("%d/%m/%Y %H:%M")))

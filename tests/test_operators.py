@@ -203,11 +203,11 @@ def test_campaign_discount_rules(spark):
         ("ODD", D(2001, 7, 1), 1, 3, True, False, Dec("10.00"), None, "s", Dec("7.00")),
     ], "type string, day date, seller_id long, item_id long, eligible boolean, opt_in boolean, "
        "price_initial decimal(18,2), price_final decimal(18,2), status string, gmv_l30d decimal(18,2)")
-    got = {r.item_id: r for r in reports.campaign_item_table(c, bridge).where("scope = 'all'").collect()}
+    got = {r.item_id: r for r in reports.campaign_item_table(c, bridge, pf).where("scope = 'all'").collect()}
     assert got[1].discount_pct == pytest.approx(20.0) and got[1].type_label == "Smart"
     assert got[2].discount_pct is None and got[2].type_label == "Banco"
     assert got[3].discount_pct is None and got[3].type_label == "ODD"
-    s = {r.seller_id: r for r in reports.campaign_seller_summary(c, bridge).where("scope = 'all'").collect()}
+    s = {r.seller_id: r for r in reports.campaign_seller_summary(c, bridge, pf).where("scope = 'all'").collect()}
     assert (s[1].total, s[1].eligible, s[1].opt_in) == (3, 3, 1)
 
 
@@ -222,7 +222,92 @@ def test_qualification_first_non_null_in_mart_order(spark):
         (1, 2, Dec("9"), Dec("5"), Dec("2"), Dec("1"), "r", None, None, "t", "C3", "Nao Competitivo"),
         (1, 3, Dec("9"), Dec("1"), Dec("1"), Dec("1"), "r", None, None, "t", "C1", "Competitivo"),
     ], cols)
-    r = reports.qualification_table(p, bridge).where("scope = 'all'").collect()[0]
+    r = reports.qualification_table(p, bridge, pf).where("scope = 'all'").collect()[0]
     assert (r.qualification, r.qual_rank, r.benefit_eligible, r.non_competitive) == ("C3", 3, False, 2)
-    items = reports.price_item_table(p, bridge, k=1).where("scope = 'all'").collect()
+    items = reports.price_item_table(p, bridge, pf, k=1).where("scope = 'all'").collect()
     assert len(items) == 1 and items[0].item_id == 1 and items[0].gap_pct == pytest.approx(100.0)
+
+
+PRICE_MART = ("seller_id long, item_id long, visits_match decimal(18,2), visits_exp3 decimal(18,2), "
+              "our_price decimal(18,2), rival_price_min decimal(18,2), rival_name string, rival_url string, "
+              "permalink string, title string, qualification string, classification string")
+
+
+def price_row(seller, item, visits, expensive, qualification=None):
+    return (seller, item, Dec(visits), Dec(expensive), Dec("2"), Dec("1"), "r", None, None, "t", qualification, "Nao Competitivo")
+
+
+def test_band_is_of_the_shown_percentage(spark):
+    pf = portfolio(spark, [(k, f"s{k}", "G") for k in range(1, 7)])
+    shares = {1: "3004.00", 2: "3006.00", 3: "1004.00", 4: "1005.00", 5: "3000.00", 6: "0.00"}
+    p = spark.createDataFrame([price_row(k, 1, "10000.00", v) for k, v in shares.items()], PRICE_MART)
+    got = {r.seller_id: r.band for r in reports.price_seller_table(p, seller_scopes(pf), pf).where("scope = 'all'").collect()}
+    assert got == {1: "medium", 2: "high", 3: "low", 4: "medium", 5: "medium", 6: "low"}
+
+
+def test_empty_qualification_is_none(spark):
+    pf = portfolio(spark, [(1, "a", "G"), (2, "b", "G")])
+    p = spark.createDataFrame([price_row(1, 1, "9", "9", ""), price_row(1, 2, "9", "5", "C2"), price_row(2, 1, "9", "9", "")], PRICE_MART)
+    got = reports.qualification_table(p, seller_scopes(pf), pf).where("scope = 'all'").collect()
+    assert [(r.seller_id, r.seller, r.qualification) for r in got] == [(1, "a", "C2")]
+
+
+def test_price_cut_takes_seller_ids_as_text(spark):
+    day = D(2001, 7, 18)
+    obs = spark.createDataFrame([Row(
+        seller_id=s, item_id=1, catalog_id="C1", day=day, site="HOME", type="MATCH", bulky="false", our_price=Dec("1.00"),
+        rival_price=Dec("1.00"), visits_match=Dec("1.00"), rival_name="r", rival_url="u", permalink="p", title="t",
+    ) for s in (9, 10, 200, 70123968)], schemas.PRICE_OBS)
+    audit = spark.createDataFrame([], schemas.PRICE_AUDIT)
+    args = (obs, audit, AS_OF, dt.datetime(2001, 7, 19))
+    assert [r.seller_id for r in price.price_competitiveness(*args, limit=3).collect()] == [10, 200, 70123968]
+    assert price.price_competitiveness(*args).count() == 4
+
+
+def test_scope_names_mean_one_thing(spark):
+    """A group named like a seller id, or "all", never mixes members into another scope."""
+    pf = portfolio(spark, [(1, "a", "2"), (2, "b", "X"), (3, "c", "2"), (4, "d", "all"), (5, "e", "all")])
+    got = {}
+    for r in seller_scopes(pf).collect():
+        got.setdefault((r.scope, r.scope_kind), []).append(r.seller_id)
+    assert {k: sorted(v) for k, v in got.items()} == {
+        ("all", "all"): [1, 2, 3, 4, 5], ("2", "group"): [1, 3],
+        ("1", "seller"): [1], ("3", "seller"): [3], ("4", "seller"): [4], ("5", "seller"): [5]}
+
+
+def test_repeated_portfolio_rows_count_once(spark):
+    pf = portfolio(spark, [(1, "a", "G"), (1, "a", "G"), (2, "b", "G")])
+    m = spark.createDataFrame([(D(2001, 7, 1), 1, Dec("5.00"), 1)], "month date, seller_id long, gmv decimal(28,2), si long")
+    got = {r.scope: r.gmv for r in measures.sum_months(m, ["gmv"], [D(2001, 7, 1)], seller_scopes(pf)).collect()}
+    assert got == {"all": Dec("5.00"), "G": Dec("5.00"), "1": Dec("5.00"), "2": Dec("0")}
+    table = reports.seller_sales_table(m, None, resolve_period(AS_OF, "month"), seller_scopes(pf), pf)
+    assert [(r.seller_id, r.seller) for r in table.where("scope = 'all'").collect()] == [(1, "a")]
+
+
+def test_repeated_titles_do_not_fan_out(spark):
+    s = sales_rows(spark, [line(1, item_id=7, buybox_flag=True), line(1, item_id=8, gmv="5.00")])
+    titles = spark.createDataFrame([(7, "old"), (7, "seven"), (9, "nine")], "item_id long, item_title string")
+    for pf in (None, portfolio(spark, [(1, "a", "G")])):
+        got = [(r.item_id, r.title, r["rank"]) for r in marts.top_items(s, AS_OF, pf, titles=titles).orderBy("rank").collect()]
+        assert got == [(7, "seven", 1), (8, None, 2)]
+
+
+def test_reports_take_every_seller_of_the_campaigns(spark):
+    """More rows than the reference's own cut: no seller is lost."""
+    rows = [("SMART", D(2001, 7, 1), s, i, True, True, Dec("9.00"), Dec("8.00"), "s", Dec(f"{s}.00")) for s in range(40) for i in range(50)]
+    c = spark.createDataFrame(rows, "type string, day date, seller_id long, item_id long, eligible boolean, opt_in boolean, "
+                                    "price_initial decimal(18,2), price_final decimal(18,2), status string, gmv_l30d decimal(18,2)")
+    pf = portfolio(spark, [(s, f"s{s}", "G") for s in range(40)])
+    bridge = seller_scopes(pf)
+    assert reports.campaign_seller_summary(c, bridge, pf).where("scope = 'all'").count() == 40
+    top = reports.campaign_item_table(c, bridge, pf, k=120).where("scope = 'all'").collect()
+    assert sorted({r.seller_id for r in top}) == [37, 38, 39] and sorted(r["rank"] for r in top) == list(range(1, 121))
+
+
+def test_large_portfolio_is_applied_to_rows_by_salt(spark):
+    from sellerlens.operators.scopes import in_portfolio_salted
+
+    df = spark.createDataFrame([(s, i) for s in (1, 2) for i in range(300)], "seller_id long, item_id long")
+    pf = portfolio(spark, [(1, "a", "G"), (1, "a", "G"), (3, "c", "G")])
+    got = in_portfolio_salted(df, pf, "item_id")
+    assert got.columns == df.columns and got.count() == 300 and got.select("seller_id").distinct().first()[0] == 1

@@ -16,7 +16,9 @@ def formatted(df) -> str:
 
 @pytest.fixture(scope="module")
 def queries():
-    return entry.queries()
+    from sellerlens.plans.registry import REGISTRY
+
+    return dict(REGISTRY)
 
 
 def test_window_and_flag_pushed_to_orders_scan(spark, queries):
@@ -56,7 +58,7 @@ def test_global_cut_is_take_ordered(spark, queries):
 def test_size_check_runs_once_per_dimension_per_session(spark):
     from pyspark.sql import functions as F
 
-    from sellerlens.plans.broadcast import MAX_ROWS_CONF, is_small
+    from sellerlens.plans.broadcast import MAX_BYTES_CONF, MAX_ROWS_CONF, forget_sizes, is_small
     from sellerlens.sources.tables import read_parquet
 
     path = f"{SF_SMALL}/supplier.parquet"
@@ -71,6 +73,14 @@ def test_size_check_runs_once_per_dimension_per_session(spark):
     assert is_small(dim())
     assert is_small(dim(), 5) is False  # 10 sellers at sf0.001: one capped count answers smaller bounds too
     assert set(st.getJobIdsForGroup(None)) == before
+    # a refresh measures anew; and bytes count as well as rows
+    forget_sizes(spark)
+    assert is_small(dim()) and set(st.getJobIdsForGroup(None)) != before
+    spark.conf.set(MAX_BYTES_CONF, "64")
+    try:
+        assert is_small(dim()) is False
+    finally:
+        spark.conf.unset(MAX_BYTES_CONF)
     # a different frame is counted on its own
     assert is_small(dim().where(F.col("seller_id") < 3), 5)
     # a lowered session bound is honoured
@@ -79,3 +89,50 @@ def test_size_check_runs_once_per_dimension_per_session(spark):
         assert is_small(dim()) is False
     finally:
         spark.conf.unset(MAX_ROWS_CONF)
+
+
+def scans_of(spark, action) -> dict[str, int]:
+    """File scans in the plans that ran during `action`, by table; a reused exchange runs no scan."""
+    import json
+    import re
+    from collections import Counter
+
+    from tests.test_skew import _event_log
+
+    seen = len([e for e in _event_log(spark) if "sparkPlanInfo" in e])
+    action()
+    plans = {}
+    for e in [e for e in _event_log(spark) if "sparkPlanInfo" in e][seen:]:
+        plans[e["executionId"]] = e["sparkPlanInfo"]  # the last is the one that ran
+    counts: Counter = Counter()
+
+    def walk(node):
+        if node["nodeName"].startswith("ReusedExchange"):
+            return
+        if node["nodeName"].startswith("Scan parquet"):
+            counts.update(re.findall(r"/(\w+)\.parquet", json.dumps(node.get("metadata", {})) + node["simpleString"])[:1])
+        for child in node["children"]:
+            walk(child)
+
+    for p in plans.values():
+        walk(p)
+    return dict(counts)
+
+
+@pytest.mark.parametrize("name", ["growth_series", "seller_sales_table", "ads_kpi", "ads_ratios", "ads_seller_table",
+                                  "scorecard", "catalog_table", "visit_kpi", "logistics_seller_table_week"])
+def test_a_report_reads_the_orders_once(spark, queries, name):
+    scans = scans_of(spark, lambda: queries[name](spark, SF_SMALL).collect())
+    assert scans.get("orders") == 1, scans
+
+
+@pytest.mark.parametrize("name", ["price_kpi", "price_seller_table", "price_item_table", "qualification_table"])
+def test_a_report_reads_the_price_observations_once(spark, queries, name):
+    scans = scans_of(spark, lambda: queries[name](spark, SF_SMALL).collect())
+    assert scans.get("lineitem") == 1 and scans.get("part") == 1, scans
+
+
+def test_titles_are_cut_to_the_ranked_items_before_any_shuffle(spark, queries):
+    text = formatted(queries["top_items"](spark, SF_SMALL))
+    tree = text.split("\n\n")[0]
+    assert "BroadcastHashJoin LeftSemi BuildRight" in tree
