@@ -12,7 +12,20 @@ from sellerlens.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch in both directions.
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the Arrow batches of this session to BATCH_ROWS rows; a smaller setting of the cluster stays."""
+    rows = int(spark.conf.get(_BATCH_CONF))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def run_folder(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage ends there, so lost executors only re-read it."""
+    bound_batches(df.sparkSession)
     path = run_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

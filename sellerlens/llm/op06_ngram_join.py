@@ -42,7 +42,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MAX_HASHES = 128
 #: Nodes of a slot, about; a verified group has two slots at most.
-SLOT = 1_024
+SLOT = 512
 _COLUMNS = 4_096
 
 
@@ -132,7 +132,7 @@ def links_in_group(texts: pa.Array, slots: np.ndarray, buckets: list[np.ndarray]
     column, docs = np.unique(column[shared], return_inverse=True)[1], docs[shared]
     order = np.argsort(column, kind="stable")
     column, docs = column[order], docs[order]
-    common = np.zeros((m, m), np.float64)
+    common = np.zeros((m, m), np.float32)  # counts of n-grams, exact below 2**24
     width = int(column[-1]) + 1 if len(column) else 0
     for lo in range(0, width, _COLUMNS):
         a, b = np.searchsorted(column, (lo, lo + _COLUMNS))
@@ -140,8 +140,8 @@ def links_in_group(texts: pa.Array, slots: np.ndarray, buckets: list[np.ndarray]
         has[docs[a:b], column[a:b] - lo] = 1
         common += has @ has.T
     t = Fraction(threshold).limit_denominator(10_000)
-    both = size[:, None] + size[None, :]
-    linked = (t.numerator + t.denominator) * common >= t.numerator * both  # common / (both - common) >= t
+    least = (t.numerator * size / (t.numerator + t.denominator)).astype(np.float64)
+    linked = common >= least[:, None] + least[None, :] - 1e-6  # common / (size + size - common) >= t
     linked &= common > 0
     np.fill_diagonal(linked, False)
     if cross:
