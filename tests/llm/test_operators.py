@@ -46,13 +46,17 @@ def case(request, corpus, docs, edges, empty):
 
 # -- substring dedup
 
-@pytest.mark.parametrize("group", [op1.GROUP, 1])
-def test_substring_dedup(case, group):
+def test_substring_dedup(case):
     df, rows = case
-    got = op1.dedup_digest(df, group=group)
+    got = op1.dedup_digest(df)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(brute.substring_dedup(pairs(rows, 0, 1)))
 
 
+def test_substring_dedup_of_large_groups(docs, corpus):
+    got = op1.dedup_digest(docs, group=1)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(brute.substring_dedup(pairs(corpus[0], 0, 1)))
+
+
 def test_substring_dedup_keeps_text(docs, corpus):
     kept = {r["doc_id"]: r["text"] for r in op1.dedup_text(docs).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} == {r[0]: r[3] for r in brute.substring_dedup(pairs(corpus[0], 0, 1))}
@@ -177,10 +181,14 @@ def test_planes(kind):
 
 # -- n-gram join
 
-@pytest.mark.parametrize("slot", [op6.SLOT, 2])
-def test_ngram_join(case, slot):
+def test_ngram_join_of_large_buckets(docs, corpus):
+    got = rows_of(op6.similar(docs, slot=2), "doc_id", "class_id", "n_links")
+    assert got == in_order(brute.near_classes(pairs(corpus[0], 0, 1)))
+
+
+def test_ngram_join(case):
     df, rows = case
-    got = rows_of(op6.similar(df, slot=slot), "doc_id", "class_id", "n_links")
+    got = rows_of(op6.similar(df), "doc_id", "class_id", "n_links")
     # Wordless documents are classes of their own: their id, and no links.
     assert got == in_order(brute.near_classes(pairs(rows, 0, 1)))
 
