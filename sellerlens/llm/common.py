@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sellerlens.session import checkpoint_dir
+from sellerlens.sources import store
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,14 +38,25 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
+#: Folders that this process has written intermediate tables to.
+_SCRATCH: list[str] = []
+
+
 def run_folder(spark: SparkSession, what: str) -> str:
     """A new folder under the shared checkpoint folder (spark.checkpoint.dir on a cluster)."""
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables written so far. Results are lazy: call it once they are written elsewhere."""
+    while _SCRATCH:
+        store.delete(spark, _SCRATCH.pop())
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage ends there, so lost executors only re-read it."""
     bound_batches(df.sparkSession)
     path = run_folder(df.sparkSession, what)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
