@@ -43,8 +43,13 @@ def test_portfolio_semi_join_is_broadcast(spark, queries):
 
 
 def test_no_slow_paths_in_any_query(spark, queries):
+    from sellerlens.plans.registry import REPORTS, Marts
+    from sellerlens.sources.bindings import LogicalInputs
+    from sellerlens.sources.tables import load_tables
+
+    m = Marts(LogicalInputs(load_tables(spark, SF_SMALL)))  # the reports' shared marts, written once
     for name, q in queries.items():
-        text = formatted(q(spark, SF_SMALL))
+        text = formatted(REPORTS[name](m) if name in REPORTS else q(spark, SF_SMALL))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
                     "FlatMapGroupsInPandas"):
             assert bad not in text, f"{name} uses {bad}"
@@ -97,12 +102,12 @@ def scans_of(spark, action) -> dict[str, int]:
     import re
     from collections import Counter
 
-    from tests.test_skew import _event_log
+    from tests.test_skew import events_since, log_position
 
-    seen = len([e for e in _event_log(spark) if "sparkPlanInfo" in e])
+    before = log_position(spark)
     action()
     plans = {}
-    for e in [e for e in _event_log(spark) if "sparkPlanInfo" in e][seen:]:
+    for e in events_since(spark, before, "sparkPlanInfo"):
         plans[e["executionId"]] = e["sparkPlanInfo"]  # the last is the one that ran
     counts: Counter = Counter()
 

@@ -51,22 +51,34 @@ def skewed_inputs(spark):
     return out, i.portfolio
 
 
-def _event_log(spark) -> list[dict]:
+def _log_paths(spark) -> list[str]:
     log_dir = spark.conf.get("spark.eventLog.dir").replace("file:", "")
     app = spark.sparkContext.applicationId
     # a single file, or (rolling logs, the default in Spark 4) a folder of event files
     paths = glob.glob(os.path.join(log_dir, app + "*")) or sorted(
         glob.glob(os.path.join(log_dir, f"eventlog_v2_{app}", "events_*")))
     assert paths, log_dir
+    return paths
+
+
+def log_position(spark) -> dict[str, int]:
+    """How far the event log has come, to read on from there."""
+    return {path: os.path.getsize(path) for path in _log_paths(spark)}
+
+
+def events_since(spark, position: dict[str, int], word: str) -> list[dict]:
+    """The events after `position` that mention `word`."""
     events = []
-    for path in paths:
-        with open(path) as fh:
-            events += [json.loads(line) for line in fh]
+    for path in _log_paths(spark):
+        with open(path, "rb") as fh:
+            fh.seek(position.get(path, 0))
+            events += [json.loads(line) for line in fh if word.encode() in line and line.endswith(b"\n")]
     return events
 
 
 def _max_shuffle_records_per_task(spark, group: str, action) -> int:
     sc = spark.sparkContext
+    before = log_position(spark)
     sc.setJobGroup(group, group)
     try:
         action()
@@ -76,7 +88,7 @@ def _max_shuffle_records_per_task(spark, group: str, action) -> int:
     stages = {s for j in st.getJobIdsForGroup(group) for s in st.getJobInfo(j).stageIds}
     reads = [
         e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
-        for e in _event_log(spark)
+        for e in events_since(spark, before, "SparkListenerTaskEnd")
         if e.get("Event") == "SparkListenerTaskEnd" and e.get("Stage ID") in stages
     ]
     assert reads, group
