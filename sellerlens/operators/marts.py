@@ -133,20 +133,30 @@ def _sales_mart(sales: DataFrame, window: DayWindow, portfolio: DataFrame | None
 
 
 def seller_day(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
-               pre_agreed_code: str = DEAL_PRE_AGREED) -> DataFrame:
-    """Shared daily mart: every sales measure per (day, seller) over the two-year window, unrounded.
+               pre_agreed_code: str = DEAL_PRE_AGREED, measures: tuple[str, ...] = SALES_MEASURES) -> DataFrame:
+    """Shared daily mart: the sales measures per (day, seller) over the two-year window, unrounded.
 
     The 90-day windows lie inside the two-year window, so one pass over the
-    lines serves all six additive sales marts (`sales_marts_from_days`).
+    lines serves all six additive sales marts (`sales_marts_from_days`). With
+    fewer `measures` the pass reads only the columns they need.
     """
     df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
-    m = sales_line_measures(pre_agreed_code)
+    m = {n: e for n, e in sales_line_measures(pre_agreed_code).items() if n in measures}
     agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*[F.sum(e).alias(n) for n, e in m.items()])
     return keep_portfolio_sellers(agg, late)
 
 
+#: The marts that share measures, and those measures.
+SALES_FAMILIES = {
+    ("sales_monthly", "sales_daily"): ("gmv", "si"),
+    ("logistics_monthly", "logistics_daily"): tuple(n for n in SALES_MEASURES if n not in INVESTMENT_COLUMNS),
+    ("investments_monthly", "investments_daily"): ("gmv", *INVESTMENT_COLUMNS),
+}
+
+
 def sales_marts_from_days(days: DataFrame, as_of: dt.date, daily_days: int = 90) -> dict[str, DataFrame]:
-    """Q01, Q02, Q03, Q05, Q06, Q08 rolled up from `seller_day` rows (decimal sums stay exact)."""
+    """Q01, Q02, Q03, Q05, Q06, Q08 rolled up from `seller_day` rows (decimal sums stay exact);
+    the marts whose measures `days` has."""
     sums = {n: F.sum(n) for n in SALES_MEASURES}
 
     def roll(window: DayWindow, grain: str, cols) -> DataFrame:
@@ -154,14 +164,16 @@ def sales_marts_from_days(days: DataFrame, as_of: dt.date, daily_days: int = 90)
         return days.where(window.predicate("day")).groupBy(period, "seller_id").agg(*cols(sums))
 
     two_years, recent = two_year_window(as_of), last_days_window(as_of, daily_days)
-    return {
-        "sales_monthly": roll(two_years, "month", _sales_cols).withColumn("asp", rounded_money_ratio("gmv", "si")),
-        "sales_daily": roll(recent, "day", _sales_cols),
-        "logistics_monthly": roll(two_years, "month", _logistic_cols),
-        "logistics_daily": roll(recent, "day", _logistic_cols),
-        "investments_monthly": roll(two_years, "month", _gmv_investment_cols),
-        "investments_daily": roll(recent, "day", _investment_cols),
+    build = {
+        "sales_monthly": lambda: roll(two_years, "month", _sales_cols).withColumn("asp", rounded_money_ratio("gmv", "si")),
+        "sales_daily": lambda: roll(recent, "day", _sales_cols),
+        "logistics_monthly": lambda: roll(two_years, "month", _logistic_cols),
+        "logistics_daily": lambda: roll(recent, "day", _logistic_cols),
+        "investments_monthly": lambda: roll(two_years, "month", _gmv_investment_cols),
+        "investments_daily": lambda: roll(recent, "day", _investment_cols),
     }
+    known = [name for names, needs in SALES_FAMILIES.items() if set(needs) <= set(days.columns) for name in names]
+    return {name: build[name]() for name in known}
 
 
 # --------------------------------------------------------------------------- Q01 / Q02

@@ -6,10 +6,11 @@ fixed parameters of `params`, and normalises the output edge. Nothing is
 collected; the caller triggers execution.
 
 A report takes `Marts`: the marts of one as-of date over one set of inputs. The
-tables that several marts share (sales per day and seller, ads and visits per day
-and seller, the price observations per item and day, the two item rankings) are
-written to the shared folder the first time a report asks for them, so every
-report reads each fact once, however often its plan mentions the mart.
+tables that several marts share (sales, logistics and investment measures, ads and visits
+per day and seller, the price observations per item and day, the two item rankings)
+are written to the shared folder the first time a report asks for them, so every
+report reads each fact once a family of measures, and of it only that family's
+columns, however often its plan mentions the mart.
 
 Periodic reports take a period as well (`PERIODIC`), so a refresh can build any of
 them for any mode; `REPORTS` are the combinations that are registered as queries.
@@ -200,7 +201,8 @@ BUNDLE_MARTS = {
     "q14": "top_items_by_visits", "q15": "price_competitiveness", "q16": "campaign_items",
 }
 _FROM_DAYS = {
-    "sales_days": ("q01", "q02", "q03", "q05", "q06", "q08"), "ads_days": ("q04", "q07"), "visits_days": ("q12", "q13"),
+    "sales_days": ("q01", "q02"), "logistics_days": ("q03", "q06"), "investment_days": ("q05", "q08"),
+    "ads_days": ("q04", "q07"), "visits_days": ("q12", "q13"),
 }
 
 
@@ -243,11 +245,16 @@ class Marts:
         for days, members in _FROM_DAYS.items():
             if name in members:
                 table = getattr(self, days)
-                roll = {"sales_days": marts.sales_marts_from_days, "ads_days": marts.ads_marts_from_days,
-                        "visits_days": marts.visits_marts_from_days}[days]
+                roll = {"ads_days": marts.ads_marts_from_days, "visits_days": marts.visits_marts_from_days}.get(
+                    days, marts.sales_marts_from_days)
                 return roll(table, as_of)[BUNDLE_MARTS[name]]
+        def sales(member: str) -> Callable[[], DataFrame]:
+            needs = next(m for names, m in marts.SALES_FAMILIES.items() if member in names)
+            return lambda: self._written(marts.seller_day(i.sales, as_of, pf, measures=needs), "seller-day")
+
         build = {
-            "sales_days": lambda: self._written(marts.seller_day(i.sales, as_of, pf), "seller-day"),
+            "sales_days": sales("sales_daily"), "logistics_days": sales("logistics_daily"),
+            "investment_days": sales("investments_daily"),
             "ads_days": lambda: self._written(marts.ads_day(i.ads_daily, as_of, pf), "ads-day"),
             "visits_days": lambda: self._written(marts.visits_day(i.visits, as_of, pf), "visits-day"),
             "price_days": lambda: self._written(price.price_days(i.price_obs, as_of), "price-days"),
