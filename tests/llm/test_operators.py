@@ -118,6 +118,29 @@ def test_lm_scores(case, spark):
         assert g[:2] == w[:2] and np.allclose(g[2:4], w[2:], atol=1e-4) and math.isclose(g[4], g[2] - g[3], abs_tol=1e-9)
 
 
+def test_lm_model_has_every_word_of_the_corpus(spark, monkeypatch):
+    """More words make a larger model, whether they are broadcast or joined; documents outside of it can be scored."""
+    monkeypatch.setattr(op3, "FREQUENT_WORDS", 50)
+    monkeypatch.setattr(op3, "FREQUENT_PAIRS", 60)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 150) % 5000)) for i in range(60)] + [(3, "w1 w2 w1 w2"), (70, None), (None, "w1 alone"), (None, "w1 alone")]
+    df, targets = spark.createDataFrame(rows, "doc_id long, text string"), {i for i in range(0, 60, 4)} | {3}
+    models = op3.train(df, spark.createDataFrame([(i,) for i in targets], "doc_id long"))
+    every = sorted({w for r in rows for w in brute.words(r[1])})
+    assert len(every) > 1024 and models.size == len(every) and 0 < len(models.vocabulary.known) < 50
+    assert models.bigrams.count() == len({p for r in rows for p in zip([None, *brute.words(r[1])], brute.words(r[1]))})
+    want = in_order(brute.lm_scores(rows, targets, {w: k for k, w in enumerate(every)}, None, 0))
+    got = rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background")
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and np.allclose(g[2:], w[2:], atol=1e-4)
+    more = df.filter("doc_id < 5").unionByName(spark.createDataFrame([(100, "never seen words")], df.schema))
+    got = {r["doc_id"]: r for r in op3.scored(more, models).collect() if r["doc_id"] != 3}
+    old = {w[0]: w for w in want}
+    assert all(math.isclose(got[i]["h_background"], old[i][3], abs_tol=1e-4) for i in (0, 1, 2, 4))
+    n, n_target = models.n, models.n_target
+    assert math.isclose(got[100]["h_target"], math.log2(n_target + len(every)) + (math.log2(1 + (len(targets) + 1) / 200)) / 3, abs_tol=1e-4) and n > n_target
+
+
 # -- tokens
 
 def test_token_counts(case, library):
