@@ -10,6 +10,10 @@ line within an article stays and a long advert outside of it goes. Blocks whose
 terminal outweighs all their edges are settled first (they keep that label in
 every minimum cut); maximum flow decides the rest.
 
+Names of boilerplate are matched on whole class tokens and ids (`sidebar`, `ad-box`; not
+`has-sidebar`, `tag-python`). A strong name or a form counts only where it does not hold the
+page's article, and a weak one (`discussion`, `legal`) only where no article is around, at or below it.
+
 The work is per page, in an Arrow UDF over whole batches; nothing is shuffled.
 
 White space within a block becomes one blank; character references are decoded;
@@ -40,6 +44,7 @@ WEIGHTS = {
     "link_share": -4.0, "boilerplate_element": -8.0, "boilerplate_name": -8.0,
 }
 MOST_LOG2_WORDS = 6.0
+SENTENCE_ENDS = ".!?…\"”»"
 #: Capacity between two blocks that are siblings; divided by half the steps between them in the tree.
 SMOOTHNESS = 1.0
 MOST_STEPS = 64
@@ -57,13 +62,24 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 #: What the classifier knows of boilerplate.
-BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu dialog button select search".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|"
-    r"menus?|breadcrumbs?|sidebars?|side-?bar|footers?|site-?header|page-?header|masthead|comments?|comment-?list|disqus|repl(?:y|ies)|responses?|discussion|"
-    r"cookies?|consent|gdpr|notices?|alerts?|pop-?ups?|modals?|overlays?|newsletters?|subscri(?:be|ption)s?|sign-?up|log-?in|shar(?:e|ing)|social|"
-    r"related|recommend(?:ed|ations?)?|read-?more|widgets?|toolbars?|pagination|pager|tags?|copyright|legal|disclaimer|search)(?:$|[^a-z])")
+BOILERPLATE_ELEMENTS = frozenset("nav footer aside menu dialog button select search".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar status".split())
+#: A class token or id is one of these names if it has no other parts than their words and PARTS.
+STRONG_NAMES = frozenset("""ad ads advert adverts advertisement advertisements adbox adsense banner banners sponsored promo promos nav navbar
+    navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers siteheader pageheader masthead comment comments commentlist disqus
+    reply replies cookie gdpr popup popups modal modals overlay overlays newsletter newsletters subscribe signup login share social related
+    recommended readmore widget widgets toolbar toolbars pagination pager tags""".split())
+WEAK_NAMES = frozenset("""advertising sponsor sponsors promotion promotions response responses discussion cookies consent notice notices alert alerts
+    subscription subscriptions sharing recommend recommendation recommendations tag copyright legal disclaimer search""".split())
+PARTS = frozenset("""area article articles aside bar bars block blocks body bottom box boxes btn button buttons card cards center col column columns
+    container content desktop div entry fixed float footer form global google gpt group header holder icon icons inline inner item items left link links
+    list main mobile module panel page policy popular post posts primary right row secondary section site slot small sticky stories story text
+    thread title top unit wide wp wrap wrapper zone""".split())
+_COMPOUND = re.compile(r"(?:^|(?<=[^a-z]))(side|pop|sign|log|read|site|page|comment)-(bars?|ups?|up|in|more|header|list)(?![a-z])")
+_SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")
+_NOT_LETTERS = re.compile("[^a-z]+")
+#: A form that holds half of a page's text in paragraphs of sentences, and so many characters of it, is the page's frame.
+LEAST_FRAMED = 300
 ARTICLE_NAMES = re.compile(r"(?:^|[^a-z])(?:article|article-?body|post-?(?:body|content)|entry-?content|main-?(?:content|text)|story-?body)(?:$|[^a-z])")
 
 _TOKEN = re.compile(
@@ -73,10 +89,20 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def name_strength(token: str) -> int:
+    """2 if a class token or id is a strong name of boilerplate, 1 if a weak one, else 0."""
+    token = _COMPOUND.sub(lambda m: m[1] + m[2], _SIZE.sub("-", token))
+    parts = [x for x in _NOT_LETTERS.split(token) if x]
+    strong, weak = (any(x in names for x in parts) for names in (STRONG_NAMES, WEAK_NAMES))
+    if not (strong or weak) or parts[0] in ("content", "main") or any(x not in STRONG_NAMES and x not in WEAK_NAMES and x not in PARTS for x in parts):
+        return 0
+    return 2 if strong else 1
+
+
 class Element:
-    """An open element, and what holds for all text within it."""
+    """An open element, and what holds for all text within it; `form`, `name` and `marked` (as an article) are its own alone."""
 
-    __slots__ = ("tag", "parent", "depth", "article", "boiler", "named", "unseen", "link")
+    __slots__ = ("tag", "parent", "depth", "article", "boiler", "named", "unseen", "link", "form", "name", "marked")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -85,7 +111,8 @@ class Element:
         else:
             self.depth, self.article, self.boiler = parent.depth + 1, parent.article, parent.boiler
             self.named, self.unseen, self.link = parent.named, parent.unseen, parent.link
-        if tag in ("article", "main"):
+        self.form, self.name, self.marked = tag == "form", 0, tag in ("article", "main")
+        if self.marked:
             self.article = True
         elif tag in BOILERPLATE_ELEMENTS or tag == "header" and not self.article:
             self.boiler = True
@@ -100,15 +127,18 @@ class Element:
         for name, value in _ATTRIBUTE.findall(attributes):
             name = name.lower()
             if name in ("class", "id"):
-                value = value.strip("\"'").lower().replace("_", "-")
-                if BOILERPLATE_NAMES.search(value) and self.tag not in ("html", "body"):
-                    self.named = True
-                elif ARTICLE_NAMES.search(value):
-                    self.article = True
+                for token in value.strip("\"'").lower().replace("_", "-").split():
+                    strength = name_strength(token)
+                    if strength and self.tag not in ("html", "body"):
+                        self.name = max(self.name, strength)
+                    elif ARTICLE_NAMES.search(token):
+                        self.article = self.marked = True
             elif name == "role":
                 value = value.strip("\"'").lower()
                 self.boiler = self.boiler or value in BOILERPLATE_ROLES
-                self.article = self.article or value in ("main", "article")
+                self.form = self.form or value == "form"
+                if value in ("main", "article"):
+                    self.article = self.marked = True
             elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and _HIDDEN_STYLE.search(value):
                 self.unseen = True
 
@@ -201,9 +231,62 @@ def blocks(page: str) -> list[Block]:
                 here = here.parent
         here = Element(tag, here, attributes)
     flush()
+    settle_names(out)
     return out
 
 
+def settle_names(found: list[Block]) -> None:
+    """Sets `named` and `boiler` of all elements around the blocks from their own names and forms.
+
+    The article is the marked element, outside of boilerplate, with the most unlinked text of its own. An element
+    holds it if that is at or below it, with half of the page's unlinked text or more.
+    """
+    around: dict[int, Element] = {}
+    for b in found:
+        e = b.element
+        while e is not None and id(e) not in around:
+            around[id(e)] = e
+            e = e.parent
+    order = sorted(around.values(), key=lambda e: e.depth)
+    if not any(e.form or e.name for e in order):
+        return
+    marked: dict[int, Element | None] = {}  # the innermost article mark at or above
+    for e in order:
+        marked[id(e)] = e if e.marked else marked[id(e.parent)] if e.parent is not None else None
+    text, framed, own = dict.fromkeys(around, 0), dict.fromkeys(around, 0), dict.fromkeys(around, 0)
+    total, below = 0, set()
+    for b in found:
+        e, size = b.element, max(0, len(b.text) - b.linked)
+        total += size
+        text[id(e)] += size
+        if e.tag == "p" and not e.boiler and b.text[-1] in SENTENCE_ENDS:
+            framed[id(e)] += size
+        if marked[id(e)] is not None and not e.boiler:
+            own[id(marked[id(e)])] += size
+            below.add(id(marked[id(e)]))
+    for e in reversed(order):
+        if e.parent is not None:
+            text[id(e.parent)] += text[id(e)]
+            framed[id(e.parent)] += framed[id(e)]
+            if id(e) in below:
+                below.add(id(e.parent))
+    article = max(order, key=lambda e: own[id(e)])
+    holds = set()
+    if own[id(article)]:
+        e = article
+        while e is not None:
+            if 2 * text[id(e)] >= total:
+                holds.add(id(e))
+            e = e.parent
+    for e in order:
+        if e.parent is not None:
+            e.named, e.boiler = e.named or e.parent.named, e.boiler or e.parent.boiler
+        if e.name == 2 and id(e) not in holds or e.name == 1 and not e.article and id(e) not in below:
+            e.named = True
+        if e.form and id(e) not in holds and (framed[id(e)] < LEAST_FRAMED or 2 * framed[id(e)] < total):
+            e.boiler = True
+
+
 def score(block: Block) -> float:
     """The classifier: the cost of calling the block boilerplate less that of calling it content."""
     e, w = block.element, WEIGHTS
@@ -211,7 +294,7 @@ def score(block: Block) -> float:
     z = w["bias"] + w["log2_words"] * min(MOST_LOG2_WORDS, log2(words + 1))
     z += w["link_share"] * min(1.0, block.linked / len(block.text))
     z += w["in_article"] * e.article + w["paragraph"] * (e.tag == "p") + w["heading"] * (e.tag in HEADINGS)
-    z += w["ends_sentence"] * (block.text[-1] in ".!?…\"”»")
+    z += w["ends_sentence"] * (block.text[-1] in SENTENCE_ENDS)
     return z + w["boilerplate_element"] * e.boiler + w["boilerplate_name"] * e.named
 
 

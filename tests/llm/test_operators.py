@@ -311,6 +311,28 @@ def test_extraction(spark):
     assert op8.extract_pages(df.limit(0)).count() == 0
 
 
+SENTENCES = "".join(f"<p>Here is sentence number {k} of a text that goes on for a while.</p>" for k in range(9))
+SAID = "\n".join(f"Here is sentence number {k} of a text that goes on for a while." for k in range(9))
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<article class='post category-x tag-python'>", "</article>"), ("<div class='content has-sidebar'>", "</div>"), ("<div class='post tag-x'>", "</div>"),
+    ("<form id=aspnetForm>", "</form>"), ("<form id=f><main>", "</main></form>"), ("<div class='sidebar'><article>", "</article></div>"),
+    ("<article><section id='discussion'>", "</section></article>"), ("<article><section id=legal>", "</section></article>"),
+    ("<section id=related-work>", "</section>"), ("<div class=notice><div class='entry-content'>", "</div></div>"),
+])
+def test_names_and_forms_around_an_article(before, after):
+    aside = "<div class='sidebar'><article><p>A card of another text.</p></article></div><div class='ad-box-300x250'><p>Buy this now and be happy.</p></div>"
+    login = "<form><p>Name and password, please.</p></form><div class=legal><p>All rights are reserved here.</p></div>"
+    assert op8.main_text(f"<body>{before}{SENTENCES}{after}{aside}{login}</body>") == SAID
+
+
+def test_names_of_boilerplate():
+    for strength, names in ((2, "ad ads ad-box ad-300x250 sidebar side-bar sidebar-right comment-list cookie-notice nav-links site-header share-buttons related-posts"),
+                            (1, "legal discussion legal-notice tag"), (0, "tag-x tag-python has-sidebar no-sidebar content-sidebar related-work header post ad-x shadow")):
+        assert {n: op8.name_strength(n) for n in names.split()} == dict.fromkeys(names.split(), strength)
+
+
 def cut_cost(scores, edges, side):
     return (sum(s for s, x in zip(scores, side) if s > 0 and not x) - sum(s for s, x in zip(scores, side) if s < 0 and x)
             + sum(c for a, b, c in edges if side[a] != side[b]))
