@@ -14,7 +14,9 @@ documents is one hot join key on the training side; the join is split by Spark,
 or needs no shuffle where the test seeds are within the checked broadcast bound.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z folded. Items of fewer than WINDOW
-words must occur whole and unchanged; items under MIN_ITEM words are ignored.
+words must occur whole, with SHORT_CHANGED substituted word at most: the three masks of their length have
+zeros at every third place, so each place is a zero of one of them. Items under MIN_ITEM words must be the
+words of a whole line or of a whole text, unchanged.
 Defined cases: null and empty texts leak nothing; a null doc_id is reported as
 null; rows equal in id and text are reported once; benchmark rows equal in id
 and text count once; an empty documents or benchmark table gives no rows; other
@@ -38,6 +40,7 @@ from sellerlens.plans.broadcast import broadcast_if_small
 WINDOW = 13
 MAX_CHANGED = 2
 MIN_ITEM = 5
+SHORT_CHANGED = 1
 MASKS = ("11101101", "11001000111")
 FILTER_BITS = 1 << 26
 
@@ -56,14 +59,38 @@ def folded(texts: pa.Array) -> Words:
     return Words(_FOLD[data], offs)
 
 
+def short_masks(n: int) -> list[str]:
+    """The masks of an item of n words, fewer than WINDOW; one of `=` stands for the words of a whole line or text."""
+    if n < MIN_ITEM:
+        return ["=" * n]
+    return ["".join("0" if k % 3 == j else "1" for k in range(n)) for j in range(3)]
+
+
 def all_masks(short: list[int]) -> list[str]:
-    """The fixed masks, and one without zeros for each length of a short item."""
-    return [*MASKS, *("1" * n for n in sorted(short))]
+    """The fixed masks, and those of each length of a short item."""
+    return [*MASKS, *(m for n in sorted(short) for m in short_masks(n))]
+
+
+def line_seeds(words: Words, n: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first word) of every line of n words and every text of n words; only of texts if `whole`."""
+    texts = words.first[:-1][words.count == n]
+    at = texts
+    if not whole and len(words.start):
+        line = np.concatenate([[0], np.cumsum(words.data == 10)])[words.start]
+        begin = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (words.doc[1:] != words.doc[:-1])]))
+        at = np.union1d(texts, begin[np.diff(np.append(begin, len(words.start))) == n])
+    h = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h += words.hash[at + k]
+    return mix(mix(h) + np.uint64(n)), at
 
 
 def seeds(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first word) of every place where a mask fits into one document."""
     span = len(mask)
+    if mask[0] == "=":
+        return line_seeds(words, span)
     size = len(words.start) - span + 1
     if size <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -84,16 +111,16 @@ def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def _item_seeds(texts: pa.Array) -> pa.Array:
-    """Per item its seeds; items from MIN_ITEM to WINDOW - 1 words have one, of all their words."""
+    """Per item its seeds; items of fewer than WINDOW words have one by each mask of their length."""
     w = folded(texts)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for mask in MASKS:
         h, at = seeds(w, mask)
         long = w.count[w.doc[at]] >= WINDOW
         found.append((h[long], at[long]))
-    for n in range(MIN_ITEM, WINDOW):
-        if (w.count == n).any():
-            h, at = seeds(w, "1" * n)
+    for n in np.unique(w.count[(w.count > 0) & (w.count < WINDOW)]).tolist():
+        for mask in short_masks(n):
+            h, at = seeds(w, mask) if n >= MIN_ITEM else line_seeds(w, n, whole=True)
             exact = w.count[w.doc[at]] == n
             found.append((h[exact], at[exact]))
     h, at = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -164,7 +191,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     """
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     window = min(WINDOW, len(item))
-    changed = MAX_CHANGED if len(item) >= WINDOW else 0
+    changed = MAX_CHANGED if len(item) >= WINDOW else SHORT_CHANGED if len(item) >= MIN_ITEM else 0
     if hi - lo < window:
         return None
     same = doc[lo + shift : hi + shift] == item[lo:hi]

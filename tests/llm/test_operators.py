@@ -411,6 +411,36 @@ def test_changed_passages(spark, items, corpus):
     assert got == brute.leaks(rows, corpus[1]) and (99, 3) in got and (11, 3) not in got
 
 
+def test_short_items(spark):
+    """One changed word at any place of an item of 5 to 12 words; whole lines and texts for shorter ones."""
+    short = {n: [f"s{n}x{k}" for k in range(n)] for n in range(1, 13)}
+    rows, want = [], set()
+    for n, item in short.items():
+        for k in range(-1, n):
+            for more in ([], ["y"] if n > 1 else []):
+                w = [*item]
+                if k >= 0:
+                    w[k] = "changed"
+                if more:
+                    w[k - 1] = "y"
+                i = len(rows)
+                rows.append((i, "some words before " + " ".join(w) + " and after"))
+                if n >= 5 and sum(a != b for a, b in zip(w, item, strict=True)) <= 1:
+                    want.add((i, n))
+    for n in range(1, 5):
+        item = " ".join(short[n])
+        for text, hit in ((item, True), (f"before\n {item.upper()} \r\nafter it", True), ("\n".join(short[n]), True), (f"before\n{item} more\nafter", False),
+                          (f"before {item}\nafter", False)):
+            if hit:
+                want.add((len(rows), n))
+            rows.append((len(rows), text))
+    rows += [(1000, "s1x0\n\ns2x0 s2x1"), (1001, ""), (1002, None)]
+    want |= {(1000, 1), (1000, 2)}
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in short.items()] + [(50, ""), (51, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op10.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == want
+
+
 def test_without_leaks(spark, docs, items, corpus, edges):
     bad = {i for i, _ in brute.leaks(pairs(corpus[0], 0, 1), corpus[1])}
     assert bad and sorted(r["doc_id"] for r in op10.without_leaks(docs, items).collect()) == sorted(r[0] for r in corpus[0] if r[0] not in bad)
