@@ -260,7 +260,8 @@ def _keep(texts: pa.Array, spans: pa.Array, window: int) -> Iterator[tuple[int,
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, doc_id: str, text: str) -> DataFrame:
-    runs = spans.groupBy("did", "th").agg(F.collect_list(F.struct("first", "size")).alias("runs"))
+    # Rows equal in id and text have the same spans: a set, so that a list is no longer than one text's stretches.
+    runs = spans.groupBy("did", "th").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     return _ranked(docs, doc_id, text).join(runs, ["did", "th"], "left")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import EDGES, in_order, rows_of
+from pyspark.sql import functions as F
 
 from sellerlens.llm import op01_substring_dedup as op1
 from sellerlens.llm import op02_quality_rules as op2
@@ -76,6 +77,17 @@ def test_a_stretch_twice_in_one_document(spark):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(brute.substring_dedup(rows))
 
 
+def test_spans_of_equal_rows_are_listed_once(spark):
+    """All null ids count as one; their copies don't lengthen the list of each other."""
+    p = [f"p{k}" for k in range(200)]
+    rows = [(1, " ".join(p[:60])), (2, " ".join(p[120:]))] + [(None, " ".join(["x", *p, "y"]))] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = op1.repeated_spans(df)
+    most = spans.groupBy("did", "th").agg(F.countDistinct("first", "size").alias("n")).agg(F.max("n")).first()[0]
+    assert 0 < most == op1._with_spans(df, spans, "doc_id", "text").agg(F.max(F.size("runs"))).first()[0]
+    assert rows_of(op1.dedup_digest(df), "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(brute.substring_dedup(rows))
+
+
 # -- quality rules
 
 def test_quality_rules(case):
