@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sellerlens.llm.common import fresh, table, written
+from sellerlens.llm.common import WORD, fresh, table, written
 from sellerlens.llm.components import components
 from sellerlens.llm.textops import Words, chunks, mix, text_bytes
 
@@ -266,15 +266,17 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """`docs` with one document of each class, the one of the least id (of equal ids, the least text hash).
 
-    Documents without words all stay; rows equal in id and text stay once.
+    Documents without words all stay, equal rows too; other rows equal in id and text stay once.
     """
     gone = similar(docs, doc_id=doc_id, text=text, **how).filter(~F.col("stays"))
     key, row = fresh("key", docs), fresh("row", docs)
     as_key = lambda i, t: F.concat_ws("/", F.coalesce(i.cast("string"), F.lit("-")), t)
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row))
-    kept = kept.select(row, as_key(F.col(row)[doc_id], F.md5(F.coalesce(F.col(row)[text], F.lit("")).cast("binary"))).alias(key))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row))
+    worded = F.coalesce(F.col(row)[text].rlike(WORD), F.lit(False))
+    kept = rows.filter(worded).select(row, as_key(F.col(row)[doc_id], F.md5(F.coalesce(F.col(row)[text], F.lit("")).cast("binary"))).alias(key))
     gone = written(gone.select(as_key(F.col("doc_id"), F.lower(F.hex("node"))).alias(key)).distinct(), "gone")
-    return kept.join(gone, key, "left_anti").dropDuplicates([key]).select(f"{row}.*")
+    kept = kept.join(gone, key, "left_anti").dropDuplicates([key]).select(row)
+    return kept.union(rows.filter(~worded)).select(f"{row}.*")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

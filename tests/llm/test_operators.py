@@ -242,6 +242,12 @@ def test_one_of_each(docs, corpus, edges):
     assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 5, 8]
 
 
+def test_rows_without_words_all_stay(spark):
+    rows = [(None, None), (None, ""), (None, None), (7, None), (7, ""), (7, " \n"), (7, " \n"), (8, "one two"), (8, "one two"), (9, "one two")]
+    kept = op6.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(kept, "doc_id", "text") == in_order(rows[:8])
+
+
 def test_a_chain_of_near_copies(spark):
     """Links that no single bucket holds still make one class."""
     base = [f"w{k}" for k in range(100)]
