@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from sellerlens.llm.textops import _powers, mix
+from sellerlens.llm.textops import span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Entries of a worker's cache; beyond, it starts anew.
@@ -99,10 +99,7 @@ class Pieces:
         self.data = data
         self.start, self.doc = byte_starts(data, offs)
         self.end = np.append(self.start[1:], len(data)).astype(np.int64)
-        up, down = _powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = span_hashes(data, self.start, self.end)
 
     def bytes_at(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

@@ -13,6 +13,7 @@ from sellerlens.llm import op07_quality_classifier as op7
 from sellerlens.llm import op08_html_extraction as op8
 from sellerlens.llm import op09_mixing as op9
 from sellerlens.llm import op10_decontamination as op10
+from sellerlens.llm import op12_ranked_search as op12
 
 QUERIES = {
     "op1_substring_dedup": op1.op1_substring_dedup,
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_html_extraction": op8.op8_html_extraction,
     "op9_mixing": op9.op9_mixing,
     "op10_decontamination": op10.op10_decontamination,
+    "op12_ranked_search": op12.op12_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op2_quality_rules": op2.ORACLE_SQL,
     "op9_mixing": op9.ORACLE_SQL,
+    "op12_ranked_search": op12.ORACLE_SQL,
 }

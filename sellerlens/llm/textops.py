@@ -4,12 +4,15 @@ A batch of texts is one byte array plus offsets. Words are found by a table
 lookup per byte; each word gets a 64-bit hash from prefix sums of a polynomial
 over the bytes (the multiplier is odd, so it has an inverse modulo 2**64), and
 n-gram hashes come from a few shifted vector operations. Memory is a small
-multiple of the chunk; texts longer than a chunk are a chunk of their own.
+multiple of the chunk; texts longer than a chunk are a chunk of their own, and are hashed
+a chunk's length at a time.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,31 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
+    """The first n powers of the multiplier and of its inverse; those of more than a chunk are not kept."""
+    size = max(n, CHUNK_BYTES + 1)
+    made = _POWERS
+    if len(made.get("up", ())) < n:
+        made = _POWERS if size == CHUNK_BYTES + 1 else {}
         for name, base in (("up", _MULT), ("down", _INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            made[name] = np.multiply.accumulate(steps)
+    return made["up"][:n], made["down"][:n]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of spans in ascending order, a chunk's length of spans at a time."""
+    out, lo = np.empty(len(start), np.uint64), 0
+    while lo < len(out):
+        base = int(start[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, base + CHUNK_BYTES, side="right")))
+        part = data[base : end[hi - 1]]
+        up, down = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        out[lo:hi] = mix((total[end[lo:hi] - base] - total[start[lo:hi] - base]) * down[start[lo:hi] - base])
+        lo = hi
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,8 +80,23 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back to the system, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def release() -> None:
+    """Gives the memory that a worker has freed back: workers stay, idle, while later stages need it for themselves."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `limit` bytes of text, or of one row; together they are all rows."""
+    """Row ranges of at most `limit` bytes of text, or of one row; together they are all rows.
+
+    Behind the last one the worker's freed memory is released.
+    """
     _, offs = text_bytes(texts)
     lo, n = 0, len(texts)
     while lo < n:
@@ -68,15 +104,19 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         hi = min(n, max(hi, lo + 1))
         yield lo, hi
         lo = hi
+    release()
 
 
 class Words:
-    """The words of a chunk: `start` and `end` bytes, `doc` of each, and `first` word of each document."""
+    """The words of a chunk: `start` and `end` bytes, `doc` of each, and `first` word of each document.
+
+    `breaks` tells of each byte whether it stands between words; white space does unless stated.
+    """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _SPACE):
         self.data, self.offs = data, offs
         n = len(data)
-        word = ~_SPACE[data]
+        word = ~breaks[data]
         begin, end = word.copy(), word.copy()
         if n:
             begin[1:] &= ~word[:-1]
@@ -96,10 +136,7 @@ class Words:
     def hash(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
         if self._hash is None:
-            up, down = _powers(len(self.data) + 1)
-            total = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-            self._hash = mix((total[self.end] - total[self.start]) * down[self.start])
+            self._hash = span_hashes(self.data, self.start, self.end)
         return self._hash
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
