@@ -13,7 +13,9 @@ from sellerlens.llm import op07_quality_classifier as op7
 from sellerlens.llm import op08_html_extraction as op8
 from sellerlens.llm import op09_mixing as op9
 from sellerlens.llm import op10_decontamination as op10
+from sellerlens.llm import op11_secret_scan as op11
 from sellerlens.llm import op12_ranked_search as op12
+from sellerlens.llm import op13_spelling_variants as op13
 
 QUERIES = {
     "op1_substring_dedup": op1.op1_substring_dedup,
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_html_extraction": op8.op8_html_extraction,
     "op9_mixing": op9.op9_mixing,
     "op10_decontamination": op10.op10_decontamination,
+    "op11_secret_scan": op11.op11_secret_scan,
     "op12_ranked_search": op12.op12_ranked_search,
+    "op13_spelling_variants": op13.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 

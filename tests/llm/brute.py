@@ -202,3 +202,106 @@ def lm_scores(rows, targets, known, unknown_of, n_unknown, strength=200.0):
         n = max(1, len(p))
         out.append((i, len(p), sum(lt(*x) for x in p) / n, sum(lb(*x) for x in p) / n))
     return out
+
+
+SECRETS = (
+    (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
+    (re.compile(r"AKIA[A-Z0-9]+"), 0, 18),
+    (re.compile(r"[0-9a-f]+"), 0, 16),
+)
+KINDS = ("assign", "access", "hex")
+
+
+def base_secrets(text):
+    """[(start, kind number, end, credential)] in order."""
+    out = []
+    for k, (pattern, group, least) in enumerate(SECRETS):
+        out += [(m.start(), k, m.end(), m.group(group)) for m in pattern.finditer(text or "") if len(m.group(group)) >= least]
+    return sorted(out)
+
+
+def automaton_bits(automaton, symbols, value):
+    state, total = 0, 0.0
+    for c in value:
+        total += automaton.bits[state][symbols.index(c)]
+        state = automaton.after[state][symbols.index(c)]
+    return total + automaton.end_bits[state]
+
+
+def secret_spans(text, automata, symbols, gain=0.5, total=16.0, least=16):
+    """[(kind, start, end)]: base spans, and candidates clear of them that an automaton of a kind explains better than the last one."""
+    base = base_secrets(text)
+    out = [(s, k, e) for s, k, e, _ in base]
+    known = [a for a in automata[:-1] if a is not None]
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text or ""):
+        start, end = m.span()
+        while start < end and text[start] in ".-/":
+            start += 1
+        while start < end and text[end - 1] in ".-/":
+            end -= 1
+        if end - start < least or any(s < end and e > start for s, _, e, _ in base) or not known or automata[-1] is None:
+            continue
+        value = text[start:end]
+        bits = automaton_bits(automata[-1], symbols, value) - min(automaton_bits(a, symbols, value) for a in known)
+        if bits >= total and bits >= gain * (end - start):
+            out.append((start, 3, end))
+    return [((*KINDS, "inferred")[k], s, e) for s, k, e in sorted(out)]
+
+
+def ranked(docs, items, top=10):
+    """[(item_id, rank, doc_id, score)] of (doc_id, text) and (item_id, text) rows."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    of = lambda t: Counter(term.findall((t or "").translate(fold)))
+    docs = [(i, c) for i, t in docs if (c := of(t))]
+    n_docs, n_terms = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in docs:
+            n = sum(c.values())
+            m = 10 + (90 * n * n_docs) // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+                        for t in of(text) if t in c)
+            if score > 0:
+                scores.append((-score, i is not None, i))
+        out += [(item, r + 1, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:top])]
+    return out
+
+
+def spelling_variants(rows, least=7, min_count=2, ratio=10):
+    """[(word, form, root, n, n_near, form_n)] of (doc_id, text) rows."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = Counter()
+    for i, text in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(fold)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= least and c >= min_count}
+    near = defaultdict(set)
+    holes = defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            holes[w[:k], w[k + 1 :]].add(w)
+            if (short := w[:k] + w[k + 1 :]) in n:
+                near[w].add(short)
+                near[short].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        if best is not None and n[best] >= ratio * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out

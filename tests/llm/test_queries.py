@@ -1,5 +1,6 @@
 """The registered queries and the pipeline: DuckDB SQL where there is some, else plain versions."""
 
+import hashlib
 import os
 import subprocess
 import sys
@@ -12,6 +13,7 @@ from conftest_paths import SF_MID, SF_SMALL
 
 import __spark_entry__
 import corpus_pipeline
+from sellerlens.llm import op11_secret_scan as op11
 from sellerlens.llm.common import run_folder, table
 from sellerlens.llm.op05_token_counts import TOKENIZER, tokenizer_path
 from sellerlens.llm.queries import QUERIES, SQL
@@ -19,9 +21,9 @@ from sellerlens.llm.queries import QUERIES, SQL
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def test_ten_operators_and_the_pipeline():
+def test_thirteen_operators_and_the_pipeline():
     registered = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in registered) == 1
     assert "pipeline" in registered and set(SQL) <= set(QUERIES)
 
@@ -66,6 +68,21 @@ def test_queries_equal_plain_versions(spark):
     assert {(r[0], r[1]) for r in run("op10_decontamination", "doc_id", "item_id")} == brute.leaks(docs, items)
 
 
+def test_scans_and_variants_equal_plain_versions(spark):
+    docs, _ = plain(spark, SF_SMALL)
+    assert collected(QUERIES["op13_spelling_variants"](spark, SF_SMALL), "word", "root", "n", "n_near") == sorted(
+        (w, root, n, near) for w, _, root, n, near, _ in brute.spelling_variants(docs))
+    automata, symbols = op11.learn(table(spark, SF_SMALL, "documents")), op11.SYMBOLS.decode()
+    want = []
+    for i, t in docs:
+        spans = brute.secret_spans(t, automata, symbols)
+        base = ",".join(f"{k}:{s}:{e}" for k, s, e in spans if k != "inferred")
+        counts = [sum(k == kind for k, _, _ in spans) for kind in ("assign", "access", "hex")]
+        want.append((i, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for k, s, e in spans)))
+    got = collected(QUERIES["op11_secret_scan"](spark, SF_SMALL), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert got == sorted(want) and any(r[1] for r in got)
+
+
 def test_pipeline_equals_plain_versions(spark):
     """Each stage's plain version over its predecessor's rows; the last stage's rows are run()'s."""
     from tokenizers import Tokenizer
