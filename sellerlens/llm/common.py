@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +41,8 @@ def fresh(name: str, *frames: DataFrame) -> str:
     return name
 
 
-#: Folders that this process has written intermediate tables to.
-_SCRATCH: list[str] = []
+#: The intermediate tables of the run that is under way, if one keeps a list (see `scratch`).
+_RUN: ContextVar[list[str] | None] = ContextVar("sellerlens_scratch", default=None)
 
 
 def run_folder(spark: SparkSession, what: str) -> str:
@@ -47,16 +50,39 @@ def run_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the intermediate tables written so far. Results are lazy: call it once they are written elsewhere."""
-    while _SCRATCH:
-        store.delete(spark, _SCRATCH.pop())
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The intermediate tables that are written within this block are deleted at its end, and no others.
+
+    Results are lazy: what is built from these tables must be written elsewhere before the block ends.
+    """
+    paths: list[str] = []
+    before = _RUN.set(paths)
+    try:
+        yield
+    finally:
+        _RUN.reset(before)
+        for path in paths:
+            store.delete(spark, path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage ends there, so lost executors only re-read it."""
-    bound_batches(df.sparkSession)
-    path = run_folder(df.sparkSession, what)
-    _SCRATCH.append(path)
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = run_folder(spark, what)
+    paths = _RUN.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes tables of `written` that nothing reads any more; frames that it didn't make are left alone."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            store.delete(df.sparkSession, path)

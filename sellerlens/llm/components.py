@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sellerlens.llm.common import written
+from sellerlens.llm.common import discard, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,4 +39,5 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return stars.select("a", F.col("b").alias("root"))
         seen = state
-        stars = written(_small_star(_large_star(stars)), "links")
+        before, stars = stars, written(_small_star(_large_star(stars)), "links")
+        discard(before)

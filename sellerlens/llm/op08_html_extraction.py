@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from math import log2
 
 import pyarrow as pa
@@ -59,6 +59,9 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}}
+PARAGRAPH_BARRIERS = frozenset(("button", "td", "th", "table"))
+#: An inline element isn't closed from within a cell.
+CELLS = frozenset(("td", "th", "table"))
 BARRIERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 #: What the classifier knows of boilerplate.
@@ -102,7 +105,7 @@ def name_strength(token: str) -> int:
 class Element:
     """An open element, and what holds for all text within it; `form`, `name` and `marked` (as an article) are its own alone."""
 
-    __slots__ = ("tag", "parent", "depth", "article", "boiler", "named", "unseen", "link", "form", "name", "marked")
+    __slots__ = ("tag", "parent", "depth", "article", "boiler", "named", "unseen", "link", "form", "name", "marked", "paragraph")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -112,6 +115,8 @@ class Element:
             self.depth, self.article, self.boiler = parent.depth + 1, parent.article, parent.boiler
             self.named, self.unseen, self.link = parent.named, parent.unseen, parent.link
         self.form, self.name, self.marked = tag == "form", 0, tag in ("article", "main")
+        # the open paragraph that a block would end
+        self.paragraph = self if tag == "p" else None if parent is None or tag in PARAGRAPH_BARRIERS else parent.paragraph
         if self.marked:
             self.article = True
         elif tag in BOILERPLATE_ELEMENTS or tag == "header" and not self.article:
@@ -159,6 +164,8 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     here = Element("#page", None, "")
     owner = here
+    opened: Counter[str] = Counter()
+    cells = [Counter()]  # what is open within the innermost cell, the one around it, ...
 
     def flush() -> None:
         nonlocal linked
@@ -181,12 +188,24 @@ def blocks(page: str) -> list[Block]:
             if here.link:
                 linked += len(text.strip())
 
-    def close(tags: set[str], barriers: set[str]) -> None:
+    def leave(to: Element) -> None:
+        """Closes all elements below `to`."""
         nonlocal here
+        while here is not to:
+            opened[here.tag] -= 1
+            if here.tag in CELLS:
+                cells.pop()
+            cells[-1][here.tag] -= 1
+            here = here.parent
+
+    def close(tags: set[str], barriers: set[str] | frozenset[str], scope: Counter) -> None:
+        """Closes the innermost of `tags` that is open within the barriers; `scope` counts what is open, so most calls walk nowhere."""
+        if not any(scope[t] for t in tags):
+            return
         at = here
         while at.parent is not None and at.tag not in barriers:
             if at.tag in tags:
-                here = at.parent
+                leave(at.parent)
                 return
             at = at.parent
 
@@ -211,7 +230,7 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 add(" ")
             else:
-                close({tag}, set() if tag in BLOCK else {"td", "th", "table"})
+                close({tag}, set(), opened) if tag in BLOCK else close({tag}, CELLS, cells[-1])
             continue
         if tag in VOID:
             if tag == "br":
@@ -224,12 +243,17 @@ def blocks(page: str) -> list[Block]:
             at = stop.end() if stop else n
             continue
         if tag in BLOCK:
-            close({"p"}, {"button", "td", "th", "table"})
+            if here.paragraph is not None:
+                leave(here.paragraph.parent)
             if tag in ENDS:
-                close(ENDS[tag], BARRIERS[tag])
+                close(ENDS[tag], BARRIERS[tag], opened)
             if tag in HEADINGS and here.tag in HEADINGS:
-                here = here.parent
+                leave(here.parent)
         here = Element(tag, here, attributes)
+        opened[tag] += 1
+        cells[-1][tag] += 1
+        if tag in CELLS:
+            cells.append(Counter())
     flush()
     settle_names(out)
     return out
@@ -327,6 +351,11 @@ def minimum_cut(scores: list[float], joined: list[tuple[int, int, float]]) -> li
     """True for the nodes on the source's side of a minimum cut.
 
     A score is the capacity from the source (positive) or to the sink (negative); `joined` are edges both ways.
+
+    The graph shrinks before any flow is sent, and the cut stays the same: a node whose terminal capacity is
+    at least that of its edges is on that side, and one with two neighbours or fewer is replaced by the capacities that it
+    lets through between them and to the terminals. Blocks in a row with edges between siblings never cross, so every page
+    shrinks to nothing in a time in proportion to its blocks; a maximum flow settles what is left of other graphs.
     """
     z = list(scores)
     near: list[dict[int, float]] = [{} for _ in z]
@@ -334,19 +363,48 @@ def minimum_cut(scores: list[float], joined: list[tuple[int, int, float]]) -> li
         near[a][b] = near[a].get(b, 0.0) + c
         near[b][a] = near[b].get(a, 0.0) + c
     label: list[bool | None] = [None] * len(z)
-    queue = deque(range(len(z)))
+    gone: list[tuple[int, list[tuple[int, float]]]] = []  # replaced nodes with the neighbours that they had
+    queue, waiting = deque(range(len(z))), [True] * len(z)
+    left = set(queue)
+
+    def again(k: int) -> None:
+        if not waiting[k]:
+            waiting[k] = True
+            queue.append(k)
+
     while queue:
         k = queue.popleft()
-        if label[k] is None and abs(z[k]) >= sum(near[k].values()):
+        waiting[k] = False
+        if k not in left:
+            continue
+        if len(near[k]) > 2 and abs(z[k]) < sum(near[k].values()):
+            continue
+        left.discard(k)
+        around = list(near[k].items())
+        for b, _ in around:
+            del near[b][k]
+            again(b)
+        if abs(z[k]) >= sum(c for _, c in around):
             label[k] = z[k] > 0
-            for b, c in near[k].items():
-                del near[b][k]
+            for b, c in around:
                 z[b] += c if label[k] else -c
-                queue.append(b)
-    rest = [k for k, x in enumerate(label) if x is None]
-    if rest:
-        for k in _source_side(rest, z, near):
-            label[k] = True
+            continue
+        gone.append((k, around))
+        (u, p), (w, q) = (around * 2)[:2] if len(around) > 1 else (around[0], (around[0][0], 0.0))
+        # the least cost of the node for either side of its neighbours: (u, w) on the sink's side is 0
+        cost = {(i, j): min(p * i + q * j, -z[k] + p * (1 - i) + q * (1 - j)) for i in (0, 1) for j in (0, 1)}
+        through = (cost[0, 1] + cost[1, 0] - cost[0, 0] - cost[1, 1]) / 2
+        z[u] -= cost[1, 0] - cost[0, 0] - through
+        z[w] -= cost[0, 1] - cost[0, 0] - through
+        if u != w and through > 0:
+            near[u][w] = near[u].get(w, 0.0) + through
+            near[w][u] = near[w].get(u, 0.0) + through
+    if left:
+        side = _source_side(sorted(left), z, near)
+        for k in left:
+            label[k] = k in side
+    for k, around in reversed(gone):
+        label[k] = sum(c for b, c in around if label[b]) + z[k] > sum(c for b, c in around if not label[b])
     return [bool(x) for x in label]
 
 

@@ -14,12 +14,16 @@ within the budget, which ends within half a document of the target.
 Scale: no window ever holds a source. Keys are cut into ordered buckets of
 about BUCKET_ROWS rows, words are summed per (source, bucket) with partial
 aggregation, and running sums over buckets find the one bucket of each source
-in which the budget ends; only that bucket is sorted. The result is one cut per
-source, which joins back to the documents.
+in which the budget ends. A bucket of more than BUCKET_ROWS rows (low weights and equal ids
+crowd) is cut again, into SPLIT ranges of the first part of the order in which its rows differ, until it is small or all its
+rows are equal. Rows that are equal in every column are one group with a count, and the budget may end within it. The result is one
+cut per source, which joins back to the documents; the group at the cut is unfolded from its count, a part of it per task.
+The windows over sources run in one task, one row a source.
 
 Defined cases: a null text has size 0 and takes 0 words; the null source is a
 source, last in order; documents equal in key are ordered by doc_id (null
-first), then by a hash of the text, and rows equal in both share one fate; an
+first), then by a hash of the text, then of the whole row, and of rows equal in all as many are taken as the budget
+holds; a very long text may end a source's budget by up to half its words; an
 empty table, or one without words, gives targets 0; other columns are carried.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sellerlens.llm.common import WORD, fresh, table, written
+from sellerlens.llm.common import WORD, discard, fresh, table, written
 from sellerlens.llm.op02_quality_rules import SYMBOLS
 from sellerlens.plans.broadcast import broadcast_if_small
 
@@ -38,7 +42,11 @@ SHARE = 1.5
 MAX_EPOCHS = 2
 #: Rows of a bucket of keys, about.
 BUCKET_ROWS = 20_000
+#: Ranges that a bucket of too many rows is cut into; rows that a task unfolds of one group.
+SPLIT, UNFOLD_ROWS = 4_096, 10_000
 LEAST_QUALITY = 0.05
+#: The order of a source's documents.
+ORDER = ("key", "doc_id", "tie", "whole")
 
 
 def size_of(text: Column) -> Column:
@@ -82,82 +90,121 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ma
     )
 
 
-def measured(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source, size, and the order of the documents: key, tie, spread (the key's place in 0 to 1)."""
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"),
-                        size_of(F.col(text)).alias("size"))
-    key = sampling_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")))
-    return sized.select("doc_id", "source", "size", key.alias("key"),
-                        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"))
+def measures(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> list[Column]:
+    """source, size, and the order of the documents: key, doc_id, tie (of the text), whole (of the row)."""
+    size = size_of(F.col(text))
+    key = sampling_key(F.col(doc_id), quality_weight(F.col(text), size))
+    return [F.col(source).alias("source"), size.alias("size"), key.alias("key"), F.col(doc_id).cast("long").alias("doc_id"),
+            F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("tie"), F.xxhash64(*docs.columns).alias("whole")]
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.floor((F.lit(1.0) - F.exp(-key)) * buckets)
 
 
-def decisions(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
-    """Per source: source_size, target, epochs and the cut of the last epoch; and the number of buckets."""
+def _parts() -> list[Column]:
+    """The order as numbers that doubles hold exactly, the first deciding."""
+    null_first = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    longs = [x for c in (null_first, F.col("whole")) for x in (F.shiftright(c, 32), c.bitwiseAND(F.lit((1 << 32) - 1)))]
+    texts = [F.conv(F.substring("tie", at, n), 16, 10) for at, n in ((1, 13), (14, 13), (27, 6))]
+    parts = [F.col("key"), *[(F.col("doc_id").isNotNull())], *longs[:2], *texts, *longs[2:]]
+    return [p.cast("double") for p in parts]
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["source"].eqNullSafe(b["source"])
+
+
+def _edge(inside: DataFrame, edges: DataFrame, bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows of each source's bucket in which its budget ends, and (source, before, rest) with the words before it."""
+    rows = inside.select("source", "size", *ORDER, bucket.alias("bucket"))
+    by = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("less", F.coalesce(F.sum("words").over(by), F.lit(0)))
+    e = broadcast_if_small(edges, 100_000)
+    last = sums.join(e, _same(sums, e)).withColumn("at", F.col("before") + F.col("less"))
+    last = last.filter((F.col("at") < F.col("rest")) & (F.col("rest") <= F.col("at") + F.col("words")))
+    last = written(last.select(sums["source"], F.col("bucket").alias("edge"), F.col("at").alias("before"), "rest"), "mix-edge")
+    e = broadcast_if_small(last, 100_000)
+    left = rows.join(e.select(F.col("source").alias("of"), "edge"), rows["source"].eqNullSafe(F.col("of")) & (rows["bucket"] == F.col("edge")))
+    return written(left.select("source", "size", *ORDER), "mix-inside"), last.select("source", "before", "rest")
+
+
+def decisions(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per source: source_size, target, epochs; the order of the row at the cut of the last epoch, how many rows are equal to it (m), and how many of those are taken (c)."""
     buckets = max(16, -(-rows.count() // BUCKET_ROWS))
-    rows = rows.withColumn("bucket", bucket_of(F.col("key"), buckets))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    totals = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(totals, weights, share, max_epochs).withColumn(
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     plan = written(plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
-    by = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    edges = sums.withColumn("before", F.coalesce(F.sum("words").over(by), F.lit(0)))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    small = F.broadcast if plan.count() <= 100_000 else (lambda x: x)
-    p = small(plan.select("source", "rest"))
-    last = edges.join(p, same(edges, p)).filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("words")))
-    last = written(last.select(edges["source"], "bucket", "before", "rest"), "mix-edge")
-    e = small(last.withColumnRenamed("bucket", "edge"))
-    inside = rows.join(e, same(rows, e) & (rows["bucket"] == e["edge"])).select(rows["source"], "key", "doc_id", "tie", "size", "before", "rest")
-    place = W.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(W.unboundedPreceding, -1)
-    at = F.col("before") + F.coalesce(F.sum("size").over(place), F.lit(0)) + F.col("size") / 2
-    cut = (inside.withColumn("within", at <= F.col("rest")).filter("within")
-           .groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("cut")))
-    e2, c = last.select("source", F.col("bucket").alias("edge")), cut
-    cuts = e2.join(c, same(e2, c), "left").select(e2["source"], "edge", "cut")
-    out = plan.join(cuts, same(plan, cuts), "left").select(
-        plan["source"], "source_size", "target", "epochs", "edge", "cut")
-    return written(out, "mix-cuts"), buckets
-
-
-def copies(bucket: Column, key: Column, doc_id: Column, tie: Column) -> Column:
-    """How often a document is taken: the source's epochs, and once more before the cut."""
-    at = F.struct(key.alias("key"), doc_id.alias("doc_id"), tie.alias("tie"))
-    more = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & F.coalesce(at <= F.col("cut"), F.lit(False)))
-    return (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).cast("long")
-
-
-def _matched(rows: DataFrame, source: str, cuts: DataFrame) -> DataFrame:
-    cuts = broadcast_if_small(cuts.withColumnRenamed("source", "of_source"), 100_000)
-    return rows.join(cuts, rows[source].eqNullSafe(cuts["of_source"]), "left")
+    inside, edges = _edge(rows, plan.select("source", F.lit(0).cast("long").alias("before"), "rest"), bucket_of(F.col("key"), buckets))
+    while True:
+        each = inside.select("source", *[p.alias(f"p{k}") for k, p in enumerate(_parts())])
+        n = len(each.columns) - 1
+        stats = each.groupBy("source").agg(F.count("*").alias("n"), *[f(f"p{k}").alias(f"{name}{k}") for k in range(n) for name, f in (("lo", F.min), ("hi", F.max))])
+        differ = [F.col(f"lo{k}") < F.col(f"hi{k}") for k in range(n)]
+        first = F.coalesce(*[F.when(d, F.struct(F.lit(k).alias("k"), F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi"))) for k, d in enumerate(differ)])
+        stats = written(stats.select(F.col("source").alias("of"), "n", first.alias("cut")), "mix-ranges")
+        if not stats.filter((F.col("n") > BUCKET_ROWS) & F.col("cut").isNotNull()).limit(1).count():
+            break
+        ranged = inside.join(broadcast_if_small(stats, 100_000), F.col("source").eqNullSafe(F.col("of")))
+        value = F.element_at(F.array(*_parts()), F.col("cut.k") + 1)
+        place = F.floor((value - F.col("cut.lo")) / (F.col("cut.hi") - F.col("cut.lo")) * SPLIT)
+        before, (inside, edges) = inside, _edge(ranged, edges, F.coalesce(F.least(place, F.lit(SPLIT - 1)), F.lit(0)))
+        discard(before, stats)
+
+    groups = inside.groupBy("source", *ORDER).agg(F.count("*").alias("m"), F.max("size").alias("size"))
+    e = broadcast_if_small(edges, 100_000)
+    groups = groups.join(e.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    order = [F.col(c).asc_nulls_first() for c in ORDER]
+    before = F.coalesce(F.sum(F.col("m") * F.col("size")).over(W.partitionBy("source").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("rest") - F.col("before") - before
+    taken = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).otherwise(F.when(left >= 0, F.col("m")).otherwise(F.lit(0)))
+    groups = groups.withColumn("c", F.greatest(F.lit(0), F.least(F.col("m"), taken.cast("long"))))
+    stop = F.struct((F.col("c") == F.col("m")).alias("all"), *[F.col(c) for c in ORDER], "m", "c")
+    # the first group that isn't taken whole; where there is none, the last one
+    cuts = groups.groupBy("source").agg(F.min(stop).alias("first"), F.max(stop).alias("last"))
+    cut = F.when(F.col("first.all"), F.col("last")).otherwise(F.col("first"))
+    cuts = cuts.select(F.col("source").alias("of"), cut.alias("cut"))
+    out = plan.join(cuts, F.col("source").eqNullSafe(F.col("of")), "left")
+    out = written(out.select("source", "source_size", "target", "epochs", F.struct(*[f"cut.{c}" for c in ORDER]).alias("at"),
+                             F.col("cut.m").alias("m"), F.col("cut.c").alias("c")), "mix-cuts")
+    discard(plan, inside, stats)
+    return out
+
+
+def _copies(rows: DataFrame, cuts: DataFrame, carried: list[str]) -> DataFrame:
+    """`carried`, source_size, target, n (how often a row is taken): a row per row.
+
+    The rows equal to a cut are summed up to one with their number, and unfolded from it: c of them are taken once more.
+    """
+    known = broadcast_if_small(cuts.withColumnRenamed("source", "of"), 100_000)
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("row_at", F.struct(*ORDER))
+    values = [*carried, "source_size", "target"]
+    is_cut = F.col("m").isNotNull() & F.col("row_at").eqNullSafe(F.col("at"))
+    once = F.when(F.col("m").isNotNull() & (F.col("row_at") < F.col("at")), 1).otherwise(0)
+    others = rows.filter(~is_cut).select(*values, (F.col("epochs") + once).cast("long").alias("n"))
+    one = [F.first(v).alias(v) for v in ("epochs", "m", "c")]
+    group = rows.filter(is_cut).groupBy("source", "row_at").agg(F.first(F.struct(*values)).alias("one"), *one)
+    parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / UNFOLD_ROWS))
+    group = group.withColumn("part", F.explode(parts)).repartition("source", "part")
+    place = F.explode(F.sequence(F.col("part") * UNFOLD_ROWS + 1, F.least(F.col("m"), (F.col("part") + 1) * UNFOLD_ROWS)))
+    group = group.withColumn("place", place)
+    return others.unionByName(group.select("one.*", (F.col("epochs") + F.when(F.col("place") <= F.col("c"), 1).otherwise(0)).cast("long").alias("n")))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    rows = written(measured(docs), "mix-rows")
-    cuts, buckets = decisions(rows)
-    n = copies(bucket_of(F.col("key"), buckets), F.col("key"), F.col("doc_id"), F.col("tie"))
-    return _matched(rows, "source", cuts).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"))
+    rows = written(docs.select(*measures(docs)), "mix-rows")
+    return _copies(rows, decisions(rows), ["doc_id", "size"]).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
-    cuts, buckets = decisions(written(measured(docs, doc_id, source, text), "mix-rows"))
     row = fresh("row", docs)
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row))
-    old = F.col(row)
-    size = size_of(old[text])
-    key = sampling_key(old[doc_id], quality_weight(old[text], size))
-    tie = F.md5(F.coalesce(old[text], F.lit("")).cast("binary"))
-    held = held.select(row, old[source].alias("source"), key.alias("key"), tie.alias("tie"))
-    n = copies(bucket_of(F.col("key"), buckets), F.col("key"), old[doc_id], F.col("tie"))
-    return (_matched(held, "source", cuts).select(row, n.alias("n")).filter("n > 0")
-            .select(row, F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(f"{row}.*"))
+    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *measures(docs, doc_id, source, text)), "mix-rows")
+    taken = _copies(rows, decisions(rows.drop(row)), [row]).filter("n > 0")
+    return taken.select(row, F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(f"{row}.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sellerlens.llm.common import bound_batches, table, written
+from sellerlens.llm.common import bound_batches, discard, table, written
 from sellerlens.llm.textops import Words, chunks, mix, text_bytes
 
 TOP = 10
@@ -296,7 +296,8 @@ def _search(docs: DataFrame, items: Items, k: int) -> DataFrame:
         if not (owner == stage).any():
             continue
         rest = np.stack([later(stage), later(stage + 1)])
-        carried = _visit(spark, blocks, carried, owner == stage, items, weights, floor, rest, tuple(total), k)
+        before, carried = carried, _visit(spark, blocks, carried, owner == stage, items, weights, floor, rest, tuple(total), k)
+        discard(before)
         floor = np.maximum(floor, _floors(carried, n_items, k))
     if carried is None:
         return spark.createDataFrame([], _FOUND)

@@ -32,6 +32,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sellerlens.llm.common import bound_batches, table, written
+from sellerlens.llm.common import bound_batches, discard, table, written
 from sellerlens.llm.pretokens import gather
 from sellerlens.llm.textops import _powers, Words, chunks, mix, release, span_hashes, text_bytes
 
@@ -310,18 +311,16 @@ def _positives(words: DataFrame, shards: Shards, lo: int, hi: int, blocks: np.nd
     return out
 
 
-def near_pairs(words: DataFrame, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
-    """word, n, near, near_n: every pair of near words of the vocabulary `words` (word, n), in both orders."""
+def near_pairs(words: DataFrame, round_blocks: int = ROUND_BLOCKS) -> tuple[DataFrame, list[DataFrame]]:
+    """word, n, near, near_n: every pair of near words of the vocabulary `words` (word, n), in both orders; and the tables that they are read from."""
     shards = _shards(words)
-    every = DataFrame.unionAll
-    edits = words.sparkSession.createDataFrame([], _EDIT)
-    for lo in range(0, shards.size, round_blocks):
-        hi = min(shards.size, lo + round_blocks)
-        edits = every(edits, _positives(words, shards, lo, hi, _filter(words, shards, lo, hi)))
-    pairs = edits.join(words, F.col("edit") == F.col("word"))
+    rounds = [(lo, min(shards.size, lo + round_blocks)) for lo in range(0, shards.size, round_blocks)]
+    edits = [_positives(words, shards, lo, hi, _filter(words, shards, lo, hi)) for lo, hi in rounds]
+    every = reduce(DataFrame.unionAll, edits, words.sparkSession.createDataFrame([], _EDIT))
+    pairs = every.join(words, F.col("edit") == F.col("word"))
     this, other = (F.col("word"), F.col("n")), (F.col("of"), F.col("of_n"))
     sides = [F.struct(*[c.alias(a) for c, a in zip(x + y, ("word", "n", "near", "near_n"), strict=True)]) for x, y in ((this, other), (other, this))]
-    return pairs.select(F.explode(F.array(*sides)).alias("p")).select("p.*")
+    return pairs.select(F.explode(F.array(*sides)).alias("p")).select("p.*"), edits
 
 
 def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, min_count: int = MIN_COUNT,
@@ -329,19 +328,22 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     """One row per word: word, form, root, n, n_near, form_n."""
     words = written(vocabulary(docs, doc_id, text, least, min_count), "vocabulary")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best")
-    near = near_pairs(words, round_blocks).groupBy("word").agg(F.count("*").alias("n_near"), best)
+    pairs, edits = near_pairs(words, round_blocks)
+    near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), best)
     is_form = F.col("best.less") <= -ratio * F.col("n")
     formed = words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(is_form, F.col("best.near")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n"))
     formed = written(formed, "forms")
+    discard(words, *edits)
     chain = formed.filter("form is not null").select("word", F.col("form").alias("root"))
     most = formed.agg(F.max("form_n")).first()[0]
     if most:
         steps = max(1, math.floor(math.log(most / min_count, ratio) + 1e-9))  # a chain has no more
         for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
             on = chain.select(F.col("word").alias("root"), F.col("root").alias("next"))
-            chain = written(chain.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+            before, chain = chain, written(chain.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+            discard(before)
     rooted = formed.join(chain, "word", "left")
     return rooted.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 

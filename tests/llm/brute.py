@@ -169,38 +169,42 @@ def token_rows(rows, encode, end_id=2):
     return out
 
 
-def lm_scores(rows, targets, known, unknown_of, n_unknown, strength=200.0):
-    """[(doc_id, n_words, h_target, h_background)]; `known`: word -> id; `unknown_of`: word -> class."""
-    v = len(known) + n_unknown
-
-    def ids(text):
-        return [known[w] if w in known else len(known) + unknown_of(w) for w in words(text)]
-
-    def pairs(text):
-        x = ids(text)
-        return list(zip([v, *x[:-1]], x))
-
-    def model(count):
-        total, row = Counter(), Counter()
-        for (a, b), n in count.items():
-            total[b] += n
-            row[a] += n
-        mass = sum(total.values())
-        p = lambda b: (total[b] + 1) / (mass + v)
-        return lambda a, b: -math.log2((count[a, b] + strength * p(b)) / (row[a] + strength))
+def lm_scores(rows, targets, min_word=3, min_pair=5, strength=200.0, frequent=1 << 18):
+    """[(doc_id, n_words, h_target, h_background)]: the formulas token by token."""
+    total = Counter(w for _, t in rows for w in words(t))
+    texts = sum(bool(words(t)) for _, t in rows)
+    known = {w for w, n in total.items() if n >= min_word}
+    often = {w for w in known if total[w] * frequent > texts + sum(total.values())} | {"<", ">"}
+    seen = lambda t: [w if w in known else "rare word" for w in words(t)]
+
+    def tokens(t):
+        x = seen(t)
+        return list(zip(["<", *x], [*x, ">"])) if x else []
 
     every, good = Counter(), Counter()
     for i, t in rows:
-        every.update(pairs(t))
+        every.update(tokens(t))
         if i in targets:
-            good.update(pairs(t))
-    scale = sum(good.values()) / max(1, sum(every.values()))
-    lt, lb = model(good), model(Counter({k: n * scale for k, n in every.items()}))
+            good.update(tokens(t))
+    kept = {p for p, n in every.items() if n >= min_pair and p[0] in often and p[1] in often}
+    mass = sum(good.values())
+    scale = mass / max(1, sum(every.values()))
+
+    def model(count, by):
+        one, after = Counter(), Counter()
+        for (a, b), n in count.items():
+            one[b] += n * by
+            if (a, b) in kept:
+                after[a] += n * by
+        p = lambda b: (one[b] + 1) / (mass + len(known) + 2)
+        return lambda a, b: -math.log2(((count[a, b] * by if (a, b) in kept else 0) + strength * p(b)) / (after[a] + strength))
+
+    lt, lb = model(good, 1), model(every, scale)
     out = []
     for i, t in rows:
-        p = pairs(t)
+        p = tokens(t)
         n = max(1, len(p))
-        out.append((i, len(p), sum(lt(*x) for x in p) / n, sum(lb(*x) for x in p) / n))
+        out.append((i, len(words(t)), sum(lt(*x) for x in p) / n, sum(lb(*x) for x in p) / n))
     return out
 
 

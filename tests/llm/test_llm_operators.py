@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import EDGES, in_order, rows_of
+from conftest import DOCS, EDGES, in_order, rows_of
 from pyspark.sql import functions as F
 
 from sellerlens.llm import op01_substring_dedup as op1
@@ -114,43 +114,49 @@ def test_filter_keeps_columns(edges):
 
 # -- language models
 
-def test_lm_scores(case, spark):
+def close(got, want):
+    for g, w in zip(got, in_order(want), strict=True):
+        assert g[:2] == w[:2] and np.allclose(g[2:4], w[2:], atol=1e-5) and math.isclose(g[4], g[2] - g[3], abs_tol=1e-8)
+
+
+@pytest.mark.parametrize("frequent", [1 << 18, 60])
+def test_lm_scores(case, spark, monkeypatch, frequent):
+    """Terms that are broadcast and terms that are joined give the same sums."""
+    monkeypatch.setattr(op3, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(op3, "FREQUENT_PAIRS", 300)
     df, rows = case
     targets = {r[0] for r in rows if r[0] is not None and r[0] % 3 == 0}
     labels = spark.createDataFrame([(i, int(i in targets)) for i in {r[0] for r in rows if r[0] is not None}] + [(None, 1)], "doc_id long, quality int")
-    models = op3.train(df, op3.good_ids(labels), known=20, unknown=5)
-    hashed = lambda w: int(Words(*text_bytes(pa.array([w]))).hash[0])
-    every = Counter(w for r in rows for w in brute.words(r[1]))
-    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
-    known = sorted(every, key=lambda w: (-every[w], signed(hashed(w))))[:20]
-    assert list(models.vocabulary.known) == [hashed(w) for w in known]
-    want = brute.lm_scores(pairs(rows, 0, 1), targets, {w: k for k, w in enumerate(known)}, lambda w: hashed(w) % 5, 5)
-    got = rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background", "score")
-    for g, w in zip(got, in_order(want), strict=True):
-        assert g[:2] == w[:2] and np.allclose(g[2:4], w[2:], atol=1e-4) and math.isclose(g[4], g[2] - g[3], abs_tol=1e-9)
+    got = op3.scored(df, op3.train(df, op3.good_ids(labels), min_pair=2))
+    close(rows_of(got, "doc_id", "n_words", "h_target", "h_background", "score"),
+          brute.lm_scores(pairs(rows, 0, 1), targets, min_pair=2, frequent=frequent))
 
 
-def test_lm_model_has_every_word_of_the_corpus(spark, monkeypatch):
-    """More words make a larger model, whether they are broadcast or joined; documents outside of it can be scored."""
+def test_lm_model_grows_with_the_corpus(spark, monkeypatch):
+    """More words make a larger model; documents outside of it can be scored."""
     monkeypatch.setattr(op3, "FREQUENT_WORDS", 50)
     monkeypatch.setattr(op3, "FREQUENT_PAIRS", 60)
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 150) % 5000)) for i in range(60)] + [(3, "w1 w2 w1 w2"), (70, None), (None, "w1 alone"), (None, "w1 alone")]
     df, targets = spark.createDataFrame(rows, "doc_id long, text string"), {i for i in range(0, 60, 4)} | {3}
-    models = op3.train(df, spark.createDataFrame([(i,) for i in targets], "doc_id long"))
-    every = sorted({w for r in rows for w in brute.words(r[1])})
-    assert len(every) > 1024 and models.size == len(every) and 0 < len(models.vocabulary.known) < 50
-    assert models.bigrams.count() == len({p for r in rows for p in zip([None, *brute.words(r[1])], brute.words(r[1]))})
-    want = in_order(brute.lm_scores(rows, targets, {w: k for k, w in enumerate(every)}, None, 0))
-    got = rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background")
-    for g, w in zip(got, want, strict=True):
-        assert g[:2] == w[:2] and np.allclose(g[2:], w[2:], atol=1e-4)
-    more = df.filter("doc_id < 5").unionByName(spark.createDataFrame([(100, "never seen words")], df.schema))
-    got = {r["doc_id"]: r for r in op3.scored(more, models).collect() if r["doc_id"] != 3}
+    ids = spark.createDataFrame([(i,) for i in targets], "doc_id long")
+    models = op3.train(df, ids)
+    count = Counter(w for r in rows for w in brute.words(r[1]))
+    assert models.size == sum(n >= 3 for n in count.values()) and models.pairs > 0 and models.terms.count() > 50
+    assert op3.train(df.filter("doc_id < 20"), ids).size < models.size
+    want = brute.lm_scores(rows, targets, frequent=50)
+    close(rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background", "score"), want)
+    more = df.filter("doc_id < 3").unionByName(spark.createDataFrame([(100, "never seen words")], df.schema))
+    got = {r["doc_id"]: r for r in op3.scored(more, models).collect()}
     old = {w[0]: w for w in want}
-    assert all(math.isclose(got[i]["h_background"], old[i][3], abs_tol=1e-4) for i in (0, 1, 2, 4))
-    n, n_target = models.n, models.n_target
-    assert math.isclose(got[100]["h_target"], math.log2(n_target + len(every)) + (math.log2(1 + (len(targets) + 1) / 200)) / 3, abs_tol=1e-4) and n > n_target
+    assert all(math.isclose(got[i]["h_background"], old[i][3], abs_tol=1e-5) for i in (0, 1, 2))
+    assert got[100]["n_words"] == 3 and got[100]["h_background"] > max(got[i]["h_background"] for i in (0, 1, 2))
+
+
+def test_lm_without_targets_is_uniform(spark):
+    df = spark.createDataFrame([(1, "a b a b a"), (2, "a a a")], "doc_id long, text string")
+    got = op3.scored(df, op3.train(df, spark.createDataFrame([], "doc_id long"))).collect()
+    assert all(math.isclose(r["h_target"], math.log2(1 + 2), abs_tol=1e-6) for r in got)  # a, the rare class, the end mark
 
 
 # -- tokens
@@ -356,6 +362,28 @@ def cut_cost(scores, edges, side):
             + sum(c for a, b, c in edges if side[a] != side[b]))
 
 
+def test_large_and_deep_pages_take_time_in_proportion():
+    import time
+
+    wide = "<body><article>" + "<p>Some words that make a sentence here.</p>" * 300 + "</article>" + "<div>an odd line</div>" * 20_000
+    deep = "<div>" * 30_000 + "x" + "</div>" * 30_000 + "<p>" * 3_000 + "<button>" + "<div>" * 10_000 + "<b><table><td>" + "</b><div>" * 10_000
+    for page in (wide, deep):
+        begun = time.thread_time()
+        op8.main_text(page)
+        assert time.thread_time() - begun < 2.5
+
+
+def test_pages_shrink_to_nothing_before_any_flow(monkeypatch):
+    """Rows of blocks with edges between siblings are series-parallel: no flow is left to send."""
+    monkeypatch.setattr(op8, "_source_side", lambda *a: pytest.fail("flow"))
+    rng = np.random.default_rng(4)
+    nested = lambda d: "".join(f"<div>{'word ' * rng.integers(1, 9)}{nested(d - 1) if d else ''}</div>" for _ in range(3))
+    page = nested(4)
+    found = op8.blocks(page)
+    scores = list(rng.normal(0, 1.0, len(found)))
+    op8.minimum_cut(scores, op8.edges(found))
+
+
 def test_minimum_cut():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -384,6 +412,29 @@ def test_mixture_in_many_buckets(docs, corpus, monkeypatch):
     assert got == in_order((i, n * c) for i, n, _, _, c in brute.mixture([(r[0], r[3], r[1]) for r in corpus[0]]))
 
 
+def test_a_source_of_equal_rows_comes_near_its_target(spark):
+    """Equal rows are taken one by one, and so are rows of one key that differ elsewhere."""
+    prose, same = "w " * 100, [(None, "x " * 50, None, "b", None)] * 3000
+    rows = [(7, "y " * 100, "en", "a", 1)] * 900 + same + [(i, prose, "en", "c", i) for i in range(300)]
+    rows += [(None, "z # " * 20, f"l{i}", "d", i) for i in range(700)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = Counter((r["source_size"], r["target"], r["taken"] // max(1, r["size"])) for r in op9.mixture(df).collect())
+    want = Counter((size, target, n) for _, _, size, target, n in brute.mixture(pairs(rows, 0, 3, 1)))
+    assert got == want and len({t for _, t, _ in got}) > 2
+    taken = Counter(r["source"] for r in op9.mixed(df).collect())
+    assert taken == Counter({s: sum(n for (_, x, _), (_, _, _, _, n) in zip(pairs(rows, 0, 3, 1), brute.mixture(pairs(rows, 0, 3, 1))) if x == s) for s in taken})
+
+
+def test_a_crowded_bucket_is_cut_until_it_is_small(spark, monkeypatch):
+    monkeypatch.setattr(op9, "BUCKET_ROWS", 5)
+    monkeypatch.setattr(op9, "SPLIT", 3)
+    monkeypatch.setattr(op9, "UNFOLD_ROWS", 4)
+    rows = [(i % 9 if i % 4 else None, "a # " * (1 + i % 5), "en", "s" if i % 3 else None, i % 2) for i in range(400)]
+    got = rows_of(op9.mixture(spark.createDataFrame(rows, DOCS)), "doc_id", "size", "source_size", "target", "taken")
+    want = in_order((i, n, s, t, n * c) for i, n, s, t, c in brute.mixture(pairs(rows, 0, 3, 1)))
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+
+
 def test_mix_repeats_documents(docs, corpus, edges):
     want = Counter()
     for i, _, _, _, c in brute.mixture([(r[0], r[3], r[1]) for r in corpus[0]]):

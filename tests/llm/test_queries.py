@@ -83,6 +83,17 @@ def test_scans_and_variants_equal_plain_versions(spark):
     assert got == sorted(want) and any(r[1] for r in got)
 
 
+def test_lm_query_equals_plain_version(spark):
+    docs, _ = plain(spark, SF_SMALL)
+    least = {}
+    for r in table(spark, SF_SMALL, "labels").collect():
+        least[r["doc_id"]] = min(r["quality"], least.get(r["doc_id"], 1))
+    want = sorted(brute.lm_scores(docs, {i for i, q in least.items() if q == 1}))
+    got = collected(QUERIES["op3_lm_scoring"](spark, SF_SMALL), "doc_id", "n_words", "h_target", "h_background")
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(x - y) < 1e-4 for g, w in zip(got, want, strict=True) for x, y in zip(g[2:], w[2:], strict=True))
+
+
 def test_pipeline_equals_plain_versions(spark):
     """Each stage's plain version over its predecessor's rows; the last stage's rows are run()'s."""
     from tokenizers import Tokenizer
