@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sellerlens.llm.common import drop_scratch, run_folder, table
+from sellerlens.llm.common import run_folder, scratch, table
 from sellerlens.llm.op02_quality_rules import keep_good
 from sellerlens.llm.op04_token_output import token_output
 from sellerlens.llm.op05_token_counts import TOKENIZER, tokenizer_path
@@ -61,7 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_scratch(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
