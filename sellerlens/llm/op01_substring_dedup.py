@@ -12,18 +12,21 @@ the input.
 2. Equal stretches are counted first (partial aggregation), and all but the
    one of the least doc_id are repeats as a whole. So copies, and passages that a third of all
    documents share, never gather in one group.
-3. Subtrees. The different stretches of one anchor are a group: its suffixes are the
-   windows' starts, and its tree, cut off at depth WINDOW, is built level by level by
-   prefix doubling (1, 2, 4, ..., 32, WINDOW words). The nodes at the last level with leaves of
-   several documents are the repeats; runs of them are the maximal ones.
-4. A group of more than GROUP stretches (a common line in ever other surroundings)
-   does not fit one task: its prefixes are extended to all WINDOW words, where a
-   node is all there is to a tree, and its least document a grouped minimum.
+3. Groups. The different stretches of one prefix are a group, dealt to one task. A group of more than GROUP
+   stretches (a common line in ever other surroundings) doesn't fit: its prefix is lengthened by STEPS words on the side of
+   the anchor on which each window has more of its own words (two halves of a stretch, therefore), step by step, until the
+   parts fit; what still doesn't is cut by the windows' whole WINDOW words, the longest prefix there is.
+4. Subtrees. A group's suffixes are its windows' starts, and its tree, cut off at depth WINDOW, is built level by level by
+   prefix doubling (1, 2, 4, ..., 32, WINDOW words). The deep internal nodes, those at the last level with leaves of
+   several documents, are the repeats; runs of them are the maximal ones. Under a prefix of WINDOW words a tree is one node,
+   whose least document is a grouped minimum.
+
+Tables that an aggregate of theirs is joined back to are written first, so Spark can split the tasks of a common prefix.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as
 larger than all others and is returned as null; rows equal in doc_id do not
 remove from each other, whatever their texts; repeats within one document stay;
-texts below WINDOW words are kept whole; an empty table gives no rows; other
+texts below WINDOW words are kept whole; a very long text is cut and rebuilt alone; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sellerlens.llm.common import table, written
+from sellerlens.llm.common import discard, table, written
 from sellerlens.llm.op06_ngram_join import whole_groups
 from sellerlens.llm.textops import Words, _powers, chunks, mix, text_bytes
 
@@ -46,15 +50,21 @@ WINDOW = 50
 GRAM = 8
 #: Stretches of a group that one task takes at once; about 100 words each.
 GROUP = 4_096
+#: By how many words a prefix is lengthened, in all; a window has 21 words at least on one side of its anchor.
+STEPS = (8, 16, 21)
 _LAST = (1 << 63) - 1
 
 _ANCHOR = T.StructType([
     T.StructField("did", T.LongType()), T.StructField("th", T.LongType()), T.StructField("first", T.IntegerType()),
     T.StructField("size", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("body", T.LongType()),
+    T.StructField("anchor", T.IntegerType()),
 ])
 _SPAN = _ANCHOR.names[:4]
 _RUN = T.StructType([T.StructField("gram", T.LongType()), T.StructField("body", T.LongType()), T.StructField("offset", T.IntegerType()), T.StructField("windows", T.IntegerType())])
-_STRETCH = T.StructType([*_RUN.fields, T.StructField("did", T.LongType()), T.StructField("prefix", T.LongType()), T.StructField("words", T.StringType())])
+#: A run of windows of a stretch with its words; `keys` are its prefixes: the anchor, or of a `large` group the ever longer ones.
+_STRETCH = T.StructType([*_RUN.fields, T.StructField("did", T.LongType()), T.StructField("large", T.BooleanType()),
+                         T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.StringType())])
+_LEAF = T.StructType([*_RUN.fields, T.StructField("did", T.LongType()), T.StructField("prefix", T.LongType())])
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
 
@@ -102,46 +112,63 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Itera
                 did.slice(lo, hi - lo).take(pa.array(doc)), th.slice(lo, hi - lo).take(pa.array(doc)),
                 pa.array((first - w.first[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
                 pa.array(run_hashes(w, anchor, anchor + gram).view(np.int64)),
-                pa.array(run_hashes(w, first, last + window).view(np.int64)),
+                pa.array(run_hashes(w, first, last + window).view(np.int64)), pa.array((anchor - first).astype(np.int32)),
             ], names)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int, group: int) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted stretch; of a stretch in too large a group, the hash of each window."""
+def _cut(batches: Iterator[pa.RecordBatch], window: int, gram: int, group: int) -> Iterator[pa.RecordBatch]:
+    """The words of each wanted stretch; one of too large a group comes as two runs, by the side on which their prefixes grow."""
+    steps = [x for x in STEPS if 2 * x <= window - gram]
+    half = (window - gram) // 2  # windows whose anchor is at most so far in have as many words behind it
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in _STRETCH.fields}
-
-        def add(*row, out=out) -> None:
-            for name, value in zip(out, row, strict=True):
-                out[name].append(value)
-
         size = 0
         for did, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             words = text.encode().split()
-            hashed = None
             for c in cuts:
-                first, n = c["first"], c["size"]
-                if c["n"] <= group:
-                    run = b" ".join(words[first : first + n + window - 1])
+                first, n, at = c["first"], c["size"], c["first"] + c["anchor"]
+                runs = [(0, n, [c["gram"]])]
+                if c["n"] > group:
+                    # the windows that begin `half` words before the anchor or later have more words behind it
+                    turn = min(n, max(0, at - half - first))
+                    left = [_hash(words[at - x : at + gram], 2 * x) for x in steps] if turn else []
+                    right = [_hash(words[at : at + gram + x], 2 * x + 1) for x in steps] if turn < n else []
+                    runs = [r for r in ((0, turn, left), (turn, n - turn, right)) if r[1]]
+                for offset, windows, keys in runs:
+                    run = b" ".join(words[first + offset : first + offset + windows + window - 1])
                     size += len(run)
-                    add(c["gram"], c["body"], 0, n, did, None, run.decode())
-                else:
-                    hashed = hashed or Words(*text_bytes(pa.array([text])))
-                    at = np.arange(first, first + n)
-                    for k, h in enumerate(run_hashes(hashed, at, at + window).view(np.int64)):
-                        add(c["gram"], c["body"], k, 1, did, int(h), None)
+                    for name, value in zip(out, (c["gram"], c["body"], offset, windows, did, c["n"] > group, keys, run.decode()), strict=True):
+                        out[name].append(value)
             if size > 4 << 20:
                 yield _batch(out)
-                out.update({k: [] for k in out})
-                size = 0
+                out, size = {k: [] for k in out}, 0
         yield _batch(out)
 
 
+def _hash(words: list[bytes], salt: int) -> int:
+    """A signed 64-bit hash of a run of words and a number."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8, salt=salt.to_bytes(4, "little")).digest(), "little", signed=True)
+
+
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"offset": pa.int32(), "windows": pa.int32(), "words": pa.string()}
+    kinds = {"offset": pa.int32(), "windows": pa.int32(), "words": pa.string(), "large": pa.bool_(), "keys": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
 
 
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The hash of all words of each window of runs: the longest prefix."""
+    for batch in batches:
+        w = Words(*text_bytes(batch.column("words")))
+        size = batch.column("windows").to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = w.first[owner] + leaf
+        of = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([
+            batch.column("gram").take(of), batch.column("body").take(of), pa.array((batch.column("offset").to_numpy()[owner] + leaf).astype(np.int32)),
+            pa.array(np.ones(len(at), np.int32)), batch.column("did").take(of), pa.array(run_hashes(w, at, at + window).view(np.int64))], _LEAF.names)
+
+
 def _named(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     """A number for each different pair of numbers under 2**32."""
     return np.unique((high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64), return_inverse=True)[1]
@@ -162,8 +189,8 @@ def tree_nodes(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for rows in whole_groups(batches, ("gram",)):
-        for lo, hi in _group_runs(rows.column("gram").to_numpy(), 8 * GROUP):
+    for rows in whole_groups(batches, ("key",)):
+        for lo, hi in _group_runs(rows.column("key").to_numpy(), 8 * GROUP):
             yield _repeats(rows.slice(lo, hi - lo), window)
 
 
@@ -181,13 +208,13 @@ def _group_runs(keys: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def _repeats(rows: pa.Table, window: int) -> pa.RecordBatch:
     """The runs of windows, in groups of whole trees, whose node has a leaf of a smaller document."""
-    did, size, gram, body = (rows.column(k).to_numpy() for k in ("did", "windows", "gram", "body"))
+    did, size, gram, body, key, offset = (rows.column(k).to_numpy() for k in ("did", "windows", "gram", "body", "key", "offset"))
     texts = rows.column("words").combine_chunks()
     w = Words(*text_bytes(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts))
     nodes = tree_nodes(w.hash, window)
     leaf = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # window within its stretch
     owner = np.repeat(np.arange(len(size)), size)
-    group = np.unique(gram, return_inverse=True)[1]
+    group = np.unique(key, return_inverse=True)[1]
     node = _named(group[owner], nodes[w.first[owner] + leaf])
     order = np.argsort(node, kind="stable")
     begin = np.flatnonzero(np.concatenate([[True], np.diff(node[order]) > 0])) if len(order) else order
@@ -199,7 +226,7 @@ def _repeats(rows: pa.Table, window: int) -> pa.RecordBatch:
     run = np.flatnonzero(new)
     o = owner[at[run]]
     return pa.RecordBatch.from_arrays([
-        pa.array(gram[o]), pa.array(body[o]), pa.array(leaf[at[run]].astype(np.int32)),
+        pa.array(gram[o]), pa.array(body[o]), pa.array((offset[o] + leaf[at[run]]).astype(np.int32)),
         pa.array(np.diff(np.append(run, len(at))).astype(np.int32)),
     ], _RUN.names)
 
@@ -218,30 +245,46 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
         return _anchors(batches, window, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut(batches, window, group)
+        return _cut(batches, window, gram, group)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _subtrees(batches, window)
 
-    found = written(ranked.mapInArrow(anchors, _ANCHOR), "anchors")
-    shared = found.groupBy("gram").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("gram")
-    found = written(found.join(shared, "gram").select(*_ANCHOR.names), "shared-anchors")
-    bodies = found.groupBy("gram", "body").agg(F.min("did").alias("least"))
-    bodies = bodies.join(bodies.groupBy("gram").agg(F.count("*").alias("n")), "gram")
-    judged = written(found.join(bodies, ["gram", "body"]), "stretches")
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _windows(batches, window)
+
+    every = written(ranked.mapInArrow(anchors, _ANCHOR), "anchors")
+    shared = every.groupBy("gram").agg(F.min("did").alias("a"), F.max("did").alias("b")).filter("a < b").select("gram")
+    shared = written(shared, "shared-grams")
+    found = written(every.join(shared, "gram").select(*_ANCHOR.names), "shared-anchors")
+    discard(every, shared)
+    bodies = written(found.groupBy("gram", "body").agg(F.min("did").alias("least")), "bodies")
+    groups = written(bodies.groupBy("gram").agg(F.count("*").alias("n")), "groups")
+    judged = written(found.join(bodies.join(groups, "gram"), ["gram", "body"]), "stretches")
+    discard(found, bodies, groups)
     whole = judged.filter("least < did").select(*_SPAN)
 
     places = judged.filter("least = did and n > 1")
     one = places.dropDuplicates(["gram", "body"])
-    wanted = one.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "body", "first", "size", "n")).alias("cuts"))
+    wanted = one.groupBy("did", "th").agg(F.collect_list(F.struct("gram", "body", "first", "size", "anchor", "n")).alias("cuts"))
     texts = ranked.join(wanted, ["did", "th"]).dropDuplicates(["did", "th"])
     cuts = written(texts.select("did", "text", "cuts").mapInArrow(cut, _STRETCH), "cuts")
-    small = cuts.filter("prefix is null").drop("prefix")
-    in_trees = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(subtrees, _RUN)
-    large = cuts.filter("prefix is not null")
-    least = large.groupBy("gram", "prefix").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most")
-    in_leaves = large.join(least.select("gram", "prefix", "least"), ["gram", "prefix"]).filter("did > least").select(*_RUN.names)
-    runs = in_trees.union(in_leaves)
+
+    fit = [cuts.filter(~F.col("large")).withColumn("key", F.element_at("keys", 1))]
+    rest = cuts.filter("large")
+    some_large = bool(rest.limit(1).count())
+    for k in range(sum(2 * x <= window - gram for x in STEPS) if some_large else 0):
+        rest = rest.withColumn("key", F.element_at("keys", k + 1))
+        sizes = written(rest.groupBy("key").agg(F.count("*").alias("n")), "prefixes")
+        sized = rest.join(sizes, "key")
+        fit.append(sized.filter(F.col("n") <= group).select(*cuts.columns, "key"))
+        rest = written(sized.filter(F.col("n") > group).select(*cuts.columns), "long-prefixes")
+    fitting = reduce(DataFrame.unionByName, fit)
+    runs = fitting.repartition("key").sortWithinPartitions("key").select(*_STRETCH.names, "key").mapInArrow(subtrees, _RUN)
+    if some_large:
+        ends = written(rest.mapInArrow(leaves, _LEAF), "leaves")
+        least = written(ends.groupBy("prefix").agg(F.min("did").alias("least"), F.max("did").alias("most")).filter("least < most"), "least")
+        runs = runs.union(ends.join(least.select("prefix", "least"), "prefix").filter("did > least").select(*_RUN.names))
     return whole.union(places.join(runs, ["gram", "body"]).select("did", "th", (F.col("first") + F.col("offset")).alias("first"), F.col("windows").alias("size")))
 
 

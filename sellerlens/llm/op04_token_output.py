@@ -12,16 +12,16 @@ and its footer, zstandard over JSON and two arrays, has the block index (offset,
 first id, number of ids, plane lengths) and the documents (doc_id, n_tokens), so
 a reader seeks to any block or document.
 
-Scale: documents are dealt by range of (doc_id, text hash), sorted in each task,
+Scale: documents are dealt by range of (doc_id, text hash, a random number), so rows that are equal are dealt to several tasks too, sorted in each task,
 encoded there and written as they come; a task holds one block of ids, and starts a
-new shard after SHARD_IDS ids. File names hold the task attempt, and only the
+new shard after SHARD_IDS ids or SHARD_DOCS documents, so a footer is bounded however short the texts are. File names hold the task attempt, and only the
 attempt that Spark commits lists its files in the manifest, so lost executors and
 retries leave no wrong data. The manifest has one row per shard; the place of a
 shard in the whole stream is a running sum over it.
 
 Defined cases: a null text encodes as empty (the end id alone); a null doc_id
 comes first; equal ids are ordered by a hash of the text, and equal rows are
-written as often as they come; an empty table gives no shard and no rows;
+written as often as they come; a very long text is encoded alone and may span blocks; an empty table gives no shard and no rows;
 other columns are not read.
 """
 
@@ -49,7 +49,9 @@ from sellerlens.llm.textops import chunks
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-SHARD_IDS = 1 << 26
+SHARD_IDS, SHARD_DOCS = 1 << 26, 1 << 20
+#: Rows of a batch that is read back.
+READ_ROWS = 50_000
 MAGIC = b"BITPLAN1"
 
 MANIFEST = T.StructType([
@@ -103,7 +105,7 @@ class ShardWriter:
         store.create_dir(path.rpartition("/")[0], recursive=True)
         self.url, self.kind, self.out = url, kind, store.open_output_stream(path)
         self.out.write(MAGIC)
-        self.at, self.n_ids = len(MAGIC), 0
+        self.at, self.n_ids, self.n_docs = len(MAGIC), 0, 0
         self.blocks: list[list] = []
         self.docs: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
@@ -114,6 +116,7 @@ class ShardWriter:
     def add(self, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
         """Documents' ids, one after another; a null doc_id is the least long."""
         self.docs.append(doc_ids)
+        self.n_docs += len(doc_ids)
         self.sizes.append(sizes)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -202,7 +205,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, kind: str,
             ids = np.insert(ids, ends, np.uint32(end_id))
             out = out or ShardWriter(f"{folder}/part-{part:06d}-{len(rows):04d}-{attempt}.ids", kind)
             out.add(ids_of.slice(lo, hi - lo).fill_null(_NULL).to_numpy(), counts + 1, ids)
-            if out.n_ids >= SHARD_IDS:
+            if out.n_ids >= SHARD_IDS or out.n_docs >= SHARD_DOCS:
                 rows.append({"part": part, "shard": len(rows)} | out.close())
                 out = None
     if out:
@@ -217,8 +220,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, kind: str = "bit", end_id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _write(batches, f"{folder}/ids", path, kind, end_id)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("any", F.rand(4))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("any")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -234,9 +237,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                 if last:
                     sums[d], crc = crc, 0
-            yield pa.RecordBatch.from_arrays([
-                pa.array(shard.docs, pa.int64(), mask=shard.docs == _NULL), pa.array(starts), pa.array(shard.sizes), pa.array(sums),
-            ], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for lo in range(0, len(sums), READ_ROWS):
+                some = slice(lo, lo + READ_ROWS)
+                docs = shard.docs[some]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=docs == _NULL), pa.array(starts[some]), pa.array(shard.sizes[some]),
+                                                  pa.array(sums[some])], READ.names)
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:

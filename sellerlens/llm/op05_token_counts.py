@@ -3,15 +3,15 @@
 Tier one is a compact table of the frequent pre-tokens (64-bit hash, token
 count), broadcast to all tasks; its size is bounded by TABLE_ENTRIES. Tier two
 is each worker's cache, filled by the tokenizers library for the pre-tokens
-that the table lacks. No pre-token is shuffled: to choose the table, every task
-over the whole corpus sends the TOP_PER_TASK commonest pre-tokens of its own
-rows. The table only spares work; every count is what the library gives.
+that the table lacks. No pre-token is shuffled, and each text is read once. The table's pre-tokens are the
+commonest of a fixed sample, SAMPLE_DOCS texts of at most SAMPLE_BYTES bytes that Spark reads first; it only
+spares the workers' first look-ups, and every count, of every whole text, is what the library gives.
 
 The two tiers apply to byte-level BPE without a normalizer; for other .json
 files and for .model files each text goes to the library whole.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); special
-strings inside texts are special tokens, as the library's default has it; equal
+strings inside texts are special tokens, as the library's default has it; a very long text is counted whole, alone; equal
 rows are counted one by one; an empty table gives an empty result; other
 columns are not read.
 """
@@ -19,7 +19,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +35,8 @@ from sellerlens.llm.textops import chunks, text_bytes
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 TABLE_ENTRIES = 16_384
-TOP_PER_TASK = 1_024
-#: Pre-tokens that a task keeps count of between chunks.
-TASK_ENTRIES = 32_768
+#: Bounds of the sample that chooses the table.
+SAMPLE_DOCS, SAMPLE_BYTES = 1_024, 16_384
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,32 +81,17 @@ def _chunk_pieces(texts: pa.Array, path: str) -> tuple[Pieces, np.ndarray, np.nd
     return Pieces(*split_aside(data, offs, aside)), aside, data, offs
 
 
-def _common_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    seen: dict[bytes, int] = {}
-    for batch in batches:
-        column = batch.column(0)
-        for lo, hi in chunks(column):
-            p, *_ = _chunk_pieces(column.slice(lo, hi - lo), path)
-            _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
-            for i in np.argsort(-n, kind="stable")[:TOP_PER_TASK]:
-                piece = p.bytes_at(at[i])
-                seen[piece] = seen.get(piece, 0) + int(n[i])
-        if len(seen) > TASK_ENTRIES:
-            seen = dict(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: TASK_ENTRIES // 2])
-    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TOP_PER_TASK]
-    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top], pa.binary()), pa.array([x[1] for x in top], pa.int64())], ["piece", "n"])
-
-
 def frequent_pieces(docs: DataFrame, path: str, text: str = "text") -> HashTable:
-    """The TABLE_ENTRIES commonest pre-tokens, from every task's own commonest."""
-
-    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _common_pieces(batches, path)
-
-    schema = T.StructType([T.StructField("piece", T.BinaryType()), T.StructField("n", T.LongType())])
-    found = docs.select(F.col(text).alias("text")).mapInArrow(common, schema).groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.col("n").desc(), "piece").limit(TABLE_ENTRIES).select("piece").collect()
-    pieces = [bytes(r[0]) for r in rows if len(r[0])]
+    """Token counts of the TABLE_ENTRIES commonest pre-tokens of a sample."""
+    few = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_DOCS).toArrow().column("text")
+    seen: Counter[bytes] = Counter()
+    for texts in few.chunks:
+        for lo, hi in chunks(texts):
+            p, *_ = _chunk_pieces(texts.slice(lo, hi - lo), path)
+            _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
+            for i, times in zip(at, n, strict=True):
+                seen[p.bytes_at(i)] += int(times)
+    pieces = sorted(seen, key=lambda x: (-seen[x], x))[:TABLE_ENTRIES]
     ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
     p = Pieces(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends]).astype(np.int64))
     return HashTable(p.hash, encoder(path).places(p, np.arange(len(p.hash)))[1])

@@ -18,14 +18,17 @@ Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A text of 1 to n - 1 words has one
 n-gram, all its words. Defined cases: null texts and texts without words are
 linked to nothing and are a class of their own; a null doc_id is never a class
 id unless all ids of the class are null; equal rows are copies; an empty table
-gives no rows; other columns are carried by `one_of_each`.
+gives no rows; a very long text is a node like any other, verified whole; other columns are carried by `one_of_each`.
+
+Every pair of a bucket's different texts is verified, because each document's number of links is part of the result; a bucket of
+n different texts costs n * n / 2 comparisons of n-gram sets, in n * n / (2 * SLOT * SLOT) tasks of equal size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, log
+from math import ceil, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,13 @@ from pyspark.sql import types as T
 
 from sellerlens.llm.common import WORD, fresh, table, written
 from sellerlens.llm.components import components
-from sellerlens.llm.textops import Words, chunks, mix, text_bytes
+from sellerlens.llm.textops import Words, chunks, mix, release, text_bytes
 
 N = 5
 THRESHOLD = 0.8
-RECALL = 0.9995
-MAX_HASHES = 128
+#: 38 bands of 5 rows: one pair in three million at exactly the threshold is missed, and far fewer above it.
+RECALL = 0.9999996
+MAX_HASHES = 190
 #: Nodes of a slot, about; a verified group has two slots at most.
 SLOT = 512
 _COLUMNS = 4_096
@@ -50,7 +54,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
     """(bands, rows): the most rows for which so many bands find a pair at the threshold with the target recall."""
     best = None
     for rows in range(1, max_hashes + 1):
-        bands = ceil(log(1 - recall) / log(1 - threshold**rows))
+        bands = ceil(log1p(-recall) / log1p(-(threshold**rows)))
         if bands * rows <= max_hashes:
             best = bands, rows
     if best is None:
@@ -204,6 +208,7 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iter
                 links += [int(count[k]) for k in some]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())],
                                          ["node", "links", "root"])
+    release()
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:

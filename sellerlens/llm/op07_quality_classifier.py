@@ -15,7 +15,8 @@ cases: a null or empty text has all statistics 0 and is scored like any other; a
 null doc_id counts as the empty text, whose remainder is 0 (held out); of several
 labels of one id the least counts; null labels are ignored; without labels, or with
 one class only, every score is that class's share (0.5 without labels); equal
-rows are scored one by one; an empty table gives no rows.
+rows are scored one by one; a very long text is measured whole, alone; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations

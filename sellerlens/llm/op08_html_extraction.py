@@ -8,7 +8,7 @@ one before it under the same parent, the stronger the closer they are in the
 document tree. The minimum cut labels all blocks of a page at once, so a short
 line within an article stays and a long advert outside of it goes. Blocks whose
 terminal outweighs all their edges are settled first (they keep that label in
-every minimum cut); maximum flow decides the rest.
+every minimum cut), and those with one or two neighbours are replaced by the capacities that they let through; maximum flow decides the rest.
 
 Names of boilerplate are matched on whole class tokens and ids (`sidebar`, `ad-box`; not
 `has-sidebar`, `tag-python`). A strong name or a form counts only where it does not hold the
@@ -21,7 +21,8 @@ blocks are joined by a line feed. Scripts, styles, templates, titles, comments
 and hidden elements are never content. Defined cases: null and empty pages, and
 pages without content, give an empty text; broken markup is read as far as it
 goes (an unclosed element ends with its parent, an unfinished tag is dropped);
-equal rows are extracted one by one; other columns are not read.
+equal rows are extracted one by one; a very long or deep page takes time in proportion to its length; an empty table gives no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -71,12 +72,13 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 STRONG_NAMES = frozenset("""ad ads advert adverts advertisement advertisements adbox adsense banner banners sponsored promo promos nav navbar
     navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers siteheader pageheader masthead comment comments commentlist disqus
     reply replies cookie gdpr popup popups modal modals overlay overlays newsletter newsletters subscribe signup login share social related
-    recommended readmore widget widgets toolbar toolbars pagination pager tags""".split())
-WEAK_NAMES = frozenset("""advertising sponsor sponsors promotion promotions response responses discussion cookies consent notice notices alert alerts
+    recommended readmore widget widgets toolbar toolbars pagination pager tags consent consents onetrust cookiebar cookiebanner
+    cookieconsent""".split())
+WEAK_NAMES = frozenset("""advertising sponsor sponsors promotion promotions response responses discussion cookies notice notices alert alerts
     subscription subscriptions sharing recommend recommendation recommendations tag copyright legal disclaimer search""".split())
 PARTS = frozenset("""area article articles aside bar bars block blocks body bottom box boxes btn button buttons card cards center col column columns
     container content desktop div entry fixed float footer form global google gpt group header holder icon icons inline inner item items left link links
-    list main mobile module panel page policy popular post posts primary right row secondary section site slot small sticky stories story text
+    list main mobile manager module panel page policy popular post posts preferences primary right row sdk secondary section settings site slot small sticky stories story text
     thread title top unit wide wp wrap wrapper zone""".split())
 _COMPOUND = re.compile(r"(?:^|(?<=[^a-z]))(side|pop|sign|log|read|site|page|comment)-(bars?|ups?|up|in|more|header|list)(?![a-z])")
 _SIZE = re.compile(r"[0-9]+(?:x[0-9]+)?")

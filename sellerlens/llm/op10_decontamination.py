@@ -11,13 +11,15 @@ Scale: the test seeds set bits in a filter of fixed size (FILTER_BITS), which is
 broadcast; the documents are scanned once, and only seeds that pass the filter,
 with the texts they are in, go on to the join. A passage in a third of all
 documents is one hot join key on the training side; the join is split by Spark,
-or needs no shuffle where the test seeds are within the checked broadcast bound.
+or needs no shuffle where the test seeds are within the checked broadcast bound. The alignments of a document
+and an item are verified in rows of at most SHIFTS, and the best is a grouped maximum, so neither a very long text nor a phrase
+of many items makes a list that grows. A benchmark with more than some ten million seeds fills the filter, and more seeds go to the join; results stay the same.
 
 Words are `[^\\x20\\x09-\\x0D]+` with A-Z folded. Items of fewer than WINDOW
 words must occur whole, with SHORT_CHANGED substituted word at most: the three masks of their length have
 zeros at every third place, so each place is a zero of one of them. Items under MIN_ITEM words must be the
 words of a whole line or of a whole text, unchanged.
-Defined cases: null and empty texts leak nothing; a null doc_id is reported as
+Defined cases: null and empty texts leak nothing; a very long text is scanned whole; a null doc_id is reported as
 null; rows equal in id and text are reported once; benchmark rows equal in id
 and text count once; an empty documents or benchmark table gives no rows; other
 columns are carried by `without_leaks`.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sellerlens.llm.common import fresh, table, written
-from sellerlens.llm.textops import Words, chunks, mix, text_bytes
+from sellerlens.llm.textops import Words, chunks, mix, release, text_bytes
 from sellerlens.plans.broadcast import broadcast_if_small
 
 WINDOW = 13
@@ -43,13 +45,15 @@ MIN_ITEM = 5
 SHORT_CHANGED = 1
 MASKS = ("11101101", "11001000111")
 FILTER_BITS = 1 << 26
+#: Alignments of a document and an item that one row holds, at most.
+SHIFTS = 1 << 14
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 _SEED = T.StructType([T.StructField("seed", T.LongType()), T.StructField("at", T.IntegerType())])
 _LEAK = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("item_id", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("ref", T.LongType()), T.StructField("item_id", T.LongType()),
     T.StructField("first_word", T.LongType()), T.StructField("n_aligned", T.LongType()), T.StructField("n_matched", T.LongType()),
 ])
 
@@ -202,24 +206,23 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The best leak of each item in each document, from its alignments."""
+    """The best leak of an item in a document among some of their alignments; rows come by document."""
+    key, words = None, np.zeros(0, np.uint64)
     for batch in batches:
         out = []
+        doc_ids, keys, refs, item_ids = (batch.column(k).to_pylist() for k in range(4))
         for r in range(batch.num_rows):
-            doc_id, key = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-            words = folded(batch.column(2).slice(r, 1)).hash
-            best: dict[int | None, tuple[int, int, int]] = {}
-            items: dict[str, np.ndarray] = {}
-            for a in batch.column(3)[r].as_py():
-                if a["item"] not in items:
-                    items[a["item"]] = folded(pa.array([a["item"]])).hash
-                found = overlap(words, items[a["item"]], a["shift"])
-                if found:
-                    old = best.get(a["item_id"])
-                    if old is None or (found[2], -found[0]) > (old[2], -old[0]):
-                        best[a["item_id"]] = found
-            out += [{"doc_id": doc_id, "key": key, "item_id": i, "first_word": f, "n_aligned": n, "n_matched": k} for i, (f, n, k) in best.items()]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([(f.name, pa.string() if f.name == "key" else pa.int64()) for f in _LEAK.fields]))
+            if keys[r] != key:
+                key, words = keys[r], folded(batch.column("text").slice(r, 1)).hash
+            item = folded(batch.column("item").slice(r, 1)).hash
+            found = [x for x in (overlap(words, item, s) for s in batch.column("shifts")[r].as_py()) if x]
+            if found:
+                first, n, matched = max(found, key=lambda x: (x[2], -x[0], x[1]))
+                out.append((doc_ids[r], key, refs[r], item_ids[r], first, n, matched))
+        columns = zip(*out, strict=True) if out else [()] * len(_LEAK)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if f.name == "key" else pa.int64())
+                                          for c, f in zip(columns, _LEAK.fields, strict=True)], _LEAK.names)
+    release()
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -242,11 +245,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     found = found.withColumn("hits", F.arrow_udf(scan, T.ArrayType(_SEED))("text")).filter(F.size("hits") > 0)
     found = written(found.withColumn("key", row_key(F.col("doc_id"), F.col("text"))), "hits")
     hits = found.select("key", F.explode("hits").alias("h")).select("key", F.col("h.seed").alias("seed"), F.col("h.at").alias("place"))
-    aligned = (hits.join(broadcast_if_small(tests, 200_000), "seed")
-               .select("key", "item_id", "item", (F.col("place") - F.col("at")).alias("shift")).distinct())
-    of_doc = aligned.groupBy("key").agg(F.collect_list(F.struct("item_id", "item", "shift")).alias("alignments"))
-    texts = found.select("doc_id", "key", "text").dropDuplicates(["key"])
-    return texts.join(of_doc, "key").select("doc_id", "key", "text", "alignments").mapInArrow(_check, _LEAK)
+    tests = tests.withColumn("ref", F.xxhash64("item_id", "item"))
+    aligned = (hits.join(broadcast_if_small(tests.select("ref", "seed", "at"), 200_000), "seed")
+               .select("key", "ref", (F.col("place") - F.col("at")).alias("shift")).distinct())
+    # a list holds the shifts within a stretch of a document, so at most SHIFTS of them
+    some = aligned.groupBy("key", "ref", F.floor(F.col("shift") / SHIFTS).alias("stretch")).agg(F.collect_list("shift").alias("shifts"))
+    some = some.join(broadcast_if_small(tests.select("ref", "item_id", "item").distinct(), 200_000), "ref")
+    texts = written(found.select("doc_id", "key", "text").dropDuplicates(["key"]), "leak-texts")
+    each = texts.join(some, "key").select("doc_id", "key", "ref", "item_id", "item", "shifts", "text").sortWithinPartitions("key")
+    best = F.max(F.struct("n_matched", (-F.col("first_word")).alias("before"), "n_aligned")).alias("b")
+    whole = each.mapInArrow(_check, _LEAK).groupBy("key", "ref").agg(F.first("doc_id").alias("doc_id"), F.first("item_id").alias("item_id"), best)
+    # rows of one item_id with different texts are one item: its best leak
+    return whole.groupBy("key", "item_id").agg(F.first("doc_id").alias("doc_id"), F.max("b").alias("b")).select(
+        "doc_id", "key", "item_id", (-F.col("b.before")).alias("first_word"), F.col("b.n_aligned").alias("n_aligned"), F.col("b.n_matched").alias("n_matched"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

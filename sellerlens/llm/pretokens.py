@@ -24,7 +24,7 @@ from sellerlens.llm.textops import span_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Entries of a worker's cache; beyond, it starts anew.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 400_000
 #: Fixed values of the byte-level pre-tokenizer: what follows an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 

@@ -58,6 +58,23 @@ def test_substring_dedup_of_large_groups(docs, corpus):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(brute.substring_dedup(pairs(corpus[0], 0, 1)))
 
 
+@pytest.mark.parametrize("group", [2, 6])
+def test_prefixes_of_a_common_line_are_lengthened(spark, group):
+    """A line of 30 words in ever other surroundings, some of which repeat: groups are cut step by step, the trees decide."""
+    rng = np.random.default_rng(6)
+    line = [f"c{k}" for k in range(30)]
+    sides = [[f"s{j}x{k}" for k in range(60)] for j in range(5)]
+    rows = []
+    for i in range(60):
+        before, after = sides[rng.integers(5)], sides[rng.integers(5)]
+        cut, end = rng.integers(0, 55), rng.integers(5, 60)
+        rows.append((i, " ".join([*(f"u{i}b{k}" for k in range(rng.integers(0, 9))), *before[cut:], *line, *after[:end], f"u{i}e"])))
+    got = op1.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string"), group=group)
+    want = brute.substring_dedup(rows)
+    assert sum(r[2] > 0 for r in want) > 20
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == in_order(want)
+
+
 def test_substring_dedup_keeps_text(docs, corpus):
     kept = {r["doc_id"]: r["text"] for r in op1.dedup_text(docs).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} == {r[0]: r[3] for r in brute.substring_dedup(pairs(corpus[0], 0, 1))}
@@ -198,6 +215,24 @@ def test_token_output(case, library):
             at += r[2]
 
 
+def test_many_empty_texts_make_bounded_shards(spark, library, monkeypatch):
+    """Equal rows are dealt to several tasks, and a shard ends after so many documents."""
+    monkeypatch.setattr(op4, "SHARD_DOCS", 50)
+    monkeypatch.setattr(op4, "READ_ROWS", 30)
+    rows = [(None, None)] * 700 + [(i // 2, "") for i in range(300)] + [(7, "some words")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = run_folder(spark, "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = op4.write_ids(df, folder, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_part = [r["n"] for r in manifest.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(per_part) > 1 and max(per_part) < len(rows) and manifest.agg(F.max("n_docs")).first()[0] <= 1_000
+    got = rows_of(op4.read_ids(manifest), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert got == in_order(brute.token_rows(rows, library))
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_shards_round_trip(spark, docs, corpus, library, kind, monkeypatch):
     monkeypatch.setattr(op4, "BLOCK_IDS", 1000)
@@ -510,6 +545,29 @@ def test_short_items(spark):
     assert got == want
 
 
+def test_many_alignments_are_checked_in_parts(spark, monkeypatch):
+    """A phrase that a long document repeats, and that many items have."""
+    monkeypatch.setattr(op10, "SHIFTS", 64)
+    phrase = [f"p{k}" for k in range(11)]
+    items = [(i, " ".join([f"a{i}x{k}" for k in range(3)] + phrase + [f"z{i}x{k}" for k in range(4)])) for i in range(12)] + [(3, "other words " * 9)]
+    long = " ".join(" ".join(phrase) + f" n{k}" for k in range(400))
+    docs = [(1, long), (2, "x " * 30 + items[4][1] + " y" * 700 + " " + items[7][1]), (None, None), (5, "")]
+    got = op10.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == brute.leaks(docs, items)
+
+
+def test_runs_delete_their_own_tables_only(spark, edges):
+    from sellerlens.llm.common import scratch, written
+
+    kept = op2.judge(edges)
+    with scratch(spark):
+        inner = written(edges.select("doc_id"), "inner")
+        assert inner.count() == len(EDGES)
+    assert kept.count() == len(EDGES)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        inner.select("doc_id").distinct().collect()
+
+
 def test_without_leaks(spark, docs, items, corpus, edges):
     bad = {i for i, _ in brute.leaks(pairs(corpus[0], 0, 1), corpus[1])}
     assert bad and sorted(r["doc_id"] for r in op10.without_leaks(docs, items).collect()) == sorted(r[0] for r in corpus[0] if r[0] not in bad)
