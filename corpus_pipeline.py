@@ -2,7 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, whatever they are.
+
+Defined cases, in every stage: null and empty texts are rejected by the quality rules, and are texts without words to each later stage
+on its own; a null doc_id, source or lang is a value like any other; ties are broken by the text's hash, then the row's; repeated rows are
+one class of copies; a very long text is handled whole; an empty table stays empty; extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
