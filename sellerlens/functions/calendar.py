@@ -1,134 +1,175 @@
-"""Report periods (P03) and quick ranges (P04), relative to an explicit as_of.
-
-A `Period` says which data a report reads:
-  * daily modes (day, week): an inclusive current day range and the
-    comparison range before it;
-  * monthly modes (month, quarter, year, custom): a set of current months, a
-    first comparison set (previous month / same months of the previous
-    quarter) and a second one (same months a year earlier).
-It also carries the chart range/months the series operators draw.
-
-This is calendar arithmetic on one date; the result is turned into literal
-predicates (`isin`, `between`) that Catalyst folds and pushes down.
+"""Report periods (P03) and quick ranges (P04), relative to an explicit as-of date.
+
+A period is a number of days or of calendar months, with the stretches it is
+compared to and what its chart shows. Both kinds come from one table of modes:
+a mode has a unit and a length, and the period is the last one of that length that
+the as-of date closes (days) or lies in (months, up to the as-of date's own).
+
+Months are counted from year 0, so a month, a quarter and a year begin where
+their length divides the number, and a comparison is a shift of the numbers.
+
+`resolve_period` gives one date's literals, which Catalyst folds into pushed predicates.
+`period_rows` gives the same as rows (as_of, role, first, last) for many dates: a table that
+daily marts meet by an interval join (`measures.sums_of_periods`).
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
+from typing import NamedTuple
 
-from sellerlens.functions.dates import add_months, month_end, month_start
-
-MODES = ("day", "week", "month", "quarter", "year", "custom")
-QUICK_KEYS = ("yesterday", "last-week", "this-month", "last-month", "this-quarter", "this-year")
+from sellerlens.functions.dates import month_end
 
 DayRange = tuple[dt.date, dt.date]
+DAY = dt.timedelta(days=1)
+SATURDAY = 5
+
+
+class Mode(NamedTuple):
+    """`ends_on`: the weekday that a run of days ends on, else yesterday. `back`: by how many months the
+    first comparison lies back. `chart`: how many days up to yesterday a chart shows, 0 for those of the period; None for its months."""
+
+    unit: str
+    length: int = 0
+    ends_on: int | None = None
+    back: int | None = None
+    chart: int | None = None
+
+
+MODES = {
+    "day": Mode("day", 1, chart=30),
+    "week": Mode("day", 7, ends_on=SATURDAY, chart=28),
+    "month": Mode("month", 1, back=1, chart=0),
+    "quarter": Mode("month", 3, back=3),
+    "year": Mode("month", 12),
+    "custom": Mode("month", back=1),
+}
+#: Quick ranges: the mode whose period they are, and how many of its lengths they lie back; one that lies back is whole.
+QUICK = {
+    "yesterday": ("day", 0), "last-week": ("week", 0), "this-month": ("month", 0), "last-month": ("month", 1),
+    "this-quarter": ("quarter", 0), "this-year": ("year", 0),
+}
 
 
 @dataclass(frozen=True)
 class Period:
+    """Days (ends included) or months, and the ones before and a year before; None for a comparison that the mode lacks."""
+
     mode: str
-    gran: str  # "daily" | "monthly"
-    curr_range: DayRange | None = None
-    prev_range: DayRange | None = None
-    curr_months: tuple[dt.date, ...] = ()
-    d1_months: tuple[dt.date, ...] | None = None  # previous month(s) / previous quarter
-    d2_months: tuple[dt.date, ...] | None = None  # same months last year
-    chart_gran: str = "monthly"
-    chart_range: DayRange | None = None
-    chart_months: tuple[dt.date, ...] = field(default=())
+    days: DayRange | None = None
+    days_before: DayRange | None = None
+    months: tuple[dt.date, ...] = ()
+    months_before: tuple[dt.date, ...] | None = None
+    months_last_year: tuple[dt.date, ...] | None = None
+    chart_days: DayRange | None = None
+    chart_months: tuple[dt.date, ...] = ()
 
     @property
     def daily(self) -> bool:
-        return self.gran == "daily"
+        return self.days is not None
+
+    @property
+    def chart_daily(self) -> bool:
+        return self.chart_days is not None
 
     @property
     def last_month(self) -> dt.date | None:
-        return self.curr_months[-1] if self.curr_months else None
+        return self.months[-1] if self.months else None
 
 
-def _weekday_sun0(d: dt.date) -> int:
-    """0 = Sunday .. 6 = Saturday."""
-    return (d.weekday() + 1) % 7
+def _number(day: dt.date) -> int:
+    return day.year * 12 + day.month - 1
 
 
-def last_full_week(as_of: dt.date) -> DayRange:
-    """Last complete Sunday-Saturday week before as_of (on a Saturday: the one ended 7 days ago)."""
-    dow = _weekday_sun0(as_of)
-    to_sat = 7 if dow == 6 else dow + 1
-    end = as_of - dt.timedelta(days=to_sat)
-    return end - dt.timedelta(days=6), end
+def _months(numbers: Iterable[int]) -> tuple[dt.date, ...]:
+    return tuple(dt.date(n // 12, n % 12 + 1, 1) for n in numbers)
 
 
 def months_between(start: dt.date, end: dt.date) -> tuple[dt.date, ...]:
-    out, cur, last = [], month_start(start), month_start(end)
-    while cur <= last:
-        out.append(cur)
-        cur = add_months(cur, 1)
-    return tuple(out)
-
-
-def resolve_period(as_of: dt.date, mode: str = "month", custom_start: dt.date | None = None,
-                   custom_end: dt.date | None = None) -> Period:
-    one = dt.timedelta(days=1)
+    return _months(range(_number(start), _number(end) + 1))
+
+
+def _run_of_days(as_of: dt.date, mode: Mode) -> DayRange:
+    """The last run of the mode's days that is over before as_of."""
+    last = as_of - DAY
+    if mode.ends_on is not None:
+        last -= (last.weekday() - mode.ends_on) % 7 * DAY
+    return last - (mode.length - 1) * DAY, last
+
+
+def resolve_period(as_of: dt.date, mode: str = "month", start: dt.date | None = None, end: dt.date | None = None) -> Period:
+    """The period of a mode; a custom one is of the months from `start` to `end` (its own month without an end)."""
+    if mode not in MODES:
+        raise ValueError(f"unknown period mode {mode!r}; expected one of {tuple(MODES)}")
+    if mode == "custom" and start is None:
+        raise ValueError("a custom period needs a start")
+    m = MODES[mode]
+    yesterday = as_of - DAY
+    if m.unit == "day":
+        first, last = _run_of_days(as_of, m)
+        return Period(mode, days=(first, last), days_before=(first - m.length * DAY, first - DAY), chart_days=(as_of - m.chart * DAY, yesterday))
     if mode == "custom":
-        if custom_start is None:
-            raise ValueError("custom mode needs custom_start")
-        end = custom_end or custom_start
-        curr = months_between(custom_start, end) or (month_start(custom_start),)
-        return Period(
-            mode, "monthly", curr_months=curr,
-            d1_months=tuple(add_months(m, -1) for m in curr),
-            d2_months=tuple(add_months(m, -12) for m in curr),
-            chart_gran="monthly", chart_months=curr,
-        )
-    if mode == "day":
-        d1, d2 = as_of - one, as_of - 2 * one
-        return Period(mode, "daily", curr_range=(d1, d1), prev_range=(d2, d2), chart_gran="daily",
-                      chart_range=(as_of - dt.timedelta(days=30), d1))
-    if mode == "week":
-        start, end = last_full_week(as_of)
-        pend = start - one
-        return Period(mode, "daily", curr_range=(start, end), prev_range=(pend - 6 * one, pend), chart_gran="daily",
-                      chart_range=(as_of - dt.timedelta(days=28), as_of - one))
-    cm = month_start(as_of)
-    if mode == "month":
-        return Period(mode, "monthly", curr_months=(cm,), d1_months=(add_months(cm, -1),),
-                      d2_months=(add_months(cm, -12),), chart_gran="daily", chart_range=(cm, as_of - one))
-    if mode == "quarter":
-        q = (as_of.month - 1) // 3
-        curr = tuple(dt.date(as_of.year, m, 1) for m in range(q * 3 + 1, as_of.month + 1))
-        pq_year, pq = (as_of.year - 1, 3) if q == 0 else (as_of.year, q - 1)
-        prev = tuple(dt.date(pq_year, pq * 3 + 1 + i, 1) for i in range(len(curr)))
-        return Period(mode, "monthly", curr_months=curr, d1_months=prev,
-                      d2_months=tuple(add_months(m, -12) for m in curr), chart_gran="monthly", chart_months=curr)
-    if mode == "year":
-        curr = tuple(dt.date(as_of.year, m, 1) for m in range(1, as_of.month + 1))
-        return Period(mode, "monthly", curr_months=curr, d1_months=None,
-                      d2_months=tuple(add_months(m, -12) for m in curr), chart_gran="monthly", chart_months=curr)
-    raise ValueError(f"unknown period mode {mode!r}; expected one of {MODES}")
+        numbers = range(_number(start), max(_number(start), _number(end or start)) + 1)
+    else:
+        now = _number(as_of)
+        numbers = range(now - now % m.length, now + 1)
+    months = _months(numbers)
+    return Period(
+        mode, months=months,
+        months_before=_months(n - m.back for n in numbers) if m.back else None,
+        months_last_year=_months(n - 12 for n in numbers),
+        chart_days=(months[0], yesterday) if m.chart == 0 else None,
+        chart_months=() if m.chart == 0 else months,
+    )
 
 
 def quick_range(as_of: dt.date, key: str) -> DayRange:
     """Named range -> (start, end); reports then treat it as a custom period."""
-    one = dt.timedelta(days=1)
-    if key == "yesterday":
-        return as_of - one, as_of - one
-    if key == "last-week":
-        return last_full_week(as_of)
-    if key == "this-month":
-        return month_start(as_of), as_of
-    if key == "last-month":
-        pm = add_months(month_start(as_of), -1)
-        return pm, month_end(pm)
-    if key == "this-quarter":
-        q = (as_of.month - 1) // 3
-        return dt.date(as_of.year, q * 3 + 1, 1), as_of
-    if key == "this-year":
-        return dt.date(as_of.year, 1, 1), as_of
-    raise ValueError(f"unknown quick range {key!r}; expected one of {QUICK_KEYS}")
+    if key not in QUICK:
+        raise ValueError(f"unknown quick range {key!r}; expected one of {tuple(QUICK)}")
+    name, back = QUICK[key]
+    m = MODES[name]
+    if m.unit == "day":
+        return _run_of_days(as_of, m)
+    now = _number(as_of)
+    first, = _months([now - now % m.length - back * m.length])
+    return first, as_of if not back else month_end(_months([_number(first) + m.length - 1])[0])
 
 
 def quick_period(as_of: dt.date, key: str) -> Period:
-    start, end = quick_range(as_of, key)
-    return resolve_period(as_of, "custom", start, end)
+    return resolve_period(as_of, "custom", *quick_range(as_of, key))
+
+
+def _spans(months: Iterable[dt.date]) -> list[DayRange]:
+    return [(m, month_end(m)) for m in months]
+
+
+def needed_days(period: Period) -> tuple[DayRange, ...]:
+    """The days that a report of this period reads, as disjoint ranges in order; neighbours are one."""
+    ranges = [r for r in (period.days, period.days_before, period.chart_days) if r and r[0] <= r[1]]
+    for months in (period.months, period.months_before or (), period.months_last_year or (), period.chart_months):
+        ranges += _spans(months)
+    out: list[DayRange] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + DAY:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return tuple(out)
+
+
+def period_rows(as_ofs: Iterable[dt.date], mode: str, start: dt.date | None = None,
+                end: dt.date | None = None) -> list[tuple[dt.date, str, dt.date, dt.date]]:
+    """The periods of many as-of dates as rows: as_of, role ("current", "before", "last_year"), first day, last day.
+
+    Data ends the day before as_of, so no range goes beyond it.
+    """
+    rows = []
+    for as_of in as_ofs:
+        p = resolve_period(as_of, mode, start, end)
+        roles = {"current": [p.days] if p.daily else _spans(p.months), "before": [p.days_before] if p.daily else _spans(p.months_before or ()),
+                 "last_year": _spans(p.months_last_year or ())}
+        rows += [(as_of, role, first, min(last, as_of - DAY)) for role, spans in roles.items() for first, last in spans if first < as_of]
+    return rows

@@ -133,14 +133,15 @@ def _sales_mart(sales: DataFrame, window: DayWindow, portfolio: DataFrame | None
 
 
 def seller_day(sales: DataFrame, as_of: dt.date, portfolio: DataFrame | None = None,
-               pre_agreed_code: str = DEAL_PRE_AGREED, measures: tuple[str, ...] = SALES_MEASURES) -> DataFrame:
-    """Shared daily mart: the sales measures per (day, seller) over the two-year window, unrounded.
+               pre_agreed_code: str = DEAL_PRE_AGREED, measures: tuple[str, ...] = SALES_MEASURES,
+               window: DayWindow | None = None) -> DataFrame:
+    """Shared daily mart: the sales measures per (day, seller) over the two-year window (or `window`), unrounded.
 
     The 90-day windows lie inside the two-year window, so one pass over the
     lines serves all six additive sales marts (`sales_marts_from_days`). With
     fewer `measures` the pass reads only the columns they need.
     """
-    df, late = _countable_sales(sales, two_year_window(as_of), portfolio)
+    df, late = _countable_sales(sales, window or two_year_window(as_of), portfolio)
     m = {n: e for n, e in sales_line_measures(pre_agreed_code).items() if n in measures}
     agg = df.groupBy(F.col("closed_date").alias("day"), "seller_id").agg(*[F.sum(e).alias(n) for n, e in m.items()])
     return keep_portfolio_sellers(agg, late)

@@ -17,9 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sellerlens.functions.calendar import Period
+from sellerlens.functions.calendar import Period, period_rows
 from sellerlens.functions.ratios import pct_change, rounded_money_ratio
-from sellerlens.plans.broadcast import is_small
+from sellerlens.plans.broadcast import broadcast_if_small, is_small
 
 Fields = Sequence[str]
 
@@ -74,9 +74,9 @@ def sum_daily_range(mart: DataFrame, fields: Fields, start: dt.date, end: dt.dat
 
 def _period_filter(mart: DataFrame, period: Period) -> DataFrame:
     if period.daily:
-        s, e = period.curr_range
+        s, e = period.days
         return mart.where(F.col("day").between(F.lit(s), F.lit(e)))
-    return mart.where(F.col("month").isin(list(period.curr_months)))
+    return mart.where(F.col("month").isin(list(period.months)))
 
 
 def rollup_sellers(mart: DataFrame, fields: Fields, bridge: DataFrame, period: Period) -> DataFrame:
@@ -128,7 +128,7 @@ def chart_window_series(monthly: DataFrame, daily: DataFrame, field: str, period
     year present for the scope.
     """
     if period.daily:
-        s, e = period.curr_range
+        s, e = period.days
         out = daily_series(daily, [field], s, e, bridge)
         return out.select("scope", F.col("day").cast("string").alias("label"), F.col(field).alias("value"))
     if period.mode == "month":
@@ -139,7 +139,7 @@ def chart_window_series(monthly: DataFrame, daily: DataFrame, field: str, period
     if period.mode == "year":
         out = rollup_months_current_year(monthly, [field], bridge, as_of)
         return out.select("scope", F.date_format("month", "yyyy-MM").alias("label"), F.col(field).alias("value"))
-    out = monthly_series(monthly, [field], period.curr_months, bridge)
+    out = monthly_series(monthly, [field], period.months, bridge)
     return out.select("scope", F.date_format("month", "yyyy-MM").alias("label"), F.col(field).alias("value"))
 
 
@@ -153,17 +153,17 @@ def period_sums(monthly: DataFrame | None, daily: DataFrame | None, fields: Fiel
     cols: list[Column] = []
     names: list[str] = []
     if period.daily:
-        (cs, ce), prev = period.curr_range, period.prev_range
+        (cs, ce), prev = period.days, period.days_before
         roles = {"curr": F.col("day").between(F.lit(cs), F.lit(ce))}
         if prev:
             roles["d1"] = F.col("day").between(F.lit(prev[0]), F.lit(prev[1]))
         src = daily
     else:
-        roles = {"curr": F.col("month").isin(list(period.curr_months))}
-        if period.d1_months:
-            roles["d1"] = F.col("month").isin(list(period.d1_months))
-        if period.d2_months:
-            roles["d2"] = F.col("month").isin(list(period.d2_months))
+        roles = {"curr": F.col("month").isin(list(period.months))}
+        if period.months_before:
+            roles["d1"] = F.col("month").isin(list(period.months_before))
+        if period.months_last_year:
+            roles["d2"] = F.col("month").isin(list(period.months_last_year))
         src = monthly
     any_role = None
     for cond in roles.values():
@@ -225,12 +225,45 @@ def asp_kpi(monthly: DataFrame, daily: DataFrame, period: Period, bridge: DataFr
     return s.select("scope", "asp", delta("_p1").alias("asp_d1"), delta("_p2").alias("asp_d2"))
 
 
+# ----------------------------------------------------------------------------- P03 / P08 / P14 of many dates
+def sums_of_periods(days: DataFrame, fields: Fields, periods: DataFrame, bridge: DataFrame) -> DataFrame:
+    """(as_of, role, scope, Σ fields) of rows (day, seller_id, fields) in the ranges of `periods` (as_of, role, first, last).
+
+    A binned interval join: both sides meet by calendar month, and the exact range is checked within it, so a day is
+    compared with the ranges that touch its month only. The days are summed per range and seller before they fan out to scopes.
+    """
+    bins = F.explode(F.sequence(F.trunc("first", "month"), F.trunc("last", "month"), F.expr("INTERVAL 1 MONTH")))
+    ranges = periods.where(F.col("first") <= F.col("last")).select("*", bins.alias("_bin"))
+    binned = days.withColumn("_bin", F.trunc("day", "month"))
+    met = binned.join(broadcast_if_small(ranges), "_bin").where(F.col("day").between(F.col("first"), F.col("last")))
+    sums = [F.sum(_zero(f)).alias(f) for f in fields]
+    return scoped(met.groupBy("as_of", "role", "seller_id").agg(*sums), bridge).groupBy("as_of", "role", "scope").agg(*sums)
+
+
+def kpi_of_dates(days: DataFrame, fields: Fields, as_ofs: Sequence[dt.date], mode: str, bridge: DataFrame) -> DataFrame:
+    """P14 for many as-of dates in one plan: (as_of, scope, f, f_d1, f_d2), each as if for that date alone.
+
+    `days` are (day, seller_id, fields) of all days that the dates' periods touch; each is read once.
+    """
+    roles = {"curr": "current", "d1": "before", "d2": "last_year"}
+    periods = days.sparkSession.createDataFrame(period_rows(as_ofs, mode), "as_of date, role string, first date, last date")
+    sums = sums_of_periods(days, fields, periods, bridge).groupBy("as_of", "scope").agg(*[
+        F.sum(F.when(F.col("role") == F.lit(role), F.col(f))).alias(f"{f}_{short}") for f in fields for short, role in roles.items()])
+    dates = F.array(*[F.lit(d) for d in sorted(set(as_ofs))])
+    t = scope_list(bridge).select("scope", F.explode(dates).alias("as_of")).join(sums, ["as_of", "scope"], "left")
+    out = [F.col("as_of"), F.col("scope")]
+    for f in fields:
+        out.append(_zero(f"{f}_curr").alias(f))
+        out += [pct_change(_zero(f"{f}_curr"), _zero(f"{f}_{r}")).alias(f"{f}_{r}") for r in ("d1", "d2")]
+    return t.select(*out)
+
+
 # ----------------------------------------------------------------------------- P16 / P17
 def asp_series(monthly: DataFrame, daily: DataFrame, period: Period, bridge: DataFrame,
                gmv: str = "gmv", units: str = "si") -> DataFrame:
     """(scope, label, asp) over the chart range/months, 0 dp, NULL without units."""
-    if period.chart_gran == "daily":
-        s, e = period.chart_range
+    if period.chart_daily:
+        s, e = period.chart_days
         ser = daily_series(daily, [gmv, units], s, e, bridge)
         label = F.col("day").cast("string")
     else:

@@ -29,7 +29,7 @@ from sellerlens.operators import measures as M
 from sellerlens.operators.marts import INVESTMENT_FAMILIES
 from sellerlens.operators.price import price_order
 from sellerlens.operators.scopes import seller_label
-from sellerlens.plans.broadcast import broadcast_if_bounded
+from sellerlens.plans.broadcast import broadcast_if_bounded, is_small
 
 DEFAULT_ITEM_URL = "https://items.example/HOME-"
 #: Parts that a scope's rows are ranked in before they meet.
@@ -41,6 +41,30 @@ def attach_per_scope(df: DataFrame, per_scope: DataFrame, bridge: DataFrame) ->
     return df.join(broadcast_if_bounded(per_scope, bridge), "scope")
 
 
+#: Parts that a scope's sellers are ranked in where the portfolio isn't proven small.
+RANK_PARTS = 256
+
+
+def ranked(rows: DataFrame, by: str, bridge: DataFrame) -> DataFrame:
+    """`rows` (one per scope and seller) with their `rank` in the scope: `by` descending, then seller id.
+
+    A portfolio proven small is ranked in one window per scope. A larger one is cut at the scope's percentiles of
+    `by`: a row's rank is the number of rows in the parts above its own plus its place in that part.
+    """
+    order = [F.col(by).desc_nulls_last(), F.col("seller_id").asc()]
+    if is_small(bridge):
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(*order)).cast("bigint"))
+    value = F.coalesce(F.col(by).cast("double"), F.lit(float("-inf")))
+    at = F.array(*[F.lit(k / RANK_PARTS) for k in range(1, RANK_PARTS)])
+    cuts = rows.groupBy("scope").agg(F.percentile_approx(value, at, F.lit(100 * RANK_PARTS)).alias("_cuts"))
+    parted = attach_per_scope(rows, cuts, bridge).withColumn("_part", F.size(F.filter("_cuts", lambda c: c > value))).drop("_cuts")
+    above = Window.partitionBy("scope").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.groupBy("scope", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("scope", "_part", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    place = F.row_number().over(Window.partitionBy("scope", "_part").orderBy(*order))
+    return parted.join(sizes, ["scope", "_part"]).withColumn("rank", (F.col("_above") + place).cast("bigint")).drop("_part", "_above")
+
+
 def _mart_for(period: Period, monthly: DataFrame, daily: DataFrame) -> DataFrame:
     return daily if period.daily else monthly
 
@@ -64,7 +88,7 @@ def seller_sales_table(monthly: DataFrame, daily: DataFrame, period: Period, bri
         ratio_or_zero("gmv", "si").alias("asp"),
         pct_or_zero("gmv", "_tg").alias("share_pct"),
     )
-    return seller_label(out, portfolio)
+    return seller_label(ranked(out, "gmv", bridge), portfolio)
 
 
 # ----------------------------------------------------------------------------- P19-P21 logistics
@@ -85,8 +109,8 @@ def logistics_mix(monthly: DataFrame, daily: DataFrame, period: Period, bridge:
 def logistics_series(monthly: DataFrame, daily: DataFrame, period: Period, bridge: DataFrame) -> DataFrame:
     """P20: per day (days with rows) or chart month (zero-filled): %FF, gmv and units per class."""
     fields = list(LOGISTIC_GMV) + ["si_ff", "si_xd", "si_ss"]
-    if period.chart_gran == "daily":
-        s, e = period.chart_range
+    if period.chart_daily:
+        s, e = period.chart_days
         ser = M.daily_series(daily, fields, s, e, bridge)
         label = F.col("day").cast("string")
     else:
@@ -108,6 +132,7 @@ def logistics_seller_table(monthly: DataFrame, daily: DataFrame, period: Period,
         "gmv_xd", pct_or_zero("gmv_xd", "gmv_total").alias("xd_pct"),
         "gmv_ss", pct_or_zero("gmv_ss", "gmv_total").alias("ss_pct"),
     )
+    out = ranked(out, "gmv_total", bridge)
     return seller_label(out.withColumn("ff_flag", F.col("ff_pct") >= F.lit(L.FF_SHARE_FLAG)), portfolio)
 
 
@@ -214,15 +239,15 @@ def ads_kpi(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly: DataFra
     """
     if period.daily:
         k = M.kpi_delta(ads_monthly, ads_daily, ["ads_invest", "gmv_ads"], period, bridge)
-        cur = _daily_ads_ratios(ads_daily, sales_daily, period.curr_range, bridge)
+        cur = _daily_ads_ratios(ads_daily, sales_daily, period.days, bridge)
         t = k.join(cur.select("scope", *RATIO_METRICS), "scope")
         nulls = [F.lit(None).cast("double").alias(f"{m}_{r}") for m in RATIO_METRICS for r in ("d1", "d2")]
         return t.select(*k.columns, *RATIO_METRICS, *nulls, F.lit(True).alias("acos_better_down"))
-    roles = {"curr": period.curr_months}
-    if period.d1_months:
-        roles["d1"] = period.d1_months
-    if period.d2_months:
-        roles["d2"] = period.d2_months
+    roles = {"curr": period.months}
+    if period.months_before:
+        roles["d1"] = period.months_before
+    if period.months_last_year:
+        roles["d2"] = period.months_last_year
     t = ads_role_metrics(ads_monthly, sales_monthly, roles, bridge)
     out = [F.col("scope")]
     for f in ("ads_invest", "gmv_ads"):
@@ -239,8 +264,8 @@ def ads_series(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly: Data
                period: Period, bridge: DataFrame) -> DataFrame:
     """Per chart day (ads days with rows) or chart month (zero-filled):
     spend, ads gmv, ROAS, ACOS %, ads share % (NULL when undefined)."""
-    if period.chart_gran == "daily":
-        s, e = period.chart_range
+    if period.chart_daily:
+        s, e = period.chart_days
         ads = M.daily_series(ads_daily, ["ads_invest", "gmv_ads"], s, e, bridge)
         gmv = M.daily_series(sales_daily, ["gmv"], s, e, bridge)
         t = ads.join(gmv, ["scope", "day"], "left")
@@ -291,7 +316,7 @@ def ads_seller_table(ads_monthly: DataFrame, ads_daily: DataFrame, sales_monthly
         _take_rate("ads_invest", "_pg").alias("take_rate"),
         pct_or_zero("gmv_ads", F.coalesce(F.col("gmv"), F.lit(0))).alias("ads_share"),
     )
-    return seller_label(out, portfolio)
+    return seller_label(ranked(out, "ads_invest", bridge), portfolio)
 
 
 # ----------------------------------------------------------------------------- P27-P30 investments
@@ -301,9 +326,9 @@ def investment_totals(monthly: DataFrame, daily: DataFrame, period: Period, brid
 
     cols = list(INVESTMENT_COLUMNS)
     if period.daily:
-        s = M.sum_daily_range(daily, cols, *period.curr_range, bridge)
+        s = M.sum_daily_range(daily, cols, *period.days, bridge)
     else:
-        s = M.sum_months(monthly, cols, period.curr_months, bridge)
+        s = M.sum_months(monthly, cols, period.months, bridge)
     s = s.select("scope", _fam("g1").alias("g1"), _fam("g2").alias("g2"), _fam("g3").alias("g3"))
     return s.withColumn("total", F.col("g1") + F.col("g2") + F.col("g3"))
 
@@ -319,8 +344,8 @@ def investment_series(monthly: DataFrame, daily: DataFrame, period: Period, brid
     from sellerlens.operators.marts import INVESTMENT_COLUMNS
 
     cols = list(INVESTMENT_COLUMNS)
-    if period.chart_gran == "daily":
-        s, e = period.chart_range
+    if period.chart_daily:
+        s, e = period.chart_days
         ser = M.daily_series(daily, cols, s, e, bridge)
         label = F.col("day").cast("string")
     else:
@@ -344,6 +369,7 @@ def investment_seller_table(monthly: DataFrame, daily: DataFrame, sales_daily: D
     t = per.select("scope", "seller_id", F.coalesce(F.col("gmv"), F.lit(0)).alias("gmv"),
                    _fam("g1").alias("g1"), _fam("g2").alias("g2"), _fam("g3").alias("g3"))
     t = t.withColumn("total", F.col("g1") + F.col("g2") + F.col("g3"))
+    t = ranked(t, "total", bridge)
     return seller_label(t.withColumn("invest_pct", pct_or_zero("total", "gmv")), portfolio)
 
 
@@ -444,9 +470,9 @@ def visit_kpi(visits_monthly: DataFrame, visits_daily: DataFrame, sales_monthly:
     """Visits with deltas, units, and units per visit % (0 without visits)."""
     k = M.kpi_delta(visits_monthly, visits_daily, ["visits"], period, bridge)
     if period.daily:
-        u = M.sum_daily_range(sales_daily, ["si"], *period.curr_range, bridge)
+        u = M.sum_daily_range(sales_daily, ["si"], *period.days, bridge)
     else:
-        u = M.sum_months(sales_monthly, ["si"], period.curr_months, bridge)
+        u = M.sum_months(sales_monthly, ["si"], period.months, bridge)
     t = k.join(u, "scope")
     return t.select("scope", "visits", "visits_d1", "visits_d2", F.col("si").alias("units"),
                     pct_or_zero("si", "visits").alias("units_per_visit_pct"))
@@ -457,13 +483,13 @@ def conversion_series(visits_monthly: DataFrame, visits_daily: DataFrame, sales_
     """Visits and units per visit % (NULL without visits) per period month
     (zero-filled) or, in daily modes, per chart day with visit rows."""
     if period.daily:
-        s, e = period.chart_range
+        s, e = period.chart_days
         v = M.daily_series(visits_daily, ["visits"], s, e, bridge)
         u = M.daily_series(sales_daily, ["si"], s, e, bridge)
         t = v.join(u, ["scope", "day"], "left")
         label = F.col("day").cast("string")
     else:
-        months = period.chart_months if period.chart_gran == "monthly" else period.curr_months
+        months = period.months if period.chart_daily else period.chart_months
         v = M.monthly_series(visits_monthly, ["visits"], months, bridge)
         u = M.monthly_series(sales_monthly, ["si"], months, bridge)
         t = v.join(u, ["scope", "month"], "left")
@@ -486,7 +512,7 @@ def visits_seller_table(visits_monthly: DataFrame, visits_daily: DataFrame, sale
     units = F.coalesce(F.col("si"), F.lit(0))
     out = t.select("scope", "seller_id", "visits", "visits_vip", units.alias("units"),
                    pct_or_zero(units, "visits").alias("units_per_visit_pct"))
-    return seller_label(out, portfolio)
+    return seller_label(ranked(out, "visits", bridge), portfolio)
 
 
 def top_per_scope(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -528,7 +554,7 @@ def campaign_seller_summary(campaigns: DataFrame, bridge: DataFrame, portfolio:
     t = M.scoped(per, bridge)
     out = t.select("scope", "seller_id", "total", "eligible", "opt_in",
                    pct_or_zero("opt_in", "eligible").alias("optin_pct"))
-    return seller_label(out, portfolio)
+    return seller_label(ranked(out, "eligible", bridge), portfolio)
 
 
 def campaign_mart_order() -> list[Column]:
@@ -581,6 +607,7 @@ def price_seller_table(price: DataFrame, bridge: DataFrame, portfolio: DataFrame
     hi, mid = L.EXPENSIVE_BANDS
     t = M.scoped(per, bridge).select("scope", "seller_id", "items", "non_competitive", "visits", "visits_exp",
                                      p.alias("expensive_pct"))
+    t = ranked(t, "visits_exp", bridge)
     shown = F.round("expensive_pct", 1)
     band = F.when(shown > hi, F.lit("high")).when(shown > mid, F.lit("medium"))
     return seller_label(t.withColumn("band", band.otherwise(F.lit("low"))), portfolio)

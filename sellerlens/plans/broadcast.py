@@ -1,11 +1,10 @@
 """Broadcast only behind a size check.
 
-`is_small` runs one bounded action on a *dimension* frame (`limit(n + 1)`, which
-stops after n + 1 rows) and compares its rows and bytes with the session's
+`is_small` counts a *dimension* frame once, its rows and bytes summed in each task, and compares them with the session's
 bounds. The measured size is remembered for the session under the frame's
 semantic plan hash (confirmed with `sameSemantics`), so every query that joins
 the same dimension - however often it is re-read - checks it once, and one
-measurement answers every bound up to its cap. A refresh starts with
+measurement answers every bound. A refresh starts with
 `forget_sizes`, so a dimension that grows under a long-lived session is measured
 anew; at most MEMO_FRAMES frames are remembered.
 `broadcast_if_small` hints a broadcast only when the frame is proven to hold
@@ -48,8 +47,8 @@ def max_bytes_for(df: DataFrame) -> int:
     return _setting(df, MAX_BYTES_CONF, DEFAULT_MAX_BYTES)
 
 
-# session key -> [(semantic hash, frame, cap, rows capped at cap + 1, bytes of those rows)]
-_SIZES: dict[str, list[tuple[int, DataFrame, int, int, int]]] = {}
+# session key -> [(semantic hash, frame, rows, bytes)]
+_SIZES: dict[str, list[tuple[int, DataFrame, int, int]]] = {}
 
 
 def forget_sizes(df_or_spark) -> None:
@@ -60,33 +59,29 @@ def forget_sizes(df_or_spark) -> None:
     _SIZES.pop(session_key(spark), None)
 
 
-def _measure(df: DataFrame, cap: int) -> tuple[int, int]:
-    """(rows, bytes) of the first cap + 1 rows: 8 bytes a value, and the length of texts."""
+def _measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes): 8 bytes a value, and the length of texts; partial sums, so no task reads more than its own rows."""
     wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
     size = F.lit(8 * len(df.columns)).cast("long")
     for c in wide:
         size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
-    rows, total = df.limit(cap + 1).select(size.alias("s")).agg(F.count("*"), F.sum("s")).first()
+    rows, total = df.select(size.alias("s")).agg(F.count("*"), F.sum("s")).first()
     return rows, total or 0
 
 
-def _capped_size(df: DataFrame, cap: int) -> tuple[int, int, int]:
-    """(rows capped at cap + 1, bytes, cap) of df, from the session memo when possible."""
+def _size(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of df, from the session memo when possible."""
     from sellerlens.sources.tables import session_key
 
     h = df.semanticHash()
     entries = _SIZES.setdefault(session_key(df.sparkSession), [])
-    for entry in list(entries):
-        eh, frame, c, n, b = entry
+    for eh, frame, n, b in entries:
         if eh == h and (frame is df or frame.sameSemantics(df)):
-            if n <= c or cap <= c:  # exact count known, or already known to exceed this cap
-                return n, b, c
-            entries.remove(entry)
-            break
-    n, b = _measure(df, cap)
-    entries.append((h, df, cap, n, b))
+            return n, b
+    n, b = _measure(df)
+    entries.append((h, df, n, b))
     del entries[:-MEMO_FRAMES]
-    return n, b, cap
+    return n, b
 
 
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
@@ -96,8 +91,8 @@ def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
     if bounded is not None:
         source, factor = bounded
         return is_small(source, max(1, max_rows // factor))
-    n, size, cap = _capped_size(df, max(max_rows, max_rows_for(df)))
-    return n <= max_rows and n <= cap and size <= max_bytes_for(df)
+    n, size = _size(df)
+    return n <= max_rows and size <= max_bytes_for(df)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:

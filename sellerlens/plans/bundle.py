@@ -22,10 +22,10 @@ Writing tables (rather than caching) cuts the lineage, so a lost executor
 re-reads a written table instead of recomputing the join. The tables of a
 refresh live in one work folder, which is deleted when the bundle is out.
 
-A bundle is a folder of versions and a file that names the current one. A
-version is written whole, then the name is replaced by a rename: readers see the
-old bundle or the new one, with one refresh stamp, and a refresh that fails
-leaves the old one in place.
+A bundle is a folder of versions and a folder of numbered commits, small files that name a version each. A
+version is written whole, then the commit behind the last one is created, which the store refuses if there is one:
+readers see the old bundle or the new one, with one refresh stamp. No rename is needed, so object stores serve as well. Of two refreshes that began
+at the same commit one wins, and the other fails like any refresh that fails: its version is deleted and the bundle stays as it was.
 
 The 90-day and 3-month windows lie inside the two-year window (which starts
 on January 1st of the previous year), so one slice serves every sales mart.
@@ -54,7 +54,11 @@ SALES_SLICE_COLUMNS = (
     "buybox_flag", "deal_subtype", "deal_invest", "dod_invest", "lightning_invest", "price_match_flag",
     "smart_flag", "auto_invest", "coupon_amount", "coupon_by_seller_flag",
 )
-CURRENT = "_current"
+COMMITS, VERSIONS = "_commits", "versions"
+
+
+class Overtaken(RuntimeError):
+    """Another refresh was published since this one began."""
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -130,12 +134,16 @@ class _Portfolio:
         self.portfolio = portfolio
 
 
-def build_reports(typed: dict[str, DataFrame], as_of: dt.date, modes: Iterable[str] | None = None) -> dict[str, DataFrame]:
+#: A period mode or quick range by name, or the first and last day of a period of the caller.
+Mode = str | tuple[dt.date, dt.date]
+
+
+def build_reports(typed: dict[str, DataFrame], as_of: dt.date, modes: Iterable[Mode] | None = None) -> dict[str, DataFrame]:
     """The post-mart reports (P01-P45) over the typed marts of one refresh, for its own as-of date.
 
     By default every registered combination of report and period; with `modes`
-    (day, week, month, quarter, year, or a quick range) every periodic report in
-    each of them, named <report>_<mode>, and the reports without a period.
+    (day, week, month, quarter, year, a quick range, or a custom period as its first and last day) every periodic report in
+    each of them, named <report>_<mode> or <report>_<first>_<last>, and the reports without a period.
     They read only the written marts and the portfolio, never the facts, so
     their cost does not grow with the fact tables.
     """
@@ -146,46 +154,67 @@ def build_reports(typed: dict[str, DataFrame], as_of: dt.date, modes: Iterable[s
         return {name: fn(m) for name, fn in REPORTS.items()}
     out = {name: fn(m) for name, fn in PLAIN.items()}
     for mode in modes:
-        out |= {f"{base}_{mode}": fn(m, period_of(m, mode)) for base, fn in PERIODIC.items()}
+        label = mode if isinstance(mode, str) else "_".join(d.isoformat() for d in mode)
+        out |= {f"{base}_{label}": fn(m, period_of(m, mode)) for base, fn in PERIODIC.items()}
     return out
 
 
+def commits(spark: SparkSession, out_dir: str) -> list[tuple[int, str]]:
+    """(number, version) of the published versions, in order; a commit without a name is one whose writer was lost, and counts for its number alone."""
+    return [(int(n), store.read_text(spark, f"{out_dir}/{COMMITS}/{n}")) for n in store.names(spark, f"{out_dir}/{COMMITS}") if n.isdigit()]
+
+
+def last_commit(spark: SparkSession, out_dir: str) -> int:
+    return max((int(n) for n in store.names(spark, f"{out_dir}/{COMMITS}") if n.isdigit()), default=0)
+
+
 def publish(spark: SparkSession, frames: dict[str, DataFrame], out_dir: str, fmt: str = "parquet",
-            refreshed_at: dt.datetime | None = None, parallel_jobs: int = 4, keep: int = 2) -> dict[str, str]:
+            refreshed_at: dt.datetime | None = None, parallel_jobs: int = 4, keep: int = 2, since: int | None = None) -> dict[str, str]:
     """Write frames as a new version of the bundle in out_dir and make it the current one.
 
     Each frame goes to <version>/<name> at the output edge (S03 types, refresh stamp; `fmt` json for S05).
-    The newest `keep` versions stay, so readers of the one before are not cut off.
+    `since` is the last commit that the refresh knows of (by default the last one now): a later one overtakes it.
+    The newest `keep` published versions stay, so readers of the one before are not cut off; older ones, and what
+    lost refreshes have left before them, are deleted.
     """
+    since = last_commit(spark, out_dir) if since is None else since
     refreshed_at = refreshed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     version = f"{refreshed_at:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    folder = f"{out_dir}/versions/{version}"
+    folder = f"{out_dir}/{VERSIONS}/{version}"
 
     def write(name: str, df: DataFrame) -> str:
         with_refresh_stamp(normalize(df), refreshed_at).write.format(fmt).save(f"{folder}/{name}")
         return f"{folder}/{name}"
 
-    paths = _write_all(write, frames, parallel_jobs)
-    store.replace_text(spark, f"{out_dir}/{CURRENT}", version)
-    for old in [v for v in store.names(spark, f"{out_dir}/versions") if v < version][: -(keep - 1) or None]:
-        store.delete(spark, f"{out_dir}/versions/{old}")
+    try:
+        paths = _write_all(write, frames, parallel_jobs)
+        if not store.create_text(spark, f"{out_dir}/{COMMITS}/{since + 1:08d}", version):
+            raise Overtaken(f"{out_dir} was published by another refresh since commit {since}")
+    except BaseException:
+        store.delete(spark, folder)
+        raise
+    stay = [v for _, v in commits(spark, out_dir) if v][-keep:]
+    for old in store.names(spark, f"{out_dir}/{VERSIONS}"):
+        if old not in stay and old < stay[0]:
+            store.delete(spark, f"{out_dir}/{VERSIONS}/{old}")
     return paths
 
 
 def current_bundle(spark: SparkSession, out_dir: str) -> dict[str, str]:
     """name -> path of the frames of the current bundle."""
-    folder = f"{out_dir}/versions/{store.read_text(spark, f'{out_dir}/{CURRENT}')}"
+    version = [v for _, v in commits(spark, out_dir) if v][-1]
+    folder = f"{out_dir}/{VERSIONS}/{version}"
     return {name: f"{folder}/{name}" for name in store.names(spark, folder)}
 
 
 def refresh(spark: SparkSession, inputs, out_dir: str, as_of: dt.date, audit_as_of: dt.datetime, fmt: str = "parquet",
-            refreshed_at: dt.datetime | None = None, modes: Iterable[str] | None = None, with_reports: bool = True,
+            refreshed_at: dt.datetime | None = None, modes: Iterable[Mode] | None = None, with_reports: bool = True,
             **kw) -> dict[str, str]:
     """One daily refresh: the marts and, in the same bundle, all reports of `as_of`; name -> path."""
-    work = work_folder(spark)
+    work, since = work_folder(spark), last_commit(spark, out_dir)
     try:
         typed = write_typed_marts(inputs, work, as_of, audit_as_of, **kw)
         reports = {f"report_{name}": df for name, df in build_reports(typed, as_of, modes).items()} if with_reports else {}
-        return publish(spark, typed | reports, out_dir, fmt, refreshed_at)
+        return publish(spark, typed | reports, out_dir, fmt, refreshed_at, since=since)
     finally:
         store.delete(spark, work)

@@ -9,8 +9,8 @@ then scaled by 100.
 
 from __future__ import annotations
 
-from sellerlens.plans.oracle import A, asp_sql, cte, money, q10_cte, q14_cte, with_ctes
-from sellerlens.plans.params import CUSTOM_END, CUSTOM_START
+from sellerlens.plans.oracle import A, MART_SQL, asp_sql, cte, money, q10_cte, q14_cte, with_ctes
+from sellerlens.plans.params import CUSTOM_END, CUSTOM_START, REFRESHED_AT
 
 CS, CE = f"DATE '{CUSTOM_START.isoformat()}'", f"DATE '{CUSTOM_END.isoformat()}'"
 CM = f"CAST(date_trunc('month', {A}) AS DATE)"
@@ -270,6 +270,31 @@ for _mode in ("day", "week", "month", "quarter", "year", "custom", "last_month",
     SQL[f"sales_kpi_{_mode}"] = kpi_sql("q01", "q02", SALES_F, _mode, "sales")
 
 
+# P14 for the 30 as-of dates that end at A: each date's ranges are restated in SQL
+cte("as_ofs", f"SELECT CAST(unnest(generate_series(CAST({A} - 29 AS TIMESTAMP), CAST({A} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS a")
+_LAST_DAY = "least(CAST(date_trunc('month', {x}) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), a - 1)"
+cte("date_ranges_month", " UNION ALL ".join(
+    f"SELECT a, '{r}' AS role, CAST(date_trunc('month', {x}) AS DATE) AS s, {_LAST_DAY.format(x=x)} AS e FROM as_ofs"
+    for r, x in (("curr", "a"), ("d1", "a - INTERVAL 1 MONTH"), ("d2", "a - INTERVAL 12 MONTH"))), ("as_ofs",))
+cte("date_ranges_week", """
+SELECT a, role, sat - back - 6 AS s, sat - back AS e
+FROM (SELECT a, a - CAST(1 + (isodow(a - 1) + 1) % 7 AS INTEGER) AS sat FROM as_ofs), (VALUES ('curr', 0), ('d1', 7)) r(role, back)""", ("as_ofs",))
+cte("sales_days", """
+SELECT closed_date AS day, seller_id, SUM(gmv) AS gmv, CAST(SUM(units) AS BIGINT) AS si FROM sales
+WHERE gmv_flag AND seller_id IN (SELECT seller_id FROM portfolio) GROUP BY 1, 2""", ("sales", "portfolio"))
+for _mode in ("month", "week"):
+    _cols = [f"SUM({f}) FILTER (role = '{r}') AS {f}_{r}" for f in ("gmv", "si") for r in ("curr", "d1", "d2")]
+    cte(f"date_sums_{_mode}", f"""
+SELECT a, scope, {', '.join(_cols)}
+FROM date_ranges_{_mode} JOIN sales_days ON day BETWEEN s AND e JOIN scopes USING (seller_id) GROUP BY a, scope""",
+        (f"date_ranges_{_mode}", "sales_days", "scopes"))
+    _out = [out(z(f"t.{f}_curr"), kind, f) for f, kind in (("gmv", "money"), ("si", "int"))]
+    _out += [f"{chg(z(f't.{f}_curr'), z(f't.{f}_{r}'))} AS {f}_{r}" for f in ("gmv", "si") for r in ("d1", "d2")]
+    SQL["sales_kpi_dates" + ("_week" if _mode == "week" else "")] = with_ctes([f"date_sums_{_mode}", "scope_list"], f"""
+SELECT strftime(x.a, '%Y-%m-%d') AS as_of, sl.scope, {', '.join(_out)}
+FROM scope_list sl CROSS JOIN as_ofs x LEFT JOIN date_sums_{_mode} t ON t.a = x.a AND t.scope = sl.scope""")
+
+
 def asp_kpi_sql(mode: str) -> str:
     mart = "q02" if mode in DAILY_ROLES else "q01"
     name = sums_cte(f"sums_asp_{mode}", mart, ["gmv", "si"], mode)
@@ -707,3 +732,17 @@ LEFT JOIN (SELECT seller_id, COUNT(*) FILTER (WHERE classification = 'Nao Compet
 JOIN scopes s ON f.seller_id = s.seller_id"""))
 
 REPORT_SQL = SQL
+
+
+# ----------------------------------------------------------------------------- ranks of the seller tables
+for _name, _by in {"seller_sales_table": "gmv", "logistics_seller_table": "gmv_total", "ads_seller_table": "ads_invest",
+                   "investment_seller_table": "total", "visits_seller_table": "visits", "campaign_seller_summary": "eligible",
+                   "price_seller_table": "visits_exp"}.items():
+    for _query in (_name, f"{_name}_week"):
+        if _query in SQL:
+            SQL[_query] = (f"SELECT *, ROW_NUMBER() OVER (PARTITION BY scope ORDER BY {_by} DESC NULLS LAST, seller_id) AS rank "
+                           f"FROM (\n{SQL[_query]}\n)")
+
+# ----------------------------------------------------------------------------- bundle
+for _query in ("bundle_parquet", "bundle_json"):
+    SQL[_query] = f"SELECT *, '{REFRESHED_AT:%d/%m/%Y %H:%M}' AS updated_at FROM (\n{MART_SQL['sales_monthly']}\n)"

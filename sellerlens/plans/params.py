@@ -16,3 +16,9 @@ CAMPAIGN_DAYS = 90
 # custom period used by the custom-mode KPI query (spans a year boundary)
 CUSTOM_START = dt.date(2000, 11, 10)
 CUSTOM_END = dt.date(2001, 2, 3)
+
+# as-of dates of the queries that serve many dates in one plan: the 30 days that end at AS_OF
+DATES = tuple(AS_OF - dt.timedelta(days=k) for k in range(29, -1, -1))
+
+# refresh stamp of the queries that read a bundle back
+REFRESHED_AT = dt.datetime(2001, 7, 19, 8, 0)

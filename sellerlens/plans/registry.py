@@ -5,15 +5,14 @@ runs one operator (or a short operator chain) over the whole tables with the
 fixed parameters of `params`, and normalises the output edge. Nothing is
 collected; the caller triggers execution.
 
-A report takes `Marts`: the marts of one as-of date over one set of inputs. The
-tables that several marts share (sales, logistics and investment measures, ads and visits
-per day and seller, the price observations per item and day, the two item rankings)
-are written to the shared folder the first time a report asks for them, so every
-report reads each fact once a family of measures, and of it only that family's
-columns, however often its plan mentions the mart.
+A report takes `Marts`: the marts of one as-of date over one set of inputs. Building one
+is lazy. A report that uses a fact at several places of its plan says so in `SHARED`, and
+takes it from one table that all uses share inside the plan (`sharing.in_plan`), so every report reads
+each fact once, and of it only the columns of its measures. A fact that is used once goes straight into its mart.
 
 Periodic reports take a period as well (`PERIODIC`), so a refresh can build any of
-them for any mode; `REPORTS` are the combinations that are registered as queries.
+them for any mode; `REPORTS` are the combinations that are registered as queries. A query that needs only its
+period's days passes them to the scans of its facts.
 """
 
 from __future__ import annotations
@@ -22,18 +21,22 @@ import datetime as dt
 import threading
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sellerlens.functions.calendar import Period, quick_period, resolve_period
+from sellerlens.functions.calendar import QUICK, Period, needed_days, period_rows, quick_period, resolve_period
+from sellerlens.functions.dates import DayWindow
 from sellerlens.operators import marts, price
 from sellerlens.operators import measures as M
 from sellerlens.operators import reports as R
 from sellerlens.operators.scopes import seller_label, seller_scopes
-from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS, CUSTOM_END, CUSTOM_START
+from sellerlens.plans.params import AS_OF, AUDIT_AS_OF, AUDIT_DAYS, CAMPAIGN_DAYS, CUSTOM_END, CUSTOM_START, DATES, REFRESHED_AT
+from sellerlens.plans.sharing import in_plan
 from sellerlens.session import checkpoint_dir
 from sellerlens.sources.bindings import LogicalInputs
-from sellerlens.sources.sinks import normalize
+from sellerlens.sources.sinks import normalize, with_refresh_stamp
 from sellerlens.sources.tables import load_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -200,24 +203,27 @@ BUNDLE_MARTS = {
     "q10": "top_items", "q11": "seller_reputation", "q12": "visits_monthly", "q13": "visits_daily",
     "q14": "top_items_by_visits", "q15": "price_competitiveness", "q16": "campaign_items",
 }
-_FROM_DAYS = {
-    "sales_days": ("q01", "q02"), "logistics_days": ("q03", "q06"), "investment_days": ("q05", "q08"),
-    "ads_days": ("q04", "q07"), "visits_days": ("q12", "q13"),
+#: Day tables that a report may share among its marts, and the marts that roll up from each.
+DAY_TABLES = {
+    "sales_days": ("q01", "q02"), "investment_days": ("q02", "q05", "q08"), "ads_days": ("q04", "q07"),
 }
 
 
 class Marts:
     """The marts that reports need, of one as-of date.
 
-    They are built on first use from logical inputs (any object with the frames
+    They are built lazily from logical inputs (any object with the frames
     of `LogicalInputs` as attributes), or taken from `prebuilt`: typed marts
-    written once by the daily refresh, keyed q01..q16.
+    written once by the daily refresh, keyed q01..q16. `shared` names the marts and day tables that
+    several places of one plan use; `days`, ranges of days (ends included), limit what is read of the daily facts.
     """
 
     def __init__(self, i, prebuilt: dict[str, DataFrame] | None = None, as_of: dt.date = AS_OF,
-                 audit_as_of: dt.datetime = AUDIT_AS_OF, audit_days: int = AUDIT_DAYS, campaign_days: int = CAMPAIGN_DAYS):
+                 audit_as_of: dt.datetime = AUDIT_AS_OF, audit_days: int = AUDIT_DAYS, campaign_days: int = CAMPAIGN_DAYS,
+                 shared: tuple[str, ...] = (), days: tuple[tuple[dt.date, dt.date], ...] = ()):
         self.i, self.as_of, self.audit_as_of = i, as_of, audit_as_of
         self.audit_days, self.campaign_days = audit_days, campaign_days
+        self.shared, self.days = shared, days
         self.portfolio = i.portfolio
         self.bridge = seller_scopes(self.portfolio)
         self._frames = dict(prebuilt or {})
@@ -227,46 +233,71 @@ class Marts:
         return resolve_period(self.as_of, mode, start, end)
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or not (name in BUNDLE_MARTS or name in _FROM_DAYS or name == "price_days"):
+        if name.startswith("_") or not (name in BUNDLE_MARTS or name in DAY_TABLES):
             raise AttributeError(name)
         with self._lock:
             if name not in self._frames:
                 self._frames[name] = self._build(name)
             return self._frames[name]
 
-    def _written(self, df: DataFrame, name: str) -> DataFrame:
-        spark = df.sparkSession
-        path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    def _fact(self, name: str, day: str = "day") -> DataFrame:
+        """A daily fact, of the days that are needed."""
+        rows = getattr(self.i, name)
+        if not self.days:
+            return rows
+        return rows.where(reduce(lambda a, b: a | b, [F.col(day).between(F.lit(s), F.lit(e)) for s, e in self.days]))
 
     def _build(self, name: str) -> DataFrame:
         i, as_of, pf = self.i, self.as_of, self.portfolio
-        for days, members in _FROM_DAYS.items():
-            if name in members:
-                table = getattr(self, days)
-                roll = {"ads_days": marts.ads_marts_from_days, "visits_days": marts.visits_marts_from_days}.get(
-                    days, marts.sales_marts_from_days)
-                return roll(table, as_of)[BUNDLE_MARTS[name]]
-        def sales(member: str) -> Callable[[], DataFrame]:
-            needs = next(m for names, m in marts.SALES_FAMILIES.items() if member in names)
-            return lambda: self._written(marts.seller_day(i.sales, as_of, pf, measures=needs), "seller-day")
+        for table, members in DAY_TABLES.items():
+            if name in members and table in self.shared:
+                roll = marts.ads_marts_from_days if table == "ads_days" else marts.sales_marts_from_days
+                return roll(getattr(self, table), as_of)[BUNDLE_MARTS[name]]
+        sales, ads, visits = (lambda: self._fact("sales", "closed_date")), (lambda: self._fact("ads_daily")), (lambda: self._fact("visits"))
+
+        def by_seller(member: str) -> DataFrame:
+            needs = {"si", *next(m for names, m in marts.SALES_FAMILIES.items() if member in names)}
+            return in_plan(marts.seller_day(sales(), as_of, pf, measures=tuple(needs)), ("seller_id",))
+
+        def prices() -> DataFrame:
+            days = in_plan(price.price_days(i.price_obs, as_of), ("seller_id", "catalog_id", "item_id"))
+            return price.price_competitiveness(i.price_obs, i.price_audit, as_of, self.audit_as_of, pf,
+                                               audit_days=self.audit_days, days_table=days)
 
         build = {
-            "sales_days": sales("sales_daily"), "logistics_days": sales("logistics_daily"),
-            "investment_days": sales("investments_daily"),
-            "ads_days": lambda: self._written(marts.ads_day(i.ads_daily, as_of, pf), "ads-day"),
-            "visits_days": lambda: self._written(marts.visits_day(i.visits, as_of, pf), "visits-day"),
-            "price_days": lambda: self._written(price.price_days(i.price_obs, as_of), "price-days"),
-            "q10": lambda: self._written(marts.top_items(i.sales, as_of, pf, k=20, titles=i.item_titles), "top-items"),
+            "sales_days": lambda: by_seller("sales_daily"),
+            "investment_days": lambda: by_seller("investments_daily"),
+            "ads_days": lambda: in_plan(marts.ads_day(ads(), as_of, pf), ("seller_id",)),
+            "q01": lambda: marts.sales_monthly(sales(), as_of, pf),
+            "q02": lambda: marts.sales_daily(sales(), as_of, pf),
+            "q03": lambda: marts.logistics_daily(sales(), as_of, pf),
+            "q04": lambda: marts.ads_daily_mart(ads(), as_of, pf),
+            "q05": lambda: marts.investments_daily(sales(), as_of, pf),
+            "q06": lambda: marts.logistics_monthly(sales(), as_of, pf),
+            "q07": lambda: marts.ads_monthly_mart(ads(), as_of, pf),
+            "q08": lambda: marts.investments_monthly(sales(), as_of, pf),
+            "q10": lambda: marts.top_items(i.sales, as_of, pf, k=20, titles=i.item_titles),
             "q11": lambda: marts.seller_reputation(i.reputation, pf),
-            "q14": lambda: self._written(marts.top_items_by_visits(i.visits, as_of, pf, k=50), "top-visited"),
-            "q15": lambda: self._written(price.price_competitiveness(
-                i.price_obs, i.price_audit, as_of, self.audit_as_of, pf, audit_days=self.audit_days,
-                days_table=self.price_days), "price"),
+            "q12": lambda: marts.visits_monthly(visits(), as_of, pf),
+            "q13": lambda: marts.visits_daily(visits(), as_of, pf),
+            "q14": lambda: marts.top_items_by_visits(i.visits, as_of, pf, k=50),
+            "q15": prices,
             "q16": lambda: marts.campaign_items(i.campaign_optin, i.campaign_eligible, as_of, pf, days=self.campaign_days),
         }
-        return build[name]()
+        frame = build[name]()
+        if name in self.shared and name in BUNDLE_MARTS:
+            return in_plan(frame, ("seller_id",) if name == "q10" else ("seller_id", "item_id"))
+        return frame
+
+
+#: Reports that use a fact at several places of their plans: what these places share.
+SHARED: dict[str, tuple[str, ...]] = {
+    "seller_sales_table": ("sales_days",), "ads_kpi": ("sales_days",), "ads_seller_table": ("sales_days", "ads_days"),
+    "investment_seller_table": ("investment_days",), "scorecard": ("sales_days",), "catalog_table": ("q10",),
+    "qualification_table": ("q15",),
+}
+#: Periodic reports that look beyond their period (the newest months that are present, the month before).
+WHOLE_HISTORY = ("chart_window_series", "ads_kpi", "ads_seller_table")
 
 
 # ----------------------------------------------------------------------------- reports
@@ -290,11 +321,12 @@ PERIODIC: dict[str, Callable[[Marts, Period], DataFrame]] = {
     "conversion_series": lambda m, p: R.conversion_series(m.q12, m.q13, m.q01, m.q02, p, m.bridge),
     "visits_seller_table": lambda m, p: R.visits_seller_table(m.q12, m.q13, m.q01, m.q02, p, m.bridge, m.portfolio),
 }
-QUICK = ("yesterday", "last-week", "this-month", "last-month", "this-quarter", "this-year")
 
 
-def period_of(m: Marts, mode: str) -> Period:
-    """A mode, or a quick range ("last_month"), or "custom" with the fixed test range."""
+def period_of(m: Marts, mode: str | tuple[dt.date, dt.date]) -> Period:
+    """A mode, a quick range ("last_month"), or a range of the caller; "custom" alone has the fixed test range."""
+    if not isinstance(mode, str):
+        return m.period("custom", *mode)
     if mode == "custom":
         return m.period("custom", CUSTOM_START, CUSTOM_END)
     quick = mode.replace("_", "-")
@@ -322,11 +354,18 @@ PERIOD_QUERIES: dict[str, tuple[str, str]] = {
 REPORTS: dict[str, Callable[[Marts], DataFrame]] = {}
 
 
-def report(name: str):
+def report(name: str, base: str | None = None, mode: str | None = None):
+    """Registers a report over marts, and its query: the same over marts built for it."""
     def deco(fn: Callable[[Marts], DataFrame]):
+        def query(i: LogicalInputs) -> DataFrame:
+            m = Marts(i, shared=SHARED.get(base or name, ()))
+            if mode is not None and base not in WHOLE_HISTORY:
+                m.days = needed_days(period_of(m, mode))
+            return fn(m)
+
+        query.__doc__ = fn.__doc__
         REPORTS[name] = fn
-        register(name)(lambda i: fn(Marts(i)))
-        REGISTRY[name].__doc__ = fn.__doc__
+        register(name)(query)
         return fn
 
     return deco
@@ -341,7 +380,7 @@ def _periodic(base: str, mode: str) -> Callable[[Marts], DataFrame]:
 
 
 for _name, (_base, _mode) in PERIOD_QUERIES.items():
-    report(_name)(_periodic(_base, _mode))
+    report(_name, _base, _mode)(_periodic(_base, _mode))
 
 
 @report("seller_scopes")
@@ -366,12 +405,12 @@ def _p06(m: Marts) -> DataFrame:
 
 @report("sum_months_quarter")
 def _p07(m: Marts) -> DataFrame:
-    return M.sum_months(m.q01, ["gmv", "si"], m.period("quarter").curr_months, m.bridge)
+    return M.sum_months(m.q01, ["gmv", "si"], m.period("quarter").months, m.bridge)
 
 
 @report("sum_daily_range_week")
 def _p08(m: Marts) -> DataFrame:
-    return M.sum_daily_range(m.q02, ["gmv", "si"], *m.period("week").curr_range, m.bridge)
+    return M.sum_daily_range(m.q02, ["gmv", "si"], *m.period("week").days, m.bridge)
 
 
 @report("rollup_sellers_month")
@@ -381,17 +420,36 @@ def _p09(m: Marts) -> DataFrame:
 
 @report("daily_series_month")
 def _p10(m: Marts) -> DataFrame:
-    return M.daily_series(m.q02, "gmv", *m.period("month").chart_range, m.bridge)
+    return M.daily_series(m.q02, "gmv", *m.period("month").chart_days, m.bridge)
 
 
 @report("daily_series_multi_day")
 def _p11(m: Marts) -> DataFrame:
-    return M.daily_series_multi(m.q02, ["gmv", "si"], *m.period("day").chart_range, m.bridge)
+    return M.daily_series_multi(m.q02, ["gmv", "si"], *m.period("day").chart_days, m.bridge)
 
 
 @report("monthly_series_year")
 def _p12(m: Marts) -> DataFrame:
-    return M.monthly_series(m.q01, ["gmv", "si"], m.period("year").curr_months, m.bridge)
+    return M.monthly_series(m.q01, ["gmv", "si"], m.period("year").months, m.bridge)
+
+
+def _kpi_of_dates(i: LogicalInputs, mode: str) -> DataFrame:
+    rows = period_rows(DATES, mode)
+    window = DayWindow(min(r[2] for r in rows), max(r[3] for r in rows) + dt.timedelta(days=1))
+    days = marts.seller_day(i.sales, max(DATES), i.portfolio, measures=("gmv", "si"), window=window)
+    return M.kpi_of_dates(days, ["gmv", "si"], DATES, mode, seller_scopes(i.portfolio))
+
+
+@register("sales_kpi_dates")
+def _p14_dates(i: LogicalInputs) -> DataFrame:
+    """P14 for 30 as-of dates in one plan, month period."""
+    return _kpi_of_dates(i, "month")
+
+
+@register("sales_kpi_dates_week")
+def _p14_dates_week(i: LogicalInputs) -> DataFrame:
+    """P14 for 30 as-of dates in one plan, week period."""
+    return _kpi_of_dates(i, "week")
 
 
 @report("growth_series")
@@ -401,7 +459,7 @@ def _p17(m: Marts) -> DataFrame:
 
 @report("ads_ratios")
 def _p22(m: Marts) -> DataFrame:
-    return R.ads_ratios(m.q07, m.q01, m.period("month").curr_months, m.bridge)
+    return R.ads_ratios(m.q07, m.q01, m.period("month").months, m.bridge)
 
 
 @report("take_rate_series")
@@ -470,5 +528,28 @@ def _p44(m: Marts) -> DataFrame:
     return R.price_item_table(m.q15, m.bridge, m.portfolio, k=300)
 
 
+# ----------------------------------------------------------------------------- bundle
+def _read_back(i: LogicalInputs, fmt: str) -> DataFrame:
+    """The monthly sales mart, published as a bundle in the shared folder and read back from its current version."""
+    from sellerlens.plans.bundle import current_bundle, publish
+
+    frame = marts.sales_monthly(i.sales, AS_OF, i.portfolio)
+    spark = frame.sparkSession
+    out = f"{checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    publish(spark, {"sales_monthly": frame}, out, fmt=fmt, refreshed_at=REFRESHED_AT)
+    schema = with_refresh_stamp(normalize(frame), REFRESHED_AT).schema
+    return spark.read.schema(schema).format(fmt).load(current_bundle(spark, out)["sales_monthly"])
+
+
+@register("bundle_parquet")
+def _s04(i: LogicalInputs) -> DataFrame:
+    return _read_back(i, "parquet")
+
+
+@register("bundle_json")
+def _s05(i: LogicalInputs) -> DataFrame:
+    return _read_back(i, "json")
+
+
 #: Reports that take no period.
 PLAIN = {name: fn for name, fn in REPORTS.items() if name not in PERIOD_QUERIES}

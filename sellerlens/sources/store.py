@@ -40,6 +40,24 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file if there is none of this name; False, and nothing changes, if there is one.
+
+    The store decides: a create that may not overwrite is atomic in HDFS, and a conditional put in object stores that have it.
+    """
+    try:
+        stream = _fs(spark, path).create(_path(spark, path), False)
+    except Exception as e:  # the JVM's exception, by its class
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    return True
+
+
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file beside `path` and renames it onto it, so that a reader sees the old or the new text."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -145,6 +145,47 @@ def test_a_new_bundle_replaces_the_old_at_once(spark, inputs, tmp_path):
     assert {r.updated_at for r in got.collect()} == {"22/07/2001 08:00"}
 
 
+def test_failed_versions_do_not_count(spark, inputs, tmp_path):
+    """Two good versions, two failed ones, one good: the last two good ones stay."""
+    from pyspark.sql import functions as F
+
+    out, good, bad = str(tmp_path / "b"), {"sellers": inputs.portfolio}, {"x": inputs.portfolio.select(F.raise_error(F.lit("stop")).cast("string").alias("x"))}
+    kept = []
+    for day, frames in enumerate((good, good, bad, bad, good)):
+        try:
+            kept.append(B.publish(spark, frames, out, refreshed_at=STAMP + dt.timedelta(days=day))["sellers"])
+        except Exception as e:
+            assert "stop" in str(e)
+    assert [f"{out}/versions/{v}/sellers" for v in store.names(spark, f"{out}/versions")] == kept[-2:]
+    assert all(spark.read.parquet(p).count() == inputs.portfolio.count() for p in kept[-2:])
+
+
+def test_of_two_refreshes_at_once_one_wins(spark, inputs, tmp_path):
+    out, frames = str(tmp_path / "b"), {"sellers": inputs.portfolio}
+    B.publish(spark, frames, out, refreshed_at=STAMP)
+    since = B.last_commit(spark, out)
+    won = B.publish(spark, frames, out, refreshed_at=STAMP + dt.timedelta(days=2), since=since)
+    with pytest.raises(B.Overtaken):
+        B.publish(spark, frames, out, refreshed_at=STAMP + dt.timedelta(days=1), since=since)
+    assert B.current_bundle(spark, out) == won and len(store.names(spark, f"{out}/versions")) == 2
+    # a writer that is lost while it commits leaves a commit without a version: readers stay, and the next refresh goes on behind it
+    assert store.create_text(spark, f"{out}/{B.COMMITS}/{B.last_commit(spark, out) + 1:08d}", "")
+    assert B.current_bundle(spark, out) == won
+    later = B.publish(spark, frames, out, refreshed_at=STAMP + dt.timedelta(days=3))
+    assert B.current_bundle(spark, out) == later
+
+
+def test_a_custom_period_of_the_caller(spark, inputs, other_day):
+    typed, _ = other_day
+    period = (dt.date(2000, 2, 10), dt.date(2000, 4, 2))
+    reports = B.build_reports(typed, OTHER_DAY, [period])
+    m = Marts(inputs, as_of=OTHER_DAY)
+    for base in ("sales_kpi", "investment_seller_table", "visits_seller_table"):
+        got = reports[f"{base}_2000-02-10_2000-04-02"]
+        assert same(normalize(got), normalize(PERIODIC[base](m, m.period("custom", *period)))), base
+        assert got.count()
+
+
 def test_the_work_folder_is_deleted(spark, inputs, tmp_path, monkeypatch):
     work = str(tmp_path / "work")
     monkeypatch.setattr(B, "work_folder", lambda spark: work)

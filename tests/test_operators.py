@@ -175,7 +175,7 @@ def test_monthly_series_zero_fills_and_daily_series_skips(spark):
     bridge = seller_scopes(pf)
     m = spark.createDataFrame([(D(2001, 2, 1), 1, Dec("5.00"), 1)],
                               "month date, seller_id long, gmv decimal(28,2), si long")
-    ser = measures.monthly_series(m, ["gmv"], resolve_period(D(2001, 3, 15), "quarter").curr_months, bridge)
+    ser = measures.monthly_series(m, ["gmv"], resolve_period(D(2001, 3, 15), "quarter").months, bridge)
     assert ser.where("scope = 'all'").count() == 3 and ser.where("scope = 'all' and gmv = 0").count() == 2
     d = spark.createDataFrame([(D(2001, 7, 1), 1, Dec("5.00"), 1)],
                               "day date, seller_id long, gmv decimal(28,2), si long")
