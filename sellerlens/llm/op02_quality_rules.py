@@ -5,7 +5,7 @@ counted per host, every host's failure rate is shrunk towards the corpus rate
 with a beta prior fitted to the hosts themselves (method of moments), and a
 host whose shrunken rate exceeds `max_host_failure` loses all its documents.
 
-Scale: the text is read once by an Arrow UDF in the map stage; the filter form writes each document with its verdict. Hosts are
+Scale: the text is read once by an Arrow UDF in the map stage (twice by the filter form). Hosts are
 summed with partial aggregation (a host with a third of all rows sends one row
 per task), the prior is one row, and the verdicts join back to rows of a few
 numbers. The filter form never shuffles texts while the rejected hosts fit the
@@ -147,10 +147,12 @@ def keep_good(docs: DataFrame, host: str = "source", text: str = "text",
               max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
     """The documents that pass, with the columns of `docs`."""
     failed, bad = fresh("failed", docs), fresh("rejected_host", docs)
-    # texts are measured once: the table keeps each document with its verdict
-    judged = written(docs.withColumn(failed, base_failed(stats(F.col(text)))), "judged")
-    rejected = host_verdicts(host_failures(judged, host, failed), max_host_failure).filter("rejected").select(F.col("host").alias(bad))
-    return judged.filter(~F.col(failed)).join(broadcast_if_small(rejected), F.col(host) == F.col(bad), "left_anti").select(*docs.columns)
+    # texts are measured twice, since a table of all documents with their verdicts would hold the whole input once more
+    short = docs.select(F.col(host), stats(F.col(text)).alias("s"))
+    counts = written(host_failures(short.select(host, base_failed(F.col("s")).alias(failed)), host, failed), "hosts")
+    rejected = host_verdicts(counts, max_host_failure).filter("rejected").select(F.col("host").alias(bad))
+    judged = docs.withColumn(failed, base_failed(stats(F.col(text)))).filter(~F.col(failed))
+    return judged.join(broadcast_if_small(rejected), F.col(host) == F.col(bad), "left_anti").select(*docs.columns)
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

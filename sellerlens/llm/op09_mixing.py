@@ -202,8 +202,11 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of `docs`."""
     row = fresh("row", docs)
-    rows = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *measures(docs, doc_id, source, text)), "mix-rows")
-    taken = _copies(rows, decisions(rows.drop(row)), [row]).filter("n > 0")
+    order = measures(docs, doc_id, source, text)
+    cuts = decisions(written(docs.select(*order), "mix-rows"))
+    # texts are measured again: a table of them with their measures would hold the whole input once more
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *order)
+    taken = _copies(held, cuts, [row]).filter("n > 0")
     return taken.select(row, F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(f"{row}.*")
 
 
