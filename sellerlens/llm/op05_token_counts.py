@@ -83,14 +83,14 @@ def _chunk_pieces(texts: pa.Array, path: str) -> tuple[Pieces, np.ndarray, np.nd
 
 def frequent_pieces(docs: DataFrame, path: str, text: str = "text") -> HashTable:
     """Token counts of the TABLE_ENTRIES commonest pre-tokens of a sample."""
-    few = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_DOCS).toArrow().column("text")
-    seen: Counter[bytes] = Counter()
-    for texts in few.chunks:
-        for lo, hi in chunks(texts):
-            p, *_ = _chunk_pieces(texts.slice(lo, hi - lo), path)
-            _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
-            for i, times in zip(at, n, strict=True):
-                seen[p.bytes_at(i)] += int(times)
+    # take reads a few tasks' rows at a time, until there are enough
+    few = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_DOCS)
+    texts, seen = pa.array([r[0] for r in few], pa.string()), Counter()
+    for lo, hi in chunks(texts):
+        p, *_ = _chunk_pieces(texts.slice(lo, hi - lo), path)
+        _, at, n = np.unique(p.hash, return_index=True, return_counts=True)
+        for i, times in zip(at, n, strict=True):
+            seen[p.bytes_at(i)] += int(times)
     pieces = sorted(seen, key=lambda x: (-seen[x], x))[:TABLE_ENTRIES]
     ends = np.cumsum([len(p) for p in pieces], dtype=np.int64)
     p = Pieces(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], ends]).astype(np.int64))
