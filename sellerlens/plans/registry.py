@@ -292,7 +292,8 @@ class Marts:
 
 #: Reports that use a fact at several places of their plans: what these places share.
 SHARED: dict[str, tuple[str, ...]] = {
-    "seller_sales_table": ("sales_days",), "ads_kpi": ("sales_days",), "ads_seller_table": ("sales_days", "ads_days"),
+    "seller_sales_table": ("sales_days",), "ads_kpi": ("sales_days",), "ads_ratios": ("sales_days",),
+    "ads_seller_table": ("sales_days", "ads_days"),
     "investment_seller_table": ("investment_days",), "scorecard": ("sales_days",), "catalog_table": ("q10",),
     "qualification_table": ("q15",),
 }
