@@ -286,14 +286,14 @@ class Marts:
         }
         frame = build[name]()
         if name in self.shared and name in BUNDLE_MARTS:
-            return in_plan(frame, ("seller_id",) if name == "q10" else ("seller_id", "item_id"))
+            return in_plan(frame, ("seller_id", "item_id") if name == "q15" else ("seller_id",))
         return frame
 
 
 #: Reports that use a fact at several places of their plans: what these places share.
 SHARED: dict[str, tuple[str, ...]] = {
-    "seller_sales_table": ("sales_days",), "ads_kpi": ("sales_days",), "ads_ratios": ("sales_days",),
-    "ads_seller_table": ("sales_days", "ads_days"),
+    "seller_sales_table": ("q01", "q02"), "ads_kpi": ("q01", "q02"), "ads_ratios": ("q01",),
+    "ads_seller_table": ("q01", "q02", "q04", "q07"),
     "investment_seller_table": ("investment_days",), "scorecard": ("sales_days",), "catalog_table": ("q10",),
     "qualification_table": ("q15",),
 }
