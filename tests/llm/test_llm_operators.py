@@ -149,6 +149,28 @@ def test_lm_scores(case, spark, monkeypatch, frequent):
           brute.lm_scores(pairs(rows, 0, 1), targets, min_pair=2, frequent=frequent))
 
 
+@pytest.mark.parametrize(("share", "min_pair"), [(60, 2), (60, 5), (1 << 20, 5)])
+def test_lm_pairs_of_all_words(case, monkeypatch, spark, share, min_pair):
+    """Words that are joined have pairs like those that are broadcast."""
+    monkeypatch.setattr(op3, "BROADCAST_WORDS", share)
+    monkeypatch.setattr(op3, "FREQUENT_PAIRS", 300)
+    df, rows = case
+    targets = {r[0] for r in rows if r[0] is not None and r[0] % 3 == 0}
+    models = op3.train(df, spark.createDataFrame([(i,) for i in targets], "doc_id long"), min_pair=min_pair)
+    close(rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background", "score"),
+          brute.lm_scores(pairs(rows, 0, 1), targets, min_pair=min_pair, frequent=1 << 40))
+
+
+def test_lm_counts_pairs_of_seldom_words(spark):
+    """Words of a share below one in 2^18 have pairs too."""
+    rows = [(0, "x " * 1_400_000)] + [(i, "seldom seen words") for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    models = op3.train(df, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert models.pairs == 5  # x x, < seldom, seldom seen, seen words, words >
+    close(rows_of(op3.scored(df, models), "doc_id", "n_words", "h_target", "h_background", "score"),
+          brute.lm_scores(rows, {1, 2}, frequent=1 << 40))
+
+
 def test_lm_model_grows_with_the_corpus(spark, monkeypatch):
     """More words make a larger model; documents outside of it can be scored."""
     monkeypatch.setattr(op3, "FREQUENT_WORDS", 50)
