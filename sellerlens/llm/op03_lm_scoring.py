@@ -260,12 +260,12 @@ def train(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str
 
     def term(c: str, by: float) -> Column:
         one = -F.log2((F.col(c) * F.lit(float(by)) + 1.0) / F.lit(total))
-        return (one + F.log2((F.coalesce(F.col(f"v_{c}"), F.lit(0)) * F.lit(float(by)) + F.lit(strength)) / F.lit(strength))).cast("float")
+        return one + F.log2((F.coalesce(F.col(f"v_{c}"), F.lit(0)) * F.lit(float(by)) + F.lit(strength)) / F.lit(strength))
 
     tail = tail.select("key", term("n_target", scale[0]).alias("target"), term("n", scale[1]).alias("background"))
     others = counted.filter((F.col("key") < 0) & (F.col("n") < min_word))
-    others = others.select("key", *[F.lit(float(x)).cast("float").alias(c) for c, x in zip(_TERM.names, loss(rare[:, None])[:, 0], strict=True)])
-    terms = pairs.filter(~most).select("key", "target", "background").unionByName(tail).unionByName(others)
+    others = others.select("key", *[F.lit(float(x)).alias(c) for c, x in zip(_TERM.names, loss(rare[:, None])[:, 0], strict=True)])
+    terms = pairs.filter(~most).select("key", *[F.col(c).cast("double").alias(c) for c in _TERM.names]).unionByName(tail).unionByName(others)
     return Models(ids, (word_loss + backed)[:, : ids.start], top.column("key").to_numpy(),
                   np.stack([top.column(c).to_numpy() for c in ("target", "background")]).astype(np.float64),
                   loss(np.zeros((2, 1)))[:, 0], word_loss[:, ids.end] + backed[:, ids.start],
